@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textgate.llm import quality_rules
+from textgate.llm import minhash, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}
