@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textgate.llm import minhash, quality_rules
+from textgate.llm import classifier, minhash, pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from a model of the labelled ones that are not held out."""
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = classifier.fit(docs, labels.where(~classifier.held_out("doc_id")))
+    return classifier.score(docs, model)
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.personal_data(_documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_rules.quality_rules(_documents(spark, sf_dir))
@@ -26,6 +40,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op4_personal_data": op4_personal_data,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
 }
