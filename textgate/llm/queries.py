@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgate.llm import classifier, minhash, pii, quality_rules
+from textgate.llm import classifier, minhash, pii, quality_rules, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents under a public vocabulary."""
+    import public_tokenizers
+
+    return tokens.token_counts(_documents(spark, sf_dir), str(public_tokenizers.path(tokens.TOKENIZER)))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.personal_data(_documents(spark, sf_dir))
@@ -41,6 +48,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_token_counts": op2_token_counts,
     "op4_personal_data": op4_personal_data,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
