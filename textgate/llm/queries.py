@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgate.llm import classifier, minhash, pii, quality_rules, tokens
+from textgate.llm import classifier, minhash, mixing, pii, quality_rules, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_documents(spark, sf_dir))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from each document."""
+    return mixing.mixed(_documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_rules.quality_rules(_documents(spark, sf_dir))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
     "op4_personal_data": op4_personal_data,
+    "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
 }
