@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgate.llm import classifier, minhash, mixing, pii, quality_rules, tokens
+from textgate.llm import classifier, lm, minhash, mixing, pii, quality_rules, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,11 +31,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir), str(public_tokenizers.path(tokens.TOKENIZER)))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the windows that an earlier one has."""
+    return substrings.remove_repeats(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.personal_data(_documents(spark, sf_dir))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents."""
+    return lm.scores(_documents(spark, sf_dir))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     return mixing.mixed(_documents(spark, sf_dir))
@@ -54,7 +64,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_personal_data": op4_personal_data,
+    "op7_lm_scores": op7_lm_scores,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
