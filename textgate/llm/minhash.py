@@ -8,8 +8,9 @@
    is a number of pairs linear in the bucket.  Pairs are confirmed on full sets.
 4. Buckets whose members fall into several components after that are compared in blocks:
    the similarity of each pair of different components is estimated from equal signature
-   fields (less those equal by chance), and pairs near enough are confirmed as well.  So no
-   link between components is lost to the shortcut of step 3.
+   fields (less those equal by chance).  Of the pairs near enough, the best of each two
+   components are confirmed first, which unites most; the next rounds, over what is still
+   apart, confirm more and in the end all, so no link between components is lost.
 
 Defined cases: a null or empty text, or one without words, has the empty set and no link; a
 text shorter than a shingle is one shingle; repeated rows and equal texts share a component;
@@ -43,10 +44,12 @@ class MinHash:
     bands: int = 45
     rows: int = 5
     bits: int = 4
-    estimate_floor: float = 0.52
+    estimate_floor: float = 0.62
     block: int = 512
     group: int = 256
     seed: int = 7
+    #: pairs of two components confirmed in each round; None: all
+    rounds: tuple[int | None, ...] = (1, 6, None)
 
     @property
     def multipliers(self) -> np.ndarray:
@@ -109,13 +112,17 @@ def signatures(docs: DataFrame, cfg: MinHash = MinHash(), text: str = "text", do
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SIGNATURES)
 
 
-def _near(group: pa.Table, cfg: MinHash) -> pa.Table:
-    """Pairs of different components in two blocks of one bucket whose estimate reaches the floor."""
+def _near(group: pa.Table, cfg: MinHash, most: int | None) -> pa.Table:
+    """Pairs of different components in two blocks of one bucket whose estimate reaches the floor.
+
+    ``most`` 1 gives the best pairs that unite the components, larger numbers that many of each
+    two components, and None all.
+    """
     ids, comps, sizes = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
     side = group.column("side").to_numpy()
     planes = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), cfg.bits, -1)
     left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    out_a, out_b = [], []
+    found: list[tuple[float, int, int]] = []
     total = cfg.bands * cfg.rows
     chance = 1 / 2**cfg.bits
     for i in left:
@@ -127,14 +134,39 @@ def _near(group: pa.Table, cfg: MinHash) -> pa.Table:
         differ = np.bitwise_or.reduce(planes[able] ^ planes[i], axis=1)
         equal = total - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
         estimate = (equal / total - chance) / (1 - chance)
-        able = able[estimate >= cfg.estimate_floor]
-        out_a.append(np.minimum(ids[able], ids[i]))
-        out_b.append(np.maximum(ids[able], ids[i]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _confirm(docs: DataFrame, pairs: DataFrame, cfg: MinHash) -> DataFrame:
+        good = estimate >= cfg.estimate_floor
+        found += zip((-estimate[good]).tolist(), [int(i)] * int(good.sum()), able[good].tolist(), strict=True)
+    found.sort()
+    parent: dict[int, int] = {}
+    times: dict[tuple[int, int], int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    pairs = []
+    for _, i, j in found:
+        x, y = sorted((int(comps[i]), int(comps[j])))
+        if most == 1:
+            x, y = sorted((root(x), root(y)))
+            if x == y:
+                continue
+            parent[y] = x
+        elif most is not None:
+            times[x, y] = times.get((x, y), 0) + 1
+            if times[x, y] > most:
+                continue
+        pairs.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _linked(a: np.ndarray, b: np.ndarray, cfg: MinHash) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared > 0 and 100 * shared >= cfg.percent * (len(a) + len(b) - shared)
+
+
+def _confirm(texts: DataFrame, pairs: DataFrame, cfg: MinHash) -> DataFrame:
     """The pairs ``a < b`` whose full sets are similar enough.
 
     Members ``b`` travel to their centre ``a`` in groups of at most about ``cfg.group``, the
@@ -144,10 +176,11 @@ def _confirm(docs: DataFrame, pairs: DataFrame, cfg: MinHash) -> DataFrame:
     dealt = stored(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "pairs")
     wanted = dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("side"))
     wanted = wanted.unionByName(dealt.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("side")).distinct())
-    texts = docs.join(wanted, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "side", "doc_id")
+    dealt_texts = texts.join(wanted, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "side", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, None
+        centre: tuple[int, int] | None = None
+        own: list[np.ndarray] = []  # one set, but for an id with several texts
         for batch in batches:
             for rows in _words.slices(batch):
                 words, offsets = _words.word_hashes(rows.column("text"), lower=True)
@@ -158,15 +191,29 @@ def _confirm(docs: DataFrame, pairs: DataFrame, cfg: MinHash) -> DataFrame:
                 for i, k in enumerate(key):
                     mine = values[cuts[i] : cuts[i + 1]]
                     if side[i] == 0:
-                        centre, own = k, mine
+                        own = [*own, mine] if centre == k else [mine]
+                        centre = k
                         continue
                     assert centre == k
-                    shared = len(np.intersect1d(own, mine, assume_unique=True)) if len(mine) else 0
-                    if shared and 100 * shared >= cfg.percent * (len(own) + len(mine) - shared):
+                    if any(_linked(x, mine, cfg) for x in own):
                         found.append((k[0], ids[i]))
                 yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return texts.select("a", "part", "side", "doc_id", "text").mapInArrow(run, "a long, b long")
+    return dealt_texts.select("a", "part", "side", "doc_id", "text").mapInArrow(run, "a long, b long")
+
+
+def _candidates(entries: DataFrame, signs: DataFrame, roots: DataFrame, cfg: MinHash, most: int | None) -> DataFrame:
+    """Pairs ``a < b`` of different components that share a bucket and have a high enough estimate."""
+    known = signs.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("root", "doc_id")).drop("root")
+    again = entries.join(known.select("doc_id", "component"), "doc_id")
+    mixed = again.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
+    # large buckets are cut into blocks, and each pair of blocks is compared on its own
+    cut = again.join(mixed, ["band", "key"]).select("doc_id", "band", "key", F.ceil(F.col("n") / cfg.block).cast("int").alias("blocks"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cut = cut.select("doc_id", "band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
+    return cut.join(known, "doc_id").groupBy("band", "key", "x", "y").applyInArrow(lambda t: _near(t, cfg, most), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, cfg: MinHash = MinHash(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -179,25 +226,25 @@ def near_duplicates(docs: DataFrame, cfg: MinHash = MinHash(), text: str = "text
     heads = some.join(classes.select(F.col("set_hash"), F.col("head")), "set_hash").where("doc_id = head").dropDuplicates(["doc_id", "set_hash"])
     heads = heads.select("doc_id", "n_shingles", "bands", "signature")
     keys = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    least = keys.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    starred = keys.join(least, ["band", "key"]).where("doc_id > first").groupBy("doc_id", "first").agg(F.count("*").alias("n"))
-    # a document's own smallest centre stands for its star; what that leaves apart comes in the second pass
-    star = starred.groupBy("doc_id").agg(F.min("first").alias("a")).select("a", F.col("doc_id").alias("b"))
+    least = keys.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    entries = stored(keys.join(least, ["band", "key"]), "buckets")
+    signs = stored(heads.drop("bands").join(entries.select("doc_id").distinct(), "doc_id"), "signs")
+    # one shuffle of all texts, by merging whatever the sizes; from here on only texts that meet another
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sure = stored(_confirm(texts, star, cfg), "links")
-    first = stored(components(sure), "components")
-    known = heads.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "signature", "bands", F.coalesce("root", "doc_id").alias("component"))
-    again = known.select("doc_id", "component", F.posexplode("bands").alias("band", "key"))
-    mixed = again.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    # large buckets are cut into blocks, and each pair of blocks is compared on its own
-    entries = again.join(mixed, ["band", "key"]).select("doc_id", "band", "key", F.ceil(F.col("n") / cfg.block).cast("int").alias("blocks"))
-    entries = entries.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    entries = entries.select("doc_id", "band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-    entries = entries.join(known.select("doc_id", "n_shingles", "signature", "component"), "doc_id")
-    near = entries.groupBy("band", "key", "x", "y").applyInArrow(lambda t: _near(t, cfg), "a long, b long").distinct()
-    late = stored(_confirm(texts, stored(near, "near"), cfg), "links")
-    edges = sure.unionByName(late).unionByName(members.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+    texts = stored(texts.hint("merge").join(signs.select("doc_id").distinct(), "doc_id"), "texts")
+    # a document's smallest centre stands for its star; what that leaves apart comes in the rounds
+    star = entries.where("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("a")).select("a", F.col("doc_id").alias("b"))
+    tested = stored(star, "pairs")
+    sure = stored(_confirm(texts, tested, cfg), "links")
+    for most in cfg.rounds:
+        near = stored(_candidates(entries, signs, components(sure), cfg, most).join(tested, ["a", "b"], "left_anti"), "near")
+        if not near.limit(1).count():
+            if most is None:
+                break
+            continue
+        sure = stored(sure.unionByName(_confirm(texts, near, cfg)), "links")
+        tested = tested.unionByName(near)
+    edges = sure.unionByName(members.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
     roots = components(edges).withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(roots, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.col("doc_id").isNotNull()).alias("kept"))
