@@ -254,3 +254,18 @@ def keep_one(docs: DataFrame, cfg: MinHash = MinHash(), text: str = "text", doc_
     """The documents, columns unchanged, of which each group of near-duplicates keeps the smallest id."""
     verdict = near_duplicates(docs, cfg, text, doc_id).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(verdict, F.col(doc_id) == F.col("__gone"), "left_anti")
+
+
+#: The exact components, over every pair that shares a shingle.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept
+FROM w JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

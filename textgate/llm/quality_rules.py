@@ -141,4 +141,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> Da
     """The documents, columns unchanged, that ``quality_rules`` keeps."""
     whole = docs.select(F.struct("*").alias("row"))
     judged = measures(whole.select("row", F.col(f"row.{text}").alias("text")), rules, "text", ("row",))
-    return judged.where("kept").select("row.*")
+    # a filter on ``kept`` would be moved down to the texts and compute every measure there again; one on what
+    # is exploded stays
+    rows = judged.select(F.explode_outer(F.when(F.col("kept"), F.array(F.struct("row")))).alias("one"))
+    return rows.where(F.col("one").isNotNull()).select("one.row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgate.llm import classifier, lm, minhash, mixing, pii, quality_rules, substrings, tokens
+from textgate.llm import chat, classifier, decontamination, lm, minhash, mixing, pii, quality_rules, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,17 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_documents(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contaminated(_documents(spark, sf_dir), benchmark).drop("hamming")
+
+
+def op6_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of all conversations."""
+    return chat.preferences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of all documents."""
     return lm.scores(_documents(spark, sf_dir))
@@ -66,10 +77,17 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_personal_data": op4_personal_data,
+    "op5_decontamination": op5_decontamination,
+    "op6_chat_preferences": op6_chat_preferences,
     "op7_lm_scores": op7_lm_scores,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": substrings.ORACLE,
+    "op5_decontamination": decontamination.ORACLE,
+    "op6_chat_preferences": chat.ORACLE,
+    "op10_minhash": minhash.ORACLE,
+}

@@ -335,3 +335,16 @@ def remove_repeats(docs: DataFrame, cfg: Substrings = Substrings(), text: str =
                 )
 
     return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+#: The digest columns of ``remove_repeats``.
+ORACLE = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i FROM g JOIN f USING (s) WHERE f.first < g.doc_id),
+k AS (SELECT w.doc_id, p.i, w.words[p.i] AS word FROM w, unnest(range(1, len(w.words) + 1)) AS p(i)),
+l AS (SELECT k.doc_id, count(*) AS n, count(c.i) AS gone, coalesce(string_agg(k.word, ' ' ORDER BY k.i) FILTER (c.i IS NULL), '') AS kept FROM k LEFT JOIN c ON c.doc_id = k.doc_id AND c.i = k.i GROUP BY k.doc_id)
+SELECT w.doc_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_words, CAST(coalesce(l.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(l.kept, '')) AS kept_sha256
+FROM w LEFT JOIN l USING (doc_id)
+"""
