@@ -115,7 +115,8 @@ def mix_sources(docs: DataFrame, cfg: Mix = Mix(), text: str = "text", source: s
     chosen = blocks.withColumn("rank", F.row_number().over(draw)).where(F.col("rank") <= F.col("seats")).groupBy("source", "part", "block").agg(F.count("*").alias("times"))
 
     pieces = df.where("size > 0").select("source", "part", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / cfg.block), F.floor((F.col("to") - 1) / cfg.block))).alias("block"), "doc_id", "mark")
-    mine = pieces.alias("p").join(chosen.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.part") == F.col("c.part")) & (F.col("p.block") == F.col("c.block")))
+    # the chosen blocks grow with the words; the planner sees only the small table of quotas they come from
+    mine = pieces.alias("p").join(chosen.hint("merge").alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.part") == F.col("c.part")) & (F.col("p.block") == F.col("c.block")))
     own = F.least(F.col("to"), (F.col("p.block") + 1) * cfg.block) - F.greatest(F.col("from"), F.col("p.block") * cfg.block)
     taken = mine.groupBy(F.col("p.source").alias("s"), F.col("p.part").alias("q"), F.col("from").alias("f")).agg(F.sum(own * F.col("times")).alias("taken"))
     out = df.join(taken, df["source"].eqNullSafe(F.col("s")) & (df["part"] == F.col("q")) & (df["from"] == F.col("f")) & (df["size"] > 0), "left")
