@@ -8,9 +8,9 @@
    is a number of pairs linear in the bucket.  Pairs are confirmed on full sets.
 4. Buckets whose members fall into several components after that are compared in blocks:
    the similarity of each pair of different components is estimated from equal signature
-   fields (less those equal by chance).  Of the pairs near enough, the best of each two
-   components are confirmed first, which unites most; the next rounds, over what is still
-   apart, confirm more and in the end all, so no link between components is lost.
+   fields (less those equal by chance).  Of the pairs near enough, the best that would unite
+   a bucket's components are confirmed first; then all that are still apart, so no link between
+   components is lost.
 
 Defined cases: a null or empty text, or one without words, has the empty set and no link; a
 text shorter than a shingle is one shingle; repeated rows and equal texts share a component;
@@ -49,7 +49,7 @@ class MinHash:
     group: int = 256
     seed: int = 7
     #: pairs of two components confirmed in each round; None: all
-    rounds: tuple[int | None, ...] = (1, 6, None)
+    rounds: tuple[int | None, ...] = (1, None)
 
     @property
     def multipliers(self) -> np.ndarray:
@@ -235,17 +235,17 @@ def near_duplicates(docs: DataFrame, cfg: MinHash = MinHash(), text: str = "text
     # a document's smallest centre stands for its star; what that leaves apart comes in the rounds
     star = entries.where("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("a")).select("a", F.col("doc_id").alias("b"))
     tested = stored(star, "pairs")
-    sure = stored(_confirm(texts, tested, cfg), "links")
+    links = _confirm(texts, tested, cfg).unionByName(members.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+    roots = stored(components(links), "roots")
     for most in cfg.rounds:
-        near = stored(_candidates(entries, signs, components(sure), cfg, most).join(tested, ["a", "b"], "left_anti"), "near")
+        near = stored(_candidates(entries, signs, roots, cfg, most).join(tested, ["a", "b"], "left_anti"), "near")
         if not near.limit(1).count():
-            if most is None:
-                break
             continue
-        sure = stored(sure.unionByName(_confirm(texts, near, cfg)), "links")
+        new = stored(_confirm(texts, near, cfg), "links")
+        if new.limit(1).count():
+            roots = stored(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new)), "roots")
         tested = tested.unionByName(near)
-    edges = sure.unionByName(members.select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
-    roots = components(edges).withColumnRenamed("node", "doc_id")
+    roots = roots.withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(roots, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.col("doc_id").isNotNull()).alias("kept"))
 
