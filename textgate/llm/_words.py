@@ -78,10 +78,11 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     first = np.cumsum(lengths) - lengths
     at = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     values = _BYTE[data[at + np.repeat(starts, lengths)]]
-    if lengths.max() <= _MAX_WORD:
-        values *= _POWERS[at]
-    else:  # a very long word: the power depends on the place within each piece and the piece itself
-        values *= _POWERS[at % _MAX_WORD] * mix((at // _MAX_WORD).astype(np.uint64) + _MULT) | np.uint64(1)
+    power = _POWERS[at % _MAX_WORD]
+    if lengths.max() > _MAX_WORD:  # beyond the table, the number of the stretch counts as well
+        far = np.flatnonzero(at >= _MAX_WORD)
+        power[far] *= mix((at[far] // _MAX_WORD).astype(np.uint64)) | np.uint64(1)
+    values *= power
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _MULT)
 
 
