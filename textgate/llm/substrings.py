@@ -42,7 +42,7 @@ class Substrings:
     """Hot references: at most ``hot_passages`` passages of ``2 * reach + window`` words."""
 
     window: int = 13
-    anchor: int = 5
+    anchor: int = 4
     sample: int = 64
     hot_docs: int = 16
     hot_passages: int = 512
@@ -192,7 +192,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-SENT = "anchor long, doc_id long, mark int, start int, n int, mask int, prints binary"
+#: ``head`` packs a run's first window (32 bits), number of windows (5) and mask of covered ones (24).
+SENT = "anchor long, doc_id long, mark int, head long, prints binary"
 
 
 def _send(part: pa.RecordBatch, marks: np.ndarray, shards: list[SuffixAutomaton], cfg: Substrings) -> pa.RecordBatch:
@@ -238,8 +239,8 @@ def _send(part: pa.RecordBatch, marks: np.ndarray, shards: list[SuffixAutomaton]
     # a run without open windows only carries its mask: any task will do
     where = np.where(length > 0, anchor[run], _words.mix(doc[run].astype(np.uint64) + place[run].astype(np.uint64)))
     return pa.record_batch(
-        [pa.array(where.view(np.int64)), pa.array(doc[run]), pa.array(text_marks[row[run]]), pa.array(place[run].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mask.astype(np.int32)), prints],
-        names=["anchor", "doc_id", "mark", "start", "n", "mask", "prints"],
+        [pa.array(where.view(np.int64)), pa.array(doc[run]), pa.array(text_marks[row[run]]), pa.array((place[run].astype(np.int64) << 29) | (n.astype(np.int64) << 24) | mask), prints],
+        names=["anchor", "doc_id", "mark", "head", "prints"],
     )
 
 
@@ -250,7 +251,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         anchor, doc = (batch.column(c).to_numpy() for c in ("anchor", "doc_id"))
-        n, mask = batch.column("n").to_numpy(), batch.column("mask").to_numpy().astype(np.int64)
+        start = batch.column("head").to_numpy()
+        start, n, mask = start >> 29, (start >> 24) & 31, start & 0xFFFFFF
         prints = batch.column("prints")
         lengths = np.diff(np.frombuffer(prints.buffers()[1], np.int32)[prints.offset : prints.offset + len(prints) + 1]) // 6
         body = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(-1, 6)
@@ -283,7 +285,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_anchor, last_key, last_doc = anchor[-1], keys, docs
         both = found | mask
         some = np.flatnonzero(both)
-        span = (batch.column("start").to_numpy().astype(np.int64) << 32) | both
+        span = (start << 32) | both
         yield pa.record_batch([batch.column("doc_id").take(pa.array(some)), batch.column("mark").take(pa.array(some)), pa.array(span[some])], names=["doc_id", "mark", "span"])
 
 
