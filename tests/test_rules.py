@@ -1,0 +1,104 @@
+from pyspark.sql import functions as F
+
+from textgate.functions import lexicons, patterns
+from textgate.operators import gate, guards, rules, segment
+
+
+def _one(spark, column, *values):
+    names = [f"c{k}" for k in range(len(values[0]))]
+    df = spark.createDataFrame([tuple(v) for v in values], ", ".join(f"{n} string" for n in names))
+    return [r[0] for r in df.select(column(*[F.col(n) for n in names]).alias("x")).collect()]
+
+
+def test_vocabulary_sizes():
+    assert sum(len(p) for _, p in lexicons.GATE) == 102
+    assert len(lexicons.GATE) == 12
+    assert len(lexicons.RULES) == 78
+    assert len(lexicons.REASONS) == 24
+
+
+def test_segments(spark):
+    texts = [
+        'Hello there. It costs 3.14 dollars! See e.g. Dr. Smith (Fig. 2). "Done." Next one…  End',
+        "# Head\nA line. More.\n\n- item one. two\n- item two\n> quote a\n> quote b\n\n```py\nx. y.\n```\nTail J. Doe came.",
+        "",
+        None,
+        "1. First.\n1. Second",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = segment.sentences(df).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append(r.sentence)
+        assert texts[r.doc_id][r.start : r.end] == r.sentence
+    assert got[0] == ["Hello there. ", "It costs 3.14 dollars! ", "See e.g. Dr. Smith (Fig. 2). ", '"Done." ', "Next one…  ", "End"]
+    assert got[1] == ["# Head\n", "A line. ", "More.\n", "- item one. ", "two\n", "- item two\n", "> quote a\n> quote b\n", "```py\nx. y.\n```\n", "Tail J. Doe came."]
+    assert got[4] == ["1. First.\n", "1. Second"]
+    assert 2 not in got and 3 not in got
+
+
+def test_boundaries_are_ascii(spark):
+    assert _one(spark, lambda t: patterns.matches(t, r"\ba"), ("éa",), ("xa",), (" a",)) == [True, False, True]
+    assert _one(spark, lambda t: patterns.matches(t, r"x\sy"), ("x y",)) == [True]
+
+
+def test_gate(spark):
+    got = _one(spark, lambda t: gate.first_hit(t)["name"], ("We met in order to plan.",), ("The end result was fine.",), ("Nothing odd.",), (None,))
+    assert got == ["in order to/for", "end result", None, None]
+    same = _one(spark, lambda t: gate.first_family(t).eqNullSafe(gate.first_hit(t)["family"]), ("It could possibly be prior to that.",), ("The man who is here.",), ("Fine.",))
+    assert all(same)
+
+
+def test_rules(spark):
+    texts = [
+        ("It should be noted that the team met in order to plan.", "The team met to plan."),
+        ("This is in order to be put.", "This is in order to be put."),
+        ("A large number of the users agreed prior to the vote.", "Many of the users agreed before the vote."),
+        ("A large number of users agreed.", "Many users agreed."),
+        ("It is able to run due to the fact that we fixed it.", "It can run because we fixed it."),
+    ]
+    assert _one(spark, rules.apply_rules, *[(t,) for t, _ in texts]) == [x for _, x in texts]
+    assert _one(spark, rules.rules_fired, ("A large number of the users agreed prior to it.",)) == [["a large number of", "prior to"]]
+
+
+def test_repair(spark):
+    assert _one(spark, rules.repair, ("we met on monday , in may  and left",), ("All is well.",)) == ["We met on Monday, in May and left", None]
+
+
+def test_alignment_deletes_first():
+    ops = guards._aligned(["a", "b", "c"], ["a", "x", "c"])
+    assert [o[0] for o in ops] == ["equal", "delete", "insert", "equal"]
+
+
+def test_verdicts(spark):
+    pairs = [
+        ("We saw 3 dogs.", "We saw 4 dogs.", "numbers-changed"),
+        ("It is here.", "It is not here.", "negation-changed"),
+        ("It may rain today.", "It rains today.", "certainty-changed"),
+        ("All users agreed.", "Users agreed.", "quantifier-changed"),
+        ("Cats and dogs came.", "Cats or dogs came.", "direction-changed"),
+        ("Is it here?", "It is here.", "question-changed"),
+        ("It is here.", "It is here!", "terminal-punctuation-changed"),
+        ("Use API_V2 now.", "Use API now.", "protected-token-changed"),
+        ("Dogs chase cats daily.", "Cats chase dogs daily.", "order-changed"),
+        ("We looked at the affect of it.", "We looked at the effect of it.", None),
+        ("They left.", "They left.", "unchanged"),
+        ("They left.", None, "empty"),
+        ("More than 5 people came.", "Up to 5 people came.", "quantifier-changed"),
+        ("The report was sent.", "You sent the report.", "pronoun-changed"),
+    ]
+    df = spark.createDataFrame([(k, s, c) for k, (s, c, _) in enumerate(pairs)], "id int, source string, candidate string")
+    got = {r.id: r.reason for r in guards.validated(df).select("id", "reason").collect()}
+    assert [got[k] for k in range(len(pairs))] == [e for _, _, e in pairs]
+
+
+def test_hash(spark):
+    assert _one(spark, patterns.fnv1a, ("foobar",), ("",), ("a😀",)) == ["bf9cf968", "811c9dc5", _fnv("a😀")]
+
+
+def _fnv(text):
+    h = 0x811C9DC5
+    data = text.encode("utf-16-be")
+    for k in range(0, len(data), 2):
+        h = ((h ^ int.from_bytes(data[k : k + 2], "big")) * 0x01000193) & 0xFFFFFFFF
+    return f"{h:08x}"

@@ -1,17 +1,440 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL.
+
+Each query is an ordinary DataFrame job over the given tables.  SQL follows the same steps with
+DuckDB's functions; its regular expressions have ASCII classes and no look-around, so queries
+whose rules need look-around or word alignment have no SQL and are tested against examples.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textgate.functions import lexicons as lex
+from textgate.functions import patterns as P
+from textgate.operators import gate, guards, reports, rules, segment
+from textgate.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- units: lines of documents, and pairs of a line with a changed copy of it
+
+LINES_SQL = "lines AS (SELECT doc_id, lang, source AS src, i AS line_no, l AS line FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE l <> '')"
+CANDIDATE_SQL = r"""CASE line_no % 8 WHEN 0 THEN regexp_replace(line, ' [^ ]+$', '') WHEN 1 THEN regexp_replace(line, '[0-9]', '7', 'g') WHEN 2 THEN replace(line, ' is ', ' is not ') WHEN 3 THEN replace(line, ' the ', ' all ')
+  WHEN 4 THEN replace(line, '.', '!') WHEN 5 THEN replace(line, ' and ', ' or ') WHEN 6 THEN 'You ' || line ELSE line END"""
+PAIRS_SQL = f"{LINES_SQL}, pairs AS (SELECT doc_id, lang, src, line_no, line AS source, {CANDIDATE_SQL} AS candidate FROM lines)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "lang", F.col("source").alias("src"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return rows.where("line <> ''").select("doc_id", "lang", "src", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a copy changed by its number: a word dropped, digits changed, a negation, a quantifier, ..."""
+    kind, line = F.col("line_no") % 8, F.col("line")
+    changed = (
+        F.when(kind == 0, F.regexp_replace(line, " [^ ]+$", ""))
+        .when(kind == 1, F.regexp_replace(line, "[0-9]", "7"))
+        .when(kind == 2, F.replace(line, F.lit(" is "), F.lit(" is not ")))
+        .when(kind == 3, F.replace(line, F.lit(" the "), F.lit(" all ")))
+        .when(kind == 4, F.replace(line, F.lit("."), F.lit("!")))
+        .when(kind == 5, F.replace(line, F.lit(" and "), F.lit(" or ")))
+        .when(kind == 6, F.concat(F.lit("You "), line))
+        .otherwise(line)
+    )
+    return lines(spark, sf_dir).select("doc_id", "lang", "src", "line_no", line.alias("source"), changed.alias("candidate"))
+
+
+def _re2(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _gate_sql(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '(?i){_re2(p)}') THEN '{family}'" for family, ps in lex.GATE for _, p in ps) + " END"
+
+
+def _words_re(words: list[str]) -> str:
+    return r"\b(?:" + "|".join(words) + r")\b"
+
+
+# ---- screening
+
+
+@query()
+def gate_family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by the family of their first hit, with every family."""
+    sents = segment.sentences(tables.read(spark, sf_dir, "documents"))
+    hits = sents.select(gate.first_family(F.col("sentence")).alias("family")).where("family is not null").groupBy("family").agg(F.count("*").alias("n"))
+    return reports.zero_filled(hits, "family", gate.FAMILIES, "n")
+
+
+@query(f"WITH {LINES_SQL}, h AS (SELECT {_gate_sql('line')} AS family FROM lines) SELECT family, count(*) AS n FROM h WHERE family IS NOT NULL GROUP BY family")
+def gate_line_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = gate.first_family(F.col("line")).alias("family")
+    return lines(spark, sf_dir).select(hit).where("family is not null").groupBy("family").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LINES_SQL}, h AS (SELECT doc_id, line_no, {_gate_sql('line')} AS family FROM lines) SELECT doc_id, arg_min(family, line_no) AS family, min(line_no) AS line_no FROM h WHERE family IS NOT NULL GROUP BY doc_id")
+def gate_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's first line that a family fires on."""
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", gate.first_family(F.col("line")).alias("family")).where("family is not null")
+    return rows.groupBy("doc_id").agg(F.min_by("family", "line_no").alias("family"), F.min("line_no").alias("line_no"))
+
+
+@query(
+    f"WITH {LINES_SQL} SELECT lang, count(*) AS n_lines, "
+    + ", ".join(f"count(*) FILTER (regexp_matches(line, '(?i){_re2('|'.join(f'(?:{p})' for _, p in ps))}')) AS {family.replace('-', '_')}" for family, ps in lex.GATE)
+    + " FROM lines GROUP BY lang"
+)
+def gate_families_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = gate.family_hits(F.col("line"))
+    return lines(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_lines"), *[F.count_if(h).alias(f.replace("-", "_")) for f, h in hits.items()])
+
+
+@query()
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each document, complete ones, and the longest."""
+    sents = segment.sentences(tables.read(spark, sf_dir, "documents"))
+    return sents.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("complete").alias("n_complete"), F.max(F.col("end") - F.col("start")).alias("longest"))
+
+
+@query()
+def sentence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences whose offsets do not give their text back; always none."""
+    docs = tables.read(spark, sf_dir, "documents")
+    sents = segment.sentences(docs, keep=("doc_id", "text"))
+    cut = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return sents.groupBy((cut == F.col("sentence")).alias("exact")).agg(F.count("*").alias("n"))
+
+
+# ---- tokens and features
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’]\p{L}+)*')) AS n_words, len(regexp_extract_all(text, '[^\s\p{L}\p{N}]+')) AS n_other FROM documents")
+def token_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents").withColumn("tokens", P.tokens(F.col("text")))
+    return docs.select("doc_id", F.size(P.words(F.col("text"))).cast("long").alias("n_words"), F.regexp_count("text", F.lit(f"[^{P.BLANK}\\p{{L}}\\p{{N}}]+")).cast("long").alias("n_other"))
+
+
+@query(r"WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’]\p{L}+)*')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM c) SELECT lang, word, n, rank FROM r WHERE rank <= 20")
+def top_words_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = tables.read(spark, sf_dir, "documents").select("lang", F.explode(P.words(F.col("text"))).alias("word"))
+    return reports.top_n(words.groupBy("lang", "word").agg(F.count("*").alias("n")), ["lang"], [F.desc("n"), F.asc("word")], 20).select("lang", "word", "n", F.col("rank").cast("long"))
+
+
+_ID = r"\b(?:[A-Z]{2,}[A-Z0-9_-]*|[A-Za-z]+_[A-Za-z0-9_]+)\b"
+
+
+@query(rf"SELECT doc_id, unnest(regexp_extract_all(text, '{_ID}')) AS identifier FROM documents")
+def identifier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.explode(P.found(F.col("text"), _ID)).alias("identifier"))
+
+
+_MAIL = r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})*\.[A-Za-z]{2,24}\b"
+
+
+@query(rf"SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS email FROM documents")
+def email_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.explode(P.found(F.col("text"), _MAIL)).alias("email"))
+
+
+_NUM = r"\b\d+(?:[.,:]\d+)*(?:st|nd|rd|th)?\b%?"
+
+
+@query(rf"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, count(*) AS n, count(*) FILTER (regexp_extract_all(source, '{_NUM}') <> regexp_extract_all(candidate, '{_NUM}')) AS changed FROM pairs GROUP BY ALL")
+def number_sequence_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs(spark, sf_dir)
+    return rows.groupBy((F.col("line_no") % 8).alias("kind")).agg(F.count("*").alias("n"), F.count_if(P.found(F.col("source"), _NUM) != P.found(F.col("candidate"), _NUM)).alias("changed"))
+
+
+_NEG = _re2(lex.NEGATION)
+
+
+@query(rf"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, sum(len(regexp_extract_all(source, '(?i){_NEG}')))::BIGINT AS before, sum(len(regexp_extract_all(candidate, '(?i){_NEG}')))::BIGINT AS after FROM pairs GROUP BY ALL")
+def negation_count_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = {c: F.sum(P.count(F.col(o), lex.NEGATION)).alias(c) for c, o in (("before", "source"), ("after", "candidate"))}
+    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(*n.values())
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, " + ", ".join(f"len(list_distinct(regexp_extract_all(lower(line), '{_words_re(g)}'))) AS g{k}" for k, g in enumerate(lex.CERTAINTY)) + f" FROM lines WHERE regexp_matches(lower(line), '{_words_re([w for g in lex.CERTAINTY for w in g])}')")
+def certainty_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).where(P.matches(F.lower("line"), P.any_word([w for g in lex.CERTAINTY for w in g]), False))
+    return rows.select("doc_id", "line_no", *[F.size(guards.members(F.col("line"), g)).cast("long").alias(f"g{k}") for k, g in enumerate(lex.CERTAINTY)])
+
+
+@query(f"WITH {LINES_SQL} SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(lower(line), '\\b{w}\\b')) AS {w}" for w in lex.ORDINALS) + " FROM lines")
+def ordinal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).agg(*[F.count_if(P.matches(F.lower("line"), rf"\b{w}\b", False)).alias(w) for w in lex.ORDINALS])
+
+
+@query()
+def quantifier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = guards.quantifier_sets(F.col("line"))
+    rows = lines(spark, sf_dir).select("lang", F.posexplode(sets).alias("group", "words")).select("lang", "group", F.explode("words").alias("word"))
+    return rows.groupBy("lang", "group", "word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LINES_SQL} SELECT regexp_extract(rtrim(line), '([.!?…]+)[\"''’”)\\]}}]*$', 1) AS mark, count(*) AS n FROM lines GROUP BY ALL")
+def terminal_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).groupBy(guards.terminal(F.col("line")).alias("mark")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, count(*) FILTER (regexp_extract(rtrim(source), '([.!?…]+)[\"''’”)\\]}}]*$', 1) <> regexp_extract(rtrim(candidate), '([.!?…]+)[\"''’”)\\]}}]*$', 1)) AS changed FROM pairs GROUP BY ALL")
+def terminal_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(F.count_if(guards.terminal(F.col("source")) != guards.terminal(F.col("candidate"))).alias("changed"))
+
+
+_BAG = r"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+(?:[''’]\p{{L}}+)*'), lambda w: w NOT IN ('a', 'an', 'the'))"
+
+
+@query(f"WITH {LINES_SQL}, p AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS other FROM lines) SELECT doc_id, line_no, {_BAG.format(c='line')} <> {_BAG.format(c='other')} AS reordered FROM p WHERE list_sort({_BAG.format(c='line')}) = list_sort({_BAG.format(c='other')})")
+def pure_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring lines with the same words but for articles, and whether their order differs."""
+    after = Window.partitionBy("doc_id").orderBy("line_no")
+    rows = lines(spark, sf_dir).withColumn("other", F.lead("line").over(after))
+    bag = {c: F.filter(P.words(F.col(c)), lambda w: ~w.isin("a", "an", "the")) for c in ("line", "other")}
+    rows = rows.select("doc_id", "line_no", bag["line"].alias("x"), bag["other"].alias("y")).where(F.array_sort("x") == F.array_sort("y"))
+    return rows.select("doc_id", "line_no", (F.col("x") != F.col("y")).alias("reordered"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, " + ", ".join(f"count(*) FILTER (len(regexp_extract_all(lower(candidate), '\\b{w}\\b')) < len(regexp_extract_all(lower(source), '\\b{w}\\b'))) AS {w}_dropped" for w in lex.SCOPE) + " FROM pairs GROUP BY ALL")
+def scope_word_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drop = [F.count_if(P.count(F.lower("candidate"), rf"\b{w}\b", False) < P.count(F.lower("source"), rf"\b{w}\b", False)).alias(f"{w}_dropped") for w in lex.SCOPE]
+    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(*drop)
+
+
+@query(f"WITH {PAIRS_SQL}, f AS (SELECT line_no % 8 AS kind, " + ", ".join(f"regexp_matches(lower(source), '{_words_re(g)}') AS s{k}, regexp_matches(lower(candidate), '{_words_re(g)}') AS c{k}" for k, g in enumerate(lex.PRONOUNS[:-1])) + ") SELECT kind, " .replace(") SELECT", " FROM pairs) SELECT") + ", ".join(f"count(*) FILTER (c{k} AND NOT s{k}) AS new{k}" for k in range(len(lex.PRONOUNS) - 1)) + " FROM f GROUP BY kind")
+def pronoun_families_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def has(c: str, g: list[str]) -> Column:
+        return P.matches(F.lower(c), P.any_word(g), False)
+
+    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(*[F.count_if(has("candidate", g) & ~has("source", g)).alias(f"new{k}") for k, g in enumerate(lex.PRONOUNS[:-1])])
+
+
+# ---- alignment and verdicts
+
+
+@query()
+def edit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs(spark, sf_dir).withColumn("ops", guards.edit_ops(F.col("source"), F.col("candidate")))
+    return rows.groupBy((F.col("line_no") % 8).alias("kind")).agg(F.round(F.avg(guards.edit_ratio(F.col("ops"))), 6).alias("mean_ratio"), F.sum(F.size(guards.lost_words(F.col("ops")))).alias("lost"))
+
+
+@query()
+def validate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay: pairs by kind of change, bucket and reason."""
+    verdicts = guards.bucketed(guards.validated(pairs(spark, sf_dir)))
+    return verdicts.groupBy((F.col("line_no") % 8).alias("kind"), "bucket", "reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def verdict_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of accepted pairs by language with its Wilson interval."""
+    verdicts = guards.validated(pairs(spark, sf_dir)).groupBy("lang").agg(F.count("*").alias("n"), F.count_if("accepted").alias("k"))
+    low, high = P.wilson(F.col("k"), F.col("n"))
+    return verdicts.select("lang", "n", "k", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query()
+def clarity_rules_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that fire on lines with one of their phrases put before."""
+    rows = lines(spark, sf_dir)
+    phrases = F.array(*[F.lit(p) for p, _, _ in lex.RULES])
+    text = F.concat(P.capitalised(F.get(phrases, F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(len(lex.RULES))).cast("int"))), F.lit(" the "), F.col("line"))
+    fired = rows.select(F.explode(rules.rules_fired(text)).alias("rule"))
+    return fired.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query()
+def mechanics_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs of lines with doubled spaces and blanks before commas."""
+    text = F.regexp_replace(F.regexp_replace("line", ",", " ,"), " of ", "  of ")
+    rows = lines(spark, sf_dir).select("lang", text.alias("text")).withColumn("fixed", rules.repair(F.col("text")))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count("fixed").alias("n_repaired"), F.sum(F.length("text") - F.length("fixed")).alias("chars_removed"))
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, regexp_replace(regexp_replace(line, ' of ', '  of ', 'g'), '([^\\s])[ \\t]{{2,}}([^\\s])', '\\1 \\2', 'g') AS fixed FROM lines WHERE line LIKE '% of %'")
+def mechanics_repeated_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).where(F.col("line").contains(" of "))
+    return rows.select("doc_id", "line_no", F.regexp_replace(F.regexp_replace("line", " of ", "  of "), f"([^{P.BLANK}])[ \\t]{{2,}}([^{P.BLANK}])", "$1 $2").alias("fixed"))
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, upper(line[1]) || line[2:] AS opened FROM lines WHERE regexp_matches(line, '^[a-z]')")
+def capitalise_opener(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).where(F.col("line").rlike("^[a-z]")).select("doc_id", "line_no", P.capitalised(F.col("line")).alias("opened"))
+
+
+# ---- joins and reports
+
+
+@query("SELECT d.lang, l.quality, count(*) AS n, count(*) FILTER (regexp_matches(d.text, '(?i)\\b(which|that|who) (is|are|was|were)\\b')) AS n_hit FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL")
+def label_join_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = tables.read(spark, sf_dir, "documents").join(tables.read(spark, sf_dir, "labels"), "doc_id")
+    return joined.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count_if(gate.family_hits(F.col("text"))["relative-bloat"]).alias("n_hit"))
+
+
+@query("SELECT d.source, count(*) AS n FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
+def label_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels").select("doc_id")
+    return docs.join(labels, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.lang, count(*) AS total, count(*) FILTER (l.quality = 1) AS surfaced, count(*) FILTER (l.quality = 1) / count(*) AS recall, quantile_disc(d.n_chars, 0.5) AS p50, quantile_disc(d.n_chars, 0.95) AS p95, max(d.n_chars) AS top FROM documents d JOIN labels l USING (doc_id) GROUP BY d.lang")
+def summary_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = tables.read(spark, sf_dir, "documents").join(tables.read(spark, sf_dir, "labels"), "doc_id")
+    return reports.summary(joined, ["lang"], F.col("quality") == 1, "n_chars")
+
+
+@query("SELECT lang, count(*) FILTER (q = 'good') AS good, count(*) FILTER (q = 'bad') AS bad, count(*) FILTER (q = 'none') AS none FROM (SELECT d.lang, CASE l.quality WHEN 1 THEN 'good' WHEN 0 THEN 'bad' ELSE 'none' END AS q FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY lang")
+def pivot_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = tables.read(spark, sf_dir, "documents").join(tables.read(spark, sf_dir, "labels"), "doc_id", "left")
+    bucket = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").otherwise("none")
+    return reports.pivoted(joined.withColumn("bucket", bucket), "lang", "bucket", ["good", "bad", "none"])
+
+
+@query("SELECT r.reason, count(d.doc_id) AS n FROM (VALUES ('short'), ('long'), ('huge'), ('empty')) r(reason) LEFT JOIN (SELECT doc_id, CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'long' ELSE 'huge' END AS reason FROM documents) d ON d.reason = r.reason GROUP BY r.reason")
+def ledger_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents")
+    reason = F.when(F.col("n_chars") == 0, "empty").when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 5000, "long").otherwise("huge")
+    return reports.zero_filled(docs.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")), "reason", ["short", "long", "huge", "empty"], "n")
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 3")
+def ledger_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.top_n(tables.read(spark, sf_dir, "documents"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 3).select("source", "doc_id", "n_chars")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS top FROM events GROUP BY event_type")
+def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "events").groupBy("event_type").agg(*reports.nearest_rank("value", {"p50": 0.5, "p95": 0.95}), F.max("value").alias("top"))
+
+
+_WILSON_SQL = "greatest(0, (k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n))"
+
+
+@query(f"SELECT lang, round({_WILSON_SQL}, 6) AS low, round({_WILSON_SQL.replace('greatest(0,', 'least(1,').replace('- 1.96', '+ 1.96')}, 6) AS high FROM (SELECT d.lang, count(*)::DOUBLE AS n, (count(*) FILTER (l.quality = 1))::DOUBLE AS k FROM documents d JOIN labels l USING (doc_id) GROUP BY d.lang)")
+def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = tables.read(spark, sf_dir, "documents").join(tables.read(spark, sf_dir, "labels"), "doc_id")
+    rates = joined.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("k"))
+    low, high = P.wilson(F.col("k"), F.col("n"))
+    return rates.select("lang", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("SELECT item_id, lpad(to_hex(list_reduce(list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT), lambda h, u: (xor(h, u) * 16777619) & 4294967295, 2166136261::BIGINT)), 8, '0').lower() AS key FROM benchmark")
+def fnv_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "benchmark").select("item_id", P.fnv1a(F.col("text")).alias("key"))
+
+
+@query("SELECT md5(text) AS key, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
+def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.read(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.count("*").alias("copies"))
+    return rows.where("copies > 1").select(F.md5("text").alias("key"), "doc_id", "source", "copies")
+
+
+@query("SELECT conv_id, turn, role, lag(role) OVER w AS before, length(text) - lag(length(text)) OVER w AS grown FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def conversation_turn_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    size = F.length("text")
+    return tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("before"), (size - F.lag(size).over(w)).alias("grown"))
+
+
+@query("WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[''’]\\p{L}+)*')) AS w FROM benchmark), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[''’]\\p{L}+)*')) AS w FROM documents) SELECT (SELECT count(*) FROM b) AS n_benchmark, (SELECT count(*) FROM d) AS n_documents, (SELECT count(*) FROM (SELECT w FROM b UNION SELECT w FROM d)) AS n_union, (SELECT count(*) FROM (SELECT w FROM b INTERSECT SELECT w FROM d)) AS n_shared, (SELECT count(*) FROM (SELECT w FROM b EXCEPT SELECT w FROM d)) AS n_only")
+def vocabulary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union, intersection and difference of two vocabularies, from one grouping."""
+    sides = [tables.read(spark, sf_dir, t).select(F.explode(P.words(F.col("text"))).alias("w"), F.lit(k).alias("side")) for t, k in (("benchmark", 1), ("documents", 2))]
+    seen = sides[0].unionByName(sides[1]).groupBy("w").agg(F.bit_or("side").alias("sides"))
+    return seen.agg(F.count_if(F.col("sides").bitwiseAND(1) > 0).alias("n_benchmark"), F.count_if(F.col("sides").bitwiseAND(2) > 0).alias("n_documents"), F.count("*").alias("n_union"), F.count_if(F.col("sides") == 3).alias("n_shared"), F.count_if(F.col("sides") == 1).alias("n_only"))
+
+
+@query("SELECT user_id, count(DISTINCT s) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL) GROUP BY user_id")
+def session_idle_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity sessions that end after an hour without an event."""
+    sessions = tables.read(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "60 minutes")).agg(F.count("*").alias("n"))
+    return sessions.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
+
+
+@query("WITH m AS (SELECT *, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT * FROM events)), k AS (SELECT user_id, max(ts) AS current FROM events GROUP BY user_id) SELECT e.event_type, count(*) FILTER (e.ts < k.current - INTERVAL 1 DAY) AS late, count(*) FILTER (e.ts >= k.current - INTERVAL 1 DAY) AS kept FROM events e JOIN k USING (user_id) GROUP BY ALL")
+def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events more than a day behind their user's newest one."""
+    events = tables.read(spark, sf_dir, "events")
+    joined = events.join(events.groupBy("user_id").agg(F.max("ts").alias("current")), "user_id")
+    late = F.col("ts") < F.col("current") - F.expr("interval 1 day")
+    return joined.groupBy("event_type").agg(F.count_if(late).alias("late"), F.count_if(~late).alias("kept"))
+
+
+@query("SELECT doc_id, source, r FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) ORDER BY r, source LIMIT 400")
+def stratified_roundrobin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of 400 documents filled by turns from each source."""
+    return reports.round_robin(tables.read(spark, sf_dir, "documents"), "source", "doc_id", 400).select("doc_id", "source", F.col("r").cast("long"))
+
+
+@query("WITH n AS (SELECT n_nationkey, n_name FROM nation), s AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier) SELECT s_suppkey, n_name, c_custkey FROM (SELECT s.s_suppkey, n.n_name, c.c_custkey, row_number() OVER (PARTITION BY s.s_suppkey ORDER BY abs(c.c_acctbal - s.s_acctbal), c.c_custkey) AS r FROM s JOIN n ON n.n_nationkey = s.s_nationkey JOIN customer c ON c.c_nationkey = s.s_nationkey) WHERE r = 1")
+def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier the customer of its nation with the nearest balance; the smaller key on ties."""
+    s, n, c = (tables.read(spark, sf_dir, t) for t in ("supplier", "nation", "customer"))
+    joined = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
+    best = joined.groupBy("s_suppkey", "s_nationkey").agg(F.min(F.struct(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "c_custkey")).alias("best"))
+    return best.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", F.col("best.c_custkey").alias("c_custkey"))
+
+
+_URL = r"""(?:https?:)?//([A-Za-z0-9.-]+)"""
+
+
+@query(rf"WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '{_URL}', 1)) AS host FROM pages) SELECT lower(host) AS host, count(*) AS requests, count(DISTINCT page_id) AS pages, regexp_matches(lower(host), '^(localhost|127\.[0-9.]+)$') AS loopback FROM u GROUP BY ALL")
+def hosts_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that pages name, own-machine ones apart."""
+    urls = tables.read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_URL), F.lit(1))).alias("h")).select("page_id", F.lower("h").alias("host"))
+    return urls.groupBy("host", F.col("host").rlike(r"^(localhost|127\.[0-9.]+)$").alias("loopback")).agg(F.count("*").alias("requests"), F.countDistinct("page_id").alias("pages"))
+
+
+@query("SELECT page_id, length(html) AS n, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n_text, len(regexp_extract_all(html, '<[^>]*>')) AS n_tags FROM pages")
+def html_mask_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page lengths; masking tags by as many spaces keeps the first."""
+    pages = tables.read(spark, sf_dir, "pages")
+    return pages.select("page_id", F.length("html").cast("long").alias("n"), F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("n_text"), F.regexp_count("html", F.lit("<[^>]*>")).cast("long").alias("n_tags"))
+
+
+@query("SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '\\?\\s*$')) AS questions, round(avg(length(text)), 6) AS mean_chars FROM conversations GROUP BY role")
+def turns_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tables.read(spark, sf_dir, "conversations")
+    return turns.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike("\\?\\s*$")).alias("questions"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
+
+
+@query()
+def reconcile_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence ids kept, moved and new when each document loses its first sentence."""
+    from textgate.streaming import identity
+
+    sents = segment.sentences(tables.read(spark, sf_dir, "documents")).select("doc_id", "sent_idx", "sentence", "start")
+    after = sents.where("sent_idx > 0")
+    return identity.reconciled(sents, after).groupBy("state").agg(F.count("*").alias("n"))
