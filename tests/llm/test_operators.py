@@ -213,7 +213,7 @@ def test_mixing(docs, texts, empty):
     out = mixing.mix_sources(docs, mixing.Mix(block=8, shard_docs=10)).collect()
     assert len(out) == len(texts)
     goal = mixing.targets([(None, 100), ("b", 10), ("a", 1000)])
-    assert goal["b"] == 20.0 and goal[None] == pytest.approx((1665 - 20) / 6) and goal["a"] == pytest.approx((1665 - 20) * 5 / 6)
+    assert goal["b"] == 20.0 and goal[None] == 200.0 and goal["a"] == pytest.approx(1.5 * 1110 - 220)
     by = collections.defaultdict(int)
     for r in out:
         size = len(WORD.findall(texts[r.doc_id] or ""))

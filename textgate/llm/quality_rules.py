@@ -126,7 +126,10 @@ def measures(docs: DataFrame, rules: Rules = Rules(), text: str = "text", keep:
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
     odd = (F.col("class_distance") > rules.max_class_distance) | ((F.col("n_words") >= rules.min_words_for_words) & (F.col("word_distance") > rules.max_word_distance))
     df = df.withColumn("kept", ~F.col("base_failed") & ~odd)
-    return df.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *RESULT)
+    # a filter on a measure would be moved down to the texts and compute all it rests on there again, once for
+    # each use; one on what is exploded stays above
+    whole = F.struct(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *RESULT)
+    return df.select(F.explode_outer(F.array(whole)).alias("one")).select("one.*")
 
 
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -141,7 +144,4 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> Da
     """The documents, columns unchanged, that ``quality_rules`` keeps."""
     whole = docs.select(F.struct("*").alias("row"))
     judged = measures(whole.select("row", F.col(f"row.{text}").alias("text")), rules, "text", ("row",))
-    # a filter on ``kept`` would be moved down to the texts and compute every measure there again; one on what
-    # is exploded stays
-    rows = judged.select(F.explode_outer(F.when(F.col("kept"), F.array(F.struct("row")))).alias("one"))
-    return rows.where(F.col("one").isNotNull()).select("one.row.*")
+    return judged.where("kept").select("row.*")
