@@ -50,7 +50,7 @@ def reconciled(before: DataFrame, after: DataFrame) -> DataFrame:
     """``doc_id``, ``sent_idx``, ``was`` and ``state`` of each sentence of ``after``; both sides hold one revision a document."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sides = [sorted(p[["sent_idx", "sentence", "start"]].itertuples(index=False, name=None)) if len(p) else [] for p in (left, right)]
+        sides = [sorted(zip(p["sent_idx"], p["sentence"], p["start"], strict=True)) if "start" in p.columns else [] for p in (left, right)]
         rows = matched(*sides)
         return pd.DataFrame({"doc_id": [key[0]] * len(rows), "sent_idx": [r[0] for r in rows], "was": pd.array([r[1] for r in rows], dtype="Int32"), "state": [r[2] for r in rows]})
 
