@@ -52,7 +52,7 @@ def reconciled(before: DataFrame, after: DataFrame) -> DataFrame:
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sides = [sorted(zip(p["sent_idx"], p["sentence"], p["start"], strict=True)) if "start" in p.columns else [] for p in (left, right)]
         rows = matched(*sides)
-        return pd.DataFrame({"doc_id": [key[0]] * len(rows), "sent_idx": [r[0] for r in rows], "was": pd.array([r[1] for r in rows], dtype="Int32"), "state": [r[2] for r in rows]})
+        return pd.DataFrame({"doc_id": [key[0]] * len(rows), "sent_idx": [r[0] for r in rows], "was": pd.Series([r[1] for r in rows], dtype=object), "state": pd.Series([r[2] for r in rows], dtype=object)})
 
     columns = ["doc_id", "sent_idx", "sentence", "start"]
     pair = before.select(columns).groupBy("doc_id").cogroup(after.select(columns).groupBy("doc_id"))
