@@ -209,6 +209,23 @@ def test_language_model(docs, texts, empty):
     assert lm.scores(empty).count() == 0
 
 
+def test_language_model_counts_whole_corpus(spark):
+    train = spark.range(9000).selectExpr("id as doc_id", "concat('w', id, ' both', if(id % 3 = 0, ' both', '')) as text")
+    listed, n, total = lm.frequent_words(train, lm.LogBilinear())
+    assert len(listed) == 9001 and total == n.sum() == 21_000 and n[0] == 12_000 and set(n[1:]) == {1}
+    sizes = [lm.LogBilinear().model_words(10**k) for k in (7, 8, 9)]
+    assert 1022 < sizes[0] < sizes[1] < sizes[2]
+    lexicon = lm.Lexicon(listed, 4)
+    keys, counted, docs = lm.counts(train, lexicon)
+    want = collections.Counter()
+    ids = {int(h): min(k, 4) for k, h in enumerate(listed.view(np.int64))}
+    code = lambda w: min(ids[int(lm._words.word_hashes(lm.pa.array([w]))[0].view(np.int64)[0])] + (ids[int(lm._words.word_hashes(lm.pa.array([w]))[0].view(np.int64)[0])] == 4), 5)
+    for k in range(9000):
+        line = [4, code(f"w{k}"), *[0] * (1 + (k % 3 == 0)), 4]
+        want.update(a * 6 + b for a, b in zip(line, line[1:]))
+    assert docs == 9000 and dict(zip(keys.tolist(), counted.tolist())) == want
+
+
 def test_mixing(docs, texts, empty):
     out = mixing.mix_sources(docs, mixing.Mix(block=8, shard_docs=10)).collect()
     assert len(out) == len(texts)

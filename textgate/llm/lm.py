@@ -1,15 +1,16 @@
 """Language-model scores from a log-bilinear neural model.
 
-*Counts.*  One pass over the training texts counts the frequent words and the pairs of model
-words that follow each other; both tables are bounded, and are added up on the executors.
-Words outside the frequent list are sent, document by document, to the task that holds their
-hash, which learns their training count there; hot words are all in the list, so no task gets
-a hot key.
+*Counts.*  One pass over all training texts counts every word, in part in the tasks and whole
+after a groupBy; the commonest are listed, and the commonest of these are the model's words.
+Both lists grow with the training tokens.  A second pass counts the pairs of model words that
+follow each other, as sparse blocks that are added up on the executors.  Words outside the
+list are sent, document by document, to the task that holds their hash, which learns their
+training count there; hot words are all in the list, so no task gets a hot key.
 
 *Model.*  The next word's log-probability is ``(C r_u) . q_v + b_v`` less the log-normaliser of
 the previous word ``u``.  Parameters are trained in numpy by noise-contrastive estimation: the
-objective's expectation over all counted pairs and over the unigram noise is exact, one batched
-matrix product a step.  Afterwards the normalisers of all previous words are computed with one
+objective's expectation over all counted pairs and over the unigram noise is exact, taken over
+blocks of contexts by batched matrix products.  Afterwards the normalisers of all previous words are computed with one
 more product, so every score is a normalised log-probability.  Words outside the model's
 vocabulary share one model token and divide its probability by smoothed training counts.
 
@@ -21,6 +22,7 @@ an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +37,7 @@ from textgate.llm._store import stored
 
 @dataclass(frozen=True)
 class LogBilinear:
-    """``list_docs`` bounds the documents read to choose the frequent words; the counts then cover all of them."""
+    """``frequent`` and ``vocabulary`` are the least sizes of the word list and of the model; both grow with the training tokens."""
 
     frequent: int = 16_384
     vocabulary: int = 1022
@@ -44,9 +46,14 @@ class LogBilinear:
     smoothing: int = 30
     steps: int = 100
     rate: float = 0.05
-    list_docs: int = 4000
     seed: int = 5
 
+    def list_words(self, tokens: int) -> int:
+        return max(self.frequent, int(16 * tokens**0.5), self.model_words(tokens))
+
+    def model_words(self, tokens: int) -> int:
+        return max(self.vocabulary, int(3 * tokens**0.4))
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 1
@@ -56,22 +63,67 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return _words.word_hashes(batch.column("text"), lower=True)
 
 
-def frequent_words(docs: DataFrame, cfg: LogBilinear) -> np.ndarray:
-    """Hashes of the commonest words of a bounded set of training texts, commonest first.
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts, sorted, with their summed counts."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat(n, head) if len(keys) else n
+
+
+class Tally:
+    """Counts by key of one task; parts are merged as they pile up."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.merged = self.held = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.held += len(self.parts[-1][0])
+        if self.held > max(1 << 21, 2 * self.merged):
+            self.parts = [_summed(self.parts)]
+            self.merged = self.held = len(self.parts[0][0])
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out, self.parts, self.merged, self.held = _summed(self.parts), [], 0, 0
+        return out
 
-    Which words are listed changes the work, not the counts.
-    """
+
+def frequent_words(train: DataFrame, cfg: LogBilinear) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the commonest words of all training texts, commonest first; their counts; and the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            words, n = tally.take()
+            for k in range(0, len(words), 1 << 17):
+                yield pa.record_batch([pa.array(words[k : k + (1 << 17)]), pa.array(n[k : k + (1 << 17)])], names=["word", "n"])
+
         for batch in batches:
             for part in _words.slices(batch):
-                words, n = np.unique(_tokens(part)[0], return_counts=True)
-                yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    total = max(1, docs.count())
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.lit(max(1, total // cfg.list_docs))) == 0).select("text")
-    top = some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(cfg.frequent)
-    return np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64)
+                tally.add(_tokens(part)[0].view(np.int64))
+                if tally.merged > 4 << 20:
+                    yield from told()
+        yield from told()
+
+    words = stored(train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # words by count: at most about the root of twice the tokens many rows
+    by = np.array([(r["n"], r["words"]) for r in words.groupBy("n").agg(F.count("*").alias("words")).collect()], np.int64).reshape(-1, 2)
+    by = by[np.argsort(-by[:, 0])]
+    total = int((by[:, 0] * by[:, 1]).sum())
+    limit = cfg.list_words(total)
+    fits = int((np.cumsum(by[:, 1]) <= limit).sum())
+    # all words of a count or none, unless the commonest alone are too many
+    some = words.where(F.col("n") >= int(by[fits - 1, 0])) if fits else words.where(F.col("n") == int(by[0, 0]) if len(by) else F.lit(False)).orderBy("word").limit(limit)
+    top = some.toArrow()
+    word, n = top.column("word").to_numpy(), top.column("n").to_numpy()
+    order = np.lexsort((word, -n))
+    return word[order].view(np.uint64), n[order], total
 
 
 class Lexicon:
@@ -103,75 +155,140 @@ class Lexicon:
         return before, after, cuts
 
 
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys, as steps, with their counts."""
+    return zlib.compress(np.diff(keys, prepend=0).tobytes() + n.astype(np.int64).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = np.frombuffer(zlib.decompress(data), np.int64).reshape(2, -1)
+    return np.cumsum(steps), n
+
+
 def counts(train: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, int]:
-    """Training counts of the frequent words, of pairs of model tokens, and of documents."""
+    """Pairs of model tokens, as ``before * width + after`` in order; their training counts; and the number of documents."""
     shared = train.sparkSession.sparkContext.broadcast(lexicon)
     width = lexicon.model + 2
+    blocks = max(16, width * width // 250_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        words, pairs, docs = np.zeros(lex.size + 1, np.int64), np.zeros(width * width, np.int64), 0
+        tally, docs = Tally(), 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            keys, n = tally.take()
+            order = np.argsort(keys % blocks, kind="stable")
+            keys, n = keys[order], n[order]
+            cut = np.searchsorted(keys % blocks, np.arange(blocks + 1))
+            rows = [(k, _packed(keys[a:b] // blocks, n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            rows.append((-1, _packed(np.zeros(1, np.int64), np.array([docs]))))
+            yield pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["block", "n"])
+
         for batch in batches:
             for part in _words.slices(batch):
                 hashes, rows = _tokens(part)
-                at = lex.positions(hashes)
-                words += np.bincount(at, minlength=lex.size + 1)
-                before, after, _ = lex.pairs(at, rows)
-                pairs += np.bincount(before * width + after, minlength=width * width)
+                before, after, _ = lex.pairs(lex.positions(hashes), rows)
+                tally.add(before * width + after)
                 docs += part.num_rows
+                if tally.merged > 4 << 20:
+                    yield from told()
+                    docs = 0
         if docs:
-            rows = [(k, row.tobytes()) for k, row in enumerate(pairs.reshape(width, width)) if row.any()]
-            rows += [(-1, words[:-1].tobytes()), (-2, np.array([docs, words.sum()]).tobytes())]
-            yield pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["row", "n"])
+            yield from told()
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.int64) for b in group.column("n").to_pylist())
-        return pa.table({"row": group.column("row").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
-
-    # the summed tables have a fixed size: vocabulary squared and the frequent list
-    table = train.select("text").mapInArrow(run, "row int, n binary").groupBy("row").applyInArrow(add, "row int, n binary").toArrow()
-    words, pairs, docs = np.zeros(lexicon.size, np.int64), np.zeros((width, width), np.int64), 0
-    for k, b in zip(table.column("row").to_pylist(), table.column("n").to_pylist(), strict=True):
-        value = np.frombuffer(b, np.int64)
-        if k == -1:
-            words = value
-        elif k == -2:
-            docs = int(value[0])
+        total = _summed([_unpacked(b) for b in group.column("n").to_pylist()])
+        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([_packed(*total)], pa.binary())})
+
+    table = train.select("text").mapInArrow(run, "block int, n binary").groupBy("block").applyInArrow(add, "block int, n binary").toArrow()
+    parts, docs = [], 0
+    for k, data in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), strict=True):
+        keys, n = _unpacked(data)
+        if k < 0:
+            docs = int(n[0])
         else:
-            pairs[k] = value
-    return words, pairs, docs
+            parts.append((keys * blocks + k, n))
+    return *_summed(parts), docs
 
 
-def fit(pairs: np.ndarray, cfg: LogBilinear) -> np.ndarray:
-    """Normalised log10 probabilities of the next model token by previous token."""
-    n = pairs.shape[0]
+@dataclass
+class Factors:
+    """Trained model: ``h`` by previous token, ``q`` and ``b`` by next token, and the log-normalisers."""
+
+    h: np.ndarray
+    q: np.ndarray
+    b: np.ndarray
+    logz: np.ndarray
+
+    def log10(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        out = np.empty(len(before))
+        for k in range(0, len(before), 1 << 15):
+            u, v = before[k : k + (1 << 15)], after[k : k + (1 << 15)]
+            out[k : k + (1 << 15)] = np.einsum("ij,ij->i", self.h[u], self.q[v]) + self.b[v] - self.logz[u]
+        return out / np.log(10)
+
+
+def factors(keys: np.ndarray, counted: np.ndarray, width: int, cfg: LogBilinear) -> Factors:
+    """Trains on the counted pairs ``before * width + after``, which are in order."""
     rng = np.random.default_rng(cfg.seed)
-    unigram = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * n)
+    u, v = keys // width, keys % width
+    counted = counted.astype(np.float64)
+    unigram = (np.bincount(v, counted, width) + 0.5) / (counted.sum() + 0.5 * width)
     # a context seen seldom leans on the unigram counts
-    data = pairs + cfg.smoothing * unigram
-    data = data / data.sum()
-    context = data.sum(axis=1, keepdims=True)
-    params = {"r": rng.normal(0, 0.1, (n, cfg.size)), "c": np.eye(cfg.size), "q": rng.normal(0, 0.1, (n, cfg.size)), "b": np.log(unigram)}
-    first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-    noise = np.log(cfg.noise * unigram)
+    total = counted.sum() + cfg.smoothing * width
+    context = ((np.bincount(u, counted, width) + cfg.smoothing) / total).astype(np.float32)[:, None]
+    base, seen = (cfg.smoothing * unigram / total).astype(np.float32), (counted / total).astype(np.float32)
+    params = {"r": rng.normal(0, 0.1, (width, cfg.size)), "c": np.eye(cfg.size), "q": rng.normal(0, 0.1, (width, cfg.size)), "b": np.log(unigram)}
+    params = {k: x.astype(np.float32) for k, x in params.items()}
+    first, second = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
+    noise, drawn = np.log(cfg.noise * unigram).astype(np.float32), (cfg.noise * unigram).astype(np.float32)
+    step_rows = max(1, (1 << 20) // width)
+    cuts = np.append(np.arange(0, width, step_rows), width)
+    at = np.searchsorted(u, cuts)
     for step in range(1, cfg.steps + 1):
         h = params["r"] @ params["c"]
-        odds = h @ params["q"].T + params["b"] - noise
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        # expected gradient of the classification of data against noise
-        g = data * (1 - p) - cfg.noise * context * unigram * p
-        grads = {"b": g.sum(axis=0), "q": g.T @ h}
-        gh = g @ params["q"]
+        grads = {"b": np.zeros_like(params["b"]), "q": np.zeros_like(params["q"])}
+        gh = np.empty_like(h)
+        for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            p = h[a:z] @ params["q"].T
+            p += params["b"] - noise
+            np.clip(p, -30, 30, out=p)
+            np.negative(p, out=p)
+            np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            # expected gradient of the classification of data against noise
+            pair = slice(at[k], at[k + 1])
+            more = seen[pair] * (1 - p[u[pair] - a, v[pair]])
+            weight = context[a:z] * drawn
+            weight += base
+            p *= weight
+            np.subtract(base, p, out=p)
+            p[u[pair] - a, v[pair]] += more
+            grads["b"] += p.sum(axis=0)
+            grads["q"] += p.T @ h[a:z]
+            gh[a:z] = p @ params["q"]
         grads |= {"r": gh @ params["c"].T, "c": params["r"].T @ gh}
         rate = cfg.rate * min(1.0, 2 * (1 - step / (cfg.steps + 1)))
-        for k, v in grads.items():
-            first[k] = 0.9 * first[k] + 0.1 * v
-            second[k] = 0.99 * second[k] + 0.01 * v**2
-            params[k] = params[k] + rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    logits = params["r"] @ params["c"] @ params["q"].T + params["b"]
-    top = logits.max(axis=1, keepdims=True)
-    logz = top + np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
-    return ((logits - logz) / np.log(10)).astype(np.float32)
+        for k, g in grads.items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g**2
+            params[k] = params[k] + np.float32(rate) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + np.float32(1e-8))
+    h, logz = params["r"] @ params["c"], np.empty(width)
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        logits = (h[a:z] @ params["q"].T + params["b"]).astype(np.float64)
+        top = logits.max(axis=1, keepdims=True)
+        logz[a:z] = (top + np.log(np.exp(logits - top).sum(axis=1, keepdims=True)))[:, 0]
+    return Factors(h, params["q"], params["b"], logz)
+
+
+def fit(pairs: np.ndarray, cfg: LogBilinear) -> np.ndarray:
+    """Normalised log10 probabilities of the next model token by previous token, from a whole table of pairs."""
+    width = pairs.shape[0]
+    keys = np.flatnonzero(pairs)
+    model = factors(keys, pairs.ravel()[keys], width, cfg)
+    every = np.arange(width * width)
+    return model.log10(every // width, every % width).reshape(width, width).astype(np.float32)
 
 
 def scores(docs: DataFrame, cfg: LogBilinear = LogBilinear(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -179,23 +296,22 @@ def scores(docs: DataFrame, cfg: LogBilinear = LogBilinear(), text: str = "text"
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(doc_id).alias("held_out"))
     train = base.where(~F.col("held_out"))
     spark = docs.sparkSession
-    listed = frequent_words(train, cfg)
-    first = Lexicon(listed, cfg.vocabulary)
-    frequency, pairs, trained = counts(train, first)
-    logp = fit(pairs, cfg)
+    listed, frequency, tokens = frequent_words(train, cfg)
+    first = Lexicon(listed, cfg.model_words(tokens))
+    pairs, counted, trained = counts(train, first)
+    fitted = factors(pairs, counted, first.model + 2, cfg)
     known = np.concatenate([frequency, [0]]).astype(np.float64)
-    model_words = int(frequency[: first.model].sum())
-    shared = spark.sparkContext.broadcast((first, known, logp))
+    shared = spark.sparkContext.broadcast((first, known, fitted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, n, table = shared.value
+        lex, n, bilinear = shared.value
         log_n = np.log10(n + 0.5)
         for batch in batches:
             for part in _words.slices(batch):
                 hashes, rows = _tokens(part)
                 at = lex.positions(hashes)
                 before, after, cuts = lex.pairs(at, rows)
-                model = np.add.reduceat(table[before, after].astype(np.float64), cuts[:-1])
+                model = np.add.reduceat(bilinear.log10(before, after), cuts[:-1])
                 listed_here, held = at < lex.size, part.column("held_out").to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(part.num_rows), np.diff(rows))
 
