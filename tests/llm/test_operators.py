@@ -132,6 +132,18 @@ def test_quality_rules(docs, texts, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_at_any_length(spark):
+    rng = random.Random(8)
+    made = lambda: "".join(rng.choice("aeinrstlo") for _ in range(rng.randrange(3, 10)))
+    common = quality_rules.COMMON_WORDS["en"]
+    words, weights = [*common, None], [*common.values(), 1000 - sum(common.values())]
+    lengths = (60, 100, 150, 190, 210, 400)
+    menus = [(k, " ".join(f"{made().capitalize()} |" for _ in range(n // 2))) for k, n in enumerate(lengths)]
+    clean = [(100 + k, " ".join((w or made()) + ("." if j % 12 == 11 else "") for j, w in enumerate(rng.choices(words, weights, k=n)))) for k, n in enumerate(lengths)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(menus + clean, "doc_id long, text string")).collect()}
+    assert got == {d: d >= 100 for d, _ in menus + clean}
+
+
 def test_personal_data(docs, empty, spark):
     samples = ["mail a.b@c.de, or x@y now", "ip 1.2.3.4 and 256.1.1.1 and 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 no 4111 1111 1111 1112", "tel +1 (017) 555-7713 ok", "see https://a.b/c?d. account number: 12345678", None, ""]
     rows = spark.createDataFrame(list(enumerate(samples)), "doc_id long, text string")

@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence, in DataFrame expressions only.
 
 A document's histograms of character classes and of common words are compared with fixed
-references of four languages; the Jensen-Shannon distance to the nearest language decides,
-once the text is long enough for its histogram to mean anything.  Two plain rules come
+references of four languages; the Jensen-Shannon distance to the nearest language decides.
+The limit for words falls with the length as sampling noise does.  Two plain rules come
 first: very short texts and texts whose words mostly stand in repeated eight-word windows
 fail whatever their histograms.  It is one pass without a shuffle.
 
@@ -46,9 +46,11 @@ class Rules:
 
     min_words: int = 20
     max_repeat_percent: int = 30
-    max_class_distance: float = 0.32
-    max_word_distance: float = 0.28
-    min_words_for_words: int = 200
+    max_class_distance: float = 0.2
+    # clean prose of n words has a word distance of sqrt(usual_word_distance ** 2 + word_noise / n) at the median
+    usual_word_distance: float = 0.08
+    word_noise: float = 2.6
+    max_word_excess: float = 0.13
 
 
 def histograms(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -124,7 +126,8 @@ def measures(docs: DataFrame, rules: Rules = Rules(), text: str = "text", keep:
         own = {tuple(r[column]) for r in REFERENCES.values()}
         df = df.withColumn(name, F.array_min(F.array(*[js_distance(F.col(column), list(r)) for r in sorted(own)])))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
-    odd = (F.col("class_distance") > rules.max_class_distance) | ((F.col("n_words") >= rules.min_words_for_words) & (F.col("word_distance") > rules.max_word_distance))
+    usual = F.sqrt(F.lit(rules.usual_word_distance**2) + F.lit(rules.word_noise) / F.greatest(F.col("n_words"), F.lit(1)))
+    odd = (F.col("class_distance") > rules.max_class_distance) | (F.col("word_distance") > usual + rules.max_word_excess)
     df = df.withColumn("kept", ~F.col("base_failed") & ~odd)
     # a filter on a measure would be moved down to the texts and compute all it rests on there again, once for
     # each use; one on what is exploded stays above
