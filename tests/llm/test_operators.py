@@ -158,6 +158,23 @@ def test_personal_data(docs, empty, spark):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_personal_data_cues_in_any_case():
+    anchors = pii.automaton()
+    key = "sk-" + "aB3" * 60
+    want = {
+        "Account number: 12345678 ok": "Account number: <ACCOUNT> ok",
+        "SSN 123456789": "SSN <ACCOUNT>",
+        "Passport No X1234567.": "Passport No <ACCOUNT>.",
+        f"API_KEY={key} end": "API_KEY=<ACCOUNT> end",
+        f"İß api_key: '{key}'": "İß api_key: '<ACCOUNT>'",
+        "password: Sword!fish": "password: <ACCOUNT>",
+        "see HTTPS://A.b/c?d.": "see <URL>.",
+        "account holders pay; the password is lost": "account holders pay; the password is lost",
+        "account" * 50_000 + " 12345": "account" * 50_000 + " <ACCOUNT>",
+    }
+    assert {t: pii.masked(t, pii.spans(t, anchors)) for t in want} == want
+
+
 def test_personal_data_against_patterns():
     rng, anchors = random.Random(1), pii.automaton()
     for _ in range(8000):

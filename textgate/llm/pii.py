@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick automaton finds anchors: at-signs, plus signs, URL schemes, digits after
-dots or alone, and cue words such as "account".  Each anchor has a local parser that walks
+dots or alone, and cue words such as "account", schemes and cues in any case.  Each anchor has a local parser that walks
 outwards over the characters its kind allows and validates what it meets (label rules, octet
 range, Luhn sum, digit counts, mod-97).  Parsers read a bounded neighbourhood or the run they
 are in, so a text costs time in proportion to its length.
@@ -35,7 +35,9 @@ LOCAL = DIGITS | LETTERS | frozenset("._%+-")
 LABEL = DIGITS | LETTERS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "mailto:")
-CUES = ("account", "acct", "konto", "compte", "cuenta", "ssn", "passport", "api_key", "apikey", "token=", "password")
+CUES = ("account", "acct", "konto", "compte", "cuenta", "ssn", "passport")
+SECRETS = ("api_key", "apikey", "token=", "password")
+_LOWER = {k: k + 32 for k in range(65, 91)}
 URL_STOP = frozenset(" \t\n\r\x0b\x0c<>\"'|\\^`{}")
 MASKS = {k: f"<{k.upper()}>" for k in (*BASE, *ADDED)}
 
@@ -44,7 +46,7 @@ Span = tuple[str, int, int]
 
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for key, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in sorted(DIGITS)), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES)]:
+    for key, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in sorted(DIGITS)), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES), *((c, "secret") for c in SECRETS)]:
         found.add_word(key, (kind, len(key)))
     found.make_automaton()
     return found
@@ -127,14 +129,37 @@ def url(text: str, at: int, length: int) -> tuple[int, int] | None:
     return (at, end) if end > at + length else None
 
 
-_VALUE = re.compile(r"(?:[ \t]{0,3}(?:number|no|nr|num|id|key|is|#))?[ \t]{0,3}[.:=#]?[ \t]{0,3}([A-Za-z0-9][A-Za-z0-9_-]{3,63})")
+_WORD = r"(?:[ \t]{0,3}(?:number|no|nr|num|id|key|is|#))?"
+_HEAD = re.compile(_WORD + r"[ \t]{0,3}[.:=#]?[ \t]{0,3}(?=[A-Za-z0-9])", re.ASCII | re.IGNORECASE)
+_GIVEN = re.compile(_WORD + r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?", re.ASCII | re.IGNORECASE)
+VALUE = DIGITS | LETTERS | frozenset("_-")
+SECRET_STOP = frozenset(" \t\n\r\x0b\x0c<>\"'`,;")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 
 
-def account(text: str, after: int) -> tuple[int, int] | None:
-    """The identifier that follows a cue, if it has four digits or more."""
-    m = _VALUE.match(text, after)
-    return m.span(1) if m and sum(c in DIGITS for c in m[1]) >= 4 else None
+def account(text: str, after: int, dead: int) -> tuple[int, int, bool] | None:
+    """The run of identifier characters that follows a cue, and whether it has four digits or more; none before ``dead``."""
+    m = _HEAD.match(text, after)
+    if not m or m.end() < dead:
+        return None
+    end = _run(text, m.end(), VALUE)
+    return m.end(), end, sum(c in DIGITS for c in text[m.end() : end]) >= 4
+
+
+def secret(text: str, after: int) -> tuple[int, int] | None:
+    """What stands after a cue and a colon or equals sign, up to blank or quote: four characters or more of any kind."""
+    if text[after - 1] == "=":
+        start = after + (text[after : after + 1] in ("'", '"'))
+    elif m := _GIVEN.match(text, after):
+        start = m.end()
+    else:
+        return None
+    end = start
+    while end < len(text) and text[end] not in SECRET_STOP:
+        end += 1
+    while end > start and text[end - 1] in ".:!?)]}":
+        end -= 1
+    return (start, end) if end >= start + 4 else None
 
 
 def iban(text: str, digit: int) -> tuple[int, int] | None:
@@ -153,8 +178,9 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
     """All spans, by kind as listed, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE, *ADDED)}
     past = dict.fromkeys(found, 0)  # no span of a kind starts before the last one's end
-    seen_dotted = seen_card = 0
-    for last, (kind, length) in anchors.iter(text):
+    seen_dotted = seen_card = dead = 0
+    # of the same length, whatever lower() makes of other letters
+    for last, (kind, length) in anchors.iter(text.lower() if text.isascii() else text.translate(_LOWER)):
         at = last - length + 1
         if kind == "digit":
             if at >= seen_dotted:
@@ -180,9 +206,14 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
             if at >= past["url"] and (hit := url(text, at, length)):
                 found["url"].append(hit)
                 past["url"] = hit[1]
-        elif at >= past["account"] and (hit := account(text, last + 1)):
-            found["account"].append(hit)
-            past["account"] = hit[1]
+        elif at >= past["account"]:
+            hit = secret(text, last + 1) if kind == "secret" else None
+            if not hit and (run := account(text, last + 1, dead)):
+                # what follows a later cue in a run with too few digits has too few as well
+                hit, dead = (run[:2], dead) if run[2] else (None, run[1])
+            if hit:
+                found["account"].append(hit)
+                past["account"] = hit[1]
     return [(k, a, b) for k, pairs in found.items() for a, b in pairs]
 
 
