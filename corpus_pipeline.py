@@ -2,8 +2,8 @@
 
 Each stage takes all that its predecessor kept, and its decisions take effect: documents that
 fail the quality rules go, one document of each near-duplicate group stays, documents that hold
-a benchmark item go, personal data is masked, and the mix keeps the documents it takes words
-from, with their number in ``taken``.
+a benchmark item go, personal data is masked, and the mix keeps the words it takes: each
+document's text becomes its chosen stretches, with the number of words in ``taken``.
 """
 
 from __future__ import annotations

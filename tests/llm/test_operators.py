@@ -272,6 +272,25 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_gives_the_taken_words(docs, texts, spark):
+    cfg = mixing.Mix(block=8, shard_docs=10)
+    base = docs.select("doc_id", "text", "source", "n_chars")
+    twice = base.where("doc_id in (3, 4)")
+    more = base.unionByName(twice).unionByName(twice.withColumn("source", F.lit("s9")))
+    plan = collections.defaultdict(list)
+    for r in mixing.mix_sources(more, cfg).where("taken > 0").collect():
+        plan[r.doc_id, r.source].append(r)
+    got = collections.defaultdict(list)
+    for r in mixing.take_words(more, cfg).collect():
+        got[r.doc_id, r.source].append((r.taken, WORD.findall(r.text)))
+        assert r.taken == len(WORD.findall(r.text)) and r.n_chars == len(r.text)
+    want = {k: sorted((r.taken, [w for x in r.stretches for w in WORD.findall(texts[k[0]])[x.first : x.last]]) for r in rows) for k, rows in plan.items()}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    goal = {r.source: r.target for rows in plan.values() for r in rows}
+    for source, target in goal.items():
+        assert abs(sum(n for k, v in got.items() for n, _ in v if k[1] == source) - target) <= 0.02 * target + 64
+
+
 def test_decontamination(docs, texts, empty, spark):
     rng = random.Random(4)
     item = prose(rng, 40)

@@ -11,10 +11,12 @@
    ranking of remainders, so no shard is visited twice.
 4. Each shard takes its quota of blocks in seeded order, and a document takes the words of the
    chosen blocks that are its own, at most ``epochs`` times its size.
+5. ``take_words`` gives these words: a document's text becomes its chosen stretches, epoch after
+   epoch, so the words given by source are those of the targets.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own,
 last in order; documents with equal ids but different texts are separate rows, and fully
-repeated rows each get the same amount; without any words nothing is taken; an empty table
+repeated rows each have their own stretches; without any words nothing is taken; an empty table
 gives an empty result.  Other columns are not read.
 """
 
@@ -84,7 +86,10 @@ def _words(text: str) -> Column:
 
 
 def mix_sources(docs: DataFrame, cfg: Mix = Mix(), text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` of every document."""
+    """``doc_id``, ``source``, ``mark`` (of the text), ``size``, ``source_size``, ``target``, ``taken`` and ``stretches`` of every document.
+
+    A stretch is an epoch and two places in the document's words: it goes from one up to the other.
+    """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _words(text).alias("size"), F.xxhash64(F.col(text), F.lit(cfg.seed)).alias("mark"))
     base = stored(base, "sizes")
     rows = base.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).limit(cfg.max_sources + 1).collect()
@@ -112,24 +117,47 @@ def mix_sources(docs: DataFrame, cfg: Mix = Mix(), text: str = "text", source: s
     dealt = stored(apportion(shards, "lot", "words", "quota", "limit").select("source", "part", "epoch", "limit", "seats"), "quotas")
     blocks = dealt.where("seats > 0").withColumn("block", F.explode(F.expr("sequence(0L, limit - 1)")))
     draw = Window.partitionBy("source", "part", "epoch").orderBy(F.xxhash64("source", "part", "epoch", "block", F.lit(cfg.seed)), "block")
-    chosen = blocks.withColumn("rank", F.row_number().over(draw)).where(F.col("rank") <= F.col("seats")).groupBy("source", "part", "block").agg(F.count("*").alias("times"))
+    chosen = blocks.withColumn("rank", F.row_number().over(draw)).where(F.col("rank") <= F.col("seats")).groupBy("source", "part", "block").agg(F.count("*").alias("times"), F.collect_list("epoch").alias("turns"))
 
     pieces = df.where("size > 0").select("source", "part", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / cfg.block), F.floor((F.col("to") - 1) / cfg.block))).alias("block"), "doc_id", "mark")
     # the chosen blocks grow with the words; the planner sees only the small table of quotas they come from
     mine = pieces.alias("p").join(chosen.hint("merge").alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.part") == F.col("c.part")) & (F.col("p.block") == F.col("c.block")))
-    own = F.least(F.col("to"), (F.col("p.block") + 1) * cfg.block) - F.greatest(F.col("from"), F.col("p.block") * cfg.block)
-    taken = mine.groupBy(F.col("p.source").alias("s"), F.col("p.part").alias("q"), F.col("from").alias("f")).agg(F.sum(own * F.col("times")).alias("taken"))
+    first = F.greatest(F.col("from"), F.col("p.block") * cfg.block) - F.col("from")
+    last = F.least(F.col("to"), (F.col("p.block") + 1) * cfg.block) - F.col("from")
+    each = F.transform("turns", lambda e: F.struct(e.alias("epoch"), F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last")))
+    mine = mine.select(F.col("p.source").alias("s"), F.col("p.part").alias("q"), F.col("from").alias("f"), "times", "turns", first.alias("first"), last.alias("last"))
+    taken = mine.groupBy("s", "q", "f").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"), F.array_sort(F.flatten(F.collect_list(each))).alias("stretches"))
     out = df.join(taken, df["source"].eqNullSafe(F.col("s")) & (df["part"] == F.col("q")) & (df["from"] == F.col("f")) & (df["size"] > 0), "left")
-    return out.select("doc_id", df["source"], "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", df["source"], "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "stretches")
 
 
 def mixed(docs: DataFrame, cfg: Mix = Mix()) -> DataFrame:
-    """``mix_sources`` without the join keys that ``repeat_documents`` needs."""
+    """``mix_sources`` without the join keys and stretches that ``take_words`` needs."""
     return mix_sources(docs, cfg).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def take_words(docs: DataFrame, cfg: Mix = Mix(), text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The documents the mix takes words from, columns unchanged, plus ``taken`` words (repeats counted)."""
-    taken = mix_sources(docs, cfg, text, source, doc_id).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("taken").alias("taken")).dropDuplicates(["__id", "__mark"])
-    left = docs.withColumn("__key", F.xxhash64(F.col(text), F.lit(cfg.seed)))
-    return left.join(taken, left[doc_id].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__mark"))).drop("__id", "__mark", "__key")
+def take_words(docs: DataFrame, cfg: Mix = Mix(), text: str = "text", source: str = "source", doc_id: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
+    """The documents the mix takes words from, with these words as their text, plus ``taken``, their number (repeats counted).
+
+    The blanks after a word stay with it, but for the last of an epoch; epochs are lines of
+    their own.  ``n_chars``, if there is such a column, is brought up to date.
+    """
+    key = lambda i, m, s: F.struct(i.alias("i"), m.alias("m"), s.alias("s"))
+    plan = mix_sources(docs, cfg, text, source, doc_id).where("size > 0")
+    own = F.struct(F.coalesce("stretches", F.array()).alias("stretches"), F.col("taken"))
+    plan = plan.groupBy(key(F.col("doc_id"), F.col("mark"), F.col("source")).alias("__own")).agg(F.collect_list(own).alias("__all"))
+    left = docs.withColumn("__key", key(F.col(doc_id), F.xxhash64(F.col(text), F.lit(cfg.seed)), F.col(source)))
+    # rows alike in id, text and source have as many entries, one each
+    left = left.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
+    both = left.join(plan.hint("merge"), F.col("__key") == F.col("__own")).withColumn("__mine", F.element_at("__all", F.col("__nth"))).where("__mine.taken > 0")
+    words = both.withColumn("__words", F.regexp_extract_all(F.col(text), F.lit("[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+"), F.lit(0)))
+
+    def told(epoch: Column) -> Column:
+        mine = F.filter("__mine.stretches", lambda x: x["epoch"] == epoch)
+        parts = F.transform(mine, lambda x: F.array_join(F.slice("__words", x["first"] + 1, x["last"] - x["first"]), ""))
+        return F.rtrim(F.array_join(parts, ""), F.lit(" \t\n\x0b\x0c\r"))
+
+    body = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.lit(cfg.epochs - 1)), told), lambda x: x != ""), "\n")
+    out = words.withColumn("__text", body)
+    values = {text: F.col("__text"), n_chars: F.length("__text").cast("long")}
+    return out.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns], F.col("__mine.taken").alias("taken"))
