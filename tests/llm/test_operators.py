@@ -101,7 +101,7 @@ def _components(texts):
 
 def test_near_duplicates(docs, texts, empty, spark):
     sets, root = _components(texts)
-    for cfg in (minhash.MinHash(), minhash.MinHash(block=3, group=2)):
+    for cfg in (minhash.MinHash(), minhash.MinHash(block=3, group=2, shingles=100)):
         got = {r.doc_id: r for r in minhash.near_duplicates(docs, cfg).collect()}
         assert len(got) == len(texts)
         assert all((r.n_shingles, r.component_id, r.kept) == (len(sets[d]), root[d], root[d] == d) for d, r in got.items())
@@ -109,6 +109,53 @@ def test_near_duplicates(docs, texts, empty, spark):
     assert minhash.keep_one(docs).columns == docs.columns
 
 
+def test_near_duplicates_give_fewer_rows_than_documents(spark):
+    """A family in which most pairs come near: clusters and links stay linear, and lose nothing."""
+    rng = random.Random(12)
+    base, family = prose(rng, 90).split(), []
+    for _ in range(1200):
+        words = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(90)] = prose(rng, 1)
+        family.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(family)), "doc_id long, text string")
+    cfg = minhash.MinHash()
+    table = minhash.signatures(docs, cfg).select("doc_id", "n_shingles", "signature", F.col("doc_id").alias("component"), F.lit(0).alias("side")).toArrow()
+    assert minhash._near(table, cfg).num_rows <= 1200
+    one_block = docs.select("doc_id", "text", F.col("doc_id").alias("component"), F.lit(0).alias("side")).toArrow()
+    links = minhash._uniting(one_block, cfg)
+    assert links.num_rows < 1200
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    parent = list(range(1200))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [set(zip(w, w[1:], w[2:], w[3:], w[4:])) for w in (t.split() for t in family)]
+    for b in range(1200):
+        for a in range(b):
+            x, y = root(a), root(b)
+            if x != y and 100 * (n := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                parent[max(x, y)] = min(x, y)
+    assert got == {k: root(k) for k in range(1200)}
+    pairs = dict(zip(links.column("a").to_pylist(), links.column("b").to_pylist()))
+    assert all(root(a) == root(b) for a, b in pairs.items())
+
+
+def test_near_duplicates_with_repeated_rows(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 40), prose(rng, 50)
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (3, a), (4, b), (5, ""), (5, ""), (6, None), (None, a), (None, ""), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == {(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 2, (4, 1, False): 1, (5, 5, True): 2, (6, 6, True): 1, (None, None, False): 3}
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id is None, r.doc_id or 0) for r in kept.collect())) == [(False, 1), (False, 5), (False, 6), (True, 0), (True, 0), (True, 0)]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
