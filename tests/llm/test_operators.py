@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textgate.llm import chat, classifier, decontamination, lm, minhash, mixing, pii, quality_rules, substrings, tokens
+from textgate.llm._store import Store
 from textgate.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -305,7 +306,8 @@ def test_language_model_counts_whole_corpus(spark):
 def test_mixing(docs, texts, empty):
     out = mixing.mix_sources(docs, mixing.Mix(block=8, shard_docs=10)).collect()
     assert len(out) == len(texts)
-    goal = mixing.targets([(None, 100), ("b", 10), ("a", 1000)])
+    sources = docs.sparkSession.createDataFrame([(None, 100), ("b", 10), ("a", 1000)], "source string, n long")
+    goal = {r.source: r.target for r in mixing.targets(Store(docs.sparkSession), sources).collect()}
     assert goal["b"] == 20.0 and goal[None] == 200.0 and goal["a"] == pytest.approx(1.5 * 1110 - 220)
     by = collections.defaultdict(int)
     for r in out:
@@ -319,6 +321,42 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_targets(spark):
+    """Shares by weight with stops, against resharing source by source."""
+    rng = random.Random(6)
+    sizes = {name: rng.choice([0, 3, 40, 900, 20_000]) for name in [None, "", "Z", "a", "é", "\U0001f600", *(f"s{k}" for k in range(40))]}
+    order = sorted(sizes, key=lambda n: (n is None, [ord(c) for c in n or ""]))
+    weight = {n: (5, 2, 1)[k % 3] for k, n in enumerate(order)}
+    left, want, open_ = 1.5 * sum(sizes.values()), {}, list(order)
+    while open_:
+        full = [n for n in open_ if left * weight[n] / sum(weight[m] for m in open_) > 2 * sizes[n]]
+        want |= {n: 2 * sizes[n] for n in full} if full else {n: left * weight[n] / sum(weight[m] for m in open_) for n in open_}
+        left -= sum(2 * sizes[n] for n in full)
+        open_ = [n for n in open_ if n not in want]
+    got = {r.source: r.target for r in mixing.targets(Store(spark), spark.createDataFrame(list(sizes.items()), "source string, n long")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_apportionment_by_highest_quotients(spark):
+    rng, rows, want = random.Random(7), [], {}
+    for g in range(2000):
+        n = rng.randrange(1, 9)
+        shards = [(k, rng.choice([0, 1, 49, 64, 1000, rng.randrange(1, 5000)]), rng.randrange(0, 80)) for k in range(n)]
+        quota = rng.randrange(0, 120)
+        rows += [(g, k, size, quota, limit) for k, size, limit in shards]
+        seats = dict.fromkeys(range(n), 0)
+        for _ in range(quota):
+            able = [(-size / (2 * seats[k] + 1), k) for k, size, limit in shards if size and seats[k] < limit]
+            if able:
+                seats[min(able)[1]] += 1
+        want |= {(g, k): v for k, v in seats.items()}
+    big = [(-1, k, size, 1030, 10**6) for k, size in enumerate([100_040, *[49] * 60])]
+    df = spark.createDataFrame(rows + big, "lot long, part long, words long, quota long, limit long")
+    for few in (100_000, 3):
+        got = {(r.lot, r.part): r.seats for r in mixing.apportion(Store(spark), df, "lot", "words", "quota", "limit", "part", few=few).collect()}
+        assert got[-1, 0] == 1021 and {k: v for k, v in got.items() if k[0] >= 0} == want
+
+
 def test_mixing_gives_the_taken_words(docs, texts, spark):
     cfg = mixing.Mix(block=8, shard_docs=10)
     base = docs.select("doc_id", "text", "source", "n_chars")
