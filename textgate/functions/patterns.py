@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 _W = "A-Za-z0-9_"
 #: White space of the rules, inside a character class.
 BLANK = "\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+#: The same in Python's dialect.
+PY_BLANK = BLANK
 _EDGE = f"(?:(?<![{_W}])(?=[{_W}])|(?<=[{_W}])(?![{_W}]))"
 
 
@@ -67,6 +69,21 @@ def any_word(words: list[str]) -> str:
     return r"\b(?:" + "|".join(map(re.escape, words)) + r")\b"
 
 
+def any_of(patterns: list[str]) -> str:
+    """One alternation; patterns that begin with a word edge and a letter share the edge and their first letter."""
+    edge: dict[str, list[str]] = {}
+    rest = []
+    for p in patterns:
+        if p.startswith("\\b") and p[2:3].isalpha():
+            edge.setdefault(p[2], []).append(p[3:])
+        elif p.startswith("\\b("):
+            edge.setdefault("", []).append(p[2:])
+        else:
+            rest.append(f"(?:{p})")
+    groups = "|".join(f"{first}(?:{'|'.join(tails)})" for first, tails in edge.items())
+    return "|".join([*([rf"\b(?:{groups})"] if edge else []), *rest])
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
@@ -80,8 +97,7 @@ TOKEN = f"[{BLANK}]+|[\\p{{L}}\\p{{N}}]+(?:['’]\\p{{L}}+)*|[^{BLANK}\\p{{L}}\\
 
 
 def tokens(text: Column, spaces: bool = False) -> Column:
-    every = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    return every if spaces else F.filter(every, lambda t: ~t.rlike(f"^[{BLANK}]"))
+    return F.regexp_extract_all(text, F.lit(TOKEN if spaces else TOKEN.split("+|", 1)[1]), F.lit(0))
 
 
 def words(text: Column) -> Column:

@@ -6,22 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textgate.functions.lexicons import GATE
-from textgate.functions.patterns import matches
+from textgate.functions.patterns import any_of, matches
 
 FAMILIES = [family for family, _ in GATE]
+_EVERY = any_of([p for _, patterns in GATE for _, p in patterns])
+
+
+def any_hit(text: Column) -> Column:
+    """Whether some pattern matches: one scan for all families."""
+    return matches(F.lower(text), _EVERY, False)
 
 
 def first_hit(text: Column) -> Column:
     """``family`` and ``name`` of the first pattern in table order that matches, or null."""
-    hits = [F.when(matches(text, p), F.struct(F.lit(family).alias("family"), F.lit(name).alias("name"))) for family, patterns in GATE for name, p in patterns]
-    return F.coalesce(*hits)
+    low = F.lower(text)
+    hits = [F.when(matches(low, p, False), F.struct(F.lit(family).alias("family"), F.lit(name).alias("name"))) for family, patterns in GATE for name, p in patterns]
+    return F.when(any_hit(text), F.coalesce(*hits))
 
 
 def family_hits(text: Column) -> dict[str, Column]:
-    """Whether each family matches; one alternation a family, so one scan each."""
-    return {family: matches(text, "|".join(f"(?:{p})" for _, p in patterns)) for family, patterns in GATE}
+    """Whether each family matches; one alternation a family, looked at only where some pattern matches."""
+    low, some = F.lower(text), any_hit(text)
+    return {family: some & matches(low, any_of([p for _, p in patterns]), False) for family, patterns in GATE}
 
 
 def first_family(text: Column) -> Column:
-    """The family of the first hit alone: one alternation a family instead of every pattern."""
-    return F.coalesce(*[F.when(hit, F.lit(family)) for family, hit in family_hits(text).items()])
+    """The family of the first hit alone."""
+    low = F.lower(text)
+    hits = [F.when(matches(low, any_of([p for _, p in patterns]), False), F.lit(family)) for family, patterns in GATE]
+    return F.when(any_hit(text), F.coalesce(*hits))

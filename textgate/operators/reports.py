@@ -24,7 +24,7 @@ def pivoted(df: DataFrame, key: str, by: str, values: list[str]) -> DataFrame:
 
 def nearest_rank(column: str, quantiles: dict[str, float], kind: str = "double") -> list[Column]:
     """Percentiles that are values of the column, as ``kind``."""
-    return [F.expr(f"percentile_disc({q}) within group (order by {column})").cast(kind).alias(name) for name, q in quantiles.items()]
+    return [F.coalesce(F.expr(f"percentile_disc({q}) within group (order by {column})"), F.lit(0)).cast(kind).alias(name) for name, q in quantiles.items()]
 
 
 def summary(df: DataFrame, keys: list[str], surfaced: Column, latency: str) -> DataFrame:
@@ -45,3 +45,78 @@ def classified(current: DataFrame, labels: DataFrame, baseline: DataFrame, key:
     joined = current.join(labels.select(key, "label"), key, "left").join(was, key, "left")
     change = F.when(F.col("was").isNull(), "missing").when(F.col("was") == F.col("bucket"), "kept").when(F.col("bucket") == "accepted", "newly accepted").when(F.col("was") == "accepted", "newly refused").otherwise("moved")
     return joined.withColumn("change", change).withColumn("regression", (F.col("label") == "CHANGED") & (F.col("change") == "newly accepted"))
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """The summary of a run, one row: rows with ``action`` "failed" are in no denominator; rates without rows are 0.
+
+    ``rows``: ``expectedAction``, ``action``, ``surfaced``, ``rejection``, ``milliseconds`` and the stages ``by_model`` and ``by_mechanics``.
+    """
+    failed = F.col("action") == "failed"
+    hit, clean = ~failed & (F.col("expectedAction") == "rewrite"), ~failed & (F.col("expectedAction") == "keep")
+    share = lambda a, b: F.when(F.count_if(b) > 0, F.count_if(a & b) / F.count_if(b)).otherwise(0.0)
+    return rows.agg(
+        F.count_if(~failed).alias("scored"),
+        F.count_if(hit).alias("positives"),
+        F.count_if(hit & F.col("surfaced")).alias("surfaced_on_positives"),
+        share(F.col("surfaced"), hit).alias("recall"),
+        F.count_if(clean).alias("cleans"),
+        F.count_if(clean & F.col("surfaced")).alias("false_positives"),
+        share(F.col("surfaced"), clean).alias("false_positive_rate"),
+        F.count_if(failed).alias("failures"),
+        F.count_if(hit & F.col("surfaced") & F.col("by_model")).alias("surfaced_by_model"),
+        F.count_if(hit & F.col("surfaced") & F.col("by_mechanics") & ~F.col("by_model")).alias("surfaced_by_mechanics_only"),
+        *nearest_rank("milliseconds", {"latency_p50": 0.5, "latency_p95": 0.95}, "long"),
+        F.coalesce(F.max("milliseconds"), F.lit(0)).alias("latency_max"),
+    )
+
+
+def histogram(rows: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Counts of a key's values with their rank, most first and then by value; null values do not count."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(n), key)))
+
+
+def first_and_rest(counts: DataFrame, by: str, key: str, n: str, first: int) -> DataFrame:
+    """The first values of each group by count, and how many rows the others have."""
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(n), key)))
+    named = F.array_sort(F.collect_list(F.when(F.col("rank") <= first, F.struct("rank", key))))
+    rest = F.coalesce(F.sum(F.when(F.col("rank") > first, F.col(n))), F.lit(0))
+    return ranked.groupBy(by).agg(F.array_join(F.transform(named, lambda x: x[key]), ", ").alias("first"), rest.alias("rest"))
+
+
+def runs(df: DataFrame, keys: list[str], place: str, gap: int = 1) -> DataFrame:
+    """Runs of places at most ``gap`` apart: ``first``, ``last`` and ``n``."""
+    order = Window.partitionBy(*keys).orderBy(place)
+    begins = F.coalesce(F.col(place) - F.lag(place).over(order) > gap, F.lit(True))
+    numbered = df.withColumn("run", F.sum(begins.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*keys, "run").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).drop("run")
+
+
+def holding(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """Each point with the span of its key that holds it (start included, end not); spans of a key do not overlap.
+
+    Both sides are put in one order and the last span begun is carried forward: no pairs are made.
+    """
+    rows = spans.select(key, F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.struct(start, end).alias("__span"), F.lit(None).cast(points.schema[at].dataType).alias(at))
+    rows = rows.unionByName(points.select(key, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(rows.schema["__span"].dataType).alias("__span"), at))
+    begun = F.last("__span", True).over(Window.partitionBy(key).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.withColumn("__span", begun).where("__kind = 1")
+    inside = F.col(at) < F.col(f"__span.{end}")
+    return found.select(key, at, F.when(inside, F.col(f"__span.{start}")).alias(start), F.when(inside, F.col(f"__span.{end}")).alias(end))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, at: str, left_id: str, right_id: str) -> DataFrame:
+    """For each row of ``left`` the row of ``right`` of its key with the nearest ``at``; the smaller id on ties."""
+    rows = left.select(key, at, F.lit(1).alias("__side"), left_id, F.lit(None).cast(right.schema[right_id].dataType).alias(right_id))
+    rows = rows.unionByName(right.select(key, at, F.lit(0).alias("__side"), F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), right_id))
+    # of equal places the smallest id alone
+    least = F.min(F.when(F.col("__side") == 0, F.col(right_id))).over(Window.partitionBy(key, at))
+    rows = rows.withColumn("__hit", F.when((F.col("__side") == 0) & (F.col(right_id) == least), F.struct(at, right_id)))
+    order = Window.partitionBy(key).orderBy(at, "__side")
+    before = F.last("__hit", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("__hit", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    far = lambda hit: F.struct(F.abs(hit[at] - F.col(at)).alias("far"), hit[right_id].alias(right_id))
+    rows = rows.withColumn("__before", before).withColumn("__after", after).where("__side = 1")
+    best = F.least(F.when(F.col("__before").isNotNull(), far(F.col("__before"))), F.when(F.col("__after").isNotNull(), far(F.col("__after"))))
+    return rows.select(key, left_id, best[right_id].alias(right_id))

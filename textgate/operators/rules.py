@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textgate.functions import lexicons
 from textgate.functions.patterns import BLANK, capitalised, java
+from textgate.operators.guards import markup, protected
 
 _EDGE, _GAP = "\\b", java("\\s+")
 _OF_KEEPERS = lexicons.DETERMINER[:-1] + "|us|them|you|it|both|each)"
+_PHRASES = [p for p, _, _ in lexicons.RULES]
+
+
+def _fires(sentence: Column) -> Column:
+    """Some phrase of the rules stands in the sentence."""
+    return F.lower(sentence).rlike("|".join(_PHRASES))
 
 
 def apply_rules(sentence: Column) -> Column:
     """Drops opening frames, then applies every phrase rule in order; a capital first letter stays one."""
     frames = "|".join(lexicons.OPENERS)
     cut = F.regexp_replace(sentence, f"(?iu)^(?:{frames}){_GAP}(?={java(lexicons.OPENER_FOLLOWERS + _EDGE)})", "")
-    out = F.when(cut != sentence, capitalised(cut)).otherwise(sentence)
+    out = start = F.when(cut != sentence, capitalised(cut)).otherwise(sentence)
     for phrase, replacement, lookahead in lexicons.RULES:
         block = {"in order to": lexicons.IN_ORDER_BLOCK, "in order for": lexicons.IN_ORDER_BLOCK, "with the exception of": lexicons.EXCEPTION_BLOCK}.get(phrase)
         before = f"(?<!{java(block)})" if block else ""
@@ -28,10 +35,12 @@ def apply_rules(sentence: Column) -> Column:
             for first, to in ((phrase[0].upper(), by[0].upper() + by[1:]), (phrase[0], by)):
                 rest = java(_EDGE + first + "#" + _EDGE).replace("#", f"(?iu:{phrase[1:]})")
                 out = F.regexp_replace(out, f"{before}(?<!\\p{{Pd}}){rest}(?!\\p{{Pd}})(?iu:{java(ahead)})", to)
-    return out
+    return F.when(_fires(sentence), out).otherwise(start)
 
 
-_PHRASES = [p for p, _, _ in lexicons.RULES]
+def safe_rule(source: Column, ruled: Column) -> Column:
+    """A rule's result may be shown: something changed, and markup and protected tokens are as before."""
+    return (source != ruled) & (markup(source) == markup(ruled)) & (protected(source) == protected(ruled))
 
 
 def rules_fired(sentence: Column) -> Column:
@@ -48,29 +57,66 @@ def rules_fired(sentence: Column) -> Column:
     return F.array_intersect(order, F.concat(kept, F.filter(F.array(*checked), lambda p: p.isNotNull())))
 
 
-UNTOUCHABLE = r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![\w])(?:\.{0,2}/)[\w./-]+|[A-Za-z]:\\\S+|\b[\w-]+\.(?:csv|json|log|md|txt|ya?ml|pdf|js|py|sql|xml|html)\b|`[^`]*`|\$[^$]*\$|\[\[[^\]]*\]\]"
-_DAYS = "monday tuesday wednesday thursday friday saturday sunday january february april june july september october november december".split()
-_MONTH_OR_WORD = "may march august".split()
+def guard_tokens(text: Column) -> Column:
+    """What a repair may not change: untouchable spans and protected tokens, sorted."""
+    return F.sort_array(F.concat(F.transform(F.regexp_extract_all(text, F.lit(java(lexicons.UNTOUCHABLE)), F.lit(0)), lambda t: F.trim(t)), protected(text)))
 
 
-def guard_tokens(text: Column) -> Column:
-    """What a repair may not change: addresses, paths, files, code and numbers, sorted."""
-    return F.sort_array(F.regexp_extract_all(text, F.lit(java(UNTOUCHABLE) + "|\\d+(?:[.,:]\\d+)*"), F.lit(0)))
-
-
-def repair(sentence: Column) -> Column:
-    """Six repairs in order; null where nothing changes or a guarded token would."""
-    out = F.regexp_replace(sentence, f"(?<=[^{BLANK}])[\\u00a0\\u202f]+(?=[^{BLANK}])", " ")
-    out = F.regexp_replace(out, "(?<=[^ \\t\\n])[ \\t]+([,;:!?]|\\.(?![A-Za-z0-9_/\\\\]))", "$1")
-    out = F.regexp_replace(out, "(?<=[\\p{L}\\p{N})\\]\"'’”])([,;])(?=\\p{L})", "$1 ")
-    out = F.regexp_replace(out, "(?<=\\p{L}),(?=\\d)", ", ")
-    out = F.regexp_replace(out, f"([^{BLANK}])[ \\t]{{2,}}(?=[^{BLANK}])", "$1 ")
-    opener = F.regexp_extract(out, f"^[\"'‘“(\\[]*([^{BLANK}]+)", 1)
-    plain = ~opener.rlike("[./\\\\@_]|\\p{L}.*\\d|\\p{Ll}.*\\p{Lu}") & opener.rlike("^\\p{Ll}")
-    at = F.length(F.regexp_extract(out, "^[\"'‘“(\\[]*", 0)) + 1
-    out = F.when(plain, F.concat(F.substring(out, F.lit(1), at - 1), F.upper(F.substring(out, at, F.lit(1))), F.substring(out, at + 1, F.length(out)))).otherwise(out)
-    for name in _DAYS:
-        out = F.regexp_replace(out, f"(?<![\\w./@-]){name}(?![\\w/@-]|\\.\\w)", name.capitalize())
-    for name in _MONTH_OR_WORD:
-        out = F.regexp_replace(out, f"(?<=\\b(?i:in|since|until|by|during|before|after|of|from)\\s){name}(?=[\\s,.;:!?]|$)", name.capitalize())
-    return F.when((out != sentence) & (guard_tokens(out) == guard_tokens(sentence)), out)
+def single_spaced(text: Column) -> Column:
+    """Repeated blanks between words become one."""
+    return F.regexp_replace(text, f"([^{BLANK}])[ \\t]{{2,}}(?=[^{BLANK}])", "$1 ")
+
+
+def capital_opener(text: Column) -> Column:
+    """A capital first letter, unless the first word is an identifier or has a capital inside."""
+    opener = F.regexp_replace(F.regexp_extract(text, f"^[{BLANK}]*([^{BLANK}]*)", 1), "[.!?…]+$", "")
+    plain = ~opener.rlike("[./\\\\@_\ue000]|^\\p{L}+[0-9]") & text.rlike(f"^[{BLANK}]*\\p{{Ll}}(?!\\p{{L}}*\\p{{Lu}})")
+    at = F.length(F.regexp_extract(text, f"^[{BLANK}]*", 0)) + 1
+    letter = F.upper(F.substring(text, at, F.lit(1)))
+    return F.when(plain & (F.length(letter) == 1), F.concat(F.substring(text, F.lit(1), at - 1), letter, F.substring(text, at + 1, F.length(text)))).otherwise(text)
+
+
+def _dates(text: Column) -> Column:
+    out = text
+    for name in lexicons.DAYS_AND_MONTHS:
+        signal = "(?<=\\b(?i:on|in|by|since|until|before|after|during|from)\\s{1,4})" if name in lexicons.MONTH_OR_WORD else ""
+        out = F.regexp_replace(out, f"{signal}(?<![A-Za-z0-9_]){name}(?![A-Za-z0-9_])", name.capitalize())
+    return F.when(text.rlike("|".join(lexicons.DAYS_AND_MONTHS)), out).otherwise(text)
+
+
+def _steps() -> list[tuple[str, str, object]]:
+    space = f"(?<=[^{BLANK}])[ \\t\\u00a0\\u202f]*[\\u00a0\\u202f][ \\t\\u00a0\\u202f]*(?=[^{BLANK}])"
+    after = "([,;:])(?=\\p{L})|(?<![0-9])([,;:])(?=[0-9])"
+    return [
+        ("non-breaking-space", "Replaces a non-breaking space with an ordinary space.", lambda t: F.regexp_replace(t, space, " ")),
+        ("space-before-punctuation", "Removes a space before punctuation.", lambda t: F.regexp_replace(t, "[ \\t]+([,;:!?]|\\.(?![A-Za-z0-9_/\\\\]))", "$1")),
+        ("space-after-punctuation", "Adds the missing space after punctuation.", lambda t: F.regexp_replace(t, after, "$1$2 ")),
+        ("repeated-space", "Removes a repeated space.", single_spaced),
+        ("sentence-capitalisation", "Capitalizes the first word.", capital_opener),
+        ("proper-noun-capitalisation", "Capitalizes a day or month name.", _dates),
+    ]
+
+
+def repaired(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``replacement`` (null where nothing changes or a guarded token would), ``ids`` and ``repair_reason``.
+
+    Untouchable spans are held by one character of private use while the repairs run, so a repair
+    works around them and never inside.  A text that has this character is left alone.
+    """
+    spans = F.regexp_extract_all(F.col(text), F.lit(java(lexicons.UNTOUCHABLE)), F.lit(0))
+    out = df.withColumn("__spans", spans).withColumn("__0", F.regexp_replace(text, java(lexicons.UNTOUCHABLE), "\ue000"))
+    steps = _steps()
+    for k, (_, _, fix) in enumerate(steps):
+        out = out.withColumn(f"__{k + 1}", fix(F.col(f"__{k}")))
+    parts = F.split(F.col(f"__{len(steps)}"), "\ue000")
+    whole = F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("a"), F.col("__spans").alias("b")), lambda p: F.array(p["a"], F.coalesce(p["b"], F.lit(""))))), "")
+    out = out.withColumn("__whole", whole)
+
+    def told(which: int) -> Column:
+        return F.filter(F.array(*[F.when(F.col(f"__{k}") != F.col(f"__{k + 1}"), F.lit(s[which])) for k, s in enumerate(steps)]), lambda x: x.isNotNull())
+
+    changed = (F.col("__whole") != F.col(text)) & ~F.col(text).contains("\ue000")
+    sound = F.when(changed, guard_tokens(F.col(text)) == guard_tokens(F.col("__whole"))).otherwise(False)
+    out = out.withColumn("replacement", F.when(sound, F.col("__whole")))
+    out = out.withColumn("ids", F.when(sound, told(0))).withColumn("repair_reason", F.when(sound, F.array_join(told(1), " ")))
+    return out.drop("__spans", "__whole", *[f"__{k}" for k in range(len(steps) + 1)])

@@ -1,70 +1,182 @@
-"""Documents to blocks and sentences with exact offsets, in column expressions.
+"""Documents to blocks and sentences with exact offsets.
 
-Fenced code is cut out first, then lines that stand alone, list items, quotes and blank lines
-set block borders, and sentence ends are marked with one pattern.  Every cut inserts a border
-mark, so the pieces, joined, are the text again and offsets are running lengths (code points).
+Texts are cut where Spark holds them, batch by batch: lines set block borders (fenced code, lines
+that stand alone, list items, quotes, blank lines), and inside a block only terminators are
+looked at, each with a bounded view to its left.  The work is in proportion to the text, however
+long a line, a fence or a document is.  Offsets count code points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textgate.functions import lexicons
-from textgate.functions.patterns import BLANK, trimmed
-
-_CUT, _WHOLE = "\x01", "\x02"
-_CLOSE = "\"'’”)\\]}"
-_FENCE = "(?m)^[ \\t]*(`{3,}|~{3,})[^\\n]*(?:\\n(?![ \\t]*\\1[`~]*[ \\t\\r]*$)[^\\n]*)*(?:\\n[ \\t]*\\1[`~]*[ \\t]*\\r?$)?(?:\\n|\\z)"
-_ALONE = "(?m)^((?:[ \\t]{0,3}(?:#{1,6}[ \\t]|\\||(?:[-*_][ \\t]*){3,}\\r?$|={3,}[ \\t]*\\r?$))[^\\n]*(?:\\n|\\z))"
-_BLANK_LINE = "(?m)^([ \\t\\r]*(?:\\n|$))"
-_ITEM = "(?m)^(?=[ \\t]{0,32}(?:[-*+][ \\t]|\\d{1,12}[.)][ \\t]))"
-_QUOTE = "(?m)(?<![>][^\\n]{0,400}\\n)^(?=[ \\t]*>)"
-_SHORT = "|".join(a.replace(".", "\\.") for a in lexicons.ABBREVIATIONS)
-_END = (
-    # not inside a number, a name or a path; not after an abbreviation, an initial or a list number
-    "[.!?…](?<!\\d[.!?…](?=\\d))(?<![A-Za-z0-9_/\\\\-][.!?…](?=[\\p{L}\\p{N}/\\\\-]))"
-    f"(?<!(?:^|[^\\p{{L}}.])(?iu:{_SHORT})\\.)(?<!(?:^|[^\\p{{L}}.])\\p{{Lu}}\\.)(?<!(?:^|\\n)[ \\t]{{0,32}}\\d{{1,12}}\\.)"
-    f"[.!?…]*[{_CLOSE}]*(?:[*~`_]+(?![\\p{{L}}\\p{{N}}*~`_]))?[{_CLOSE}]*[ \\t]*\\r?\\n?"
-)
-
-
-def blocks(text: Column) -> Column:
-    """Blocks in order; one that must not be cut further starts with a mark."""
-    fenced = F.regexp_replace(text, _FENCE, f"{_CUT}{_WHOLE}$0{_CUT}")
+from textgate.functions.patterns import PY_BLANK
+
+_ABBREVIATIONS = frozenset(lexicons.ABBREVIATIONS)
+_CLOSERS = "\"'’”)\\]}"
+_FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)", re.DOTALL)
+_ALONE = re.compile(r"[ \t]{0,3}(?:#{1,6}[ \t]|\||(?:[-*_][ \t]*){3,}\Z|={3,}[ \t]*\Z)")
+_QUOTE = re.compile(r"[ \t]*>")
+_ITEM = re.compile(r"[ \t]{0,32}(?:[-*+][ \t]|[0-9]{1,12}[.)][ \t])")
+_FULL = re.compile(f"[^{PY_BLANK}]")
+_STOP = re.compile("[.!?…]")
+_TAIL = re.compile(f"[.!?…]*[{_CLOSERS}]*(?:[*~`_]++(?![^\\W_]))?[{_CLOSERS}]*[ \\t]*\\r?\\n?")
+_MARKER = re.compile(r"(?:\A|\n)[ \t]*[0-9]+\Z")
+_WORD = re.compile(r"(?:[^\W\d_]|\.)+\Z")
+_PLAIN = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_/\\-")
+_ENDS = re.compile(f"[{_CLOSERS}*~`_]+\\Z")
+#: Characters looked back at for an abbreviation, and for the number of a list item.
+_BACK, _MARKER_BACK = 12, 45
+
+Piece = tuple[int, int]
+
+
+def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Start, end and whether the block stays whole; together they are the text."""
+    at, fence, quoting, begun, whole = 0, "", False, 0, False
+    for line in text.split("\n"):
+        after = min(at + len(line) + 1, len(text))
+        line = line.removesuffix("\r")
+        border: list[tuple[int, bool]] = []
+        if not fence and line[:1].isalpha():
+            pass
+        elif fence or line.lstrip(" \t")[:3] in ("```", "~~~"):
+            mark = _FENCE.match(line)
+            if not fence:
+                fence, border = mark[1], [(at, True)]
+            elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not _FULL.search(mark[2]):
+                fence, border = "", [(after, False)]
+            quoting = False
+        elif not _FULL.search(line):
+            border, quoting = [(at, False), (after, False)], False
+        elif _ALONE.match(line):
+            border, quoting = [(at, True), (after, False)], False
+        elif _QUOTE.match(line):
+            border, quoting = ([] if quoting else [(at, False)]), True
+        elif _ITEM.match(line):
+            border, quoting = [(at, False)], False
+        for place, stays in border:
+            if place > begun:
+                yield begun, place, whole
+            begun, whole = place, stays
+        at = after
+    if at > begun:
+        yield begun, at, whole
+
+
+def _is_abbreviation(text: str, dot: int) -> bool:
+    word = _WORD.search(text[max(0, dot - _BACK) : dot])
+    if not word or len(word[0]) == _BACK:
+        return False
+    return word[0].lower() in _ABBREVIATIONS or (len(word[0]) == 1 and word[0].isupper())
+
+
+def _in_token(text: str, at: int) -> bool:
+    """A terminator inside a number, a name, a path or an address."""
+    before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+    if before not in _PLAIN or not before or not after:
+        return False
+    if after == "_":
+        close = text.find("_", at + 2, at + 41)
+        return close < 0
+    return after.isalnum() or after in "/\\-"
+
+
+def _is_number(text: str, dot: int) -> bool:
+    """The dot after the number of a list item."""
+    begin = max(0, dot - _MARKER_BACK)
+    m = _MARKER.search(text[begin:dot])
+    return bool(m) and (m[0][0] == "\n" or begin == 0)
+
+
+def pieces(text: str) -> Iterator[Piece]:
+    """Start and end of each sentence or whole block; joined they are the text."""
+    for begin, to, whole in blocks(text):
+        start = begin
+        if not whole:
+            resume = begin
+            for m in _STOP.finditer(text, begin, to):
+                at = m.start()
+                if at < resume or _in_token(text, at) or (m[0] == "." and (_is_abbreviation(text, at) or _is_number(text, at))):
+                    continue
+                resume = _TAIL.match(text, at + 1, to).end()
+                yield start, resume
+                start = resume
+        if start < to:
+            yield start, to
+
+
+def completes(sentence: str) -> bool:
+    """Ends, after closing marks, with a terminator that no abbreviation explains."""
+    bare = _ENDS.sub("", sentence.strip(_STRIP))
+    return bare[-1:] in tuple(".!?…") and not (bare[-1] == "." and _is_abbreviation(bare, len(bare) - 1))
 
-    def inner(part: Column) -> Column:
-        lines = F.regexp_replace(part, _ALONE, f"{_CUT}{_WHOLE}$1{_CUT}")
-        lines = F.regexp_replace(lines, _BLANK_LINE, f"{_CUT}$1{_CUT}")
-        lines = F.regexp_replace(F.regexp_replace(lines, _ITEM, _CUT), _QUOTE, _CUT)
-        return F.when(part.startswith(_WHOLE), F.array(part)).otherwise(F.split(lines, _CUT))
 
-    return F.filter(F.flatten(F.transform(F.split(fenced, _CUT), inner)), lambda b: F.length(b) > 0)
+_STRIP = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{PY_BLANK}]", c))
 
 
-def pieces(text: Column) -> Column:
-    """Sentences and whole blocks; joined they are the text."""
+@F.pandas_udf(T.IntegerType())
+def _complete(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([None if t is None else sum(completes(t[a:b]) for a, b in pieces(t)) for t in texts], dtype="Int32")
 
-    def cut(block: Column) -> Column:
-        return F.when(block.startswith(_WHOLE), F.array(F.regexp_replace(block, _WHOLE, ""))).otherwise(F.split(F.regexp_replace(block, _END, f"$0{_CUT}"), _CUT))
 
-    return F.filter(F.flatten(F.transform(blocks(text), cut)), lambda s: F.length(s) > 0)
+_complete = _complete.asNondeterministic()
 
 
-def is_complete(sentence: Column) -> Column:
-    """Ends, after closing marks, with a terminator that no abbreviation explains."""
-    bare = F.regexp_replace(trimmed(sentence), f"[{_CLOSE}*~`_]+$", "")
-    return bare.rlike("[.!?…]$") & ~bare.rlike(f"(?:^|[^\\p{{L}}.])(?:(?iu:{_SHORT})|\\p{{Lu}})\\.$")
+def complete_sentences(text: Column) -> Column:
+    """How many complete sentences a text has; null for null."""
+    return _complete(text)
 
 
 def sentences(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus ``sent_idx``, ``sentence``, ``start``, ``end`` and ``complete``; blank pieces are dropped.
 
-    A null or empty text has no sentences.  Border marks (U+0001, U+0002) in a text count as spaces.
+    A null or empty text has no sentences; rows are cut one by one, so repeated rows repeat theirs.
     """
-    safe = F.translate(F.coalesce(F.col(text), F.lit("")), _CUT + _WHOLE, "  ")
-    parts = docs.select(*keep, pieces(safe).alias("parts"))
-    ends = F.aggregate("parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    rows = parts.withColumn("ends", ends).select(*keep, "ends", F.posexplode_outer("parts").alias("at", "sentence"))
-    rows = rows.where(F.col("sentence").rlike(f"[^{BLANK}]"))
-    return rows.select(*keep, F.col("at").alias("sent_idx"), "sentence", F.get("ends", F.col("at")).alias("start"), F.get("ends", F.col("at") + 1).alias("end"), is_complete(F.col("sentence")).alias("complete"))
+    kept = [f"keep_{i}" for i in range(len(keep))]
+    df = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col(text).alias("text"))
+    schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in kept), "sent_idx int, sentence string, start int, end int, complete boolean"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, index, parts, starts, ends = [], [], [], [], []
+            for row, value in enumerate(batch.column("text")):
+                whole, n = value.as_py() or "", 0
+                for a, b in pieces(whole):
+                    if _FULL.search(part := whole[a:b]):
+                        rows.append(row)
+                        index.append(n)
+                        parts.append(part)
+                        starts.append(a)
+                        ends.append(b)
+                        n += 1
+            where = pa.array(rows, pa.int64())
+            own = [pa.array(index, pa.int32()), pa.array(parts, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array([completes(p) for p in parts], pa.bool_())]
+            yield pa.record_batch([*(batch.column(k).take(where) for k in kept), *own], names=[*kept, "sent_idx", "sentence", "start", "end", "complete"])
+
+    out = df.mapInArrow(run, schema)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], "sent_idx", "sentence", "start", "end", "complete")
+
+
+def paragraphs(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns plus ``start``, ``end`` and ``paragraph``: runs of lines that are not blank."""
+    rows = docs.select(*keep, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "(?<=\\n)")).alias("line", "body"))
+    order = Window.partitionBy(*keep).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blank = ~F.col("body").rlike("\\S")
+    rows = rows.withColumn("end", F.sum(F.length("body")).over(order)).withColumn("run", F.sum(blank.cast("int")).over(order)).where(~blank)
+    whole = rows.groupBy(*keep, "run").agg(F.min(F.col("end") - F.length("body")).alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "").alias("paragraph"))
+    return whole.drop("run")
+
+
+def clauses(text: Column) -> Column:
+    """Clauses in order: cut at line ends, semicolons, cell walls, and at stops and colons with a blank behind."""
+    return F.filter(F.split(text, f"[\\n;|]|[.:?!](?=[{PY_BLANK}]|\\z)"), lambda c: F.length(c) > 0)

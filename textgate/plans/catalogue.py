@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textgate.functions import contract, masks, relations
 from textgate.functions import lexicons as lex
 from textgate.functions import patterns as P
 from textgate.operators import gate, guards, reports, rules, segment
@@ -48,8 +49,12 @@ CANDIDATE_SQL = r"""CASE line_no % 8 WHEN 0 THEN regexp_replace(line, ' [^ ]+$',
 PAIRS_SQL = f"{LINES_SQL}, pairs AS (SELECT doc_id, lang, src, line_no, line AS source, {CANDIDATE_SQL} AS candidate FROM lines)"
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.spread(tables.read(spark, sf_dir, "documents"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", "lang", F.col("source").alias("src"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return rows.where("line <> ''").select("doc_id", "lang", "src", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
@@ -70,6 +75,23 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "lang", "src", "line_no", line.alias("source"), changed.alias("candidate"))
 
 
+def planted(rows: DataFrame, phrases: list[str]) -> DataFrame:
+    """Lines with one of the phrases before them, chosen by id and number, so that every rule meets its case."""
+    phrase = F.get(F.array(*[F.lit(p) for p in phrases]), ((F.col("doc_id") + F.col("line_no")) % len(phrases)).cast("int"))
+    return rows.withColumn("line", F.concat(phrase, F.lit(" "), F.col("line")))
+
+
+def _planted_sql(phrases: list[str], name: str = "lines") -> str:
+    case = " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(phrases))
+    return f"{LINES_SQL}, {name}_p AS (SELECT doc_id, lang, src, line_no, (CASE (doc_id + line_no) % {len(phrases)} {case} END) || ' ' || line AS line FROM lines)"
+
+
+#: One case for each screening family, and one for none.
+SCREENED = ["for the purpose of", "there is a need for", "it was written by the team", "make a decision", "it seems to me", "revert back", "which is", "and we go and they stay", "they like it, to run, and then to walk", "a number of", "walking home, and to run", "do not forget to", ""]
+CERTAIN = ["perhaps", "generally", "must", "should", "will", "can", "nearly", "plain"]
+COUNTED = ["no longer", "no", "at most", "about ten", "each", "only", "never", "most", "just to see"]
+
+
 def _re2(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -88,48 +110,64 @@ def _words_re(words: list[str]) -> str:
 @query()
 def gate_family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences by the family of their first hit, with every family."""
-    sents = segment.sentences(tables.read(spark, sf_dir, "documents"))
+    sents = segment.sentences(documents(spark, sf_dir))
     hits = sents.select(gate.first_family(F.col("sentence")).alias("family")).where("family is not null").groupBy("family").agg(F.count("*").alias("n"))
     return reports.zero_filled(hits, "family", gate.FAMILIES, "n")
 
 
-@query(f"WITH {LINES_SQL}, h AS (SELECT {_gate_sql('line')} AS family FROM lines) SELECT family, count(*) AS n FROM h WHERE family IS NOT NULL GROUP BY family")
+_SCREENED_SQL = _planted_sql(SCREENED)
+
+
+@query(f"WITH {_SCREENED_SQL}, h AS (SELECT {_gate_sql('line')} AS family FROM lines_p) SELECT family, count(*) AS n FROM h WHERE family IS NOT NULL GROUP BY family")
 def gate_line_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = gate.first_family(F.col("line")).alias("family")
-    return lines(spark, sf_dir).select(hit).where("family is not null").groupBy("family").agg(F.count("*").alias("n"))
+    return planted(lines(spark, sf_dir), SCREENED).select(hit).where("family is not null").groupBy("family").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {LINES_SQL}, h AS (SELECT doc_id, line_no, {_gate_sql('line')} AS family FROM lines) SELECT doc_id, arg_min(family, line_no) AS family, min(line_no) AS line_no FROM h WHERE family IS NOT NULL GROUP BY doc_id")
+@query(f"WITH {_SCREENED_SQL}, h AS (SELECT doc_id, line_no, {_gate_sql('line')} AS family FROM lines_p) SELECT doc_id, arg_min(family, line_no) AS family, min(line_no) AS line_no FROM h WHERE family IS NOT NULL GROUP BY doc_id")
 def gate_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first line that a family fires on."""
-    rows = lines(spark, sf_dir).select("doc_id", "line_no", gate.first_family(F.col("line")).alias("family")).where("family is not null")
+    rows = planted(lines(spark, sf_dir), SCREENED).select("doc_id", "line_no", gate.first_hit(F.col("line"))["family"].alias("family")).where("family is not null")
     return rows.groupBy("doc_id").agg(F.min_by("family", "line_no").alias("family"), F.min("line_no").alias("line_no"))
 
 
+def _gate_names_sql(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '(?i){_re2(p)}') THEN '{_re2(name)}'" for _, ps in lex.GATE for name, p in ps) + " END"
+
+
+@query(f"WITH {_SCREENED_SQL}, h AS (SELECT {_gate_names_sql('line')} AS name FROM lines_p) SELECT name, count(*) AS n FROM h WHERE name IS NOT NULL GROUP BY name")
+def gate_pattern_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by the name of their first pattern."""
+    hit = planted(lines(spark, sf_dir), SCREENED).select(gate.first_hit(F.col("line"))["name"].alias("name"))
+    return hit.where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+
+
 @query(
-    f"WITH {LINES_SQL} SELECT lang, count(*) AS n_lines, "
+    f"WITH {_SCREENED_SQL} SELECT lang, count(*) AS n_lines, "
     + ", ".join(f"count(*) FILTER (regexp_matches(line, '(?i){_re2('|'.join(f'(?:{p})' for _, p in ps))}')) AS {family.replace('-', '_')}" for family, ps in lex.GATE)
-    + " FROM lines GROUP BY lang"
+    + " FROM lines_p GROUP BY lang"
 )
 def gate_families_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = gate.family_hits(F.col("line"))
-    return lines(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_lines"), *[F.count_if(h).alias(f.replace("-", "_")) for f, h in hits.items()])
+    return planted(lines(spark, sf_dir), SCREENED).groupBy("lang").agg(F.count("*").alias("n_lines"), *[F.count_if(h).alias(f.replace("-", "_")) for f, h in hits.items()])
 
 
 @query()
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document, complete ones, and the longest."""
-    sents = segment.sentences(tables.read(spark, sf_dir, "documents"))
+    sents = segment.sentences(documents(spark, sf_dir))
     return sents.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("complete").alias("n_complete"), F.max(F.col("end") - F.col("start")).alias("longest"))
 
 
 @query()
 def sentence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences whose offsets do not give their text back; always none."""
-    docs = tables.read(spark, sf_dir, "documents")
-    sents = segment.sentences(docs, keep=("doc_id", "text"))
-    cut = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return sents.groupBy((cut == F.col("sentence")).alias("exact")).agg(F.count("*").alias("n"))
+    """Sentences whose offsets fit their text and their neighbours."""
+    docs = documents(spark, sf_dir)
+    sents = segment.sentences(docs)
+    order = Window.partitionBy("doc_id").orderBy("sent_idx")
+    # sentences follow each other and are as long as their offsets say
+    fits = (F.length("sentence") == F.col("end") - F.col("start")) & F.coalesce(F.lag("end").over(order) <= F.col("start"), F.lit(True))
+    return sents.select(fits.alias("exact")).groupBy("exact").agg(F.count("*").alias("n"))
 
 
 # ---- tokens and features
@@ -147,43 +185,41 @@ def top_words_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_n(words.groupBy("lang", "word").agg(F.count("*").alias("n")), ["lang"], [F.desc("n"), F.asc("word")], 20).select("lang", "word", "n", F.col("rank").cast("long"))
 
 
-_ID = r"\b(?:[A-Z]{2,}[A-Z0-9_-]*|[A-Za-z]+_[A-Za-z0-9_]+)\b"
+_ID, _MAIL, _NUM = lex.PROTECTED[7], lex.PROTECTED[3], lex.NUMBER.split(")?", 2)[-1]
 
 
 @query(rf"SELECT doc_id, unnest(regexp_extract_all(text, '{_ID}')) AS identifier FROM documents")
 def identifier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read(spark, sf_dir, "documents").select("doc_id", F.explode(P.found(F.col("text"), _ID)).alias("identifier"))
-
-
-_MAIL = r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})*\.[A-Za-z]{2,24}\b"
+    return documents(spark, sf_dir).select("doc_id", F.explode(P.found(F.col("text"), _ID)).alias("identifier"))
 
 
 @query(rf"SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS email FROM documents")
 def email_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read(spark, sf_dir, "documents").select("doc_id", F.explode(P.found(F.col("text"), _MAIL)).alias("email"))
-
-
-_NUM = r"\b\d+(?:[.,:]\d+)*(?:st|nd|rd|th)?\b%?"
+    return documents(spark, sf_dir).select("doc_id", F.explode(P.found(F.col("text"), _MAIL)).alias("email"))
 
 
 @query(rf"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, count(*) AS n, count(*) FILTER (regexp_extract_all(source, '{_NUM}') <> regexp_extract_all(candidate, '{_NUM}')) AS changed FROM pairs GROUP BY ALL")
 def number_sequence_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairs(spark, sf_dir)
-    return rows.groupBy((F.col("line_no") % 8).alias("kind")).agg(F.count("*").alias("n"), F.count_if(P.found(F.col("source"), _NUM) != P.found(F.col("candidate"), _NUM)).alias("changed"))
+    return rows.groupBy((F.col("line_no") % 8).alias("kind")).agg(F.count("*").alias("n"), F.count_if(guards.numbers(F.col("source")) != guards.numbers(F.col("candidate"))).alias("changed"))
+
+
+_NEG, _SPELLED = _re2(lex.NEGATION), _re2("|".join(lex.NOT_AS_SPELLING))
 
 
-_NEG = _re2(lex.NEGATION)
+def _denials(column: str) -> str:
+    return f"(len(regexp_extract_all({column}, '(?i){_NEG}')) - len(regexp_extract_all({column}, '(?i){_SPELLED}')))"
 
 
-@query(rf"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, sum(len(regexp_extract_all(source, '(?i){_NEG}')))::BIGINT AS before, sum(len(regexp_extract_all(candidate, '(?i){_NEG}')))::BIGINT AS after FROM pairs GROUP BY ALL")
+@query(rf"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, sum({_denials('source')})::BIGINT AS before, sum({_denials('candidate')})::BIGINT AS after FROM pairs GROUP BY ALL")
 def negation_count_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = {c: F.sum(P.count(F.col(o), lex.NEGATION)).alias(c) for c, o in (("before", "source"), ("after", "candidate"))}
-    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(*n.values())
+    n = [F.sum(guards.negations(F.col(o))).alias(c) for c, o in (("before", "source"), ("after", "candidate"))]
+    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(*n)
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, " + ", ".join(f"len(list_distinct(regexp_extract_all(lower(line), '{_words_re(g)}'))) AS g{k}" for k, g in enumerate(lex.CERTAINTY)) + f" FROM lines WHERE regexp_matches(lower(line), '{_words_re([w for g in lex.CERTAINTY for w in g])}')")
+@query(f"WITH {_planted_sql(CERTAIN)} SELECT doc_id, line_no, " + ", ".join(f"len(list_distinct(regexp_extract_all(lower(line), '{_words_re(g)}'))) AS g{k}" for k, g in enumerate(lex.CERTAINTY)) + " FROM lines_p")
 def certainty_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).where(P.matches(F.lower("line"), P.any_word([w for g in lex.CERTAINTY for w in g]), False))
+    rows = planted(lines(spark, sf_dir), CERTAIN)
     return rows.select("doc_id", "line_no", *[F.size(guards.members(F.col("line"), g)).cast("long").alias(f"g{k}") for k, g in enumerate(lex.CERTAINTY)])
 
 
@@ -192,11 +228,25 @@ def ordinal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).agg(*[F.count_if(P.matches(F.lower("line"), rf"\b{w}\b", False)).alias(w) for w in lex.ORDINALS])
 
 
-@query()
+def _quantifier_sql(group: int, word: str) -> str:
+    if (group, word) == (0, "no"):
+        return "len(regexp_extract_all(low, '\\bno\\b')) > len(regexp_extract_all(low, '\\bno\\s+longer\\b'))"
+    if group == 3 and word in ("most", "least"):
+        return f"regexp_matches(low, '\\bat\\s+{word}\\b')"
+    if word in ("about", "around"):
+        return f"regexp_matches(low, '\\b{word}\\s+{lex.QUANTITY}\\b|\\b{lex.QUANTITY}\\s+{word}\\b')"
+    return f"regexp_matches(low, '\\b{word}\\b')"
+
+
+_QUANTIFIERS_SQL = " UNION ALL ".join(f"SELECT lang, {k} AS grp, '{w}' AS word FROM q WHERE {_quantifier_sql(k, w)}" for k, g in enumerate(lex.QUANTIFIERS) for w in g)
+
+
+@query(f"WITH {_planted_sql(COUNTED)}, q AS (SELECT lang, regexp_replace(lower(line), '^\\s*just\\b(\\s+(?:to\\s+\\pL|\\pL+ing\\b))', '\\1') AS low FROM lines_p) SELECT lang, grp, word, count(*) AS n FROM ({_QUANTIFIERS_SQL}) GROUP BY ALL")
 def quantifier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by quantifier, with the narrow senses of some."""
     sets = guards.quantifier_sets(F.col("line"))
-    rows = lines(spark, sf_dir).select("lang", F.posexplode(sets).alias("group", "words")).select("lang", "group", F.explode("words").alias("word"))
-    return rows.groupBy("lang", "group", "word").agg(F.count("*").alias("n"))
+    rows = planted(lines(spark, sf_dir), COUNTED).select("lang", F.posexplode(sets).alias("grp", "words")).select("lang", "grp", F.explode("words").alias("word"))
+    return rows.groupBy("lang", "grp", "word").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {LINES_SQL} SELECT regexp_extract(rtrim(line), '([.!?…]+)[\"''’”)\\]}}]*$', 1) AS mark, count(*) AS n FROM lines GROUP BY ALL")
@@ -210,30 +260,31 @@ def terminal_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BAG = r"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+(?:[''’]\p{{L}}+)*'), lambda w: w NOT IN ('a', 'an', 'the'))"
+_ARTICLES = r"len(list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+(?:[''’]\p{{L}}+)*'), lambda w: w IN ('a', 'an', 'the')))"
 
 
-@query(f"WITH {LINES_SQL}, p AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS other FROM lines) SELECT doc_id, line_no, {_BAG.format(c='line')} <> {_BAG.format(c='other')} AS reordered FROM p WHERE list_sort({_BAG.format(c='line')}) = list_sort({_BAG.format(c='other')})")
+@query(f"WITH {LINES_SQL}, p AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS other FROM lines) SELECT count(*) AS n, count(*) FILTER ({_BAG.format(c='line')} <> {_BAG.format(c='other')} AND len({_BAG.format(c='line')}) > 0 AND {_ARTICLES.format(c='other')} <= {_ARTICLES.format(c='line')}) AS reordered FROM p WHERE list_sort({_BAG.format(c='line')}) = list_sort({_BAG.format(c='other')})")
 def pure_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring lines with the same words but for articles, and whether their order differs."""
+    """Neighbouring lines with the same words but for articles, and how many the guard of order refuses."""
     after = Window.partitionBy("doc_id").orderBy("line_no")
     rows = lines(spark, sf_dir).withColumn("other", F.lead("line").over(after))
-    bag = {c: F.filter(P.words(F.col(c)), lambda w: ~w.isin("a", "an", "the")) for c in ("line", "other")}
-    rows = rows.select("doc_id", "line_no", bag["line"].alias("x"), bag["other"].alias("y")).where(F.array_sort("x") == F.array_sort("y"))
-    return rows.select("doc_id", "line_no", (F.col("x") != F.col("y")).alias("reordered"))
+    bag = {c: F.array_sort(F.filter(P.words(F.col(c)), lambda w: ~w.isin("a", "an", "the"))) for c in ("line", "other")}
+    return rows.where(bag["line"] == bag["other"]).agg(F.count("*").alias("n"), F.count_if(guards.order_changed(F.col("line"), F.col("other"))).alias("reordered"))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, " + ", ".join(f"count(*) FILTER (len(regexp_extract_all(lower(candidate), '\\b{w}\\b')) < len(regexp_extract_all(lower(source), '\\b{w}\\b'))) AS {w}_dropped" for w in lex.SCOPE) + " FROM pairs GROUP BY ALL")
+@query(f"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, count(*) FILTER (" + " OR ".join(f"len(regexp_extract_all(lower(candidate), '\\b{w}\\b')) < len(regexp_extract_all(lower(source), '\\b{w}\\b'))" for w in lex.SCOPE) + ") AS dropped FROM pairs GROUP BY ALL")
 def scope_word_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drop = [F.count_if(P.count(F.lower("candidate"), rf"\b{w}\b", False) < P.count(F.lower("source"), rf"\b{w}\b", False)).alias(f"{w}_dropped") for w in lex.SCOPE]
-    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(*drop)
+    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(F.count_if(guards.scope_dropped(F.col("source"), F.col("candidate"))).alias("dropped"))
 
 
-@query(f"WITH {PAIRS_SQL}, f AS (SELECT line_no % 8 AS kind, " + ", ".join(f"regexp_matches(lower(source), '{_words_re(g)}') AS s{k}, regexp_matches(lower(candidate), '{_words_re(g)}') AS c{k}" for k, g in enumerate(lex.PRONOUNS[:-1])) + ") SELECT kind, " .replace(") SELECT", " FROM pairs) SELECT") + ", ".join(f"count(*) FILTER (c{k} AND NOT s{k}) AS new{k}" for k in range(len(lex.PRONOUNS) - 1)) + " FROM f GROUP BY kind")
-def pronoun_families_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def has(c: str, g: list[str]) -> Column:
-        return P.matches(F.lower(c), P.any_word(g), False)
+def _families_sql(column: str) -> str:
+    base = f"list_transform(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+(?:[''’]\\p{{L}}+)*'), lambda w: regexp_replace(w, '[''’](?:re|s|ve|ll|d|m)$', ''))"
+    return ", ".join(f"list_has_any({base}, [{', '.join(repr(w) for w in g)}]) AS {column[0]}{k}" for k, g in enumerate(lex.PRONOUNS[:-1]))
 
-    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(*[F.count_if(has("candidate", g) & ~has("source", g)).alias(f"new{k}") for k, g in enumerate(lex.PRONOUNS[:-1])])
+
+@query(f"WITH {PAIRS_SQL}, f AS (SELECT line_no % 8 AS kind, {_families_sql('source')}, {_families_sql('candidate')} FROM pairs) SELECT kind, count(*) FILTER (" + " OR ".join(f"(c{k} AND NOT s{k})" for k in range(len(lex.PRONOUNS) - 1)) + ") AS changed FROM f GROUP BY kind")
+def pronoun_families_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(F.count_if(guards.pronouns_changed(F.col("source"), F.col("candidate"))).alias("changed"))
 
 
 # ---- alignment and verdicts
@@ -242,7 +293,7 @@ def pronoun_families_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def edit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairs(spark, sf_dir).withColumn("ops", guards.edit_ops(F.col("source"), F.col("candidate")))
-    return rows.groupBy((F.col("line_no") % 8).alias("kind")).agg(F.round(F.avg(guards.edit_ratio(F.col("ops"))), 6).alias("mean_ratio"), F.sum(F.size(guards.lost_words(F.col("ops")))).alias("lost"))
+    return rows.groupBy((F.col("line_no") % 8).alias("kind")).agg(F.round(F.avg(guards.edit_ratio(F.col("ops"))), 6).alias("mean_ratio"), F.sum(F.size(F.filter("ops", lambda o: o["type"] == "delete"))).alias("deleted"))
 
 
 @query()
@@ -272,21 +323,21 @@ def clarity_rules_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mechanics_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repairs of lines with doubled spaces and blanks before commas."""
+    """Repairs of lines with doubled spaces and blanks before commas, by kind of repair."""
     text = F.regexp_replace(F.regexp_replace("line", ",", " ,"), " of ", "  of ")
-    rows = lines(spark, sf_dir).select("lang", text.alias("text")).withColumn("fixed", rules.repair(F.col("text")))
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count("fixed").alias("n_repaired"), F.sum(F.length("text") - F.length("fixed")).alias("chars_removed"))
+    rows = rules.repaired(lines(spark, sf_dir).select("lang", text.alias("text")), "text")
+    return rows.select("lang", F.explode("ids").alias("id")).groupBy("lang", "id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, line_no, regexp_replace(regexp_replace(line, ' of ', '  of ', 'g'), '([^\\s])[ \\t]{{2,}}([^\\s])', '\\1 \\2', 'g') AS fixed FROM lines WHERE line LIKE '% of %'")
 def mechanics_repeated_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).where(F.col("line").contains(" of "))
-    return rows.select("doc_id", "line_no", F.regexp_replace(F.regexp_replace("line", " of ", "  of "), f"([^{P.BLANK}])[ \\t]{{2,}}([^{P.BLANK}])", "$1 $2").alias("fixed"))
+    return rows.select("doc_id", "line_no", rules.single_spaced(F.regexp_replace("line", " of ", "  of ")).alias("fixed"))
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, upper(line[1]) || line[2:] AS opened FROM lines WHERE regexp_matches(line, '^[a-z]')")
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, upper(line[1]) || line[2:] AS opened FROM lines WHERE regexp_matches(line, '^[a-z][a-z]* ')")
 def capitalise_opener(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).where(F.col("line").rlike("^[a-z]")).select("doc_id", "line_no", P.capitalised(F.col("line")).alias("opened"))
+    return lines(spark, sf_dir).where(F.col("line").rlike("^[a-z][a-z]* ")).select("doc_id", "line_no", rules.capital_opener(F.col("line")).alias("opened"))
 
 
 # ---- joins and reports
@@ -352,8 +403,9 @@ def fnv_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT md5(text) AS key, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
 def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.read(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.count("*").alias("copies"))
-    return rows.where("copies > 1").select(F.md5("text").alias("key"), "doc_id", "source", "copies")
+    """The first of each group of equal texts; texts travel as digests."""
+    rows = documents(spark, sf_dir).select(F.md5("text").alias("key"), "doc_id", "source")
+    return rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.count("*").alias("copies")).where("copies > 1")
 
 
 @query("SELECT conv_id, turn, role, lag(role) OVER w AS before, length(text) - lag(length(text)) OVER w AS grown FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -402,26 +454,30 @@ def stratified_roundrobin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each supplier the customer of its nation with the nearest balance; the smaller key on ties."""
     s, n, c = (tables.read(spark, sf_dir, t) for t in ("supplier", "nation", "customer"))
-    joined = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
-    best = joined.groupBy("s_suppkey", "s_nationkey").agg(F.min(F.struct(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "c_custkey")).alias("best"))
-    return best.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", F.col("best.c_custkey").alias("c_custkey"))
+    own = s.select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("at"), "s_suppkey")
+    best = reports.nearest(own, c.select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("at"), "c_custkey"), "nation", "at", "s_suppkey", "c_custkey")
+    return best.where("c_custkey is not null").join(n, F.col("nation") == F.col("n_nationkey")).select("s_suppkey", "n_name", "c_custkey")
 
 
 _URL = r"""(?:https?:)?//([A-Za-z0-9.-]+)"""
 
 
-@query(rf"WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '{_URL}', 1)) AS host FROM pages) SELECT lower(host) AS host, count(*) AS requests, count(DISTINCT page_id) AS pages, regexp_matches(lower(host), '^(localhost|127\.[0-9.]+)$') AS loopback FROM u GROUP BY ALL")
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+@query(rf"WITH u AS (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '{_URL}', 1)) AS host FROM pages) SELECT lower(host) AS host, count(*) AS requests, count(DISTINCT page_id) AS pages, regexp_matches(lower(host), '^(?:localhost|127(?:\.{_OCTET}){{3}})$') AS loopback FROM u GROUP BY ALL")
 def hosts_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts that pages name, own-machine ones apart."""
-    urls = tables.read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_URL), F.lit(1))).alias("h")).select("page_id", F.lower("h").alias("host"))
-    return urls.groupBy("host", F.col("host").rlike(r"^(localhost|127\.[0-9.]+)$").alias("loopback")).agg(F.count("*").alias("requests"), F.countDistinct("page_id").alias("pages"))
+    whole = F.concat_ws(" ", "url", "html")
+    urls = tables.read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(whole, F.lit(_URL), F.lit(1))).alias("h")).select("page_id", F.lower("h").alias("host"))
+    return urls.groupBy("host", masks.is_loopback(F.col("host")).alias("loopback")).agg(F.count("*").alias("requests"), F.countDistinct("page_id").alias("pages"))
 
 
-@query("SELECT page_id, length(html) AS n, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n_text, len(regexp_extract_all(html, '<[^>]*>')) AS n_tags FROM pages")
+@query("SELECT page_id, length(html) AS n, md5(array_to_string(list_transform(list_zip(string_split_regex(html, '<[^>]*>'), regexp_extract_all(html, '<[^>]*>')), lambda p: p[1] || coalesce(regexp_replace(p[2], '[^\n]', ' ', 'g'), '')), '')) AS masked FROM pages")
 def html_mask_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page lengths; masking tags by as many spaces keeps the first."""
-    pages = tables.read(spark, sf_dir, "pages")
-    return pages.select("page_id", F.length("html").cast("long").alias("n"), F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("n_text"), F.regexp_count("html", F.lit("<[^>]*>")).cast("long").alias("n_tags"))
+    """Pages with their tags masked by as many spaces."""
+    text = masks.masked(F.col("html"), masks.TAG)
+    return tables.read(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n"), F.md5(text).alias("masked"))
 
 
 @query("SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '\\?\\s*$')) AS questions, round(avg(length(text)), 6) AS mean_chars FROM conversations GROUP BY role")
@@ -435,6 +491,180 @@ def reconcile_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence ids kept, moved and new when each document loses its first sentence."""
     from textgate.streaming import identity
 
-    sents = segment.sentences(tables.read(spark, sf_dir, "documents")).select("doc_id", "sent_idx", "sentence", "start")
+    sents = segment.sentences(documents(spark, sf_dir)).select("doc_id", "sent_idx", "sentence", "start")
     after = sents.where("sent_idx > 0")
     return identity.reconciled(sents, after).groupBy("state").agg(F.count("*").alias("n"))
+
+
+# ---- spans, order and state
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents), r AS (SELECT *, sum(CASE WHEN regexp_matches(line, '\\S') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT doc_id, count(DISTINCT run) AS n FROM r WHERE regexp_matches(line, '\\S') GROUP BY doc_id")
+def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.paragraphs(documents(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, sum(len(list_filter(string_split_regex(line, '[;|]|[.:?!](?:\\s|$)'), lambda c: regexp_matches(c, '[^\\s]'))))::BIGINT AS n FROM lines GROUP BY doc_id")
+def clause_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = F.size(F.filter(segment.clauses(F.col("line")), lambda c: c.rlike("\\S")))
+    return lines(spark, sf_dir).groupBy("doc_id").agg(F.sum(full).alias("n"))
+
+
+_SPANS_SQL = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents), s AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(line) AS n FROM l)"
+
+
+def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their number and their offsets in the document."""
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
+    return rows.select("doc_id", (F.col("at") + 1).alias("i"), "line", start.alias("start")).withColumn("end", F.col("start") + F.length("line"))
+
+
+@query(f"WITH {_SPANS_SQL}, p AS (SELECT doc_id, strpos(text, ' the ')::BIGINT AS offs FROM documents WHERE strpos(text, ' the ') > 0) SELECT p.doc_id, p.offs AS offs, s.start AS start, s.start + s.n AS end_ FROM p LEFT JOIN s ON s.doc_id = p.doc_id AND s.start <= p.offs AND p.offs < s.start + s.n")
+def line_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line that holds a place in the document: spans in order, the last begun carried forward."""
+    points = documents(spark, sf_dir).select("doc_id", F.instr("text", " the ").cast("long").alias("offs")).where("offs > 0")
+    spans = line_spans(spark, sf_dir).select("doc_id", "start", F.col("end").alias("end_"))
+    return reports.holding(points, spans, "doc_id", "offs", "start", "end_")
+
+
+@query(f"WITH {_SPANS_SQL}, f AS (SELECT doc_id, length(line) + 1 AS cut FROM s WHERE i = 1) SELECT s.doc_id, count(*) AS kept, sum(s.start - f.cut)::BIGINT AS moved_to FROM s JOIN f USING (doc_id) WHERE s.i > 1 GROUP BY s.doc_id")
+def reanchor_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line offsets carried through a change that takes the first line out."""
+    rows = line_spans(spark, sf_dir)
+    cut = F.first(F.when(F.col("i") == 1, F.length("line") + 1), True).over(Window.partitionBy("doc_id"))
+    return rows.withColumn("cut", cut).where("i > 1").groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.col("start") - F.col("cut")).alias("moved_to"))
+
+
+@query("WITH o AS (SELECT doc_id, max(i) FILTER (n >= 80) AS last_long, max(i) AS last FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, length(unnest(string_split(text, chr(10)))) AS n FROM documents) GROUP BY doc_id) SELECT doc_id, (last - coalesce(last_long, 0))::BIGINT AS n FROM o")
+def trailing_short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines at a document's end are shorter than 80 characters."""
+    rows = line_spans(spark, sf_dir)
+    last = F.max(F.when(F.length("line") >= 80, F.col("i")))
+    return rows.groupBy("doc_id").agg((F.max("i") - F.coalesce(last, F.lit(0))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, arg_max(line, i) AS line, max(i) AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(line, '[0-9]') GROUP BY doc_id")
+def last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's last line with a digit."""
+    rows = line_spans(spark, sf_dir).where(F.col("line").rlike("[0-9]"))
+    return rows.groupBy("doc_id").agg(F.max_by("line", "i").alias("line"), F.max("i").cast("long").alias("i"))
+
+
+@query("WITH t AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM t) SELECT source, string_agg(lang, ', ' ORDER BY k) FILTER (k <= 2) AS first, coalesce(sum(n) FILTER (k > 2), 0)::BIGINT AS rest FROM r GROUP BY source")
+def first_groups_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tables.read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return reports.first_and_rest(counts, "source", "lang", "n", 2)
+
+
+@query("SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents WHERE source IS NOT NULL GROUP BY source")
+def histogram_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.histogram(tables.read(spark, sf_dir, "documents"), "source").withColumn("rank", F.col("rank").cast("long"))
+
+
+_CANON = ["fr", "en", "de"]
+
+
+@query("SELECT lang, n, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, n DESC, lang) AS place FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages in a given order, the others behind by count and name."""
+    counts = tables.read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    given = F.array_position(F.array(*[F.lit(x) for x in _CANON]), F.col("lang"))
+    order = Window.orderBy(F.when(given > 0, given).otherwise(len(_CANON) + 1), F.desc("n"), "lang")
+    return counts.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+@query("SELECT user_id, event_id, r FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20")
+def newest_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 20 entries of each user."""
+    return reports.top_n(tables.read(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).select("user_id", "event_id", F.col("rank").cast("long").alias("r"))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) <= 3")
+def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key once, as first seen, and the first three keys of a user in the order they came."""
+    first = tables.read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.min_by("value", "event_id").alias("value"))
+    return reports.top_n(first, ["user_id"], [F.asc("event_id")], 3).drop("rank")
+
+
+@query("SELECT user_id, event_id, least(60 * power(2, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1), 600)::BIGINT AS hold_seconds FROM events")
+def retry_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long the next attempt waits after the r-th failure: a minute, doubled up to ten."""
+    nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    return tables.read(spark, sf_dir, "events").select("user_id", "event_id", F.least(60 * F.pow(F.lit(2.0), nth - 1), F.lit(600.0)).cast("long").alias("hold_seconds"))
+
+
+@query("WITH r AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events), g AS (SELECT *, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM r) SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM g GROUP BY user_id, run")
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's events whose numbers are at most 200 apart."""
+    return reports.runs(tables.read(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 200)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, sum(len(list_filter(string_split(source, ' '), lambda w: list_contains(string_split(candidate, ' '), w))))::BIGINT AS shared, sum(len(list_filter(string_split(candidate, ' '), lambda w: NOT list_contains(string_split(source, ' '), w))))::BIGINT AS new FROM pairs GROUP BY ALL")
+def shared_and_new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the source that the candidate has, repeats counted, and words it has alone."""
+    a, b = F.split("source", " "), F.split("candidate", " ")
+    shared, new = F.size(F.filter(a, lambda w: F.array_contains(b, w))), F.size(F.filter(b, lambda w: ~F.array_contains(a, w)))
+    return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(F.sum(shared).alias("shared"), F.sum(new).alias("new"))
+
+
+@query("WITH k AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), t AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'), l AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT user_id FROM (SELECT * FROM k UNION SELECT * FROM t) EXCEPT SELECT * FROM l")
+def known_less_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users seen by one of two kinds of event and not by a third, from one grouping."""
+    seen = F.bit_or(F.when(F.col("event_type").isin("click", "view"), 1).when(F.col("event_type") == "purchase", 2).otherwise(0)).alias("seen")
+    return tables.read(spark, sf_dir, "events").groupBy("user_id").agg(seen).where("seen = 1").select("user_id")
+
+
+_STEM_SQL = "regexp_replace({w}, '^(.{{3,}}?)(?:" + "|".join(lex.SUFFIXES) + ")$', '\\1')"
+
+
+@query("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), d AS (SELECT w, count(*) AS n FROM w GROUP BY w) SELECT " + _STEM_SQL.format(w=_STEM_SQL.format(w="w")) + " AS stem, sum(n)::BIGINT AS n, count(*) AS forms FROM d GROUP BY 1")
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by their stem: distinct words are stemmed once."""
+    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return words.groupBy(relations.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
+
+
+@query("WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'keep' ELSE 'rewrite' END AS action, CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'rewrite' END AS expected, doc_id % 5 > 1 AND n_chars > 500 AS surfaced, n_chars AS ms, lang = 'en' AS m FROM documents), s AS (SELECT *, action <> 'failed' AND expected = 'rewrite' AS p, action <> 'failed' AND expected = 'keep' AS c FROM r) SELECT count(*) FILTER (action <> 'failed') AS scored, count(*) FILTER (p) AS positives, count(*) FILTER (p AND surfaced) AS surfaced_on_positives, count(*) FILTER (p AND surfaced) / count(*) FILTER (p) AS recall, count(*) FILTER (c) AS cleans, count(*) FILTER (c AND surfaced) AS false_positives, count(*) FILTER (c AND surfaced) / count(*) FILTER (c) AS false_positive_rate, count(*) FILTER (action = 'failed') AS failures, count(*) FILTER (p AND surfaced AND m) AS surfaced_by_model, count(*) FILTER (p AND surfaced AND NOT m) AS surfaced_by_mechanics_only, quantile_disc(ms, 0.5) AS latency_p50, quantile_disc(ms, 0.95) AS latency_p95, max(ms) AS latency_max FROM s")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a run whose rows are made from the documents."""
+    k = F.col("doc_id") % 5
+    rows = tables.read(spark, sf_dir, "documents").select(
+        F.when(k == 0, "failed").when(k == 1, "keep").otherwise("rewrite").alias("action"),
+        F.when(F.col("doc_id") % 3 == 0, "keep").otherwise("rewrite").alias("expectedAction"),
+        ((k > 1) & (F.col("n_chars") > 500)).alias("surfaced"),
+        F.col("n_chars").alias("milliseconds"),
+        (F.col("lang") == "en").alias("by_model"),
+        (F.col("lang") != "en").alias("by_mechanics"),
+    )
+    return reports.scored(rows)
+
+
+@query("WITH c AS (SELECT doc_id AS key, CASE WHEN n_chars % 3 = 0 THEN 'accepted' ELSE 'refused' END AS bucket, CASE WHEN n_chars % 2 = 0 THEN 'accepted' ELSE 'refused' END AS was FROM documents), j AS (SELECT c.*, CASE l.toxic WHEN 1 THEN 'CHANGED' WHEN 0 THEN 'PRESERVING' END AS label FROM c LEFT JOIN labels l ON l.doc_id = c.key) SELECT CASE WHEN was = bucket THEN 'kept' WHEN bucket = 'accepted' THEN 'newly accepted' ELSE 'newly refused' END AS change, label, count(*) AS n, count(*) FILTER (label = 'CHANGED' AND bucket = 'accepted' AND was <> 'accepted') AS regressions FROM j GROUP BY ALL")
+def verdicts_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts joined with labels and an earlier baseline."""
+    docs = tables.read(spark, sf_dir, "documents")
+    verdict = lambda n: F.when(F.col("n_chars") % n == 0, "accepted").otherwise("refused")
+    labels = tables.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 1, "CHANGED").otherwise("PRESERVING").alias("label"))
+    current, baseline = docs.select(F.col("doc_id").alias("key"), verdict(3).alias("bucket")), docs.select(F.col("doc_id").alias("key"), verdict(2).alias("bucket"))
+    return reports.classified(current, labels, baseline).groupBy("change", "label").agg(F.count("*").alias("n"), F.count_if("regression").alias("regressions"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'rewrite' WHEN 2 THEN 'keep' ELSE NULL END AS action, CASE doc_id % 4 WHEN 0 THEN 'unknown action' WHEN 3 THEN 'invalid JSON' END AS error FROM documents")
+def parsed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies made from the documents' sources, parsed: thinking, fences, cut ends and broken ones."""
+    body = lambda action: F.to_json(F.struct(F.lit(action).alias("action"), F.concat(F.lit("x"), F.coalesce("source", F.lit(""))).alias("replacement"), F.lit("r").alias("reason")))
+    k = F.col("doc_id") % 4
+    reply = F.when(k == 0, body("drop")).when(k == 1, F.concat(F.lit("<think>hm {</think>```json\n"), body("rewrite"), F.lit("\n```"))).when(k == 2, F.concat(F.lit('{"action":"keep","replacement":""'))).otherwise(F.lit("no JSON"))
+    told = contract.decision(F.when(k == 2, contract.complete_json(reply)).otherwise(contract.strip_thinking(reply)))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", told["action"].alias("action"), told["error"].alias("error"))
+
+
+@query()
+def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many stretches of a line a rewrite touches, and how long they are."""
+    rows = pairs(spark, sf_dir).withColumn("ops", guards.edit_ops(F.col("source"), F.col("candidate")))
+    rows = rows.withColumn("ranges", guards.changed_ranges(F.col("source"), F.col("ops")))
+    length = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    return rows.groupBy((F.col("line_no") % 8).alias("kind")).agg(F.sum(F.size("ranges")).alias("ranges"), F.sum(length).alias("chars"))

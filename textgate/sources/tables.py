@@ -13,6 +13,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that lies in fewer files than there are cores, dealt to all cores; larger tables as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """Rows of JSON corpora, one envelope a file."""
     files = spark.read.option("multiLine", True).schema(CORPUS).json(path)

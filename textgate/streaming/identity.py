@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,24 +19,28 @@ def matched(before: list[Row], after: list[Row]) -> list[tuple[int, int | None,
     Equal texts go to the nearest unused start; what is left takes the id at its own index if
     that is free.  Where a text stood several times and a copy went away, survivors get new ids.
     """
-    by_text: dict[str, list[Row]] = {}
-    for row in before:
-        by_text.setdefault(row[1], []).append(row)
+    by_text: dict[str, list[tuple[int, int]]] = {}
+    for k, text, start in before:
+        by_text.setdefault(text, []).append((start, k))
+    copies = {text: len(rows) for text, rows in by_text.items()}
+    free = {text: sorted(rows) for text, rows in by_text.items()}
     used: set[int] = set()
     found: dict[int, int] = {}
     for k, text, start in after:
-        able = [r for r in by_text.get(text, ()) if r[0] not in used]
+        able = free.get(text)
         if able:
-            best = min(able, key=lambda r: (abs(r[2] - start), r[0]))
-            used.add(best[0])
-            found[k] = best[0]
+            at = bisect.bisect_left(able, (start, -1))
+            # the nearest start is one of the two neighbours; the earlier one on ties
+            best = min((c for c in (at - 1, at) if 0 <= c < len(able)), key=lambda c: (abs(able[c][0] - start), c))
+            found[k] = able.pop(best)[1]
+            used.add(found[k])
     known, changed = {r[0] for r in before}, set()
     for k, _, _ in after:
         if k not in found and k in known and k not in used:
             used.add(k)
             found[k] = k
             changed.add(k)
-    gone = {t for t, rows in by_text.items() if len(rows) > 1 and any(r[0] not in used for r in rows)}
+    gone = {t for t, rows in by_text.items() if copies[t] > 1 and any(k not in used for _, k in rows)}
     out: list[tuple[int, int | None, str]] = []
     for k, text, _ in after:
         old = found.get(k)
@@ -49,14 +54,16 @@ def matched(before: list[Row], after: list[Row]) -> list[tuple[int, int | None,
 def reconciled(before: DataFrame, after: DataFrame) -> DataFrame:
     """``doc_id``, ``sent_idx``, ``was`` and ``state`` of each sentence of ``after``; both sides hold one revision a document."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sides = [sorted(zip(p["sent_idx"], p["sentence"], p["start"], strict=True)) if "start" in p.columns else [] for p in (left, right)]
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("sent_idx")
+        sides = [list(zip(p["sent_idx"], p["sentence"], p["start"], strict=True)) for p in (group[group["side"] == k] for k in (0, 1))]
         rows = matched(*sides)
-        return pd.DataFrame({"doc_id": [key[0]] * len(rows), "sent_idx": [r[0] for r in rows], "was": pd.Series([r[1] for r in rows], dtype=object), "state": pd.Series([r[2] for r in rows], dtype=object)})
+        doc = group["doc_id"].iloc[0]
+        return pd.DataFrame({"doc_id": [doc] * len(rows), "sent_idx": [r[0] for r in rows], "was": pd.Series([r[1] for r in rows], dtype="Int32"), "state": pd.Series([r[2] for r in rows], dtype=object)})
 
     columns = ["doc_id", "sent_idx", "sentence", "start"]
-    pair = before.select(columns).groupBy("doc_id").cogroup(after.select(columns).groupBy("doc_id"))
-    return pair.applyInPandas(run, "doc_id long, sent_idx int, was int, state string")
+    both = before.select(*columns, F.lit(0).alias("side")).unionByName(after.select(*columns, F.lit(1).alias("side")))
+    return both.groupBy("doc_id").applyInPandas(run, "doc_id long, sent_idx int, was int, state string")
 
 
 def tracked(revisions: DataFrame) -> DataFrame:
