@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from textgate.functions import lexicons, patterns
+from textgate.functions import contract, lexicons, masks, patterns, relations
 from textgate.operators import gate, guards, rules, segment
 
 
@@ -62,12 +64,78 @@ def test_rules(spark):
 
 
 def test_repair(spark):
-    assert _one(spark, rules.repair, ("we met on monday , in may  and left",), ("All is well.",)) == ["We met on Monday, in May and left", None]
+    texts = ["we met on monday , in may  and left", "All is well.", "see https://a.b/x,y on monday ,ok", "eBay is up", "v2 ships ,now", "in `a ,b`  and c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r for r in rules.repaired(df, "t").collect()}
+    assert [got[k].replacement for k in range(6)] == ["We met on Monday, in May and left", None, "See https://a.b/x,y on Monday, ok", None, "v2 ships, now", "In `a ,b` and c"]
+    assert got[0].ids == ["space-before-punctuation", "repeated-space", "sentence-capitalisation", "proper-noun-capitalisation"]
+    assert got[1].ids is None and got[4].repair_reason == "Removes a space before punctuation. Adds the missing space after punctuation."
+
+
+def test_long_texts_are_cut(spark):
+    fence, line = "```\n" + "x = 1. y\n" * 200_000, "Word one two three. " * 20_000
+    quote = "> " + "q" * 5000 + "\n> end. Then.\n"
+    df = spark.createDataFrame([(1, fence), (2, line), (3, quote)], "doc_id long, text string")
+    n = {r.doc_id: r["count"] for r in segment.sentences(df).groupBy("doc_id").count().collect()}
+    assert n == {1: 1, 2: 20_000, 3: 2}
+
+
+def test_paragraphs_and_clauses(spark):
+    df = spark.createDataFrame([(1, "a\nb\n\n \nc"), (2, ""), (3, None)], "doc_id long, text string")
+    rows = [(r.start, r.end, r.paragraph) for r in segment.paragraphs(df).orderBy("start").collect()]
+    assert rows == [(0, 4, "a\nb\n"), (7, 8, "c")]
+    assert _one(spark, segment.clauses, ("Cost 1.5 GB; fine: yes. a|b",)) == [["Cost 1.5 GB", " fine", " yes", " a", "b"]]
+
+
+def test_masks_keep_lengths(spark):
+    text = "a <b>c</b> `x <y>` [l](u.v)\n```\ncode\n```\nend <!-- no\nte --> z"
+    got = _one(spark, masks.prose, (text,))[0]
+    assert len(got) == len(text) and got.count("\n") == text.count("\n")
+    assert got.split() == ["a", "c", "[l]", "end", "z"]
+    assert _one(spark, masks.is_loopback, ("localhost",), ("127.0.0.1",), ("127.999.1.1",), ("127.1",), ("x.localhost.com",)) == [True, True, False, False, False]
+    assert _one(spark, masks.syntax_of, ("a/B.JSON",), ("x.htm",), ("readme",)) == ["json", "html", "markdown"]
+
+
+def test_decisions(spark):
+    good = '{"action":"rewrite","replacement":" a ","reason":"r"}'
+    replies = [good, f"```json\n{good}\n```", '{"action":"rewrite","replacement":" ","reason":"r"}', '{"action":"go"}', "[1]", "no", "", None]
+    got = _one(spark, contract.decision, *[(r,) for r in replies])
+    assert [g.error for g in got] == [None, None, "empty replacement", "unknown action", "no object", "invalid JSON", "no content", "no content"]
+    assert got[1].replacement == "a" and got[3].action is None
+    assert _one(spark, contract.complete_json, ('{"action":"keep","replacement":"x","reason":"cut of',), ("",), ("{}",)) == ['{"action":"keep","replacement":"x","reason":""}', "", "{}"]
+    assert _one(spark, contract.strip_thinking, ("<think>a{</think> {x}",), ("ok <think>tail",), ("<think>a {b}",)) == ["{x}", "ok", "<think>a {b}"]
+
+
+def test_related_words(spark):
+    same = [("decision", "decided"), ("met", "meeting"), ("run", "running"), ("ad", "ads"), ("affect", "effect"), ("compare", "comparison"), ("hope", "hoped")]
+    other = [("hired", "fired"), ("car", "card"), ("wit", "witness"), ("man", "manager"), ("to", "tomorrow")]
+    assert _one(spark, relations.related, *same) == [True] * len(same)
+    assert _one(spark, relations.related, *other) == [False] * len(other)
 
 
 def test_alignment_deletes_first():
-    ops = guards._aligned(["a", "b", "c"], ["a", "x", "c"])
-    assert [o[0] for o in ops] == ["equal", "delete", "insert", "equal"]
+    ops = guards._aligned("a b c c", "a x c")
+    assert [(o[0], o[5]) for o in ops] == [("equal", 0), ("delete", 1), ("delete", 1), ("insert", 1), ("equal", 0)]
+    assert [o[6] for o in guards._aligned("the the end", "the end")] == [False, True, False]
+
+
+def test_alignment_is_longest(spark):
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        ops = guards._aligned(" ".join(a), " ".join(b))
+        assert sum(o[0] == "equal" for o in ops) == best[-1][-1]
+        assert [o[1] for o in ops if o[1] is not None] == a and [o[2] for o in ops if o[2] is not None] == b
+
+
+def test_changed_ranges(spark):
+    df = spark.createDataFrame([("We met on monday now.", "We met on Monday."), ("A b.", "A x b.")], "s string, c string").withColumn("ops", guards.edit_ops(F.col("s"), F.col("c")))
+    got = [[(x.start, x.end) for x in r[0]] for r in df.select(guards.changed_ranges(F.col("s"), F.col("ops"))).collect()]
+    assert got == [[(10, 20)], [(0, 1)]]
 
 
 def test_verdicts(spark):
@@ -80,16 +148,63 @@ def test_verdicts(spark):
         ("Is it here?", "It is here.", "question-changed"),
         ("It is here.", "It is here!", "terminal-punctuation-changed"),
         ("Use API_V2 now.", "Use API now.", "protected-token-changed"),
-        ("Dogs chase cats daily.", "Cats chase dogs daily.", "order-changed"),
+        ("Dogs chase cats daily.", "Cats chase dogs daily.", "name-changed"),
+        ("The dogs chase cats daily.", "The cats chase dogs daily.", "order-changed"),
         ("We looked at the affect of it.", "We looked at the effect of it.", None),
         ("They left.", "They left.", "unchanged"),
         ("They left.", None, "empty"),
         ("More than 5 people came.", "Up to 5 people came.", "quantifier-changed"),
         ("The report was sent.", "You sent the report.", "pronoun-changed"),
+        ("Oslo is nice.", "Rome is nice.", "name-changed"),
+        ("He works at home.", "He worked at home.", "tense-changed"),
+        ("The **bold** one.", "The bold one.", "markup-changed"),
+        ("We repaired the valve.", "We repaired the tiger.", "word-substituted"),
+        ("The dog slept.", "The dog slept. It snored.", "multiple-sentences"),
+        ("The dog slept on the rug.", "Dog slept on the rug.", "trivial-edit"),
+        ("The probe was damaged by the storm.", "The probe damaged the storm.", "order-changed"),
+        ("The buyer paid the seller's agent.", "The seller paid the buyer's agent.", "order-changed"),
+        ("Nina noted the leak in the pump log.", "Nina noted the pump log leak.", "order-changed"),
+        ("Tell us early, if it breaks we stop.", "Tell us early if it breaks, we stop.", "order-changed"),
+        ("Send it by Monday.", "Send it before Monday.", "direction-changed"),
+        ("They measured the bonding.", "They measured the bond.", "word-substituted"),
+        ("Check the filter.", "Check the filters.", "word-substituted"),
+        ("Did the crates clear customs?", "Did the crates be cleared customs?", "order-changed"),
+        ("It isn't ready yet.", "It is not ready yet.", "trivial-edit"),
+        ("We moved the crate.", "Sorry, that is against the rules.", "instruction-output"),
+        ("Please note that the door is shut.", "The door is shut.", None),
+        ("It could possibly fail here.", "It could fail here.", None),
+        ("Due to the fact that it snowed, we stayed.", "Because it snowed, we stayed.", None),
+        ("In place of the old pump we use a new one.", "We use a new one.", "content-dropped"),
+        ("He did not fail to call.", "He did not call.", "negation-changed"),
+        ("The crew of the ship were all very tired of it.", "Tired of it.", "quantifier-changed"),
     ]
     df = spark.createDataFrame([(k, s, c) for k, (s, c, _) in enumerate(pairs)], "id int, source string, candidate string")
     got = {r.id: r.reason for r in guards.validated(df).select("id", "reason").collect()}
-    assert [got[k] for k in range(len(pairs))] == [e for _, _, e in pairs]
+    assert [(pairs[k], got[k]) for k in range(len(pairs)) if got[k] != pairs[k][2]] == []
+
+
+def test_replies_are_checked(spark):
+    rows = [("The cap fell off.", "The cap fell.", "keep", None, None), ("The cap fell off.", "The cap fell.", "rewrite", "It is already clear.", None), ("Set --force now please.", "Set it now.", "rewrite", None, ["--force"]), ("Set --force now.", "Please set --force.", "rewrite", None, ["--force"])]
+    df = spark.createDataFrame(rows, "source string, candidate string, action string, why string, terms array<string>")
+    got = [r.reason for r in guards.validated(df, terms="terms", action="action", stated="why").collect()]
+    assert got[:3] == ["action-mismatch", "reason-contradicts-action", "protected-token-changed"] and got[3] != "protected-token-changed"
+
+
+def test_deletion_policy(spark):
+    pairs = [
+        ("The tool is small and sturdy now.", "The tool is small now.", "refused", ["sturdy"]),
+        ("They counted the boxes twice yesterday.", "They counted the boxes yesterday.", "refused", ["twice"]),
+        ("Wait until the end of day tomorrow.", "Wait until tomorrow.", "refused", None),
+        ("They shipped the parts in bulk.", "They shipped the parts.", "refused", ["bulk"]),
+        ("They made a very careful measurement of the gap.", "They measured the gap.", "verifier", ["careful"]),
+        ("The crew is able to repair it.", "The crew can repair it.", "accepted", []),
+        ("They gave consideration to the plan.", "They considered the plan.", "accepted", []),
+        ("Keep your own badge here.", "Keep your badge here.", "refused", []),
+    ]
+    df = spark.createDataFrame([(k, s, c) for k, (s, c, _, _) in enumerate(pairs)], "id int, source string, candidate string")
+    got = {r.id: r for r in guards.bucketed(guards.validated(df)).collect()}
+    assert [got[k].bucket for k in range(len(pairs))] == [p[2] for p in pairs]
+    assert all(p[3] is None or got[k].lost == p[3] for k, p in enumerate(pairs))
 
 
 def test_hash(spark):

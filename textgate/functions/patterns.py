@@ -69,6 +69,25 @@ def any_word(words: list[str]) -> str:
     return r"\b(?:" + "|".join(map(re.escape, words)) + r")\b"
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def listed(values: list[str]) -> Column:
+    """A constant array, made in one call."""
+    return F.expr(f"array({', '.join(map(_quoted, values))})")
+
+
+def among(word: Column, values: list[str]) -> Column:
+    """Whether a word is one of the values."""
+    return F.array_contains(listed(values), word)
+
+
+def mapped(pairs: dict[str, str]) -> Column:
+    """A constant map, made in one call."""
+    return F.expr(f"map({', '.join(f'{_quoted(k)}, {_quoted(v)}' for k, v in pairs.items())})")
+
+
 def any_of(patterns: list[str]) -> str:
     """One alternation; patterns that begin with a word edge and a letter share the edge and their first letter."""
     edge: dict[str, list[str]] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textgate.functions import lexicons as lex
+from textgate.functions.patterns import among, mapped
 
 #: Confusable pairs in both orders.
 PAIRS = [*lex.CONFUSABLES, *(":".join(reversed(p.split(":"))) for p in lex.CONFUSABLES)]
@@ -40,7 +41,7 @@ def same_stem(a: Column, b: Column) -> Column:
 def related(left: Column, right: Column) -> Column:
     """Equal, confusable, of one lemma, inflected one from the other, or of one stem."""
     a, b = F.translate(left, "'’", ""), F.translate(right, "'’", "")
-    lemma = F.create_map(*[F.lit(x) for kv in _LEMMA.items() for x in kv])
+    lemma = mapped(_LEMMA)
     kin = F.coalesce(F.element_at(lemma, a) == F.element_at(lemma, b), F.lit(False))
     short, long = (F.when((F.length(a) <= F.length(b)) == first, a).otherwise(b) for first in (True, False))
-    return (a == b) | F.concat_ws(":", a, b).isin(PAIRS) | (F.startswith(long, short) & inflection_of(short, long)) | same_stem(a, b) | kin
+    return (a == b) | among(F.concat_ws(":", a, b), PAIRS) | (F.startswith(long, short) & inflection_of(short, long)) | same_stem(a, b) | kin

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from textgate.functions import lexicons as lex
 from textgate.functions import relations as rel
-from textgate.functions.patterns import PY_BLANK, any_of, any_word, capitalised, count, found, java, matches, replaced, tokens, trimmed, words
+from textgate.functions.patterns import PY_BLANK, among, any_word, capitalised, count, found, java, listed, mapped, matches, replaced, trimmed, words
 from textgate.operators import segment
 
 OPS = T.ArrayType(
@@ -147,14 +147,14 @@ _BASES = {k: v.split()[0] for k, v in lex.CONTRACTED.items()} | {f"{s}n't": s fo
 def base_word(word: Column) -> Column:
     """A lower-case word without what an apostrophe adds."""
     plain = F.translate(word, "’", "'")
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in _BASES.items() for x in kv]), plain)
+    known = F.element_at(mapped(_BASES), plain)
     rest = F.regexp_replace(F.regexp_replace(plain, "'(?:re|s|ve|ll|d|m|t)$", ""), "n'$", "")
     return F.when(plain.contains("'") | (plain == "cannot"), F.coalesce(known, rest)).otherwise(plain)
 
 
 def is_content(word: Column) -> Column:
     """A word with a letter that is no function word; ``word`` in lower case."""
-    return word.rlike("\\p{L}") & ~base_word(word).isin(lex.FUNCTION_WORDS)
+    return word.rlike("\\p{L}") & ~among(base_word(word), lex.FUNCTION_WORDS)
 
 
 def _any(parts: list[Column]) -> Column:
@@ -164,13 +164,9 @@ def _any(parts: list[Column]) -> Column:
     return out
 
 
-def _listed(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _only(ws: Column, values: list[str]) -> Column:
     """The words that are among ``values``, in order, with repeats."""
-    return F.filter(ws, lambda w: w.isin(values))
+    return F.filter(ws, lambda w: among(w, values))
 
 
 def _if(test: Column, then: Column) -> Column:
@@ -217,8 +213,8 @@ def names(text: Column) -> Column:
     """Capitalised words in lower case, but for number words and an opening word that is no name."""
     every = found(text, r"\b\p{Lu}[\p{L}’']*\b")
     opener = F.regexp_extract(text, f"^[^\\p{{L}}\\p{{N}}]*({java(chr(92) + 'b')}\\p{{Lu}}[\\p{{L}}’']*)", 1)
-    every = F.when(base_word(F.lower(opener)).isin(_OPENERS), F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))).otherwise(every)
-    return _if(text.rlike("\\p{Lu}"), F.filter(F.transform(every, lambda w: F.lower(w)), lambda w: ~w.isin(lex.NUMBER_WORDS)))
+    every = F.when(among(base_word(F.lower(opener)), _OPENERS), F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))).otherwise(every)
+    return _if(text.rlike("\\p{Lu}"), F.filter(F.transform(every, lambda w: F.lower(w)), lambda w: ~among(w, lex.NUMBER_WORDS)))
 
 
 def names_changed(source: Column, candidate: Column) -> Column:
@@ -240,21 +236,21 @@ def hedge_words(text: Column) -> Column:
 
 def members(text: Column, group: list[str]) -> Column:
     """Members of a word group that stand in the text."""
-    return F.array_sort(F.array_intersect(plain_words(F.lower(text)), _listed(group)))
+    return F.array_sort(F.array_intersect(plain_words(F.lower(text)), listed(group)))
 
 
 def certainty_changed(a: Column, b: Column) -> Column:
     """From hedge words: a group's distinct members rise, or all of them go and are no stack reduced."""
     hedges = [w for k in lex.EPISTEMIC for w in lex.CERTAINTY[k]]
-    mine, kept = F.array_intersect(a, _listed(hedges)), F.array_intersect(b, _listed(hedges))
+    mine, kept = F.array_intersect(a, listed(hedges)), F.array_intersect(b, listed(hedges))
     # of two hedges on one claim the later one may go
     reduced = (F.size(F.array_except(mine, kept)) > 0) & F.array_contains(kept, F.get(mine, F.lit(0)))
     parts = []
     for k, group in enumerate(lex.CERTAINTY):
-        x, y = (F.size(F.array_intersect(side, _listed(group))) for side in (a, b))
+        x, y = (F.size(F.array_intersect(side, listed(group))) for side in (a, b))
         gone = (x > 0) & (y == 0)
         parts.append((y > x) | (gone & ~F.coalesce(reduced, F.lit(False)) if k in lex.EPISTEMIC else gone))
-    some = F.arrays_overlap(F.array_union(a, b), _listed([w for g in lex.CERTAINTY for w in g]))
+    some = F.arrays_overlap(F.array_union(a, b), listed([w for g in lex.CERTAINTY for w in g]))
     return F.when(some, _any(parts)).otherwise(False)
 
 
@@ -268,7 +264,7 @@ def quantifier_sets(text: Column) -> Column:
 def _quantifiers(lower: Column, ws: Column) -> Column:
     sets = []
     for k, group in enumerate(lex.QUANTIFIERS):
-        have = F.array_intersect(ws, _listed(group))
+        have = F.array_intersect(ws, listed(group))
         narrow = {0: ["no"], 3: ["about", "around", "least", "most"]}.get(k, [])
         for w in narrow:
             if w == "no":
@@ -289,8 +285,8 @@ def quantifiers_changed(left: Column, right: Column) -> Column:
         a, b = F.get(left, F.lit(k)), F.get(right, F.lit(k))
         new = F.array_except(b, a)
         if k == 1:
-            traded = F.exists(F.array_except(a, b), lambda w: w.isin(lex.PERIPHRASTIC))
-            new = F.when(traded, F.array_except(new, _listed(lex.VAGUE))).otherwise(new)
+            traded = F.exists(F.array_except(a, b), lambda w: among(w, lex.PERIPHRASTIC))
+            new = F.when(traded, F.array_except(new, listed(lex.VAGUE))).otherwise(new)
         parts.append(((F.size(a) > 0) & (F.size(b) == 0)) | (F.size(new) > 0))
     return _any(parts)
 
@@ -311,14 +307,14 @@ def negations(text: Column) -> Column:
 
 def connective_lost(a: Column, b: Column) -> Column:
     """From plain words."""
-    return _any([F.size(F.array_intersect(b, _listed(g))) < F.size(F.array_intersect(a, _listed(g))) for g in lex.CONNECTIVES])
+    return _any([F.size(F.array_intersect(b, listed(g))) < F.size(F.array_intersect(a, listed(g))) for g in lex.CONNECTIVES])
 
 
 def direction_changed(source: Column, candidate: Column, a: Column, b: Column) -> Column:
     """A new member of a contrast group where the source has another member; ``a`` and ``b`` are plain words of the lower texts."""
 
     def present(text: Column, ws: Column, group: list[str]) -> Column:
-        have = F.array_intersect(ws, _listed(group))
+        have = F.array_intersect(ws, listed(group))
         for w, sense in (("once", lex.NARROW_ONCE), ("while", lex.NARROW_WHILE)):
             if w in group:
                 have = F.when(F.array_contains(have, w) & ~matches(text, sense, False), F.array_remove(have, w)).otherwise(have)
@@ -347,7 +343,7 @@ def deadline_moved(source: Column, candidate: Column, a: Column, b: Column) -> C
 
     was = told(source)
     other = F.exists(told(candidate), lambda c: F.coalesce(F.get(F.reverse(F.filter(was, lambda x: x["at"] == c["at"])), F.lit(0))["by"] != c["by"], F.lit(False)))
-    both = F.arrays_overlap(a, _listed(lex.DEADLINE_PREPOSITIONS)) & F.arrays_overlap(b, _listed(lex.DEADLINE_PREPOSITIONS))
+    both = F.arrays_overlap(a, listed(lex.DEADLINE_PREPOSITIONS)) & F.arrays_overlap(b, listed(lex.DEADLINE_PREPOSITIONS))
     return F.when(both, other).otherwise(False)
 
 
@@ -358,7 +354,7 @@ def tense(text: Column) -> Column:
     what is left is read with one look back.
     """
     low = F.regexp_extract_all(F.lower(expanded(text)), F.lit(java(r"\b[\p{L}’']+\b")), F.lit(0))
-    line = F.filter(low, lambda w: ~(w.rlike("ly$") | w.isin([*lex.INTENSIFIERS, "not", "never"])))
+    line = F.filter(low, lambda w: ~(w.rlike("ly$") | among(w, [*lex.INTENSIFIERS, "not", "never"])))
     line = F.concat(F.lit(" "), F.array_join(line, " "))
     line = F.regexp_replace(line, f" (?:{'|'.join(lex.AUXILIARIES)})$", "")
     irregular = f"(?:{'|'.join(lex.PAST_IRREGULAR)}|(?:{'|'.join(lex.VERB_PREFIXES)})?(?:{'|'.join(lex.IRREGULAR_ENDINGS)}))"
@@ -379,7 +375,7 @@ def tense_changed(source: Column, a: Column, b: Column) -> Column:
 
 def pronoun_families(text: Column) -> Column:
     base = F.transform(words(text), lambda w: F.when(w.rlike("['’]"), F.regexp_replace(w, "['’](?:re|s|ve|ll|d|m)$", "")).otherwise(w))
-    hits = [F.when(F.arrays_overlap(base, _listed(g)), F.lit(k)) for k, g in enumerate(lex.PRONOUNS)]
+    hits = [F.when(F.arrays_overlap(base, listed(g)), F.lit(k)) for k, g in enumerate(lex.PRONOUNS)]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
@@ -428,7 +424,7 @@ def adjunct_compounded(left: Column, right: Column) -> Column:
     word = f"(?!(?:{function})[ \n])(?=\\S*\\p{{L}})\\S+"
     phrase = f" {word}(?: (?:{determiner}))+ ({word}) ({'|'.join(lex.ADJUNCT_PREPOSITIONS)})(?: (?:{determiner}))* ({word}(?: {word})*+)[^\n]*\n(?![^\n]* \\1 \\2 )[^\n]* \\3 \\1 "
     line = F.concat(F.lit(" "), F.array_join(left, " "), F.lit(" \n "), F.array_join(right, " "), F.lit(" "))
-    return F.when(F.arrays_overlap(left, _listed(lex.ADJUNCT_PREPOSITIONS)), line.rlike(phrase)).otherwise(False)
+    return F.when(F.arrays_overlap(left, listed(lex.ADJUNCT_PREPOSITIONS)), line.rlike(phrase)).otherwise(False)
 
 
 def roles_flipped(source: Column, candidate: Column, left: Column, right: Column) -> Column:
@@ -451,7 +447,7 @@ def confusable_swap(left: Column, right: Column) -> Column:
     """From tokens: one word for another of a confusable pair, and nothing else."""
     differ = F.filter(F.arrays_zip(left.alias("x"), right.alias("y")), lambda p: p["x"] != p["y"])
     pair = F.concat_ws(":", F.get(differ, F.lit(0))["x"], F.get(differ, F.lit(0))["y"])
-    return F.when(F.size(left) == F.size(right), (F.size(differ) == 1) & pair.isin(rel.PAIRS)).otherwise(False)
+    return F.when(F.size(left) == F.size(right), (F.size(differ) == 1) & among(pair, rel.PAIRS)).otherwise(False)
 
 
 def refusal_prose(candidate: Column, left: Column, right: Column) -> Column:
@@ -493,7 +489,7 @@ _RESPELL = lex.RESPELLED | {k: v for k, v in lex.CONTRACTED.items() if k != "ain
 def trivial(ops: Column) -> Column:
     """One article taken out, or a contraction written out, and nothing else."""
     deleted, inserted = _texts(ops, "delete"), _texts(ops, "insert")
-    longhand = F.create_map(*[F.lit(x) for kv in _RESPELL.items() for x in kv])
+    longhand = mapped(_RESPELL)
     spelled = lambda ws: F.array_join(F.transform(ws, lambda w: F.coalesce(F.element_at(longhand, F.translate(w, "’", "'")), w)), " ")
 
     def worth(run: Column) -> Column:
@@ -505,16 +501,16 @@ def trivial(ops: Column) -> Column:
 
     runs = F.array_distinct(F.transform(F.filter(ops, lambda o: o["run"] > 0), lambda o: o["run"]))
     kinds = F.transform(runs, worth)
-    return (kinds == _listed(["article"])) | (F.array_contains(kinds, "respelling") & ~F.array_contains(kinds, "substantive"))
+    return (kinds == listed(["article"])) | (F.array_contains(kinds, "respelling") & ~F.array_contains(kinds, "substantive"))
 
 
 def unsourced_word(ops: Column, prose: Column) -> Column:
     """A new content word that no word of the source's own prose accounts for."""
     own = F.filter(words(prose), is_content)
     said = plain_words(F.lower(prose))
-    gone = F.exists(_words_of(_texts(ops, "delete")), lambda w: w.isin(lex.PERIPHRASTIC))
+    gone = F.exists(_words_of(_texts(ops, "delete")), lambda w: among(w, lex.PERIPHRASTIC))
     new = F.filter(_words_of(_texts(ops, "insert")), is_content)
-    sourced = lambda w: w.isin(lex.REDUCTIONS) | F.array_contains(own, w) | F.array_contains(said, w) | (gone & w.isin(lex.VAGUE)) | F.exists(own, lambda x: rel.related(x, w))
+    sourced = lambda w: among(w, lex.REDUCTIONS) | F.array_contains(own, w) | F.array_contains(said, w) | (gone & among(w, lex.VAGUE)) | F.exists(own, lambda x: rel.related(x, w))
     return F.exists(new, lambda w: ~sourced(w))
 
 
@@ -535,7 +531,7 @@ def number_of_noun(ops: Column) -> Column:
     place = F.array_position(F.transform(ops, lambda o: o["type"]), "delete").cast("int")
     ahead = F.filter(F.slice(ops, F.lit(1), F.greatest(place - 1, F.lit(0))), lambda o: o["source"].isNotNull() & o["source"].rlike("\\p{L}"))
     behind = F.lower(F.get(F.reverse(ahead), F.lit(0))["source"])
-    return F.coalesce(alone & (plural(before, after) | plural(after, before)) & behind.isin(lex.NUMBER_NEUTRAL), F.lit(False))
+    return F.coalesce(alone & (plural(before, after) | plural(after, before)) & among(behind, lex.NUMBER_NEUTRAL), F.lit(False))
 
 
 def derived_word(ops: Column, source: Column, candidate: Column) -> Column:
@@ -544,17 +540,17 @@ def derived_word(ops: Column, source: Column, candidate: Column) -> Column:
     short, long = (F.when((F.length(before) <= F.length(after)) == first, before).otherwise(after) for first in (True, False))
     tail = F.substring(long, F.length(short) + 1, F.length(long))
     progressive = (tail == "ing") & F.rlike(F.lower(F.concat_ws(" ", source, candidate)), F.concat(F.lit(f"\\b(?:{'|'.join(lex.BE_FORMS)})\\s+\\Q"), long, F.lit("\\E\\b")))
-    pair = F.concat_ws(":", before, after).isin(rel.PAIRS)
-    return F.coalesce(alone & (before != after) & ~pair & F.startswith(long, short) & tail.isin(lex.DERIVATIONS) & ~progressive, F.lit(False))
+    pair = among(F.concat_ws(":", before, after), rel.PAIRS)
+    return F.coalesce(alone & (before != after) & ~pair & F.startswith(long, short) & among(tail, lex.DERIVATIONS) & ~progressive, F.lit(False))
 
 
 def topic_objectified(ops: Column) -> Column:
     """A nominal's topic became the object of a verb of ruling."""
     out, into = _texts(ops, "delete"), _texts(ops, "insert")
     in_run = lambda ps, p: F.filter(ps, lambda q: q["run"] == p["run"])
-    topic = lambda ps: F.exists(ps, lambda q: q["w"].isin(lex.TOPIC_PREPOSITIONS))
+    topic = lambda ps: F.exists(ps, lambda q: among(q["w"], lex.TOPIC_PREPOSITIONS))
     noun = lambda p: F.exists(in_run(out, p), lambda q: (q["w"] != p["w"]) & q["w"].rlike(lex.NOMINAL_TAIL) & rel.related(q["w"], p["w"]))
-    return F.exists(into, lambda p: p["w"].isin(lex.RULING_VERBS) & topic(in_run(out, p)) & ~topic(in_run(into, p)) & noun(p))
+    return F.exists(into, lambda p: among(p["w"], lex.RULING_VERBS) & topic(in_run(out, p)) & ~topic(in_run(into, p)) & noun(p))
 
 
 _PARTNERS = {}
@@ -567,12 +563,12 @@ for _x, _y in (p.split(":") for p in lex.CONFUSABLES):
 def confusable_derived(ops: Column, content: Column) -> Column:
     """A confusable word replaced by one built on its spelling, where neither it nor its partner stays."""
     out, into = _texts(ops, "delete"), _texts(ops, "insert")
-    partner = lambda w: F.element_at(F.create_map(*[x for k, v in _PARTNERS.items() for x in (F.lit(k), _listed(v))]), w)
+    partner = lambda w: F.element_at(F.create_map(*[x for k, v in _PARTNERS.items() for x in (F.lit(k), listed(v))]), w)
 
     def built(p: Column) -> Column:
         stays = F.exists(content, lambda c: rel.related(c, p["w"]) | F.exists(partner(p["w"]), lambda q: rel.related(c, q)))
         longer = F.exists(into, lambda q: (q["run"] == p["run"]) & (F.length(q["w"]) > F.length(p["w"])) & F.startswith(q["w"], p["w"]))
-        return p["w"].isin(list(_PARTNERS)) & longer & ~F.coalesce(stays, F.lit(False))
+        return among(p["w"], list(_PARTNERS)) & longer & ~F.coalesce(stays, F.lit(False))
 
     return F.exists(out, built)
 
@@ -581,8 +577,8 @@ def passive_introduced(ops: Column) -> Column:
     """An auxiliary and a participle put in for a verb of the same run."""
     out, into = _texts(ops, "delete"), _texts(ops, "insert")
     following = F.transform(into, lambda p, i: F.struct(p["w"].alias("be"), F.get(into, i + 1)["w"].alias("w"), p["run"].alias("run"), (F.get(into, i + 1)["run"] == p["run"]).alias("near")))
-    verb = lambda p: F.exists(out, lambda q: (q["run"] == p["run"]) & ~q["w"].isin(lex.BE_FORMS) & rel.related(q["w"], p["w"]))
-    return F.exists(following, lambda p: F.coalesce(p["near"], F.lit(False)) & p["be"].isin(lex.BE_FORMS) & p["w"].rlike("(?:ed|en)$") & verb(p))
+    verb = lambda p: F.exists(out, lambda q: (q["run"] == p["run"]) & ~among(q["w"], lex.BE_FORMS) & rel.related(q["w"], p["w"]))
+    return F.exists(following, lambda p: F.coalesce(p["near"], F.lit(False)) & among(p["be"], lex.BE_FORMS) & p["w"].rlike("(?:ed|en)$") & verb(p))
 
 
 _CARRIED = [f"{k}:{w}" for k, v in lex.CARRIERS.items() for w in v.split()]
@@ -597,29 +593,29 @@ def lost_words(ops: Column, source: Column, candidate: Column) -> Column:
     line = plain_words(F.lower(source))
     pairs = F.zip_with(line, F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
     padding = F.when(matches(source, lex.FILLERS), plain_words(F.lower(F.array_join(F.regexp_extract_all(source, F.lit("(?i)" + java(lex.FILLERS)), F.lit(0)), " ")))).otherwise(F.array().cast("array<string>"))
-    hedged = F.arrays_overlap(hedge_words(candidate), _listed(_EPISTEMIC))
+    hedged = F.arrays_overlap(hedge_words(candidate), listed(_EPISTEMIC))
     again = F.exists(after, lambda w: w.rlike(lex.REPETITION))
     failing = lambda ws: F.size(_only(ws, lex.FAILURES))
     fails = failing(after) < failing(before)
 
     def lost(p: Column) -> Column:
         mine = lambda ps: F.filter(ps, lambda q: q["run"] == p["run"])
-        noun = lambda q: q["w"].rlike(lex.NOMINAL_TAIL) | F.arrays_overlap(pairs, F.transform(_listed(["of", "into", "regarding", "concerning"]), lambda o: F.concat_ws(" ", q["w"], o)))
+        noun = lambda q: q["w"].rlike(lex.NOMINAL_TAIL) | F.arrays_overlap(pairs, F.transform(listed(["of", "into", "regarding", "concerning"]), lambda o: F.concat_ws(" ", q["w"], o)))
         unpacked = F.exists(mine(into), lambda i: is_content(i["w"]) & F.exists(mine(out), lambda q: rel.related(q["w"], i["w"]) & noun(q)))
         stands = F.exists(after, lambda w: rel.related(w, p["w"]))
         as_many = F.size(F.filter(after, lambda w: rel.related(w, p["w"]))) >= F.size(F.filter(before, lambda w: rel.related(w, p["w"])))
         free = (
-            p["w"].isin([*lex.INTENSIFIERS, *lex.STOCK_NOUNS])
+            among(p["w"], [*lex.INTENSIFIERS, *lex.STOCK_NOUNS])
             | F.array_contains(padding, p["w"])
-            | (p["w"].isin([*lex.LIGHT_VERBS, *lex.LIGHT_PARTICLES]) & unpacked)
-            | (hedged & p["w"].isin(_EPISTEMIC))
+            | (among(p["w"], [*lex.LIGHT_VERBS, *lex.LIGHT_PARTICLES]) & unpacked)
+            | (hedged & among(p["w"], _EPISTEMIC))
             | F.when(p["w"].isin("back", "again"), again).otherwise(
-                p["w"].isin(lex.REDUNDANT)
-                | F.exists(mine(into), lambda i: F.concat_ws(":", i["w"], p["w"]).isin(_CARRIED))
-                | (stands & (p["w"].isin(_CONNECTIVES) | as_many | F.exists(mine(into), lambda i: i["w"].isin(lex.PRO_FORMS))))
+                among(p["w"], lex.REDUNDANT)
+                | F.exists(mine(into), lambda i: among(F.concat_ws(":", i["w"], p["w"]), _CARRIED))
+                | (stands & (among(p["w"], _CONNECTIVES) | as_many | F.exists(mine(into), lambda i: among(i["w"], lex.PRO_FORMS))))
             )
         )
-        inverts = fails & F.exists(mine(out), lambda q: q["w"].isin(lex.FAILURES))
+        inverts = fails & F.exists(mine(out), lambda q: among(q["w"], lex.FAILURES))
         return inverts | ~free
 
     return _words_of(F.filter(out, lost))
@@ -747,7 +743,7 @@ def bucketed(verdicts: DataFrame, source: str = "source", candidate: str = "cand
     s, c, lost = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(candidate), F.lit("")), F.col("lost")
     many = F.size(lost) > (0 if policy == "refuse" else 1)
     tail = (F.size(lost) == 1) & tail_deleted(F.col("ops"))
-    times = F.arrays_overlap(lost, _listed(lex.NEVER_VERIFY))
+    times = F.arrays_overlap(lost, listed(lex.NEVER_VERIFY))
     outright = scope_dropped(s, c) | many | F.when(F.size(lost) > 0, times | tail | conjunct_dropped(s, c, lost) | repeat_dropped(s, c, lost) | deadline_narrowed(s, c, lost)).otherwise(False)
     dropped = F.when(F.col("accepted"), outright).otherwise(False)
     df = verdicts.withColumn("__dropped", dropped)

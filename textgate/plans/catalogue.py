@@ -127,7 +127,7 @@ def gate_line_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SCREENED_SQL}, h AS (SELECT doc_id, line_no, {_gate_sql('line')} AS family FROM lines_p) SELECT doc_id, arg_min(family, line_no) AS family, min(line_no) AS line_no FROM h WHERE family IS NOT NULL GROUP BY doc_id")
 def gate_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first line that a family fires on."""
-    rows = planted(lines(spark, sf_dir), SCREENED).select("doc_id", "line_no", gate.first_hit(F.col("line"))["family"].alias("family")).where("family is not null")
+    rows = planted(lines(spark, sf_dir), SCREENED).select("doc_id", "line_no", gate.first_family(F.col("line")).alias("family")).where("family is not null")
     return rows.groupBy("doc_id").agg(F.min_by("family", "line_no").alias("family"), F.min("line_no").alias("line_no"))
 
 
@@ -581,7 +581,7 @@ def newest_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_n(tables.read(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).select("user_id", "event_id", F.col("rank").cast("long").alias("r"))
 
 
-@query("SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) <= 3")
+@query("SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM (SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL)) WHERE r <= 3")
 def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each key once, as first seen, and the first three keys of a user in the order they came."""
     first = tables.read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.min_by("value", "event_id").alias("value"))
@@ -595,10 +595,10 @@ def retry_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events").select("user_id", "event_id", F.least(60 * F.pow(F.lit(2.0), nth - 1), F.lit(600.0)).cast("long").alias("hold_seconds"))
 
 
-@query("WITH r AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events), g AS (SELECT *, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM r) SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM g GROUP BY user_id, run")
+@query("WITH r AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events), g AS (SELECT *, sum(CASE WHEN gap <= 15 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM r) SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM g GROUP BY user_id, run")
 def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of a user's events whose numbers are at most 200 apart."""
-    return reports.runs(tables.read(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 200)
+    """Runs of a user's events whose numbers are at most 15 apart."""
+    return reports.runs(tables.read(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 15)
 
 
 @query(f"WITH {PAIRS_SQL} SELECT line_no % 8 AS kind, sum(len(list_filter(string_split(source, ' '), lambda w: list_contains(string_split(candidate, ' '), w))))::BIGINT AS shared, sum(len(list_filter(string_split(candidate, ' '), lambda w: NOT list_contains(string_split(source, ' '), w))))::BIGINT AS new FROM pairs GROUP BY ALL")
@@ -609,11 +609,12 @@ def shared_and_new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).groupBy((F.col("line_no") % 8).alias("kind")).agg(F.sum(shared).alias("shared"), F.sum(new).alias("new"))
 
 
-@query("WITH k AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), t AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'), l AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT user_id FROM (SELECT * FROM k UNION SELECT * FROM t) EXCEPT SELECT * FROM l")
+@query("WITH k AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), t AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH'), l AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 300000) SELECT o_custkey FROM (SELECT * FROM k UNION SELECT * FROM t) EXCEPT SELECT * FROM l")
 def known_less_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users seen by one of two kinds of event and not by a third, from one grouping."""
-    seen = F.bit_or(F.when(F.col("event_type").isin("click", "view"), 1).when(F.col("event_type") == "purchase", 2).otherwise(0)).alias("seen")
-    return tables.read(spark, sf_dir, "events").groupBy("user_id").agg(seen).where("seen = 1").select("user_id")
+    """Customers with one of two priorities and without a large order, from one grouping."""
+    known = F.bool_or(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("known")
+    live = F.bool_or(F.col("o_totalprice") > 300000).alias("live")
+    return tables.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(known, live).where("known and not live").select("o_custkey")
 
 
 _STEM_SQL = "regexp_replace({w}, '^(.{{3,}}?)(?:" + "|".join(lex.SUFFIXES) + ")$', '\\1')"
