@@ -169,9 +169,14 @@ def iban(text: str, digit: int) -> tuple[int, int] | None:
     m = _IBAN.match(text, digit - 2)
     if not m:
         return None
-    code = m[0].replace(" ", "")
-    value = int("".join(str(int(c, 36)) for c in code[4:] + code[:4]))
-    return m.span() if value % 97 == 1 else None
+    # capital words behind the account are not part of it: the longest whole groups that pass count
+    end = m.end()
+    while end - m.start() >= 15:
+        code = text[m.start() : end].replace(" ", "")
+        if len(code) >= 15 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return m.start(), end
+        end = text.rfind(" ", m.start(), end)
+    return None
 
 
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
