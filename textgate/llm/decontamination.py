@@ -14,7 +14,8 @@ At the similarity limit of 0.75 the distance is 11 bits on average with a spread
 default radius of 24 keeps such a pair with near certainty.
 
 The benchmark's shingles are broadcast only if a count shows that there are few enough;
-otherwise the same join shuffles.  Defined cases: null or empty texts, and texts without words,
+otherwise the same join shuffles.  Very long texts are cut into shingles whole; of windows with equal
+similarity the first counts.  Defined cases: null or empty texts, and texts without words,
 match nothing; an item or text of fewer than five words is one shingle of all its words and
 matches only a whole text of the same words; items with equal texts match alike; repeated
 document rows give one row for each item; rows with a null id give nothing; empty tables give
@@ -72,11 +73,7 @@ def blocks(column: str, number: int) -> Column:
 
 
 def weighted_similarity(a: str, b: str) -> Column:
-    """Sum of smaller over sum of larger counts of two shingle arrays.
-
-    In the sorted union of both, equal hashes stand together: the smaller count of each is found
-    as the length of both less the length of the union with counts.
-    """
+    """Sum of smaller over sum of larger counts of two shingle arrays, which are as long as an item."""
     common = F.aggregate(
         F.array_distinct(F.col(a)),
         F.lit(0),
@@ -99,11 +96,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination = D
 
     # texts of items: a shingle, its place and the window length; equal ones once
     places = items.select(F.posexplode_outer("item_shingles").alias("item_place", "shingle"), "length").distinct()
-    base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), words(text).alias("words"))
-    found = base.withColumn("shingles", shingles("words", n)).select("doc_id", "words", F.posexplode_outer("shingles").alias("place", "shingle"))
-    hits = found.join(small(places), "shingle").where((F.col("length") >= n) | (F.size("words") == F.col("length")))
-    start = F.least(F.greatest(F.col("place") - F.col("item_place"), F.lit(0)), F.greatest(F.size("words") - F.col("length"), F.lit(0)))
-    windows = hits.select("doc_id", "length", start.alias("word_start"), F.slice("words", start + 1, F.col("length")).alias("window"))
+    base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), words(text).alias("words"))
+    # a shingle travels with its place and the text's length alone; words come back once for each text that has a hit
+    found = base.withColumn("shingles", shingles("words", n)).select("doc_id", "mark", F.size("words").alias("n_words"), F.posexplode_outer("shingles").alias("place", "shingle"))
+    hits = found.join(small(places), "shingle").where((F.col("length") >= n) | (F.col("n_words") == F.col("length")))
+    start = F.least(F.greatest(F.col("place") - F.col("item_place"), F.lit(0)), F.greatest(F.col("n_words") - F.col("length"), F.lit(0)))
+    spots = hits.groupBy("doc_id", "mark", F.col("length"), start.alias("word_start")).agg(F.count("*").alias("shared"))
+    spots = spots.select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "length", "word_start")
+    with_words = spots.join(base, (F.col("hit_id") == F.col("doc_id")) & (F.col("hit_mark") == F.col("mark")))
+    windows = with_words.select("doc_id", "length", "word_start", F.slice("words", F.col("word_start") + 1, F.col("length")).alias("window"))
     windows = windows.groupBy("doc_id", "length", "word_start", "window").agg(F.count("*").alias("shared"))
     # a window within the similarity shares at least that part of its shingles in some alignment
     windows = windows.withColumn("shingles", shingles("window", n)).withColumn("print", simhash("shingles"))
@@ -121,9 +122,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination = D
     return out.select("doc_id", "item_id", (-F.col("best.before")).cast("long").alias("word_start"), F.col("best.length").cast("long").alias("n_item_words"), (-F.col("best.closer")).alias("hamming"), F.round("best.similarity", 6).alias("similarity"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination = Decontamination(), doc_id: str = "doc_id") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination = Decontamination(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents, columns unchanged, without those that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, cfg, doc_id=doc_id).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = contaminated(docs, benchmark, cfg, text, doc_id).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col(doc_id) == F.col("__bad"), "left_anti")
 
 
