@@ -16,7 +16,7 @@ vocabulary share one model token and divide its probability by smoothed training
 
 Defined cases: a null or empty text is the end token alone; without training texts all counts
 are zero and the model is uniform over its two special tokens; rows with equal id and text get
-equal scores; a null id is allowed and held out or not as the empty text; an empty table gives
+equal scores; words with equal counts are listed by their hash; very long texts are read whole; a null id is allowed and held out or not as the empty text; an empty table gives
 an empty result.  Other columns are not read.
 """
 
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +183,8 @@ def counts(train: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray,
             cut = np.searchsorted(keys % blocks, np.arange(blocks + 1))
             rows = [(k, _packed(keys[a:b] // blocks, n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             rows.append((-1, _packed(np.zeros(1, np.int64), np.array([docs]))))
-            yield pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["block", "n"])
+            salt = TaskContext.get().partitionId() % 64
+            yield pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["block", "salt", "n"])
 
         for batch in batches:
             for part in _words.slices(batch):
@@ -200,7 +202,9 @@ def counts(train: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray,
         total = _summed([_unpacked(b) for b in group.column("n").to_pylist()])
         return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([_packed(*total)], pa.binary())})
 
-    table = train.select("text").mapInArrow(run, "block int, n binary").groupBy("block").applyInArrow(add, "block int, n binary").toArrow()
+    # in two steps, so that no task adds a block's part of every task
+    parts = train.select("text").mapInArrow(run, "block int, salt int, n binary").groupBy("block", "salt").applyInArrow(add, "block int, n binary")
+    table = parts.groupBy("block").applyInArrow(add, "block int, n binary").toArrow()
     parts, docs = [], 0
     for k, data in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), strict=True):
         keys, n = _unpacked(data)
