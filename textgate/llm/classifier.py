@@ -44,7 +44,9 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: Boosting = Boosting(), max_rows
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), rows], names=["doc_id", "label", "x"])
 
-    table = texts.mapInArrow(run, "doc_id long, label int, x array<double>").toArrow()
+    # an id may stand in several rows, so the bound is set once more on what reaches the driver
+    measured = texts.mapInArrow(run, "doc_id long, label int, x array<double>")
+    table = measured.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(max_rows).toArrow()
     x = np.array(table.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(features.NAMES))
     y = table.column("label").to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, y, table.column("doc_id").to_numpy()))
