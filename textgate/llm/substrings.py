@@ -14,12 +14,14 @@ automata leave open goes to the task that holds its anchor: the smallest hash am
 word runs inside the window.  Equal windows have equal anchors, and neighbouring windows mostly
 share one, so they travel together.  There, sorted by anchor and id, each window's first
 document is the smallest.  Within an anchor 48 bits tell windows apart (the anchor's own 64
-bits come on top).
+bits come on top).  Anchors that a count finds very frequent are split by the window's own
+hash, so a common phrase with different words around it fills no task.
 
 Defined cases: a null text has no words; a text shorter than a window loses nothing; rows with
 a null id are neither compared nor removed from; repeated rows with equal id and text are one
-document and get the same result; an empty table gives an empty result.  Other columns are
-not read.
+document and get the same result; rows of one id with different texts are judged each on its
+own; ties cannot be, as the smaller id decides; very long texts are read whole, in pieces; an
+empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,6 +48,9 @@ class Substrings:
     sample: int = 64
     hot_docs: int = 16
     hot_passages: int = 512
+    #: an anchor of this many sampled windows is split, or of this part of all of them if that is more
+    hot_anchor: int = 256
+    hot_part: int = 100_000
     reach: int = 200
     shard_words: int = 20_000
     run: int = 24
@@ -126,6 +131,33 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def _anchors(words: np.ndarray, rows: np.ndarray, cuts: np.ndarray, cfg: Substrings) -> np.ndarray:
+    """The smallest short-run hash within each window."""
+    if not cuts[-1]:
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(cuts)
+    every = _sliding_min(_words.gram_hashes(words, cfg.anchor), cfg.window - cfg.anchor + 1)
+    return every[np.repeat(rows[:-1], sizes) + np.arange(cuts[-1]) - np.repeat(cuts[:-1], sizes)]
+
+
+def hot_anchors(docs: DataFrame, cfg: Substrings) -> np.ndarray:
+    """Anchors of very many windows, sorted, from a sample of windows; at most ``hot_part`` of them, whatever the input."""
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _words.slices(batch):
+                words, rows = _words.word_hashes(part.column("text"))
+                grams, cuts = _words.row_grams(words, rows, cfg.window)
+                some = np.flatnonzero(_words.mix(grams) % np.uint64(cfg.sample) == 0)
+                key, n = np.unique(_anchors(words, rows, cuts, cfg)[some].view(np.int64), return_counts=True)
+                yield pa.record_batch([pa.array(key), pa.array(n)], names=["anchor", "n"])
+
+    seen = stored(docs.select("text").mapInArrow(sampled, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= cfg.hot_anchor), "anchors")
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = seen.where(F.col("n") >= max(cfg.hot_anchor, total // cfg.hot_part)).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in many], np.int64).view(np.uint64))
+
+
 def hot_automata(docs: DataFrame, cfg: Substrings) -> tuple[np.ndarray, list[SuffixAutomaton]]:
     """Hashes that mark a hot passage, sorted, and the automata of the reference shards."""
 
@@ -193,10 +225,10 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 #: ``head`` packs a run's first window (32 bits), number of windows (5) and mask of covered ones (24).
-SENT = "anchor long, doc_id long, mark int, head long, prints binary"
+SENT = "anchor long, doc_id long, mark short, head long, prints binary"
 
 
-def _send(part: pa.RecordBatch, marks: np.ndarray, shards: list[SuffixAutomaton], cfg: Substrings) -> pa.RecordBatch:
+def _send(part: pa.RecordBatch, marks: np.ndarray, shards: list[SuffixAutomaton], hot: np.ndarray, cfg: Substrings) -> pa.RecordBatch:
     """Runs of windows that share an anchor: those known to be covered as a mask, the others' fingerprints."""
     words, rows = _words.word_hashes(part.column("text"))
     grams, cuts = _words.row_grams(words, rows, cfg.window)
@@ -218,11 +250,12 @@ def _send(part: pa.RecordBatch, marks: np.ndarray, shards: list[SuffixAutomaton]
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     least = np.repeat(doc[order][head], np.diff(np.concatenate([head, [len(key)]]))) if len(key) else doc
     known[order] |= doc[order] > least
-    # anchors: the smallest short-run hash within each window
-    width = cfg.window - cfg.anchor + 1
-    every = _sliding_min(_words.gram_hashes(words, cfg.anchor), width) if len(words) >= cfg.window else np.zeros(0, np.uint64)
     place = np.arange(len(grams)) - np.repeat(cuts[:-1], sizes)
-    anchor = every[np.repeat(rows[:-1], sizes) + place] if len(grams) else every
+    anchor = _anchors(words, rows, cuts, cfg)
+    if len(hot) and len(grams):
+        # equal windows still meet, as both hashes are the same for them
+        split = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+        anchor = np.where(split, _words.mix(anchor ^ grams), anchor)
     new = np.ones(len(grams), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     run = np.flatnonzero(new)
@@ -310,7 +343,7 @@ def repeated_spans(docs: DataFrame, cfg: Substrings = Substrings()) -> DataFrame
     """``doc_id``, ``mark`` and the list of covered windows (start and mask) of documents that have some."""
     valid = docs.where("doc_id is not null")
     marks, shards = hot_automata(valid.select("doc_id", "text"), cfg)
-    shared = docs.sparkSession.sparkContext.broadcast((marks, shards))
+    shared = docs.sparkSession.sparkContext.broadcast((marks, shards, hot_anchors(valid, cfg)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,13 +351,24 @@ def repeated_spans(docs: DataFrame, cfg: Substrings = Substrings()) -> DataFrame
                 yield _send(part, *shared.value, cfg)
 
     sent = valid.mapInArrow(send, SENT).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
-    return sent.mapInArrow(_resolve, "doc_id long, mark int, span long").groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))
+    return sent.mapInArrow(_resolve, "doc_id long, mark short, span long").groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))
+
+
+def _marked(base: DataFrame) -> DataFrame:
+    """Adds ``mark``, which tells the different texts of one id apart: 0 wherever an id has one text."""
+    texts = base.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"))
+    several = stored(texts.groupBy("doc_id").agg(F.array_sort(F.collect_set("hash")).alias("hashes")).where("size(hashes) > 1"), "several")
+    if not several.limit(1).count():
+        return base.withColumn("mark", F.lit(0).cast("short"))
+    numbered = several.select(F.col("doc_id").alias("__id"), F.posexplode("hashes").alias("__mark", "__hash"))
+    joined = base.join(numbered, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    return joined.select("doc_id", "text", F.coalesce("__mark", F.lit(0)).cast("short").alias("mark"))
 
 
 def remove_repeats(docs: DataFrame, cfg: Substrings = Substrings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of every document."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = base.withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
+    base = _marked(base)
     joined = base.join(repeated_spans(base, cfg), ["doc_id", "mark"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
