@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textgate.llm import chat, classifier, decontamination, lm, minhash, mixing, pii, quality_rules, substrings, tokens
+from textgate.llm import boosting, chat, classifier, decontamination, lm, minhash, mixing, pii, quality_rules, substrings, tokens
 from textgate.llm._store import Store
 from textgate.llm.components import components
 
@@ -57,7 +57,7 @@ def test_substrings(docs, texts, empty):
     for d, w in enumerate(words):
         for k in range(len(w) - 12):
             first.setdefault(tuple(w[k : k + 13]), d)
-    for cfg in (substrings.Substrings(hot_docs=3, sample=2), substrings.Substrings(hot_docs=10**6)):
+    for cfg in (substrings.Substrings(hot_docs=3, sample=2), substrings.Substrings(hot_docs=10**6), substrings.Substrings(sample=1, hot_anchor=2, hot_docs=10**6)):
         for r in substrings.remove_repeats(docs, cfg).collect():
             w = words[r.doc_id]
             gone = [False] * len(w)
@@ -69,6 +69,14 @@ def test_substrings(docs, texts, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_repeated_ids(spark):
+    rng = random.Random(17)
+    a, b = prose(rng, 30), prose(rng, 40)
+    rows = [(1, a), (1, a), (2, f"{b} {a}"), (2, b), (3, a), (None, a), (4, b), (5, "")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 30, 0): 2, (2, 70, 30): 1, (2, 40, 0): 1, (3, 30, 30): 1, (None, 30, 0): 1, (4, 40, 40): 1, (5, 0, 0): 1}
+
+
 def test_suffix_automaton_matching_statistics():
     rng = random.Random(2)
     refs = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(5, 40))] for _ in range(8)]
@@ -180,6 +188,26 @@ def test_quality_rules(docs, texts, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_distances(docs, texts):
+    """Both distances against numpy."""
+
+    def distance(p, q):
+        m = (p + q) / 2
+        part = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m) if v > 0)
+        return np.sqrt(max((part(p) + part(q)) / 2, 0))
+
+    for r in quality_rules.quality_rules(docs.where("doc_id < 40")).collect():
+        words = WORD.findall(texts[r.doc_id] or "")
+        letters = "".join(words)
+        counts = {"symbol": sum(c in "#*$%&|<>@^~=+/\\{}[]_" for c in letters), "upper": sum(c.isupper() for c in letters), "mark": sum(c in ".,;:'()-!?0123456789" for c in letters)}
+        classes = np.array([*counts.values(), len(letters) - sum(counts.values())], float) / max(len(letters), 1)
+        common = collections.Counter(w if w in quality_rules.VOCABULARY else w[:1].lower() + w[1:] for w in words)
+        found = [common[w] for w in quality_rules.VOCABULARY]
+        shares = np.array([*found, len(words) - sum(found)], float) / max(len(words), 1)
+        want = [min(distance(x, np.array(ref[k])) for ref in quality_rules.REFERENCES.values()) for x, k in ((classes, "classes"), (shares, "common"))]
+        assert [r.class_distance, r.word_distance] == pytest.approx(want, abs=1e-9)
+
+
 def test_quality_rules_at_any_length(spark):
     rng = random.Random(8)
     made = lambda: "".join(rng.choice("aeinrstlo") for _ in range(rng.randrange(3, 10)))
@@ -217,6 +245,9 @@ def test_personal_data_cues_in_any_case():
         f"İß api_key: '{key}'": "İß api_key: '<ACCOUNT>'",
         "password: Sword!fish": "password: <ACCOUNT>",
         "see HTTPS://A.b/c?d.": "see <URL>.",
+        "pay DE89370400440532013000 AND more": "pay <IBAN> AND more",
+        "to DE89 3704 0044 0532 0130 00, now": "to <IBAN>, now",
+        "not DE89370400440532013001 HERE": "not DE89370400440532013001 HERE",
         "account holders pay; the password is lost": "account holders pay; the password is lost",
         "account" * 50_000 + " 12345": "account" * 50_000 + " <ACCOUNT>",
     }
@@ -267,6 +298,37 @@ def test_classifier_held_out(spark, empty):
     assert classifier.score(empty, model).count() == 0
 
 
+def test_trees_against_a_plain_walk():
+    """Flattened trees give what walking each tree node by node gives."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] + x[:, 1] > 0.3).astype(float)
+    cfg = boosting.Boosting(trees=12, depth=3)
+    forest = boosting.train(x, y, cfg)
+
+    def walk(row):
+        total = forest.start
+        for node in forest.roots:
+            while forest.feature[node] >= 0:
+                node = forest.left[node] + int(row[forest.feature[node]] > forest.threshold[node])
+            total += forest.value[node]
+        return total
+
+    assert forest.margins(x) == pytest.approx([walk(r) for r in x])
+    assert np.mean((forest.predict(x) >= 0.5) == y) > 0.9
+    # the first cut is the best of all
+    p = 1 / (1 + np.exp(-forest.start))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = (-1.0, 0, 0.0)
+    for f in range(4):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, cfg.bins + 1)[1:-1])):
+            low = x[:, f] <= cut
+            if min(low.sum(), (~low).sum()) >= cfg.min_rows:
+                best = max(best, (sum(g[s].sum() ** 2 / (h[s].sum() + cfg.ridge) for s in (low, ~low)), f, cut))
+    root = forest.roots[0]
+    assert (forest.feature[root], forest.threshold[root]) == (best[1], best[2])
+
+
 def test_language_model(docs, texts, empty):
     import math
     import zlib
@@ -389,7 +451,12 @@ def test_decontamination(docs, texts, empty, spark):
     assert got == {(900, 1), (901, 1), (904, 2)}
     kept = decontamination.drop_contaminated(more, bench)
     assert {900, 901, 904} & {r.doc_id for r in kept.collect()} == set() and kept.count() == more.count() - 3
+    shuffled = decontamination.contaminated(more.unionByName(more.where("doc_id = 900")), bench, decontamination.Decontamination(broadcast_shingles=0))
+    assert sorted((r.doc_id, r.item_id) for r in shuffled.collect()) == sorted(got)
     assert decontamination.contaminated(empty, bench).count() == 0
+    assert decontamination.contaminated(more, bench.limit(0)).count() == 0
+    other = more.withColumnRenamed("text", "body").withColumn("text", F.lit("x"))
+    assert decontamination.drop_contaminated(other, bench, text="body").count() == kept.count()
 
 
 def test_preferences(spark):
