@@ -71,7 +71,7 @@ def targets(store: Store, sources: DataFrame, cfg: Mix = Mix()) -> DataFrame:
     return weighed.withColumn("target", share).drop("weight", "stop")
 
 
-def apportion(store: Store, rows: DataFrame, group: str, size: str, quota: str, limit: str, tie: str, small: bool = True, probes: int = 32, few: int = 100_000) -> DataFrame:
+def apportion(store: Store, rows: DataFrame, group: str, size: str, quota: str, limit: str, tie: str, small: bool = True, probes: int = 32, few: int = 10_000) -> DataFrame:
     """Adds ``seats``: each group's ``quota`` dealt by highest quotients ``size / (2 k + 1)``, at most ``limit`` to a row.
 
     Equal quotients go to the smaller ``tie``, which tells the rows of a group apart.  Each pass
