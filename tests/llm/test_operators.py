@@ -451,7 +451,7 @@ def test_decontamination(docs, texts, empty, spark):
     assert got == {(900, 1), (901, 1), (904, 2)}
     kept = decontamination.drop_contaminated(more, bench)
     assert {900, 901, 904} & {r.doc_id for r in kept.collect()} == set() and kept.count() == more.count() - 3
-    shuffled = decontamination.contaminated(more.unionByName(more.where("doc_id = 900")), bench, decontamination.Decontamination(broadcast_shingles=0))
+    shuffled = decontamination.contaminated(more.unionByName(more.where("doc_id = 900")), bench, decontamination.Decontamination(broadcast_shingles=0, broadcast_spots=0))
     assert sorted((r.doc_id, r.item_id) for r in shuffled.collect()) == sorted(got)
     assert decontamination.contaminated(empty, bench).count() == 0
     assert decontamination.contaminated(more, bench.limit(0)).count() == 0

@@ -29,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textgate.llm._store import stored
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -38,6 +40,7 @@ class Decontamination:
     similarity: float = 0.75
     radius: int = 24
     broadcast_shingles: int = 2_000_000
+    broadcast_spots: int = 500_000
 
 
 def words(text: str) -> Column:
@@ -102,8 +105,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination = D
     hits = found.join(small(places), "shingle").where((F.col("length") >= n) | (F.col("n_words") == F.col("length")))
     start = F.least(F.greatest(F.col("place") - F.col("item_place"), F.lit(0)), F.greatest(F.col("n_words") - F.col("length"), F.lit(0)))
     spots = hits.groupBy("doc_id", "mark", F.col("length"), start.alias("word_start")).agg(F.count("*").alias("shared"))
-    spots = spots.select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "length", "word_start")
-    with_words = spots.join(base, (F.col("hit_id") == F.col("doc_id")) & (F.col("hit_mark") == F.col("mark")))
+    spots = stored(spots.select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "length", "word_start"), "spots")
+    # a row of four numbers each: few enough by their count, they go to the texts; otherwise both sides are shuffled
+    near_by = F.broadcast(spots) if spots.count() <= cfg.broadcast_spots else spots.hint("merge")
+    with_words = base.join(near_by, (F.col("hit_id") == F.col("doc_id")) & (F.col("hit_mark") == F.col("mark")))
     windows = with_words.select("doc_id", "length", "word_start", F.slice("words", F.col("word_start") + 1, F.col("length")).alias("window"))
     windows = windows.groupBy("doc_id", "length", "word_start", "window").agg(F.count("*").alias("shared"))
     # a window within the similarity shares at least that part of its shingles in some alignment
