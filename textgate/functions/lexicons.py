@@ -505,3 +505,32 @@ UNTOUCHABLE = "|".join([
 ])
 DAYS_AND_MONTHS = "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()
 MONTH_OR_WORD = "may march august".split()
+
+# Words that explanations of an edit tell apart.
+ARTICLES = "a an the".split()
+AGREEMENT = "is are was were has have had does do did needs need requires require works work sign signs".split()
+
+# What makes a claim-shaped clause no claim.
+CLAIM_GUARDS = {
+    "denied": r"\b(?:not|never|neither|nor|nobody|none|cannot|can't|without|un(?:measured|tested|verified|timed)|dropped|abandoned|rather than|instead of|yet to)\b",
+    "planned": r"\b(?:if|unless|until|would|should|shall|plan|planned|planning|goal|goals|target|criterion|criteria|proposed|intend|intends|aim|aims|re-?measure|go\/no-go)\b",
+    "sourced": r"(?:`[^`]*\.(?:mjs|json|md|txt|yml|yaml|js|gguf)`|\bbench\/|\btests?\/|\bREPORT\.md\b|\bROADMAP\.md\b|\bcorpus\b|\bcorpora\b|\bholdout\b|\bbattery\b|\boracle\b|\bprecision-check\b|\bunlock-check\b|\bMB\/s\b|\bMbps\b|\bXeon\b|\bdatacentre\b|\bdatacenter\b|\b\d+\s*\/\s*\d+\b|\b\d[\d,.]*\s+(?:of|accepted|recorded|refusals|sentences|rows|tests)\b)",
+    "names_the_model": r"\b(?:Qwen[\w.-]*|llama\.cpp|llama-server|GGUF|Ollama|Q6_K|Q4_K_M)\b",
+}
+# Claims as (rule, pattern, what must stand in the same clause, guards that excuse it).
+CLAIMS = [
+    ("marketing/boast", r"\b(?:revolutionary|game[-\s]?chang(?:ing|er)|seamless(?:ly)?|blazing(?:ly)?|cutting[-\s]edge|state[-\s]of[-\s]the[-\s]art|world[-\s]class|effortless(?:ly)?|magical(?:ly)?|unleash(?:es|ed|ing)?|supercharge(?:s|d|ing)?)\b", None, []),
+    ("marketing/multiplier", r"\b10\s?-?\s?x\b", None, []),
+    ("marketing/ai-powered", r"\bAI[-\s]powered\b", None, ["names_the_model"]),
+    ("marketing/exclamation", r"!(?![=\[])", None, []),
+    ("absolute/never-wrong", r"\b(?:never wrong|always right|always correct|100\s*%\s*(?:accurate|correct|precise|safe|reliable)|always preserves|never changes your meaning|cannot change your meaning|can't change your meaning|will not change your meaning)\b", None, []),
+    ("absolute/perfection", r"\bflawless\b|\binfallible\b|(?<!\b(?:past|present|future|to)\s)\bperfect\b(?!\s+(?:aspect|tense|participle))", None, []),
+    ("absolute/guarantee", r"(?<!\b(?:no|not|never|without)\s)(?:\bguarantees\b|\bguaranteed\b|\bguarantee(?=\s+(?:that|to)\b))", None, ["sourced"]),
+    ("absolute/false-positives", r"\b(?:zero|no|0)\s+false\s+(?:positives|negatives)\b", None, ["sourced"]),
+    ("unsupported/install-time", r"\b(?:installs?|installed|installing|installation|set[-\s]?up|setup|provisions?|provisioned|provisioning|up and running)\b", r"\b(?:\d+(?:[.,]\d+)?|one|two|three|four|five|six|seven|eight|nine|ten|fifteen|twenty|thirty)[\s-]*(?:seconds?|secs?|s|minutes?|mins?|hours?)\b", ["denied", "planned", "sourced"]),
+    ("unsupported/register-search", r"\b(?:USPTO|TESS|TSDR|trademark register|trademark database|register of trade\s?marks)\b", r"\b(?:search(?:ed|es|ing)?|check(?:ed|s)?|clear(?:ed|ance)|screen(?:ed)?|looked up|query|queried)\b", ["denied", "planned"]),
+    ("unsupported/platform-performance", r"\b(?:apple[-\s]silicon|metal|windows|(?:2|two)[-\s]core)\b", r"\b(?:p50|p95|latency|milliseconds?|ms|tokens\/s|tok\/s|throughput|faster|fastest|speedup|benchmarked|measured|timed|runs at)\b", ["denied", "planned", "sourced"]),
+]
+# The comment that waives claims, and its body of rules and reason.
+WAIVER = r"<!--\s*forbidden-phrases:\s*allow\b([\s\S]*?)-->"
+WAIVER_BODY = r"^\s*([A-Za-z0-9/,\s-]+?)(?:\s*(?:—|–|--|:)\s*|\s+-\s+)(\S[\s\S]*)$"

@@ -5,23 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TAG, COMMENT, CODE = "<[^>]*>", "(?s)<!--.*?-->", "(`+)(?!`)[^`\\n]+?(?<!`)\\1(?!`)"
-FENCED = "(?ms)^[ \\t]*(`{3,}|~{3,})[^\\n]*+\\n.*?^[ \\t]*\\1[`~]*[ \\t]*$"
-LINK = "(?<=\\])\\([^)\\n]*\\)"
+COMMENT = "(?s)<!--.*?-->"
+TAG = "</?[a-zA-Z][a-zA-Z0-9-]*(?:\\s[^<>]*)?/?>|<![^-][^>]*>"
+#: Code on one line between runs of as many back-ticks.
+CODE = "(?<!`)(`+)(?!`)[^\\n]+?(?<!`)\\1(?!`)"
+#: A fence with at most three blanks before it, to a fence of its kind and length at least, or to the end.
+FENCED = "(?msd)^ {0,3}(`{3,}|~{3,})[^\\n]*+(?:\\n.*?(?:^ {0,3}\\1(?:(?<=`)`*+|(?<=~)~*+)[ \\t]*$|\\z)|\\z)"
+LINK = "(?<=\\]\\()\\s*+(?:<[^>]*>|[^)\\s]*)"
+DEFINITION = "(?md)(?<=^ {0,3}\\[[^\\]\\n]{0,120}\\]:[ \\t]{0,8})[^\\s]+"
+ADDRESS = "<(?:https?|mailto):[^>\\s]*>|(?:https?://|www\\.)[^\\s<>()\\[\\]\"'`]+"
+SCRIPT = "(?is)<(script|style)\\b[^>]*>.*?</\\1\\s*>"
+DESCRIPTION = '(?s)^(.*?"description"\\s*:\\s*")((?:[^"\\\\]++|\\\\.)*+)'
 
 
 def masked(text: Column, pattern: str) -> Column:
     """Each match of ``pattern`` replaced by spaces of its length."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    blanks = F.transform(hits, lambda h: F.regexp_replace(h, "[^\\n]", " "))
-    between = F.split(F.regexp_replace(text, pattern, "\x02"), "\x02")
-    return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("a"), blanks.alias("b")), lambda p: F.array(p["a"], F.coalesce(p["b"], F.lit(""))))), "")
+
+    def blanked(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        pieces = F.arrays_zip(F.split(t, pattern, -1).alias("a"), hits.alias("b"))
+        return F.array_join(F.transform(pieces, lambda p: F.concat(p["a"], F.coalesce(F.regexp_replace(p["b"], "[^\\n]", " "), F.lit("")))), "")
+
+    # bound to a name, so that masks of masks do not repeat their input
+    return F.get(F.transform(F.array(text), blanked), F.lit(0))
 
 
 def prose(text: Column, syntax: str = "markdown") -> Column:
-    """A document's prose with code, comments, tags and link targets masked."""
-    for pattern in {"markdown": (FENCED, COMMENT, CODE, TAG, LINK), "html": (COMMENT, "(?is)<(script|style)\\b[^>]*>.*?</\\1>", TAG)}.get(syntax, ()):
+    """A document's prose with code, comments, tags and link targets masked; of JSON the first description alone stays."""
+    if syntax == "json":
+        blank = lambda part: F.regexp_replace(part, "[^\\n]", " ")
+        head, told = F.regexp_extract(text, DESCRIPTION, 1), F.regexp_extract(text, DESCRIPTION, 2)
+        rest = F.substring(text, F.length(head) + F.length(told) + 1, F.length(text))
+        return F.concat(blank(head), told, blank(rest))
+    steps = {"markdown": (FENCED, COMMENT, CODE, TAG, LINK), "html": (COMMENT, SCRIPT, TAG, LINK)}.get(syntax, ())
+    for pattern in steps:
         text = masked(text, pattern)
+    if steps:
+        text = F.get(F.transform(F.array(text), lambda t: F.when(t.contains("]:"), masked(t, DEFINITION)).otherwise(t)), F.lit(0))
+        text = masked(text, ADDRESS)
     return text
 
 

@@ -124,7 +124,7 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+(?:['’]\\p{L}+)*"), F.lit(0))
 
 
-def fnv1a(text: Column) -> Column:
+def fnv1a(text: Column, seed: int = 2166136261) -> Column:
     """32-bit FNV-1a over UTF-16 units, as eight hex digits; a code point beyond 65535 is two units."""
 
     def unit(four: Column) -> Column:
@@ -132,10 +132,19 @@ def fnv1a(text: Column) -> Column:
 
     hexed = F.hex(F.encode(text, "UTF-16BE"))
     all_units = F.transform(F.sequence(F.lit(1), F.greatest(F.length(hexed), F.lit(4)), F.lit(4)), lambda i: unit(F.substring(hexed, i, F.lit(4))))
-    step = F.aggregate(F.when(F.length(text) > 0, all_units).otherwise(F.array().cast("array<long>")), F.expr("2166136261L"), lambda h, u: (h.bitwiseXOR(u) * F.expr("16777619L")).bitwiseAND(F.expr("4294967295L")))
+    step = F.aggregate(F.when(F.length(text) > 0, all_units).otherwise(F.array().cast("array<long>")), F.expr(f"{seed}L"), lambda h, u: (h.bitwiseXOR(u) * F.expr("16777619L")).bitwiseAND(F.expr("4294967295L")))
     return F.lower(F.lpad(F.hex(step), 8, "0"))
 
 
+def outcome_key(sentence: Column, terms: Column) -> Column:
+    """64 bits, as hex, of a sentence with its protected terms: two hashes of their JSON with different seeds."""
+    body = F.concat(F.regexp_replace(F.to_json(F.array(sentence)), "\\]$", ","), F.to_json(terms), F.lit("]"))
+    # control characters with a letter in their number are written in lower case
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        body = F.regexp_replace(body, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    return F.concat(fnv1a(body), fnv1a(body, 16777619))
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval of ``k`` out of ``n``, clamped to [0, 1]; 0, 0 where n is 0."""
     m = F.greatest(n, F.lit(1)).cast("double")

@@ -27,6 +27,7 @@ OPS = T.ArrayType(
             *(T.StructField(name, T.StringType()) for name in ("type", "source", "target")),
             *(T.StructField(name, T.IntegerType()) for name in ("start", "end", "run")),
             T.StructField("twin", T.BooleanType()),
+            *(T.StructField(name, T.IntegerType()) for name in ("target_start", "target_end")),
         ]
     )
 )
@@ -69,7 +70,8 @@ def _aligned(source: str, candidate: str) -> list[tuple]:
         run += kind != "equal" and (k == 0 or steps[k - 1][0] == "equal")
         twin = kind != "equal" and key[k] in (*key[max(k - 1, 0) : k], *key[k + 1 : k + 2])
         span = left[i].span() if i is not None else (None, None)
-        out.append((kind, left[i][0] if i is not None else None, right[j][0] if j is not None else None, *span, run if kind != "equal" else 0, twin))
+        into = right[j].span() if j is not None else (None, None)
+        out.append((kind, left[i][0] if i is not None else None, right[j][0] if j is not None else None, *span, run if kind != "equal" else 0, twin, *into))
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textgate.operators import guards, rules
+
 
 def zero_filled(counts: DataFrame, key: str, values: list[str], n: str) -> DataFrame:
     """A row for every listed value, 0 where it has none."""
@@ -71,6 +73,57 @@ def scored(rows: DataFrame) -> DataFrame:
     )
 
 
+def verifier_summary(rows: DataFrame) -> DataFrame:
+    """How a verifier's answers ``got`` meet ``expected`` (show or hide), one row; only pairs in its remit count, others are listed by answer."""
+    mine, hide = F.col("inRemit"), F.col("got") == "hide"
+    hides, shows = mine & (F.col("expected") == "hide"), mine & (F.col("expected") == "show")
+    answered = F.coalesce(F.col("got").isin("show", "hide"), F.lit(False))
+    outside = lambda answer: F.count_if(~mine & (F.col("got") == answer))
+    return rows.agg(
+        F.count_if(hides & hide).alias("caught"),
+        F.count_if(hides).alias("hides"),
+        F.count_if(shows & hide).alias("false_hides"),
+        F.count_if(shows).alias("shows"),
+        F.count_if(~answered).alias("unavailable"),
+        outside("hide").alias("outside_hide"),
+        outside("show").alias("outside_show"),
+        F.count_if(~mine & ~answered).alias("outside_unavailable"),
+    )
+
+
+def rescored(rows: DataFrame, policy: str = "verify") -> DataFrame:
+    """A recorded run under the guards as they are now.
+
+    ``rows``: ``source``, ``replacement``, ``rejectedText``, ``action``, ``rejection``, ``modelRejection``,
+    ``by_model``, ``by_rule``.  What the model said, whether it was shown or refused, is judged against the
+    repaired source; a refusal falls back to the rule's answer or the repair.  A single lost word keeps
+    the verifier's recorded verdict.  Failed rows and rows without the model's words stay as they are.
+    Adds ``surfaced``.
+    """
+    was = lambda c: F.col(f"__row.{c}")
+    said = F.coalesce(F.nullif("rejectedText", F.lit("")), F.when(F.col("by_model"), F.nullif("replacement", F.lit(""))))
+    df = rows.select(F.struct(*rows.columns).alias("__row"), F.when(F.col("action") != "failed", said).alias("__said"), F.col("source").alias("__base"))
+    df = rules.repaired(df, "__base").select("__row", "__said", F.coalesce("replacement", "__base").alias("__base"))
+    df = guards.bucketed(guards.validated(df, "__base", "__said"), "__base", "__said", policy)
+    hidden = (was("rejectedText") == F.col("__said")) & ((was("rejection") == "verifier-hidden") | (was("modelRejection") == "verifier-hidden"))
+    same = F.trim("__said") == F.trim(was("source"))
+    reason = F.when(F.col("bucket") == "refused", F.col("reason")).when(same, "unchanged").when((F.col("bucket") == "verifier") & hidden, "verifier-hidden")
+    ruled = was("by_rule") & (was("replacement") != "")
+    floor = F.when(ruled, was("replacement")).when(F.trim("__base") != F.trim(was("source")), F.col("__base")).otherwise("")
+    df = df.select("__row", "__said", reason.alias("__reason"), floor.alias("__floor"))
+    judged, refused, silent = F.col("__said").isNotNull(), F.col("__reason").isNotNull(), F.col("__floor") == ""
+    new = {
+        "action": F.when(refused & silent, "keep").otherwise("rewrite"),
+        "rejection": F.when(refused & silent, F.col("__reason")),
+        "modelRejection": F.col("__reason"),
+        "rejectedText": F.when(refused, F.col("__said")),
+        "by_model": ~refused,
+        "replacement": F.when(refused, F.col("__floor")).otherwise(F.trim("__said")),
+    }
+    shown = F.when(judged, ~refused | ~silent).otherwise((was("action") == "rewrite") & (F.coalesce(was("replacement"), F.lit("")) != ""))
+    return df.select(*[F.when(judged, new[c]).otherwise(was(c)).alias(c) if c in new else was(c).alias(c) for c in rows.columns if c != "surfaced"], shown.alias("surfaced"))
+
+
 def histogram(rows: DataFrame, key: str, n: str = "n") -> DataFrame:
     """Counts of a key's values with their rank, most first and then by value; null values do not count."""
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n))

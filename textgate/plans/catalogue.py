@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from textgate.functions import contract, masks, relations
 from textgate.functions import lexicons as lex
 from textgate.functions import patterns as P
-from textgate.operators import gate, guards, reports, rules, segment
+from textgate.operators import claims, explain, gate, guards, markdown, reports, rules, segment
 from textgate.sources import tables
+from textgate.streaming import requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -473,7 +474,10 @@ def hosts_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.groupBy("host", masks.is_loopback(F.col("host")).alias("loopback")).agg(F.count("*").alias("requests"), F.countDistinct("page_id").alias("pages"))
 
 
-@query("SELECT page_id, length(html) AS n, md5(array_to_string(list_transform(list_zip(string_split_regex(html, '<[^>]*>'), regexp_extract_all(html, '<[^>]*>')), lambda p: p[1] || coalesce(regexp_replace(p[2], '[^\n]', ' ', 'g'), '')), '')) AS masked FROM pages")
+_TAG_SQL = _re2(masks.TAG)
+
+
+@query(f"SELECT page_id, length(html) AS n, md5(array_to_string(list_transform(list_zip(string_split_regex(html, '{_TAG_SQL}'), regexp_extract_all(html, '{_TAG_SQL}')), lambda p: p[1] || coalesce(regexp_replace(p[2], '[^\\n]', ' ', 'g'), '')), '')) AS masked FROM pages")
 def html_mask_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their tags masked by as many spaces."""
     text = masks.masked(F.col("html"), masks.TAG)
@@ -669,3 +673,100 @@ def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("ranges", guards.changed_ranges(F.col("source"), F.col("ops")))
     length = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["end"] - r["start"])
     return rows.groupBy((F.col("line_no") % 8).alias("kind")).agg(F.sum(F.size("ranges")).alias("ranges"), F.sum(length).alias("chars"))
+
+
+# ---- explanations, projection, claims, and the state of requests
+
+
+@query()
+def edit_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the changes of lines are called, by the first word of the explanation."""
+    rows = pairs(spark, sf_dir).withColumn("ops", guards.edit_ops(F.col("source"), F.col("candidate")))
+    said = explain.explained(F.col("ops"), F.col("source"), F.col("candidate"))
+    parts = F.size(explain.diff_parts(F.col("ops")))
+    rows = rows.select((F.col("line_no") % 8).alias("kind"), F.substring_index(said, " ", 1).alias("verb"), parts.alias("parts"))
+    return rows.groupBy("kind", "verb").agg(F.count("*").alias("n"), F.sum("parts").alias("parts"))
+
+
+@query()
+def projected_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewrites of marked-up lines carried back to the source: lines, edits, and how many then read as the rewrite."""
+    rows = pairs(spark, sf_dir).where("not source rlike '[`*_~=|>#\\\\[\\\\]!-]'")
+    rows = rows.withColumn("marked", F.concat(F.lit("> "), F.regexp_replace("source", "^([^ ]+) ([^ ]+)", "**$1** [$2](x)")))
+    rows = rows.withColumn("edits", markdown.source_edits(F.col("marked"), F.col("candidate")))
+    rows = rows.withColumn("again", markdown.projection(markdown.applied(F.col("marked"), F.col("edits"))))
+    return rows.groupBy((F.col("line_no") % 8).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.size("edits")).alias("edits"), F.count_if(F.col("again.text") == F.col("candidate")).alias("exact"))
+
+
+CLAIMED = ["This is a seamless tool", "Setup takes 5 minutes", "Zero false positives on the corpus", "It is perfect", "AI-powered text", "Metal was measured", "Plain"]
+
+
+@query()
+def claim_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims in documents with a claim, and in a third of them a waiver, before their text."""
+    docs = documents(spark, sf_dir)
+    claim = F.get(F.array(*[F.lit(c) for c in CLAIMED]), (F.col("doc_id") % len(CLAIMED)).cast("int"))
+    waiver = F.when(F.col("doc_id") % 3 == 0, "<!-- forbidden-phrases: allow marketing/boast, absolute/perfection - quoted -->\n").otherwise("")
+    text = F.concat(waiver, claim, F.lit(".\n"), F.coalesce("text", F.lit("")))
+    return claims.findings(docs.select("doc_id", text.alias("text"))).groupBy("rule", "waived").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query("WITH r AS (SELECT doc_id % 3 <> 0 AS remit, CASE WHEN n_chars % 2 = 0 THEN 'hide' ELSE 'show' END AS expected, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'error' WHEN 2 THEN 'show' ELSE 'hide' END AS got FROM documents) SELECT count(*) FILTER (remit AND expected = 'hide' AND got = 'hide') AS caught, count(*) FILTER (remit AND expected = 'hide') AS hides, count(*) FILTER (remit AND expected = 'show' AND got = 'hide') AS false_hides, count(*) FILTER (remit AND expected = 'show') AS shows, count(*) FILTER (got IS NULL OR got NOT IN ('show', 'hide')) AS unavailable, count(*) FILTER (NOT remit AND got = 'hide') AS outside_hide, count(*) FILTER (NOT remit AND got = 'show') AS outside_show, count(*) FILTER (NOT remit AND (got IS NULL OR got NOT IN ('show', 'hide'))) AS outside_unavailable FROM r")
+def verifier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verifier's answers, made from the documents, against the labels."""
+    k = F.col("doc_id") % 5
+    got = F.when(k == 0, None).when(k == 1, "error").when(k == 2, "show").otherwise("hide")
+    rows = tables.read(spark, sf_dir, "documents").select((F.col("doc_id") % 3 != 0).alias("inRemit"), F.when(F.col("n_chars") % 2 == 0, "hide").otherwise("show").alias("expected"), got.alias("got"))
+    return reports.verifier_summary(rows)
+
+
+@query()
+def rescored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run recorded over the pairs, judged again, by recorded and new action."""
+    rows = pairs(spark, sf_dir)
+    was = F.col("doc_id") % 4
+    run = rows.select(
+        "source",
+        F.when(was != 1, F.col("candidate")).otherwise("").alias("replacement"),
+        F.when(was == 1, F.col("candidate")).alias("rejectedText"),
+        F.when(was == 0, "failed").when(was == 1, "keep").otherwise("rewrite").alias("action"),
+        F.when(was == 1, "verifier-hidden").alias("rejection"),
+        F.lit(None).cast("string").alias("modelRejection"),
+        (was == 2).alias("by_model"),
+        F.lit(False).alias("by_rule"),
+    )
+    new = reports.rescored(run)
+    return new.groupBy("action", "rejection", "surfaced").agg(F.count("*").alias("n"))
+
+
+_EVENT_SQL = "e AS (SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'view' THEN 'sentence' WHEN 'click' THEN 'set' WHEN 'purchase' THEN 'set' WHEN 'error' THEN 'remove' ELSE 'dismiss' END AS kind, 't' || (event_id % 3) AS text FROM events)"
+
+
+@query(f"WITH {_EVENT_SQL}, s AS (SELECT *, max(CASE WHEN kind = 'set' THEN seq END) OVER w AS ss, max(CASE WHEN kind = 'dismiss' THEN seq END) OVER w AS ds FROM e WINDOW w AS (PARTITION BY id ORDER BY seq)), l AS (SELECT s.id, s.seq, s.kind, s.text, s.ss, s.ds, a.text AS st, b.text AS dt FROM s LEFT JOIN e a ON a.id = s.id AND a.seq = s.ss LEFT JOIN e b ON b.id = s.id AND b.seq = s.ds), g AS (SELECT id, max(ss) AS ss, max(ds) AS ds, max(CASE WHEN kind IN ('remove', 'dismiss') OR (kind = 'sentence' AND st <> text) THEN seq END) AS se, max(CASE WHEN kind = 'sentence' AND dt <> text THEN seq END) AS de FROM l GROUP BY id) SELECT g.id, CASE WHEN se IS NULL OR ss > se THEN a.text END AS suggested, CASE WHEN de IS NULL OR ds > de THEN b.text END AS dismissed FROM g LEFT JOIN e a ON a.id = g.id AND a.seq = g.ss LEFT JOIN e b ON b.id = g.id AND b.seq = g.ds")
+def live_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions and dismissals that a user's events leave."""
+    kind = F.when(F.col("event_type") == "view", "sentence").when(F.col("event_type").isin("click", "purchase"), "set").when(F.col("event_type") == "error", "remove").otherwise("dismiss")
+    rows = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("t"), F.col("event_id") % 3).alias("text"))
+    return requests.live_suggestions(rows)
+
+
+@query("WITH r AS (SELECT user_id AS id, event_id AS seq, event_type AS text, event_id % 4 AS priority, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), n AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY seq) AS entry FROM r), g AS (SELECT id, entry, min(seq) AS since, arg_max(priority, seq) AS priority, count(*) AS n, min(text) AS text FROM n GROUP BY id, entry) SELECT id, entry::BIGINT AS entry, since, priority, n, text, lead(since) OVER (PARTITION BY id ORDER BY entry) AS superseded FROM g")
+def request_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's equal requests in a row as one entry, and what supersedes it."""
+    rows = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), (F.col("event_id") % 4).alias("priority"))
+    return requests.entries(rows, same=("text",)).withColumn("entry", F.col("entry").cast("long"))
+
+
+@query("WITH r AS (SELECT user_id AS id, event_id AS seq, event_type AS text, event_id % 4 AS priority, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), n AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY seq) AS entry FROM r), g AS (SELECT id, entry, min(seq) AS since, arg_max(priority, seq) AS priority, min(text) AS text FROM n GROUP BY id, entry), l AS (SELECT *, lead(since) OVER (PARTITION BY id ORDER BY entry) AS superseded FROM g) SELECT id, since, priority FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, since) AS rank FROM l WHERE text <> 'error') WHERE rank <= 2")
+def served_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two entries of each user that are served next."""
+    rows = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), (F.col("event_id") % 4).alias("priority"))
+    open_ = requests.entries(rows, same=("text",)).where("text <> 'error'")
+    return requests.served(open_, "id", 2).select("id", "since", "priority")
+
+
+@query()
+def outcome_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit keys of benchmark items with their source as the term."""
+    items = tables.read(spark, sf_dir, "benchmark")
+    return items.select("item_id", P.outcome_key(F.col("text"), F.array(F.lit("term"))).alias("key"))
