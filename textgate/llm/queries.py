@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgate.llm import chat, classifier, decontamination, lm, minhash, mixing, pii, quality_rules, substrings, tokens
+from textgate.llm import chat, classifier, decontamination, fuzzy, lm, minhash, mixing, pieces, pii, quality_rules, search, substrings, tokens
 from textgate.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return search.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components they make."""
+    return fuzzy.similar(_documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle forms of all documents."""
+    return pieces.fill_in_middle(_documents(spark, sf_dir)).drop("output")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
@@ -84,6 +99,9 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_simhash": op12_simhash,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -91,4 +109,6 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": decontamination.ORACLE,
     "op6_chat_preferences": chat.ORACLE,
     "op10_minhash": minhash.ORACLE,
+    "op11_ranked_search": search.ORACLE,
+    "op13_fill_in_middle": pieces.ORACLE,
 }
