@@ -128,9 +128,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination = D
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination = Decontamination(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents, columns unchanged, without those that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, cfg, text, doc_id).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc_id) == F.col("__bad"), "left_anti")
+    """The documents, columns unchanged, without those that hold a benchmark item.
+
+    Texts are judged, by their 64-bit hash, not ids: of rows that share an id only those with such a text go, and
+    a row with a null id goes as any other.  A null text holds no item and stays.
+    """
+    bad = contaminated(docs.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text")), benchmark, cfg).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.xxhash64(text) == F.col("__bad"), "left_anti")
 
 
 #: What ``contaminated`` returns, but for ``hamming``, over every aligned window.

@@ -10,7 +10,8 @@ Kinds ``email``, ``ip``, ``card`` and ``phone`` follow fixed base patterns, left
 non-overlapping within a kind; ``url``, ``iban`` and ``account`` are added by this method.
 
 Defined cases: a null or empty text has no spans; rows are read one by one, so repeated rows
-and ties get equal results; an empty table gives an empty result; other columns are not read.
+and ties get equal results; very long texts are read whole, in time in proportion to them; an
+empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ LABEL = DIGITS | LETTERS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "mailto:")
 CUES = ("account", "acct", "konto", "compte", "cuenta", "ssn", "passport")
-SECRETS = ("api_key", "apikey", "token=", "password")
+#: Cues whose value is a secret whatever it looks like, and cues of everyday words, whose value must look like one.
+SECRETS = ("api_key", "api-key", "api key", "apikey", "access_key", "access-key", "access key", "private_key", "private-key", "password", "passwd", "passphrase", "pwd")
+HINTS = ("token", "secret", "credential", "authorization", "bearer")
 _LOWER = {k: k + 32 for k in range(65, 91)}
 URL_STOP = frozenset(" \t\n\r\x0b\x0c<>\"'|\\^`{}")
 MASKS = {k: f"<{k.upper()}>" for k in (*BASE, *ADDED)}
@@ -46,7 +49,7 @@ Span = tuple[str, int, int]
 
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for key, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in sorted(DIGITS)), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES), *((c, "secret") for c in SECRETS)]:
+    for key, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in sorted(DIGITS)), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES), *((c, "secret") for c in SECRETS), *((c, "hint") for c in HINTS)]:
         found.add_word(key, (kind, len(key)))
     found.make_automaton()
     return found
@@ -131,7 +134,9 @@ def url(text: str, at: int, length: int) -> tuple[int, int] | None:
 
 _WORD = r"(?:[ \t]{0,3}(?:number|no|nr|num|id|key|is|#))?"
 _HEAD = re.compile(_WORD + r"[ \t]{0,3}[.:=#]?[ \t]{0,3}(?=[A-Za-z0-9])", re.ASCII | re.IGNORECASE)
-_GIVEN = re.compile(_WORD + r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?", re.ASCII | re.IGNORECASE)
+_NAME = r"(?:[_ -]?(?:key|id|token|value|secret|code|hash|string|phrase))?s?"
+_GIVEN = re.compile(f"(?:{_NAME}|{_WORD})" + r"[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\"']?", re.ASCII | re.IGNORECASE)
+_BORNE = re.compile(r"[ \t]{1,3}[\"']?")
 VALUE = DIGITS | LETTERS | frozenset("_-")
 SECRET_STOP = frozenset(" \t\n\r\x0b\x0c<>\"'`,;")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
@@ -146,20 +151,25 @@ def account(text: str, after: int, dead: int) -> tuple[int, int, bool] | None:
     return m.end(), end, sum(c in DIGITS for c in text[m.end() : end]) >= 4
 
 
-def secret(text: str, after: int) -> tuple[int, int] | None:
-    """What stands after a cue and a colon or equals sign, up to blank or quote: four characters or more of any kind."""
-    if text[after - 1] == "=":
-        start = after + (text[after : after + 1] in ("'", '"'))
-    elif m := _GIVEN.match(text, after):
-        start = m.end()
-    else:
+def secret(text: str, after: int, plain: bool, dead: int) -> tuple[int, int, bool] | None:
+    """What stands after a cue and a colon or equals sign, up to blank or quote, and whether it counts: four characters or more of any kind.
+
+    After an everyday word the value must have eight characters and a digit, and start at ``dead`` or later; one that
+    follows it without a sign, as a bearer's does, must have sixteen.
+    """
+    given = _GIVEN.match(text, after)
+    if not (m := given or (plain and _BORNE.match(text, after))) or (plain and m.end() < dead):
         return None
-    end = start
+    start = end = m.end()
     while end < len(text) and text[end] not in SECRET_STOP:
         end += 1
+    whole = end
     while end > start and text[end - 1] in ".:!?)]}":
         end -= 1
-    return (start, end) if end >= start + 4 else None
+    if not plain:
+        return (start, end, True) if end >= start + 4 else None
+    digit = any(c in DIGITS for c in text[start:end])
+    return (start, end, True) if digit and end >= start + (8 if given else 16) else (start, start if digit else whole, False)
 
 
 def iban(text: str, digit: int) -> tuple[int, int] | None:
@@ -183,7 +193,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
     """All spans, by kind as listed, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE, *ADDED)}
     past = dict.fromkeys(found, 0)  # no span of a kind starts before the last one's end
-    seen_dotted = seen_card = dead = 0
+    seen_dotted = seen_card = dead = plain = 0
     # of the same length, whatever lower() makes of other letters
     for last, (kind, length) in anchors.iter(text.lower() if text.isascii() else text.translate(_LOWER)):
         at = last - length + 1
@@ -212,8 +222,11 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
                 found["url"].append(hit)
                 past["url"] = hit[1]
         elif at >= past["account"]:
-            hit = secret(text, last + 1) if kind == "secret" else None
-            if not hit and (run := account(text, last + 1, dead)):
+            hit = None
+            if kind != "cue" and (run := secret(text, last + 1, kind == "hint", plain)):
+                # a later cue in a run without a digit has none after it either
+                hit, plain = (run[:2], plain) if run[2] else (None, run[1])
+            if not hit and kind != "hint" and (run := account(text, last + 1, dead)):
                 # what follows a later cue in a run with too few digits has too few as well
                 hit, dead = (run[:2], dead) if run[2] else (None, run[1])
             if hit:
@@ -239,10 +252,10 @@ def masked(text: str, found: list[Span]) -> str:
 RESULT = ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, masked string"
 
 
-def personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mask: bool = False) -> DataFrame:
-    """The ``keep`` columns and each text's counts, base digest, spans and, on request, its masked form."""
+def _searched(docs: DataFrame, text: str, keep: tuple[str, ...], mask: bool) -> DataFrame:
+    """The ``keep`` columns as ``keep_0``, ``keep_1``, ... and the result, so that no name of a table clashes."""
     kept = [f"keep_{i}" for i in range(len(keep))]
-    df = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col(text).alias("text"))
+    df = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(text).alias("text"))
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in kept), RESULT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,14 +272,18 @@ def personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
                 columns = list(zip(*rows, strict=True))
                 yield pa.record_batch([*(part.column(k) for k in kept), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=[*kept, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "masked"])
 
-    out = df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mask: bool = False) -> DataFrame:
+    """The ``keep`` columns and each text's counts, base digest, spans and, on request, its masked form."""
     names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans", *(["masked"] if mask else [])]
-    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *names)
+    return _searched(docs, text, keep, mask).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *names)
 
 
 def mask_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The documents with personal data masked and their character counts brought up to date."""
+    """The documents with personal data masked and their character counts brought up to date; columns of any name stay."""
     others = tuple(c for c in docs.columns if c not in (text, n_chars))
-    out = personal_data(docs, text, others, mask=True)
+    out = _searched(docs, text, others, mask=True)
     values = {text: F.col("masked"), n_chars: F.length("masked").cast("long")}
-    return out.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+    return out.select(*[values[c].alias(c) if c in values else F.col(f"keep_{others.index(c)}").alias(c) for c in docs.columns])
