@@ -257,6 +257,16 @@ RULES: list[tuple[str, str, str]] = [
 OPENERS = ["it should be noted that", "it is worth noting that", "it is important to note that", "it is worth mentioning that", "it must be noted that", "please note that"]
 OPENER_FOLLOWERS = "(?:the|a|an|this|these|those|that|our|your|their|his|her|its|my|we|i|it|they|he|she|you|there|no|every|each|all|some|most|many|one)"
 
+# Reasons of rules that are not told by their length, and how the reason of a dropped frame ends.
+RULE_REASONS = {
+    "revert back": "To revert is already to go back.",
+    "based off of": "The usual form is “based on”.",
+    "very unique": "Unique is not a matter of degree.",
+    "completely identical": "Identical is already complete.",
+    "absolutely essential": "Essential is already absolute.",
+}
+FRAME_REASON = "” delays the point without adding to it."
+
 # What may not stand before "in order to/for" and "with the exception of".
 IN_ORDER_BLOCK = r"(?:\b(?:is|are|was|were|am|be|been|being|seem|seems|seemed|look|looks|looked|appear|appears|appeared|remain|remains|remained)\s{1,4})|(?:\b(?:put|puts|putting|keep|keeps|keeping|set|sets|setting|get|gets|getting|got)\b[^,.;:]{0,200})"
 EXCEPTION_BLOCK = r"\b(?:deal|deals|dealt|dealing|cope|copes|coped|coping|end|ends|ended|ending|start|starts|started|starting|begin|begins|began|beginning)\s{1,4}"
@@ -315,15 +325,15 @@ also just only each every all any some both either neither one more most less le
 """.split()
 
 # Patterns of numbers and of tokens that a rewrite must keep as written.
-NUMBER = r"(?:(?<![\p{L}\p{N}])[-−](?:[$€£¥₹]\s?)?)?\b\d+(?:[.,:]\d+)*(?:st|nd|rd|th)?\b%?"
+NUMBER = r"(?:(?<![\p{L}\p{N}])[-−](?:[$€£¥₹]\s?)?)?\b\d+(?:[.,:]\d+(?=(?:st|nd|rd|th)?\b))*+(?:st|nd|rd|th)?\b%?"
 PROTECTED = [
     r"[$€£¥₹]\s?\d[\d.,]*",
-    r"\d[\d.,]*\s?[$€£¥₹]",
+    r"\d[\d.,]{0,80}\s?[$€£¥₹]",
     r"(?i)https?://[^\s<>{}\[\]]+",
-    r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})*\.[A-Za-z]{2,24}\b",
-    r"(?<![\w.@+:/-])(?:/[\w.@+-]+)+",
-    r"\b[A-Za-z]:\\(?:[^\s\\]+\\)*[^\s\\]+",
-    r"(?i)\b[\w-]+\.(?:csv|json|log|md|txt|ya?ml|pdf|js|py|sql|xml|html)\b",
+    r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){0,126}\.[A-Za-z]{2,24}\b",
+    r"(?<![\w.@+:/-])(?:/[\w.@+-]+)++",
+    r"\b[A-Za-z]:\\[^\s\\]+(?:\\[^\s\\]+)*+",
+    r"(?i)\b[\w-]{1,255}\.(?:csv|json|log|md|txt|ya?ml|pdf|js|py|sql|xml|html)\b",
     r"\b(?:[A-Z]{2,}[A-Z0-9_-]*|[A-Za-z]+_[A-Za-z0-9_]+)\b",
     r"\b[A-Za-z]+\d+[A-Za-z0-9]*\b",
     r"\b\d{1,2}:\d{2}\b",
@@ -369,7 +379,7 @@ RESPELLED = {
 
 # Markup that a rewrite must keep, first alternative first.
 MARKUP = "|".join([
-    r"`[^`\n]*`", r"\$\$[^$\n]+\$\$", r"(?<!\d)\$(?![\s\d$])[^$\n]*?(?<!\s)\$", r"(?<!\d)\$\d[^\s$\n]*\$", r"\|", r"!?\[\[[^\]\n]*\]\]", r"!?\[[^\]\n]*\]\([^)\n]*\)",
+    r"`[^`\n]*`", r"\$\$[^$\n]+\$\$", r"(?<!\d)\$(?![\s\d$])[^$\n]*?(?<!\s)\$", r"(?<!\d)\$\d[^\s$\n]*\$", r"\|", r"!?\[\[[^\]\n]{0,1000}\]\]", r"!?\[[^\]\n]{0,1000}\]\([^)\n]{0,1000}\)",
     r"^\s{0,3}#{1,6}(?=\s)", r"^\s{0,3}(?:[-*+]|\d+[.)])(?=\s)", r"^\s{0,3}>+(?=\s|$)",
     r"(?<!\s)(?:\*{1,2}|~~|==)|(?:\*{1,2}|~~|==)(?!\s)", r"(?<![\p{L}\p{N}])_{1,2}|_{1,2}(?![\p{L}\p{N}])",
 ])
@@ -469,24 +479,58 @@ brand end exactly ahead back again future past added mutual advance basic unexpe
 overall total sum new own different various separate individual current still
 """.split()
 REPETITION = "^(?:repeat(?:s|ed|edly|ing)?|repetition|return(?:s|ed|ing)?|revert(?:s|ed|ing)?|resend|resent|resubmit(?:s|ted|ting)?|restart(?:s|ed|ing)?|reissue[ds]?|retry|retries|retried|recur(?:s|red|ring)?|twice|still|re)$"
-_QUANTITIES = "number lot lots plenty amount quantity"
-_OPINIONS, _HOPES, _SURE = "opinion view belief impression", "expectation expectations anticipation", "sure certain make makes made"
-_CLOSE, _LIKELY, _CASES = "close proximity vicinity located situated positioned", "possible possibility chance perhaps likely", "event case condition"
 CARRIERS: dict[str, str] = {
-    "because": "fact account reason due owing light", "although": "spite fact", "though": "spite fact", "soon": "near future shortly",
-    "now": "present moment current currently time point", "later": "subsequent subsequently stage point time", "today": "day",
-    "daily": "day days basis", "weekly": "week weeks basis", "monthly": "month months basis", "quarterly": "quarter quarters basis",
-    "yearly": "year years basis", "annually": "year years basis", "near": _CLOSE, "nearby": _CLOSE,
-    "can": "able ability capability capacity", "cannot": "unable inability ability capability capacity",
-    "must": "necessary necessity mandatory obliged obligation", "may": _LIKELY, "might": _LIKELY,
-    "should": "recommended recommendation advisable advised", "will": "going committed commitment", "would": "going",
-    "tends": "tendency", "tend": "tendency", "if": _CASES, "unless": _CASES, "whether": "question", "ensure": _SURE, "ensures": _SURE,
-    "before": "prior advance ahead", "after": "subsequent subsequently following", "during": "course duration middle midst",
-    "while": "time period", "since": "time point", "believes": _OPINIONS, "believe": _OPINIONS, "believed": _OPINIONS, "thinks": _OPINIONS,
-    "think": _OPINIONS, "expects": _HOPES, "expect": _HOPES, "several": _QUANTITIES + " majority", "many": _QUANTITIES + " majority",
-    "most": _QUANTITIES + " majority", "much": _QUANTITIES + " majority", "some": _QUANTITIES, "few": _QUANTITIES + " minority",
-    "about": "regard regards regarding concerning respect terms relation reference", "this": "present current",
-}
+    "because": "fact account reason due owing light",
+    "although": "spite fact",
+    "though": "spite fact",
+    "soon": "near future shortly",
+    "now": "present moment current currently time point",
+    "later": "subsequent subsequently stage point time",
+    "today": "day",
+    "daily": "day days basis",
+    "weekly": "week weeks basis",
+    "monthly": "month months basis",
+    "quarterly": "quarter quarters basis",
+    "yearly": "year years basis",
+    "annually": "year years basis",
+    "near": "close proximity vicinity located situated positioned",
+    "nearby": "close proximity vicinity located situated positioned",
+    "can": "able ability capability capacity",
+    "cannot": "unable inability ability capability capacity",
+    "must": "necessary necessity mandatory obliged obligation",
+    "may": "possible possibility chance perhaps likely",
+    "might": "possible possibility chance perhaps likely",
+    "should": "recommended recommendation advisable advised",
+    "will": "going committed commitment",
+    "would": "going",
+    "tends": "tendency",
+    "tend": "tendency",
+    "if": "event case condition",
+    "unless": "event case condition",
+    "whether": "question",
+    "ensure": "sure certain make makes made",
+    "ensures": "sure certain make makes made",
+    "before": "prior advance ahead",
+    "after": "subsequent subsequently following",
+    "during": "course duration middle midst",
+    "while": "time period",
+    "since": "time point",
+    "believes": "opinion view belief impression",
+    "believe": "opinion view belief impression",
+    "believed": "opinion view belief impression",
+    "thinks": "opinion view belief impression",
+    "think": "opinion view belief impression",
+    "expects": "expectation expectations anticipation",
+    "expect": "expectation expectations anticipation",
+    "several": "number lot lots plenty amount quantity majority",
+    "many": "number lot lots plenty amount quantity majority",
+    "most": "number lot lots plenty amount quantity majority",
+    "much": "number lot lots plenty amount quantity majority",
+    "some": "number lot lots plenty amount quantity",
+    "few": "number lot lots plenty amount quantity minority",
+    "about": "regard regards regarding concerning respect terms relation reference",
+    "this": "present current",
+}
 LIGHT_VERBS = """
 make makes made take takes took give gives gave put puts perform performs performed conduct conducts conducted carry carries carried undertake
 undertakes undertook provide provides provided hold holds held reach reaches reached
@@ -499,9 +543,9 @@ NEVER_VERIFY = "twice once thrice repeatedly rarely frequently again".split()
 
 # Spans that no repair may reach into, and names of days and months.
 UNTOUCHABLE = "|".join([
-    r"(?i:https?://\S+)", r"\b[\w.+-]{1,64}@[\w.-]{1,255}\.[A-Za-z]{2,24}\S*", r"(?<![\w~/])~?(?:/[^\s/]+)+/?", r"\b[A-Za-z]:\\\S+",
+    r"(?i:https?://\S+)", r"\b[\w.+-]{1,64}@[\w.-]{1,255}\.[A-Za-z]{2,24}\S*", r"(?<![\w~/])~?(?:/[^\s/]+)++/?", r"\b[A-Za-z]:\\\S+",
     r"(?i:\b[\w-]{1,255}\.(?:csv|json|log|md|txt|ya?ml|pdf|js|py|sql|xml|html)\S*)", r"`[^`\n]*`",
-    r"\$\$[^$\n]+\$\$|(?<!\d)\$(?![\s\d$])[^$\n]*?(?<!\s)\$|(?<!\d)\$\d[^\s$\n]*\$", r"!?\[\[[^\]\n]*\]\]", r"!?\[[^\]\n]*\]\([^)\n]*\)",
+    r"\$\$[^$\n]+\$\$|(?<!\d)\$(?![\s\d$])[^$\n]*?(?<!\s)\$|(?<!\d)\$\d[^\s$\n]*\$", r"!?\[\[[^\]\n]{0,1000}\]\]", r"!?\[[^\]\n]{0,1000}\]\([^)\n]{0,1000}\)",
 ])
 DAYS_AND_MONTHS = "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()
 MONTH_OR_WORD = "may march august".split()
@@ -514,7 +558,7 @@ AGREEMENT = "is are was were has have had does do did needs need requires requir
 CLAIM_GUARDS = {
     "denied": r"\b(?:not|never|neither|nor|nobody|none|cannot|can't|without|un(?:measured|tested|verified|timed)|dropped|abandoned|rather than|instead of|yet to)\b",
     "planned": r"\b(?:if|unless|until|would|should|shall|plan|planned|planning|goal|goals|target|criterion|criteria|proposed|intend|intends|aim|aims|re-?measure|go\/no-go)\b",
-    "sourced": r"(?:`[^`]*\.(?:mjs|json|md|txt|yml|yaml|js|gguf)`|\bbench\/|\btests?\/|\bREPORT\.md\b|\bROADMAP\.md\b|\bcorpus\b|\bcorpora\b|\bholdout\b|\bbattery\b|\boracle\b|\bprecision-check\b|\bunlock-check\b|\bMB\/s\b|\bMbps\b|\bXeon\b|\bdatacentre\b|\bdatacenter\b|\b\d+\s*\/\s*\d+\b|\b\d[\d,.]*\s+(?:of|accepted|recorded|refusals|sentences|rows|tests)\b)",
+    "sourced": r"(?:`[^`]*\.(?:mjs|json|md|txt|yml|yaml|js|gguf)`|\bbench\/|\btests?\/|\bREPORT\.md\b|\bROADMAP\.md\b|\bcorpus\b|\bcorpora\b|\bholdout\b|\bbattery\b|\boracle\b|\bprecision-check\b|\bunlock-check\b|\bMB\/s\b|\bMbps\b|\bXeon\b|\bdatacentre\b|\bdatacenter\b|\b\d+\s*\/\s*\d+\b|\b\d[\d,.]{0,40}\s+(?:of|accepted|recorded|refusals|sentences|rows|tests)\b)",
     "names_the_model": r"\b(?:Qwen[\w.-]*|llama\.cpp|llama-server|GGUF|Ollama|Q6_K|Q4_K_M)\b",
 }
 # Claims as (rule, pattern, what must stand in the same clause, guards that excuse it).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-COMMENT = "(?s)<!--.*?-->"
+COMMENT = "(?s)<!--.*?(?:-->|\\z)"
 TAG = "</?[a-zA-Z][a-zA-Z0-9-]*(?:\\s[^<>]*)?/?>|<![^-][^>]*>"
 #: Code on one line between runs of as many back-ticks.
 CODE = "(?<!`)(`+)(?!`)[^\\n]+?(?<!`)\\1(?!`)"
@@ -14,17 +14,22 @@ FENCED = "(?msd)^ {0,3}(`{3,}|~{3,})[^\\n]*+(?:\\n.*?(?:^ {0,3}\\1(?:(?<=`)`*+|(
 LINK = "(?<=\\]\\()\\s*+(?:<[^>]*>|[^)\\s]*)"
 DEFINITION = "(?md)(?<=^ {0,3}\\[[^\\]\\n]{0,120}\\]:[ \\t]{0,8})[^\\s]+"
 ADDRESS = "<(?:https?|mailto):[^>\\s]*>|(?:https?://|www\\.)[^\\s<>()\\[\\]\"'`]+"
-SCRIPT = "(?is)<(script|style)\\b[^>]*>.*?</\\1\\s*>"
+SCRIPT = "(?is)<(script|style)\\b[^>]*>.*?(?:</\\1\\s*>|\\z)"
+#: How a hit of these ends that is closed; one that is open to the text's end is found, so that the search is linear, and left as it is.
+CLOSED = {COMMENT: "--", SCRIPT: "</(?i:script|style)\\s*"}
 DESCRIPTION = '(?s)^(.*?"description"\\s*:\\s*")((?:[^"\\\\]++|\\\\.)*+)'
 
 
 def masked(text: Column, pattern: str) -> Column:
     """Each match of ``pattern`` replaced by spaces of its length."""
+    blank = lambda hit: F.regexp_replace(hit, "[^\\n]", " ")
+    if pattern in CLOSED:
+        blank = lambda hit: F.when(hit.rlike(CLOSED[pattern] + ">\\z"), F.regexp_replace(hit, "[^\\n]", " ")).otherwise(hit)
 
     def blanked(t: Column) -> Column:
         hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
         pieces = F.arrays_zip(F.split(t, pattern, -1).alias("a"), hits.alias("b"))
-        return F.array_join(F.transform(pieces, lambda p: F.concat(p["a"], F.coalesce(F.regexp_replace(p["b"], "[^\\n]", " "), F.lit("")))), "")
+        return F.array_join(F.transform(pieces, lambda p: F.concat(p["a"], F.coalesce(blank(p["b"]), F.lit("")))), "")
 
     # bound to a name, so that masks of masks do not repeat their input
     return F.get(F.transform(F.array(text), blanked), F.lit(0))

@@ -8,9 +8,11 @@ plain word or character calls for them.  Words are aligned last, for pairs that
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,51 @@ OPS = T.ArrayType(
 _TOKEN = re.compile(f"[^\\W_]+(?:['’][^\\W\\d_]+)*|(?:[^\\w{PY_BLANK}]|_)+")
 
 
+#: Cells up to which a table of lists is quicker than rows of numpy.
+_SMALL = 4096
+
+
+def _deletions(a: list[str], b: list[str]) -> Iterator[list[bool] | np.ndarray]:
+    """For each word of ``a``, at which words of ``b`` taking it out leaves as long a common subsequence as passing that word of ``b``.
+
+    Rows of lengths are made from the last to the first and kept once in a stretch, and a stretch is made again
+    when it is read: memory grows with the root of the table's size.
+    """
+    wide = len(b)
+    if len(a) * wide <= _SMALL:
+        best = [[0] * (wide + 1)]
+        for x in reversed(a):
+            below, row = best[-1], [0] * (wide + 1)
+            for j in range(wide - 1, -1, -1):
+                row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
+            best.append(row)
+        for below, row in zip(best[-2::-1], best[::-1], strict=False):
+            yield [below[j] >= row[j + 1] for j in range(wide)]
+        return
+    number = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([number[w] for w in side], np.int32) for side in (a, b))
+
+    def above(below: np.ndarray, i: int) -> np.ndarray:
+        row = np.zeros(wide + 1, np.int32)
+        row[:-1] = np.maximum.accumulate(np.where(y == x[i], below[1:] + 1, below[:-1])[::-1])[::-1]
+        return row
+
+    stretch = math.isqrt(len(a)) + 1
+    row, kept = np.zeros(wide + 1, np.int32), {}
+    for i in range(len(a) - 1, -1, -1):
+        if (i + 1) % stretch == 0 or i == len(a) - 1:
+            kept[i // stretch] = row
+        row = above(row, i)
+    for k in sorted(kept):
+        first, below, bits = k * stretch, kept.pop(k), []
+        for i in range(min(first + stretch, len(a)) - 1, first - 1, -1):
+            row = above(below, i)
+            bits.append(np.packbits(below[:-1] >= row[1:]))
+            below = row
+        for packed in reversed(bits):
+            yield np.unpackbits(packed, count=wide).view(bool)
+
+
 def _aligned(source: str, candidate: str) -> list[tuple]:
     """Longest common subsequence by lower-case token; a deletion goes before an insertion on ties.
 
@@ -44,26 +91,18 @@ def _aligned(source: str, candidate: str) -> list[tuple]:
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
-    wide = len(b) - head
-    best = [[0] * (wide + 1)]
-    for x in reversed(a[head:]):
-        below, row = best[-1], [0] * (wide + 1)
-        for j in range(wide - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == b[head + j] else max(below[j], row[j + 1])
-        best.append(row)
-    best.reverse()
     steps = [("equal", k, k) for k in range(head)]
-    i = j = head
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            steps.append(("equal", i, j))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i - head + 1][j - head] >= best[i - head][j - head + 1]):
-            steps.append(("delete", i, None))
-            i += 1
-        else:
+    j = head
+    for i, deleted in enumerate(_deletions(a[head:], b[head:]), head):
+        while j < len(b) and a[i] != b[j] and not deleted[j - head]:
             steps.append(("insert", None, j))
             j += 1
+        if j < len(b) and a[i] == b[j]:
+            steps.append(("equal", i, j))
+            j += 1
+        else:
+            steps.append(("delete", i, None))
+    steps += [("insert", None, k) for k in range(j, len(b))]
     key = [a[i] if i is not None else b[j] for _, i, j in steps]
     out, run = [], 0
     for k, (kind, i, j) in enumerate(steps):
@@ -197,7 +236,7 @@ def terms_changed(source: Column, candidate: Column, terms: Column) -> Column:
 
     def times(text: Column, term: Column) -> Column:
         edged = term.rlike("^[\\p{L}\\p{N}_]") & term.rlike("[\\p{L}\\p{N}_]$")
-        quoted = F.concat(F.lit("\\Q"), term, F.lit("\\E"))
+        quoted = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
         return F.size(F.split(text, F.when(edged, F.concat(F.lit("(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))).otherwise(quoted)))
 
     return F.exists(F.coalesce(terms, F.array().cast("array<string>")), lambda t: (F.length(t) > 0) & (times(source, t) != times(candidate, t)))
@@ -735,6 +774,20 @@ def _first(guards: list[tuple[str | None, Column]], otherwise: Column) -> Column
     return out.otherwise(otherwise)
 
 
+def deletions(s: Column, c: Column, lost: Column, ops: Column, policy: str = "verify") -> dict[str, Column]:
+    """What a verifier could not judge, by name, in the order of the policy: each true where a pair is refused outright for it."""
+    some = lambda test: F.when(F.size(lost) > 0, test).otherwise(False)
+    return {
+        "count-lost": some(F.arrays_overlap(lost, listed(lex.NEVER_VERIFY))),
+        "conjunct-lost": some(conjunct_dropped(s, c, lost)),
+        "repeat-lost": some(repeat_dropped(s, c, lost)),
+        "deadline-lost": some(deadline_narrowed(s, c, lost)),
+        "scope-lost": scope_dropped(s, c),
+        "many-lost": F.size(lost) > (0 if policy == "refuse" else 1),
+        "tail-lost": F.when(F.size(lost) == 1, tail_deleted(ops)).otherwise(False),
+    }
+
+
 def bucketed(verdicts: DataFrame, source: str = "source", candidate: str = "candidate", policy: str = "verify") -> DataFrame:
     """Adds ``bucket``: refused, verifier (one content word lost) or accepted.
 
@@ -743,10 +796,7 @@ def bucketed(verdicts: DataFrame, source: str = "source", candidate: str = "cand
     "refuse" any lost word.
     """
     s, c, lost = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(candidate), F.lit("")), F.col("lost")
-    many = F.size(lost) > (0 if policy == "refuse" else 1)
-    tail = (F.size(lost) == 1) & tail_deleted(F.col("ops"))
-    times = F.arrays_overlap(lost, listed(lex.NEVER_VERIFY))
-    outright = scope_dropped(s, c) | many | F.when(F.size(lost) > 0, times | tail | conjunct_dropped(s, c, lost) | repeat_dropped(s, c, lost) | deadline_narrowed(s, c, lost)).otherwise(False)
+    outright = _any(list(deletions(s, c, lost, F.col("ops"), policy).values()))
     dropped = F.when(F.col("accepted"), outright).otherwise(False)
     df = verdicts.withColumn("__dropped", dropped)
     bucket = F.when(~F.col("accepted") | F.col("__dropped"), "refused").when(F.size(lost) == 1, "verifier").otherwise("accepted")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,15 +51,16 @@ def classified(current: DataFrame, labels: DataFrame, baseline: DataFrame, key:
     return joined.withColumn("change", change).withColumn("regression", (F.col("label") == "CHANGED") & (F.col("change") == "newly accepted"))
 
 
-def scored(rows: DataFrame) -> DataFrame:
-    """The summary of a run, one row: rows with ``action`` "failed" are in no denominator; rates without rows are 0.
+def scored(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The summary of a run, one row, or one for each value of the keys: rows with ``action`` "failed" are in no denominator, nor their latency; rates without rows are 0.
 
     ``rows``: ``expectedAction``, ``action``, ``surfaced``, ``rejection``, ``milliseconds`` and the stages ``by_model`` and ``by_mechanics``.
     """
     failed = F.col("action") == "failed"
     hit, clean = ~failed & (F.col("expectedAction") == "rewrite"), ~failed & (F.col("expectedAction") == "keep")
     share = lambda a, b: F.when(F.count_if(b) > 0, F.count_if(a & b) / F.count_if(b)).otherwise(0.0)
-    return rows.agg(
+    rows = rows.withColumn("milliseconds", F.when(~failed, F.col("milliseconds")))
+    return rows.groupBy(*keys).agg(
         F.count_if(~failed).alias("scored"),
         F.count_if(hit).alias("positives"),
         F.count_if(hit & F.col("surfaced")).alias("surfaced_on_positives"),
@@ -69,7 +72,7 @@ def scored(rows: DataFrame) -> DataFrame:
         F.count_if(hit & F.col("surfaced") & F.col("by_model")).alias("surfaced_by_model"),
         F.count_if(hit & F.col("surfaced") & F.col("by_mechanics") & ~F.col("by_model")).alias("surfaced_by_mechanics_only"),
         *nearest_rank("milliseconds", {"latency_p50": 0.5, "latency_p95": 0.95}, "long"),
-        F.coalesce(F.max("milliseconds"), F.lit(0)).alias("latency_max"),
+        F.coalesce(F.max("milliseconds"), F.lit(0)).cast("long").alias("latency_max"),
     )
 
 
@@ -124,10 +127,23 @@ def rescored(rows: DataFrame, policy: str = "verify") -> DataFrame:
     return df.select(*[F.when(judged, new[c]).otherwise(was(c)).alias(c) if c in new else was(c).alias(c) for c in rows.columns if c != "surfaced"], shown.alias("surfaced"))
 
 
+def placed(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds each row's place in the order, from 1, without all rows in one task: parts are sorted and numbered, and begin where the parts before end.
+
+    Rows that the order does not tell apart get places of their own in no fixed order.
+    """
+    parts = F.spark_partition_id()
+    ordered = rows.orderBy(*order).withColumn("__part", parts).withColumn("__nth", F.monotonically_increasing_id() - F.shiftleft(parts.cast("long"), 33))
+    sizes = ordered.groupBy("__part").agg((F.max("__nth") + 1).alias("__size"))
+    # one row a part
+    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))
+    return ordered.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__nth") + 1).cast("int")).drop("__part", "__nth", "__before")
+
+
 def histogram(rows: DataFrame, key: str, n: str = "n") -> DataFrame:
     """Counts of a key's values with their rank, most first and then by value; null values do not count."""
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(n), key)))
+    return placed(counts, [F.desc(n), F.asc(key)])
 
 
 def first_and_rest(counts: DataFrame, by: str, key: str, n: str, first: int) -> DataFrame:

@@ -57,6 +57,26 @@ def rules_fired(sentence: Column) -> Column:
     return F.array_intersect(order, F.concat(kept, F.filter(F.array(*checked), lambda p: p.isNotNull())))
 
 
+def _reason(phrase: str, replacement: str) -> str:
+    told = "says no more than" if set(replacement.split()) <= set(phrase.split()) else "is a long way of saying"
+    return lexicons.RULE_REASONS.get(phrase, f"“{phrase.capitalize()}” {told} “{replacement}”.")
+
+
+def rule_ids(phrases: Column) -> Column:
+    """The ids of rules, given by their phrases."""
+    return F.transform(phrases, lambda p: F.replace(p, F.lit(" "), F.lit("-")))
+
+
+def rule_reason(sentence: Column) -> Column:
+    """Why the rules rewrite a sentence: the reason of the frame that is dropped, or else of the first phrase in rule order; null where none stands."""
+    frames = "|".join(lexicons.OPENERS)
+    frame = F.regexp_extract(sentence, f"(?iu)^({frames}){_GAP}(?={java(lexicons.OPENER_FOLLOWERS + _EDGE)})", 1)
+    first = F.get(rules_fired(sentence), F.lit(0))
+    reasons = F.create_map(*[F.lit(x) for p, by, _ in lexicons.RULES for x in (p, _reason(p, by))])
+    lower = F.lower(frame)
+    return F.when(frame != "", F.concat(F.lit("“"), F.upper(F.substring(lower, 1, 1)), F.substring(lower, 2, 2**31 - 1), F.lit(lexicons.FRAME_REASON))).otherwise(F.element_at(reasons, first))
+
+
 def guard_tokens(text: Column) -> Column:
     """What a repair may not change: untouchable spans and protected tokens, sorted."""
     return F.sort_array(F.concat(F.transform(F.regexp_extract_all(text, F.lit(java(lexicons.UNTOUCHABLE)), F.lit(0)), lambda t: F.trim(t)), protected(text)))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ _QUOTE = re.compile(r"[ \t]*>")
 _ITEM = re.compile(r"[ \t]{0,32}(?:[-*+][ \t]|[0-9]{1,12}[.)][ \t])")
 _FULL = re.compile(f"[^{PY_BLANK}]")
 _STOP = re.compile("[.!?…]")
+_LINE = re.compile("[^\n]*\n|[^\n]+")
 _TAIL = re.compile(f"[.!?…]*[{_CLOSERS}]*(?:[*~`_]++(?![^\\W_]))?[{_CLOSERS}]*[ \\t]*\\r?\\n?")
 _MARKER = re.compile(r"(?:\A|\n)[ \t]*[0-9]+\Z")
 _WORD = re.compile(r"(?:[^\W\d_]|\.)+\Z")
@@ -167,14 +168,42 @@ def sentences(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], "sent_idx", "sentence", "start", "end", "complete")
 
 
+def paragraph_spans(text: str) -> Iterator[Piece]:
+    """Start and end of each run of lines that are not blank, with the end of its last line."""
+    start = at = 0
+    for line in _LINE.findall(text):
+        if not line.strip(" \t\n\r\x0b\x0c"):
+            if start < at:
+                yield start, at
+            start = at + len(line)
+        at += len(line)
+    if start < at:
+        yield start, at
+
+
 def paragraphs(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus ``start``, ``end`` and ``paragraph``: runs of lines that are not blank."""
-    rows = docs.select(*keep, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "(?<=\\n)")).alias("line", "body"))
-    order = Window.partitionBy(*keep).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blank = ~F.col("body").rlike("\\S")
-    rows = rows.withColumn("end", F.sum(F.length("body")).over(order)).withColumn("run", F.sum(blank.cast("int")).over(order)).where(~blank)
-    whole = rows.groupBy(*keep, "run").agg(F.min(F.col("end") - F.length("body")).alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "").alias("paragraph"))
-    return whole.drop("run")
+    """``keep`` columns plus ``start``, ``end`` and ``paragraph``: runs of lines that are not blank.
+
+    Rows are cut one by one: rows that share their ``keep`` columns, and repeated rows, have their own paragraphs.
+    """
+    kept = [f"keep_{i}" for i in range(len(keep))]
+    df = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col(text).alias("text"))
+    schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in kept), "start long, end long, paragraph string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, ends, parts = [], [], [], []
+            for row, value in enumerate(batch.column("text")):
+                whole = value.as_py() or ""
+                for a, b in paragraph_spans(whole):
+                    rows.append(row)
+                    starts.append(a)
+                    ends.append(b)
+                    parts.append(whole[a:b])
+            where = pa.array(rows, pa.int64())
+            yield pa.record_batch([*(batch.column(k).take(where) for k in kept), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(parts, pa.string())], names=[*kept, "start", "end", "paragraph"])
+
+    return df.mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], "start", "end", "paragraph")
 
 
 def clauses(text: Column) -> Column:

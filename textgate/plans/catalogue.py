@@ -631,7 +631,7 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy(relations.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
-@query("WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'keep' ELSE 'rewrite' END AS action, CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'rewrite' END AS expected, doc_id % 5 > 1 AND n_chars > 500 AS surfaced, n_chars AS ms, lang = 'en' AS m FROM documents), s AS (SELECT *, action <> 'failed' AND expected = 'rewrite' AS p, action <> 'failed' AND expected = 'keep' AS c FROM r) SELECT count(*) FILTER (action <> 'failed') AS scored, count(*) FILTER (p) AS positives, count(*) FILTER (p AND surfaced) AS surfaced_on_positives, count(*) FILTER (p AND surfaced) / count(*) FILTER (p) AS recall, count(*) FILTER (c) AS cleans, count(*) FILTER (c AND surfaced) AS false_positives, count(*) FILTER (c AND surfaced) / count(*) FILTER (c) AS false_positive_rate, count(*) FILTER (action = 'failed') AS failures, count(*) FILTER (p AND surfaced AND m) AS surfaced_by_model, count(*) FILTER (p AND surfaced AND NOT m) AS surfaced_by_mechanics_only, quantile_disc(ms, 0.5) AS latency_p50, quantile_disc(ms, 0.95) AS latency_p95, max(ms) AS latency_max FROM s")
+@query("WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'keep' ELSE 'rewrite' END AS action, CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'rewrite' END AS expected, doc_id % 5 > 1 AND n_chars > 500 AS surfaced, n_chars AS ms, lang = 'en' AS m FROM documents), s AS (SELECT *, action <> 'failed' AND expected = 'rewrite' AS p, action <> 'failed' AND expected = 'keep' AS c FROM r) SELECT count(*) FILTER (action <> 'failed') AS scored, count(*) FILTER (p) AS positives, count(*) FILTER (p AND surfaced) AS surfaced_on_positives, count(*) FILTER (p AND surfaced) / count(*) FILTER (p) AS recall, count(*) FILTER (c) AS cleans, count(*) FILTER (c AND surfaced) AS false_positives, count(*) FILTER (c AND surfaced) / count(*) FILTER (c) AS false_positive_rate, count(*) FILTER (action = 'failed') AS failures, count(*) FILTER (p AND surfaced AND m) AS surfaced_by_model, count(*) FILTER (p AND surfaced AND NOT m) AS surfaced_by_mechanics_only, quantile_disc(ms, 0.5) FILTER (action <> 'failed') AS latency_p50, quantile_disc(ms, 0.95) FILTER (action <> 'failed') AS latency_p95, max(ms) FILTER (action <> 'failed') AS latency_max FROM s")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of a run whose rows are made from the documents."""
     k = F.col("doc_id") % 5
