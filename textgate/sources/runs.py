@@ -20,7 +20,7 @@ STAGES = ("mechanics", "rule", "grammar", "model")
 def report_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """``run``, ``file``, ``sha256``, ``bytes``, the parsed ``report`` and ``error`` of every file below a folder whose name fits the pattern.
 
-    A file is read whole, with its digest, by one task; files that are no report have an ``error`` and no ``report``.  It is an error if no file fits.
+    A file is read whole, with its digest, by one task; files that are no report have an ``error`` and no ``report``.  It is an error if no file fits.  Spark skips files without a byte.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     if found.select("path").isEmpty():

@@ -32,8 +32,8 @@ def history(spark: SparkSession, root: str) -> DataFrame:
     files, where = _file_system(spark, f"{root}/marks")
     if not files.exists(where) or not files.listStatus(where):
         return spark.createDataFrame([], ENTRY).drop("digest")
-    lines = spark.read.option("wholetext", True).text(f"{root}/marks")
-    body, digest = F.split("value", "\n")[0], F.split("value", "\n")[1]
+    lines = spark.read.text(f"{root}/marks", wholetext=True)
+    body, digest = (F.get(F.split("value", "\n"), F.lit(k)) for k in (0, 1))
     whole = lines.where(F.sha2(body, 256).eqNullSafe(digest)).select(F.from_json(body, ENTRY).alias("e"))
     return whole.select("e.*").drop("digest")
 
