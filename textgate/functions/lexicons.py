@@ -550,6 +550,19 @@ UNTOUCHABLE = "|".join([
 DAYS_AND_MONTHS = "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()
 MONTH_OR_WORD = "may march august".split()
 
+# Addresses in files, and what may stand before one that is asked for and not only named.
+ABSOLUTE_ADDRESS = r"https?://[^\s\"'`)<>\]}\\]+"
+RELATIVE_ADDRESS = r"(?:\b(?:src|href|action|formaction|poster|data|srcset|imagesrcset|xlink:href)\s*=\s*[\"']?|url\(\s*[\"']?|@import\s+[\"'])//"
+REQUEST_PLACES = [
+    (r"(?:\bsrc|\bhref|\baction|\bformaction|\bposter|\bsrcset|\bimagesrcset|xlink:href)\s*=\s*[\"']?$", "a src/href attribute"),
+    (r"url\(\s*[\"']?$", "a CSS url()"),
+    (r"@import\s+[\"']?$", "a CSS @import"),
+    (r"(?:fetch|importScripts|sendBeacon|open|connect)\s*\(\s*[\"'`]$", "a fetch or request call"),
+    (r"new\s+(?:URL|WebSocket|EventSource|Worker|Request)\s*\(\s*[\"'`]$", "a URL, socket or worker constructor"),
+    (r"import\s*\(\s*[\"'`]$", "a dynamic import"),
+]
+MENTIONED, NO_SCHEME, INHERITS = "a literal in the built file", "(protocol-relative)", "a protocol-relative reference, which inherits https:// when served"
+
 # Words that explanations of an edit tell apart.
 ARTICLES = "a an the".split()
 AGREEMENT = "is are was were has have had does do did needs need requires require works work sign signs".split()

@@ -107,6 +107,19 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
+def overlapping(text: Column, part: Column) -> Column:
+    """How often ``part`` stands in the text, occurrences that overlap counted each; 0 for an empty part."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    return F.when(F.length(part) > 0, F.regexp_count(text, quoted)).otherwise(0)
+
+
+def word_after(text: Column, word: Column) -> Column:
+    """The word, in lower case, that follows a word's first occurrence in the text; null where there is none."""
+    ws = words(text)
+    at = F.array_position(ws, F.lower(word)).cast("int")
+    return F.when(at > 0, F.get(ws, at))
+
+
 def capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
 

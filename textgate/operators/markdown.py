@@ -6,9 +6,11 @@ stretches and applied edits are columns.  Places count code points.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,53 +120,49 @@ def source_position(projected: Column, at: Column) -> Column:
 
 
 def source_runs(projected: Column, start: Column, end: Column) -> Column:
-    """A stretch of the prose as unbroken stretches of the source; an escaped character brings its backslash."""
-    run = lambda a, b: F.struct(a.cast("int").alias("from"), b.cast("int").alias("to"))
+    """A stretch of the prose as unbroken stretches of the source; an escaped character brings its backslash.
 
-    def grown(acc: Column, at: Column) -> Column:
-        begins = F.when(F.array_contains(projected["escaped"], at), at - 1).otherwise(at)
-        last = F.get(acc, F.size(acc) - 1)
-        near = (F.size(acc) > 0) & (last["to"] >= begins)
-        rest = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(near, F.concat(rest, F.array(run(last["from"], at + 1)))).otherwise(F.concat(acc, F.array(run(begins, at + 1))))
-
-    place = source_position(projected, start)
-    chars = F.slice(projected["offsets"], start + 1, F.greatest(end - start, F.lit(0)))
-    runs = F.aggregate(chars, F.array().cast("array<struct<from:int,to:int>>"), grown)
-    return F.when(end <= start, F.array(run(place, place))).otherwise(runs)
+    The characters' source places fall into islands: one begins wherever a place, with its backslash, does not follow the place before.
+    """
+    at = F.slice(projected["offsets"], start + 1, F.greatest(end - start, F.lit(0)))
+    from_ = F.transform(at, lambda x: x - F.array_contains(projected["escaped"], x).cast("int"))
+    every = F.sequence(F.lit(0), F.size(at) - 1)
+    first = F.filter(every, lambda k: (k == 0) | (F.get(from_, k) > F.get(at, k - 1) + 1))
+    last = F.concat(F.transform(F.slice(first, F.lit(2), F.size(first)), lambda k: k - 1), F.array(F.size(at) - 1))
+    islands = F.zip_with(first, last, lambda i, j: F.struct(F.get(from_, i).cast("int").alias("from"), (F.get(at, j) + 1).cast("int").alias("to")))
+    place = source_position(projected, start).cast("int")
+    return F.when(F.size(at) > 0, islands).otherwise(F.array(F.struct(place.alias("from"), place.alias("to"))))
+
+
+def _rewritten(prose: str, replacement: str) -> list[tuple[int, int, str]]:
+    """What changes in the prose, as (start, end, insert): each gap between words that stay, and each word that stays in another case."""
+    words = [(start, end, begin, until) for kind, _, _, start, end, _, _, begin, until in guards._aligned(prose, replacement) if kind == "equal"]
+    edges = [(0, 0, 0, 0), *words, (len(prose), len(prose), len(replacement), len(replacement))]
+    gaps = [(x[1], y[0], replacement[x[3] : y[2]]) for x, y in itertools.pairwise(edges)]
+    recased = [(a, b, replacement[c:d]) for a, b, c, d in words]
+    return sorted((a, b, new) for a, b, new in (*gaps, *recased) if prose[a:b] != new)
+
+
+def _islands(source: str, places: np.ndarray, escaped: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
+    """The source stretches of some characters of the prose; the opening of a quoted line joins what stands before and behind it."""
+    if start == end:
+        spot = int(places[start]) if start < len(places) else int(places[-1]) + 1 if len(places) else 0
+        return [(spot, spot)]
+    begins, ends = places[start:end] - escaped[start:end], places[start:end] + 1
+    cuts = [k for k in np.flatnonzero(begins[1:] > ends[:-1]) + 1 if not _QUOTE_GAP.fullmatch(source, ends[k - 1], begins[k])]
+    return [(int(begins[i]), int(ends[j - 1])) for i, j in itertools.pairwise([0, *cuts, end - start])]
 
 
 def _edits(source: str, replacement: str) -> list[tuple[int, int, str]]:
     """Gaps between words that stay are replaced; what stays keeps its own characters and the markup around it."""
     kept, escapes, _ = flattened(source)
-    prose, places = "".join(source[a:b] for a, b in kept), [i for a, b in kept for i in range(a, b)]
-    out: list[tuple[int, int, str]] = []
-
-    def put(start: int, end: int, insert: str) -> None:
-        if start == end:
-            at = places[start] if start < len(places) else places[-1] + 1 if places else 0
-            runs = [[at, at]]
-        else:
-            runs = []
-            for at in places[start:end]:
-                begin = at - (at in escapes)
-                if runs and (runs[-1][1] >= begin or _QUOTE_GAP.fullmatch(source, runs[-1][1], begin)):
-                    runs[-1][1] = at + 1
-                else:
-                    runs.append([begin, at + 1])
-        for k, (a, b) in enumerate(runs):
-            text = "" if k else insert
-            if a != b or text:
-                out.append((a, b, text))
-
-    was = into = 0
-    stays = [step for step in guards._aligned(prose, replacement) if step[0] == "equal"]
-    for _, old, new, start, end, _, _, begin, until in [*stays, ("end", "", "", len(prose), len(prose), 0, False, len(replacement), len(replacement))]:
-        if prose[was:start] != replacement[into:begin]:
-            put(was, start, replacement[into:begin])
-        if old != new:
-            put(start, end, new)
-        was, into = end, until
+    places = np.array([i for a, b in kept for i in range(a, b)], np.int64)
+    escaped = np.isin(places, list(escapes)).astype(np.int64)
+    out = []
+    for start, end, new in _rewritten("".join(source[a:b] for a, b in kept), replacement):
+        # the first stretch takes what is new, the others go
+        stretches = _islands(source, places, escaped, start, end)
+        out += [(a, b, text) for (a, b), text in zip(stretches, [new, *[""] * len(stretches)], strict=False) if a < b or text]
     return out
 
 

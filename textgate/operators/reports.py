@@ -146,6 +146,34 @@ def histogram(rows: DataFrame, key: str, n: str = "n") -> DataFrame:
     return placed(counts, [F.desc(n), F.asc(key)])
 
 
+def class_counts(pairs: DataFrame, theme: str = "theme", changed: str = "changed", order: str = "id") -> DataFrame:
+    """Pairs and changed pairs of each theme, with their place: the largest share of changed ones first, ties in the order in which themes first come."""
+    counts = pairs.groupBy(theme).agg(F.count("*").alias("total"), F.count_if(F.col(changed)).alias("changed"), F.min(order).alias("__first"))
+    return placed(counts, [F.desc(F.col("changed") / F.col("total")), F.asc("__first")]).select(theme, "total", "changed", "rank")
+
+
+def markdown_lines(rows: DataFrame, columns: dict[str, str], order: str = "rank") -> DataFrame:
+    """A table as lines of Markdown, each with its place ``at``: headings, a rule, and a line for each row; bars in cells are escaped."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "\\|", "\\\\|")
+    head = rows.sparkSession.createDataFrame([(-1, "| " + " | ".join(columns.values()) + " |"), (0, "|" + "---|" * len(columns))], "at long, line string")
+    body = rows.select(F.col(order).cast("long").alias("at"), F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")).alias("line"))
+    return head.unionByName(body)
+
+
+def format_bytes(n: Column) -> Column:
+    """A number of bytes in words: kB and MB without decimals, GB with two."""
+    told = lambda unit, by, digits: F.concat(F.format_string(f"%.{digits}f", n / by), F.lit(f" {unit}"))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "0 bytes").when(n < 1e6, told("kB", 1e3, 0)).when(n < 1e9, told("MB", 1e6, 0)).otherwise(told("GB", 1e9, 2))
+
+
+def last_wins(entries: Column) -> Column:
+    """A map of (key, value) entries in which a later entry overwrites an earlier one of its key; null keys are left out."""
+    some = F.filter(entries, lambda e: e["key"].isNotNull())
+    keys = F.array_distinct(F.transform(some, lambda e: e["key"]))
+    back = F.reverse(some)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(back, lambda e: e["key"] == k), F.lit(0))["value"]))
+
+
 def first_and_rest(counts: DataFrame, by: str, key: str, n: str, first: int) -> DataFrame:
     """The first values of each group by count, and how many rows the others have."""
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(n), key)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textgate.functions import contract, masks, relations
 from textgate.functions import lexicons as lex
 from textgate.functions import patterns as P
-from textgate.operators import claims, explain, gate, guards, markdown, reports, rules, segment
+from textgate.operators import analysis, claims, explain, gate, guards, markdown, reports, rules, segment
 from textgate.sources import tables
 from textgate.streaming import requests
 
@@ -300,14 +300,14 @@ def edit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def validate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replay: pairs by kind of change, bucket and reason."""
-    verdicts = guards.bucketed(guards.validated(pairs(spark, sf_dir)))
+    verdicts = analysis.replayed(pairs(spark, sf_dir))
     return verdicts.groupBy((F.col("line_no") % 8).alias("kind"), "bucket", "reason").agg(F.count("*").alias("n"))
 
 
 @query()
 def verdict_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of accepted pairs by language with its Wilson interval."""
-    verdicts = guards.validated(pairs(spark, sf_dir)).groupBy("lang").agg(F.count("*").alias("n"), F.count_if("accepted").alias("k"))
+    verdicts = analysis.replayed(pairs(spark, sf_dir)).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("bucket") == "accepted").alias("k"))
     low, high = P.wilson(F.col("k"), F.col("n"))
     return verdicts.select("lang", "n", "k", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
@@ -330,15 +330,18 @@ def mechanics_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lang", F.explode("ids").alias("id")).groupBy("lang", "id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, regexp_replace(regexp_replace(line, ' of ', '  of ', 'g'), '([^\\s])[ \\t]{{2,}}([^\\s])', '\\1 \\2', 'g') AS fixed FROM lines WHERE line LIKE '% of %'")
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, regexp_replace(regexp_replace(line, ' of ', '  of ', 'g'), '([^\\s])[ \\t]{{2,}}([^\\s])', '\\1 \\2', 'g') AS fixed FROM lines")
 def mechanics_repeated_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).where(F.col("line").contains(" of "))
-    return rows.select("doc_id", "line_no", rules.single_spaced(F.regexp_replace("line", " of ", "  of ")).alias("fixed"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", rules.single_spaced(F.regexp_replace("line", " of ", "  of ")).alias("fixed"))
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, upper(line[1]) || line[2:] AS opened FROM lines WHERE regexp_matches(line, '^[a-z][a-z]* ')")
+_OPENER_SQL = r"""regexp_replace(regexp_extract(line, '^\s*(\S*)', 1), '[.!?…]+$', '')"""
+
+
+@query(rf"""WITH {LINES_SQL}, o AS (SELECT *, {_OPENER_SQL} AS opener, length(regexp_extract(line, '^\s*', 0)) AS at_ FROM lines)
+SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^\s*\p{{Ll}}') AND NOT regexp_matches(line, '^\s*\p{{Ll}}\p{{L}}*\p{{Lu}}') AND NOT regexp_matches(opener, '[./\@_]|^\p{{L}}+[0-9]') THEN line[:at_] || upper(line[at_ + 1]) || line[at_ + 2:] ELSE line END AS opened FROM o""")
 def capitalise_opener(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).where(F.col("line").rlike("^[a-z][a-z]* ")).select("doc_id", "line_no", rules.capital_opener(F.col("line")).alias("opened"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", rules.capital_opener(F.col("line")).alias("opened"))
 
 
 # ---- joins and reports
@@ -436,7 +439,7 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
 
 
-@query("WITH m AS (SELECT *, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT * FROM events)), k AS (SELECT user_id, max(ts) AS current FROM events GROUP BY user_id) SELECT e.event_type, count(*) FILTER (e.ts < k.current - INTERVAL 1 DAY) AS late, count(*) FILTER (e.ts >= k.current - INTERVAL 1 DAY) AS kept FROM events e JOIN k USING (user_id) GROUP BY ALL")
+@query("WITH k AS (SELECT user_id, max(ts) AS current FROM events GROUP BY user_id) SELECT e.event_type, count(*) FILTER (e.ts < k.current - INTERVAL 1 DAY) AS late, count(*) FILTER (e.ts >= k.current - INTERVAL 1 DAY) AS kept FROM events e JOIN k USING (user_id) GROUP BY ALL")
 def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events more than a day behind their user's newest one."""
     events = tables.read(spark, sf_dir, "events")
@@ -575,8 +578,8 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages in a given order, the others behind by count and name."""
     counts = tables.read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
     given = F.array_position(F.array(*[F.lit(x) for x in _CANON]), F.col("lang"))
-    order = Window.orderBy(F.when(given > 0, given).otherwise(len(_CANON) + 1), F.desc("n"), "lang")
-    return counts.withColumn("place", F.row_number().over(order).cast("long"))
+    order = [F.asc(F.when(given > 0, given).otherwise(len(_CANON) + 1)), F.desc("n"), F.asc("lang")]
+    return reports.placed(counts, order, "place").withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT user_id, event_id, r FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20")
@@ -691,7 +694,7 @@ def edit_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def projected_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewrites of marked-up lines carried back to the source: lines, edits, and how many then read as the rewrite."""
-    rows = pairs(spark, sf_dir).where("not source rlike '[`*_~=|>#\\\\[\\\\]!-]'")
+    rows = pairs(spark, sf_dir)
     rows = rows.withColumn("marked", F.concat(F.lit("> "), F.regexp_replace("source", "^([^ ]+) ([^ ]+)", "**$1** [$2](x)")))
     rows = rows.withColumn("edits", markdown.source_edits(F.col("marked"), F.col("candidate")))
     rows = rows.withColumn("again", markdown.projection(markdown.applied(F.col("marked"), F.col("edits"))))
