@@ -65,3 +65,10 @@ def test_rescored(spark):
     assert got[("We met  3 friends.", "We met 3 friends.")] == ("rewrite", None, "numbers-changed", False, True)
     assert got[("We met.", "")] == ("failed", None, None, False, False)
     assert got[("We met.", "We  met.")][4] is True
+
+
+def test_suggestions_move_with_their_sentence(spark):
+    held = spark.createDataFrame([(1, 1, "a", 0, 1, "x"), (1, 2, "b", 2, 3, "y"), (2, 1, "a", 0, 1, "z")], "doc_id int, id int, source string, start int, end int, replacement string")
+    now = spark.createDataFrame([(1, 1, "a", 10, 11), (1, 2, "changed", 12, 19), (3, 1, "a", 0, 1)], "doc_id int, id int, sentence string, start int, end int")
+    out = requests.carried(held, now)
+    assert out.columns == held.columns and [tuple(r) for r in out.collect()] == [(1, 1, "a", 10, 11, "x")]

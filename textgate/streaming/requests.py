@@ -34,6 +34,18 @@ def live_suggestions(events: DataFrame, key: str = "id", seq: str = "seq", kind:
     return ends.select(key, alive("held", "set_ended").alias("suggested"), alive("no", "no_ended").alias("dismissed"))
 
 
+def carried(suggested: DataFrame, sentences: DataFrame, keys: tuple[str, ...] = ("doc_id", "id")) -> DataFrame:
+    """Suggestions whose sentence still stands and reads as their ``source``, at its place of now; all others are gone.
+
+    ``suggested`` has ``source``, ``start`` and ``end`` beside the keys, ``sentences`` has ``sentence``, ``start`` and ``end``; a key
+    has one sentence.
+    """
+    now = sentences.select(*keys, F.col("sentence").alias("__now"), F.col("start").alias("__start"), F.col("end").alias("__end"))
+    met = suggested.join(now, list(keys)).where(F.col("__now") == F.col("source"))
+    place = {"start": F.col("__start"), "end": F.col("__end")}
+    return met.select(*[place[c].alias(c) if c in place else F.col(c) for c in suggested.columns])
+
+
 def entries(requests: DataFrame, key: str = "id", seq: str = "seq", same: tuple[str, ...] = ("text", "context"), priority: str = "priority") -> DataFrame:
     """Requests of a key as entries: a request with the text and context of the one before joins it, any other supersedes it.
 
