@@ -36,8 +36,8 @@ def analysis_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines through every stage of the analysis, with a proposer and a verifier that answer by rule, by what came of them."""
     done = analysis.analyzed(lines(spark, sf_dir), _stub, _second, text="line", with_rules=True)
     o = F.col("outcome")
-    stage = F.when(o["stages.model"], "model").when(o["stages.rule"], "rule").when(o["replacement"].isNotNull(), "mechanics").otherwise("nothing")
-    return done.groupBy(stage.alias("stage"), o["rejection"].alias("rejection"), o["model_rejection"].alias("model_rejection"), o["error.kind"].alias("error")).agg(F.count("*").alias("n"), F.sum(o["latency"]).alias("latency"))
+    stage = F.when(o["stages"]["model"], "model").when(o["stages"]["rule"], "rule").when(o["replacement"].isNotNull(), "mechanics").otherwise("nothing")
+    return done.groupBy(stage.alias("stage"), o["rejection"].alias("rejection"), o["model_rejection"].alias("model_rejection"), o["error"]["kind"].alias("error")).agg(F.count("*").alias("n"), F.sum(o["latency"]).alias("latency"))
 
 
 @query()
