@@ -330,7 +330,7 @@ PROTECTED = [
     r"[$€£¥₹]\s?\d[\d.,]*",
     r"\d[\d.,]{0,80}\s?[$€£¥₹]",
     r"(?i)https?://[^\s<>{}\[\]]+",
-    r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){0,126}\.[A-Za-z]{2,24}\b",
+    r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){0,15}\.[A-Za-z]{2,24}\b",
     r"(?<![\w.@+:/-])(?:/[\w.@+-]+)++",
     r"\b[A-Za-z]:\\[^\s\\]+(?:\\[^\s\\]+)*+",
     r"(?i)\b[\w-]{1,255}\.(?:csv|json|log|md|txt|ya?ml|pdf|js|py|sql|xml|html)\b",
