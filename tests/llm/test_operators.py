@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -330,21 +333,16 @@ def test_trees_against_a_plain_walk():
 
 
 def test_language_model(docs, texts, empty):
-    import math
-    import zlib
-
     words = [[*WORD.findall(low(t)), None] for t in texts]
     train = [w for d, w in enumerate(words) if zlib.crc32(str(d).encode()) % 5 != 1]
     c = collections.Counter(x for w in train for x in w)
     n, v = sum(c.values()), len(c)
-    for cfg in (lm.LogBilinear(steps=20), lm.LogBilinear(frequent=20, vocabulary=8, steps=20)):
+    for cfg in (lm.LogBilinear(sweeps=2), lm.LogBilinear(frequent=20, vocabulary=8, sweeps=2)):
         for r in lm.scores(docs, cfg).collect():
             w = words[r.doc_id]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
             assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
             assert r.score < 0
-    table = lm.fit(np.arange(36).reshape(6, 6), lm.LogBilinear(steps=5))
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-5)
     assert lm.scores(empty).count() == 0
 
 
@@ -354,15 +352,82 @@ def test_language_model_counts_whole_corpus(spark):
     assert len(listed) == 9001 and total == n.sum() == 21_000 and n[0] == 12_000 and set(n[1:]) == {1}
     sizes = [lm.LogBilinear().model_words(10**k) for k in (7, 8, 9)]
     assert 1022 < sizes[0] < sizes[1] < sizes[2]
-    lexicon = lm.Lexicon(listed, 4)
-    keys, counted, docs = lm.counts(train, lexicon)
+    lexicon, store = lm.Lexicon(listed, 4), Store(spark)
+    pairs, docs = lm.counts(train, lexicon, store)
+    by_next = lm.turned(pairs, 6, store)
     want = collections.Counter()
     ids = {int(h): min(k, 4) for k, h in enumerate(listed.view(np.int64))}
     code = lambda w: min(ids[int(lm._words.word_hashes(lm.pa.array([w]))[0].view(np.int64)[0])] + (ids[int(lm._words.word_hashes(lm.pa.array([w]))[0].view(np.int64)[0])] == 4), 5)
     for k in range(9000):
         line = [4, code(f"w{k}"), *[0] * (1 + (k % 3 == 0)), 4]
         want.update(a * 6 + b for a, b in zip(line, line[1:]))
-    assert docs == 9000 and dict(zip(keys.tolist(), counted.tolist())) == want
+    assert docs == 9000 and unpacked(pairs, 6) == want
+    assert unpacked(by_next, 6) == {k % 6 * 6 + k // 6: n for k, n in want.items()}
+    store.clear()
+
+
+def unpacked(pairs, width):
+    blocks, out = lm.blocks_of(width), {}
+    for r in pairs.collect():
+        for key, n in zip(*map(np.ndarray.tolist, lm._unpacked(r.n)), strict=True):
+            out[(key // width * blocks + r.block) * width + key % width] = n
+    return out
+
+
+def test_language_model_scores_are_a_plain_softmax(docs, texts):
+    """Scores against words looked up one by one and every normaliser summed anew."""
+    words = [[low(w) for w in WORD.findall(t or "")] for t in texts]
+    train = [w for d, w in enumerate(words) if zlib.crc32(str(d).encode()) % 5 != 1]
+    c = collections.Counter(x for w in train for x in w)
+    cfg = lm.LogBilinear(frequent=40, vocabulary=12, sweeps=2, steps=4)
+    lexicon, frequency, number, model = lm.trained(docs.where(~lm.held_out()), cfg)
+    size = lexicon.model
+    assert number == len(train) and len(model.b) == size + 2 and size < lexicon.size < len(c)
+    hashed = lambda w: lm._words.word_hashes(lm.pa.array([w]))[0]
+    place = {w: int(lexicon.positions(hashed(w))[0]) for w in {x for line in words for x in line}}
+    code = lambda w: place[w] if place[w] < size else size + 1
+    logits = model.h.astype(float) @ model.q.T.astype(float) + model.b
+    table = [[x - math.log(sum(map(math.exp, row))) for x in row] for row in logits]
+    outside = {w: n for w, n in c.items() if place[w] >= size}
+    rest = sum(outside.values()) + 0.5 * (len(outside) + 1)
+    for r in lm.scores(docs, cfg).collect():
+        line = [size, *(code(w) for w in words[r.doc_id]), size]
+        want = sum(table[a][b] for a, b in itertools.pairwise(line)) / math.log(10)
+        want += sum(math.log10((c[w] + 0.5) / rest) for w in words[r.doc_id] if code(w) > size)
+        assert r.score == pytest.approx(want, rel=1e-4)
+
+
+def test_language_model_climbs_to_the_frequencies(spark):
+    """Words that follow by a chain of known chances: trained rows come near them, rows of one block as those of another."""
+    rng = np.random.default_rng(3)
+    chain = rng.dirichlet(np.full(12, 0.4), 12)
+    lines = []
+    for _ in range(600):
+        line = [int(rng.integers(12))]
+        while len(line) < 60:
+            line.append(int(rng.choice(12, p=chain[line[-1]])))
+        lines.append(" ".join(f"w{x}" for x in line))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string")
+    out = lm.scores(docs, lm.LogBilinear(smoothing=1)).toPandas()
+    held = out[out.held_out]
+    best = sum(math.log10(chain[int(a[1:]), int(b[1:])]) for k in held.doc_id for a, b in itertools.pairwise(lines[k].split())) / len(held)
+    assert len(held) > 80 and held.score.mean() > held.base_score.mean() + 10
+    # the first word, the end and what the estimates lose
+    assert held.score.mean() > best - 8
+    again = lm.scores(docs.repartition(3), lm.LogBilinear(smoothing=1)).toPandas()
+    assert np.allclose(again.sort_values("doc_id").score, out.sort_values("doc_id").score, rtol=1e-6)
+
+
+def test_language_model_of_nothing_is_uniform(spark):
+    held = next(k for k in range(50) if zlib.crc32(str(k).encode()) % 5 == 1)
+    (row,) = lm.scores(spark.createDataFrame([(held, "some words")], "doc_id long, text string")).collect()
+    # three tokens of a vocabulary of two, and two words that nothing is known of
+    assert row.n_tokens == 3 and row.train_tokens == 0 and row.score == pytest.approx(3 * math.log10(0.5), rel=1e-5)
+
+
+def test_language_model_sizes_are_bounded():
+    cfg = lm.LogBilinear()
+    assert cfg.model_words(10**14) == cfg.widest and cfg.list_words(10**14) == cfg.most_listed
 
 
 def test_mixing(docs, texts, empty):

@@ -27,21 +27,29 @@ class Store:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # with the table, so that its id is not given out again
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` as Parquet to the shared folder and reads it back."""
         path = f"{shared_dir(self.spark)}/textgate/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables of this store; every table made from them must have been written before."""
         for df in tables:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._remove(self.paths.pop(id(df))[1])
+
+    def clear(self) -> None:
+        """Removes all tables of this store that are still there."""
+        while self.paths:
+            self._remove(self.paths.popitem()[1][1])
+
+    def _remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -2,17 +2,24 @@
 
 *Counts.*  One pass over all training texts counts every word, in part in the tasks and whole
 after a groupBy; the commonest are listed, and the commonest of these are the model's words.
-Both lists grow with the training tokens.  A second pass counts the pairs of model words that
-follow each other, as sparse blocks that are added up on the executors.  Words outside the
-list are sent, document by document, to the task that holds their hash, which learns their
-training count there; hot words are all in the list, so no task gets a hot key.
-
-*Model.*  The next word's log-probability is ``(C r_u) . q_v + b_v`` less the log-normaliser of
-the previous word ``u``.  Parameters are trained in numpy by noise-contrastive estimation: the
-objective's expectation over all counted pairs and over the unigram noise is exact, taken over
-blocks of contexts by batched matrix products.  Afterwards the normalisers of all previous words are computed with one
-more product, so every score is a normalised log-probability.  Words outside the model's
-vocabulary share one model token and divide its probability by smoothed training counts.
+Both lists grow with the training tokens up to the documented sizes ``most_listed`` and
+``widest``, which bound what is broadcast (about 100 and 130 MB); a word beyond them costs more
+work, but counts as exactly.  A second pass counts the pairs of model words that follow each
+other, as sparse blocks that are added up on the executors and stored there, once by previous
+and once by next word.  Words outside the list are sent, document by document, to the task that
+holds their hash, which learns their training count there; hot words are all in the list, so no
+task gets a hot key.
+
+*Model.*  The next word's log-probability is ``h_u . q_v + b_v`` less the log-normaliser of the
+previous word ``u``; with one previous word its position's matrix is part of ``h``.  Parameters
+are trained in numpy by noise-contrastive estimation on the executors.  With the ``q`` and ``b``
+held the objective falls apart into previous words, with the ``h`` held into next words, so
+each sweep is two jobs, in which every block of words climbs by itself over its own counted
+pairs and over noise words drawn anew in each step, and sends back its vectors.  The driver
+holds the vectors alone (``widest`` times 33 numbers a side), never pairs or gradients.
+Afterwards the normalisers of all previous words are computed by one more job, so every score is
+a normalised log-probability.  Words outside the model's vocabulary share one model token and
+divide its probability by smoothed training counts.
 
 Defined cases: a null or empty text is the end token alone; without training texts all counts
 are zero and the model is uniform over its two special tokens; rows with equal id and text get
@@ -33,27 +40,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textgate.llm import _words
-from textgate.llm._store import stored
+from textgate.llm._store import Store, stored
 
 
 @dataclass(frozen=True)
 class LogBilinear:
-    """``frequent`` and ``vocabulary`` are the least sizes of the word list and of the model; both grow with the training tokens."""
+    """``frequent`` and ``vocabulary`` are the least sizes of the word list and of the model; both grow with the training tokens, up to ``most_listed`` and ``widest``.
+
+    ``noise`` is the ratio of noise to data, ``draws`` the noise words that stand for its expectation in one of the ``steps`` of a sweep.
+    """
 
     frequent: int = 16_384
     vocabulary: int = 1022
+    most_listed: int = 4_000_000
+    widest: int = 400_000
     size: int = 32
     noise: int = 10
+    draws: int = 2048
     smoothing: int = 30
-    steps: int = 100
-    rate: float = 0.05
+    sweeps: int = 8
+    steps: int = 8
+    rate: float = 0.1
     seed: int = 5
 
     def list_words(self, tokens: int) -> int:
-        return max(self.frequent, int(16 * tokens**0.5), self.model_words(tokens))
+        return max(self.frequent, min(int(16 * tokens**0.5), self.most_listed), self.model_words(tokens))
 
     def model_words(self, tokens: int) -> int:
-        return max(self.vocabulary, int(3 * tokens**0.4))
+        return max(self.vocabulary, min(int(3 * tokens**0.4), self.widest))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -112,9 +126,11 @@ def frequent_words(train: DataFrame, cfg: LogBilinear) -> tuple[np.ndarray, np.n
                     yield from told()
         yield from told()
 
-    words = stored(train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    store = Store(train.sparkSession)
+    words = store.put(train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # words by count: at most about the root of twice the tokens many rows
-    by = np.array([(r["n"], r["words"]) for r in words.groupBy("n").agg(F.count("*").alias("words")).collect()], np.int64).reshape(-1, 2)
+    sizes = words.groupBy("n").agg(F.count("*").alias("words")).toArrow()
+    by = np.stack([sizes.column("n").to_numpy(), sizes.column("words").to_numpy()], axis=1)
     by = by[np.argsort(-by[:, 0])]
     total = int((by[:, 0] * by[:, 1]).sum())
     limit = cfg.list_words(total)
@@ -122,6 +138,7 @@ def frequent_words(train: DataFrame, cfg: LogBilinear) -> tuple[np.ndarray, np.n
     # all words of a count or none, unless the commonest alone are too many
     some = words.where(F.col("n") >= int(by[fits - 1, 0])) if fits else words.where(F.col("n") == int(by[0, 0]) if len(by) else F.lit(False)).orderBy("word").limit(limit)
     top = some.toArrow()
+    store.drop(words)
     word, n = top.column("word").to_numpy(), top.column("n").to_numpy()
     order = np.lexsort((word, -n))
     return word[order].view(np.uint64), n[order], total
@@ -166,11 +183,30 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps), n
 
 
-def counts(train: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs of model tokens, as ``before * width + after`` in order; their training counts; and the number of documents."""
+def _added(group: pa.Table) -> pa.Table:
+    total = _summed([_unpacked(b) for b in group.column("n").to_pylist()])
+    return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([_packed(*total)], pa.binary())})
+
+
+def _by_block(rows: np.ndarray, columns: np.ndarray, n: np.ndarray, width: int) -> list[tuple[int, bytes]]:
+    """Cells as packed blocks of rows: row ``r`` is row ``r // blocks`` of block ``r % blocks``."""
+    blocks = blocks_of(width)
+    keys = rows // blocks * width + columns
+    order = np.lexsort((keys, rows % blocks))
+    keys, n = keys[order], n[order]
+    cut = np.searchsorted((rows % blocks)[order], np.arange(blocks + 1))
+    return [(k, _packed(keys[a:b], n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+
+
+def blocks_of(width: int) -> int:
+    """Blocks of about 128 words, common and rare ones in each."""
+    return max(16, width // 128)
+
+
+def counts(train: DataFrame, lexicon: Lexicon, store: Store) -> tuple[DataFrame, int]:
+    """Counted pairs of model tokens in stored blocks of previous tokens; and the number of documents."""
     shared = train.sparkSession.sparkContext.broadcast(lexicon)
     width = lexicon.model + 2
-    blocks = max(16, width * width // 250_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
@@ -178,10 +214,7 @@ def counts(train: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray,
 
         def told() -> Iterator[pa.RecordBatch]:
             keys, n = tally.take()
-            order = np.argsort(keys % blocks, kind="stable")
-            keys, n = keys[order], n[order]
-            cut = np.searchsorted(keys % blocks, np.arange(blocks + 1))
-            rows = [(k, _packed(keys[a:b] // blocks, n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            rows = _by_block(keys // width, keys % width, n, width)
             rows.append((-1, _packed(np.zeros(1, np.int64), np.array([docs]))))
             salt = TaskContext.get().partitionId() % 64
             yield pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["block", "salt", "n"])
@@ -198,21 +231,80 @@ def counts(train: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray,
         if docs:
             yield from told()
 
-    def add(group: pa.Table) -> pa.Table:
-        total = _summed([_unpacked(b) for b in group.column("n").to_pylist()])
-        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([_packed(*total)], pa.binary())})
-
     # in two steps, so that no task adds a block's part of every task
-    parts = train.select("text").mapInArrow(run, "block int, salt int, n binary").groupBy("block", "salt").applyInArrow(add, "block int, n binary")
-    table = parts.groupBy("block").applyInArrow(add, "block int, n binary").toArrow()
-    parts, docs = [], 0
-    for k, data in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), strict=True):
-        keys, n = _unpacked(data)
-        if k < 0:
-            docs = int(n[0])
-        else:
-            parts.append((keys * blocks + k, n))
-    return *_summed(parts), docs
+    parts = train.select("text").mapInArrow(run, "block int, salt int, n binary").groupBy("block", "salt").applyInArrow(_added, "block int, n binary")
+    pairs = store.put(parts.repartition(blocks_of(width), "block").groupBy("block").applyInArrow(_added, "block int, n binary"), "pairs")
+    number = pairs.where("block < 0").first()
+    return pairs.where("block >= 0"), int(_unpacked(number["n"])[1][0]) if number else 0
+
+
+def turned(pairs: DataFrame, width: int, store: Store) -> DataFrame:
+    """The same pairs in stored blocks of next tokens."""
+    blocks = blocks_of(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                keys, n = _unpacked(data)
+                rows = _by_block(keys % width, keys // width * blocks + block, n, width)
+                yield pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["block", "n"])
+
+    return store.put(pairs.mapInArrow(run, "block int, n binary").repartition(blocks, "block").groupBy("block").applyInArrow(_added, "block int, n binary"), "turned")
+
+
+@dataclass
+class Role:
+    """The model tokens as previous or as next words.
+
+    ``x`` are their vectors; the last coordinate is one for a previous word, and the bias less the log of the noise for a next one.  A pair that noise
+    stands for weighs the product of both words' ``gain`` as data (the smoothing) and of their ``loss`` as noise; ``share`` is what words are drawn by.
+    """
+
+    x: np.ndarray
+    gain: np.ndarray
+    loss: np.ndarray
+    share: np.ndarray
+
+    def drawn(self, draws: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Words and weights whose weighted sums stand for sums over all words: evenly spaced draws, half by share and half alike for all."""
+        chance = 0.5 * self.share + 0.5 / len(self.share)
+        at = np.searchsorted(np.cumsum(chance), (np.arange(draws) + rng.random()) / draws)
+        ids, times = np.unique(np.minimum(at, len(chance) - 1), return_counts=True)
+        return ids, times / (draws * chance[ids])
+
+
+def _chances(z: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.clip(z, -30, 30, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def climbed(own: Role, other: Role, rows: np.ndarray, columns: np.ndarray, seen: np.ndarray, free: int, rate: float, cfg: LogBilinear, rng: np.random.Generator) -> np.ndarray:
+    """Vectors of ``own`` after ``steps`` of Adam on their first ``free`` coordinates; cells come in order of their rows, with their shares of the data."""
+    x = own.x.copy()
+    first, second = np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, cfg.steps + 1):
+        grad = np.zeros_like(x)
+        for a in range(0, len(rows), 1 << 16):
+            i, y = rows[a : a + (1 << 16)], other.x[columns[a : a + (1 << 16)]]
+            p = _chances(np.einsum("ij,ij->i", x[i], y))
+            y *= (seen[a : a + (1 << 16)] * (1 - p))[:, None]
+            head = np.flatnonzero(np.diff(i, prepend=-1))
+            grad[i[head]] += np.add.reduceat(y, head, axis=0)
+        ids, weight = other.drawn(cfg.draws, rng)
+        y = other.x[ids]
+        p = _chances(x @ y.T)
+        data = np.outer(own.gain, (weight * other.gain[ids]).astype(np.float32))
+        grad += (data - p * (data + np.outer(own.loss, (weight * other.loss[ids]).astype(np.float32)))) @ y
+        first = 0.9 * first + 0.1 * grad
+        second = 0.99 * second + 0.01 * grad**2
+        pace = np.float32(rate * min(1.0, 2 * (1 - step / (cfg.steps + 1))))
+        move = pace * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + np.float32(1e-9))
+        x[:, :free] += move[:, :free]
+    return x
 
 
 @dataclass
@@ -232,67 +324,83 @@ class Factors:
         return out / np.log(10)
 
 
-def factors(keys: np.ndarray, counted: np.ndarray, width: int, cfg: LogBilinear) -> Factors:
-    """Trains on the counted pairs ``before * width + after``, which are in order."""
+def _sent_back(told: DataFrame, out: np.ndarray, blocks: int) -> np.ndarray:
+    """Fills rows of ``out`` with the blocks that a job sends back; rows of other blocks stay."""
+    table = told.toArrow()
+    for block, data in zip(table.column("block").to_pylist(), table.column("x").to_pylist(), strict=True):
+        out[block::blocks] = np.frombuffer(data, out.dtype).reshape(out[block::blocks].shape)
+    return out
+
+
+def _half_sweep(pairs: DataFrame, own: Role, other: Role, total: float, free: int, rate: float, number: int, cfg: LogBilinear) -> np.ndarray:
+    """New vectors of ``own``, every block of them trained over its pairs."""
+    shared = pairs.sparkSession.sparkContext.broadcast((own, other))
+    width = len(own.x)
+    blocks = blocks_of(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, fixed = shared.value
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                keys, n = _unpacked(data)
+                part = Role(*(v[block::blocks] for v in (mine.x, mine.gain, mine.loss, mine.share)))
+                rng = np.random.default_rng([cfg.seed, number, block])
+                x = climbed(part, fixed, keys // width, keys % width, (n / total).astype(np.float32), free, rate, cfg, rng)
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "x"])
+
+    out = _sent_back(pairs.mapInArrow(run, "block int, x binary"), own.x.copy(), blocks)
+    shared.destroy()
+    return out
+
+
+def factors(by_previous: DataFrame, by_next: DataFrame, occurrences: np.ndarray, cfg: LogBilinear) -> Factors:
+    """Trains on stored pairs; ``occurrences`` are the model tokens' counts, as previous words and as next words alike."""
+    spark, width = by_previous.sparkSession, len(occurrences)
     rng = np.random.default_rng(cfg.seed)
-    u, v = keys // width, keys % width
-    counted = counted.astype(np.float64)
-    unigram = (np.bincount(v, counted, width) + 0.5) / (counted.sum() + 0.5 * width)
+    unigram = (occurrences + 0.5) / (occurrences.sum() + 0.5 * width)
     # a context seen seldom leans on the unigram counts
-    total = counted.sum() + cfg.smoothing * width
-    context = ((np.bincount(u, counted, width) + cfg.smoothing) / total).astype(np.float32)[:, None]
-    base, seen = (cfg.smoothing * unigram / total).astype(np.float32), (counted / total).astype(np.float32)
-    params = {"r": rng.normal(0, 0.1, (width, cfg.size)), "c": np.eye(cfg.size), "q": rng.normal(0, 0.1, (width, cfg.size)), "b": np.log(unigram)}
-    params = {k: x.astype(np.float32) for k, x in params.items()}
-    first, second = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
-    noise, drawn = np.log(cfg.noise * unigram).astype(np.float32), (cfg.noise * unigram).astype(np.float32)
-    step_rows = max(1, (1 << 20) // width)
-    cuts = np.append(np.arange(0, width, step_rows), width)
-    at = np.searchsorted(u, cuts)
-    for step in range(1, cfg.steps + 1):
-        h = params["r"] @ params["c"]
-        grads = {"b": np.zeros_like(params["b"]), "q": np.zeros_like(params["q"])}
-        gh = np.empty_like(h)
-        for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            p = h[a:z] @ params["q"].T
-            p += params["b"] - noise
-            np.clip(p, -30, 30, out=p)
-            np.negative(p, out=p)
-            np.exp(p, out=p)
-            p += 1
-            np.reciprocal(p, out=p)
-            # expected gradient of the classification of data against noise
-            pair = slice(at[k], at[k + 1])
-            more = seen[pair] * (1 - p[u[pair] - a, v[pair]])
-            weight = context[a:z] * drawn
-            weight += base
-            p *= weight
-            np.subtract(base, p, out=p)
-            p[u[pair] - a, v[pair]] += more
-            grads["b"] += p.sum(axis=0)
-            grads["q"] += p.T @ h[a:z]
-            gh[a:z] = p @ params["q"]
-        grads |= {"r": gh @ params["c"].T, "c": params["r"].T @ gh}
-        rate = cfg.rate * min(1.0, 2 * (1 - step / (cfg.steps + 1)))
-        for k, g in grads.items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g**2
-            params[k] = params[k] + np.float32(rate) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + np.float32(1e-8))
-    h, logz = params["r"] @ params["c"], np.empty(width)
-    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        logits = (h[a:z] @ params["q"].T + params["b"]).astype(np.float64)
-        top = logits.max(axis=1, keepdims=True)
-        logz[a:z] = (top + np.log(np.exp(logits - top).sum(axis=1, keepdims=True)))[:, 0]
-    return Factors(h, params["q"], params["b"], logz)
-
-
-def fit(pairs: np.ndarray, cfg: LogBilinear) -> np.ndarray:
-    """Normalised log10 probabilities of the next model token by previous token, from a whole table of pairs."""
-    width = pairs.shape[0]
-    keys = np.flatnonzero(pairs)
-    model = factors(keys, pairs.ravel()[keys], width, cfg)
-    every = np.arange(width * width)
-    return model.log10(every // width, every % width).reshape(width, width).astype(np.float32)
+    total = float(occurrences.sum() + cfg.smoothing * width)
+    context, noise = (occurrences + cfg.smoothing) / total, cfg.noise * unigram
+    h = np.concatenate([rng.normal(0, 0.1, (width, cfg.size)), np.ones((width, 1))], axis=1)
+    q = np.concatenate([np.zeros((width, cfg.size)), np.log(unigram / noise)[:, None]], axis=1)
+    previous = Role(h.astype(np.float32), np.full(width, cfg.smoothing / total, np.float32), context.astype(np.float32), context)
+    following = Role(q.astype(np.float32), unigram.astype(np.float32), noise.astype(np.float32), unigram)
+    for sweep in range(cfg.sweeps):
+        rate = cfg.rate * (1 - sweep / cfg.sweeps)
+        following.x = _half_sweep(by_next, following, previous, total, cfg.size + 1, rate, 2 * sweep, cfg)
+        previous.x = _half_sweep(by_previous, previous, following, total, cfg.size, rate, 2 * sweep + 1, cfg)
+    h, q, b = previous.x[:, :-1].copy(), following.x[:, :-1].copy(), following.x[:, -1] + np.log(noise).astype(np.float32)
+    shared, blocks = spark.sparkContext.broadcast((h, q, b)), blocks_of(width)
+
+    def normalisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, q, b = shared.value
+        step = max(1, (1 << 22) // width)
+        for batch in batches:
+            for block in batch.column("id").to_pylist():
+                own, out = h[block::blocks], []
+                for k in range(0, len(own), step):
+                    logits = (own[k : k + step] @ q.T + b).astype(np.float64)
+                    top = logits.max(axis=1, keepdims=True)
+                    out.append((top + np.log(np.exp(logits - top).sum(axis=1, keepdims=True)))[:, 0])
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([np.concatenate([*out, np.zeros(0)]).tobytes()], pa.binary())], names=["block", "x"])
+
+    told = spark.range(0, blocks, 1, max(1, blocks // 4)).mapInArrow(normalisers, "block int, x binary")
+    logz = _sent_back(told, np.zeros(width), blocks)
+    shared.destroy()
+    return Factors(h, q, b, logz)
+
+
+def trained(train: DataFrame, cfg: LogBilinear) -> tuple[Lexicon, np.ndarray, int, Factors]:
+    """The word list, its training counts, the number of training texts and the model."""
+    store = Store(train.sparkSession)
+    listed, frequency, tokens = frequent_words(train, cfg)
+    lexicon = Lexicon(listed, cfg.model_words(tokens))
+    by_previous, docs = counts(train, lexicon, store)
+    by_next = turned(by_previous, lexicon.model + 2, store)
+    model = frequency[: lexicon.model]
+    fitted = factors(by_previous, by_next, np.concatenate([model, [docs, tokens - model.sum()]]).astype(np.float64), cfg)
+    store.clear()
+    return lexicon, frequency, docs, fitted
 
 
 def scores(docs: DataFrame, cfg: LogBilinear = LogBilinear(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -300,10 +408,7 @@ def scores(docs: DataFrame, cfg: LogBilinear = LogBilinear(), text: str = "text"
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(doc_id).alias("held_out"))
     train = base.where(~F.col("held_out"))
     spark = docs.sparkSession
-    listed, frequency, tokens = frequent_words(train, cfg)
-    first = Lexicon(listed, cfg.model_words(tokens))
-    pairs, counted, trained = counts(train, first)
-    fitted = factors(pairs, counted, first.model + 2, cfg)
+    first, frequency, texts, fitted = trained(train, cfg)
     known = np.concatenate([frequency, [0]]).astype(np.float64)
     shared = spark.sparkContext.broadcast((first, known, fitted))
 
@@ -389,12 +494,12 @@ def scores(docs: DataFrame, cfg: LogBilinear = LogBilinear(), text: str = "text"
     )
     merged = stored(merged, "scores")
     rare = merged.agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
-    total = int(frequency.sum() + trained + rare["train"])
-    distinct = int((frequency > 0).sum() + rare["kinds"] + (trained > 0))
+    total = int(frequency.sum() + texts + rare["train"])
+    distinct = int((frequency > 0).sum() + rare["kinds"] + (texts > 0))
     log_total = float(np.log10(total + 0.5 * (distinct + 1)))
     listed_others = frequency[first.model :]
     others_total = float(np.log10(float(listed_others.sum() + rare["train"]) + 0.5 * float((listed_others > 0).sum() + rare["kinds"]) + 0.5))
-    end_log, end_known = float(np.log10(trained + 0.5)), int(trained > 0)
+    end_log, end_known = float(np.log10(texts + 0.5)), int(texts > 0)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
