@@ -332,6 +332,26 @@ def test_trees_against_a_plain_walk():
     assert (forest.feature[root], forest.threshold[root]) == (best[1], best[2])
 
 
+@pytest.mark.parametrize("sizes", [(100, 3), (40, 40, 1), (1, 1, 1), (25, 25), (7,), (60, 30, 5)])
+def test_blocks_of_a_group(spark, sizes):
+    """Members of different components meet exactly once; the largest component is copied for the blocks of the others alone."""
+    rows = [(7, 1000 * c + k, c) for c, n in enumerate(sizes) for k in range(n)] + [(8, 5, 1), (8, 6, 2)]
+    df = spark.createDataFrame(rows, "g int, doc_id long, component long")
+    groups = minhash._groups(df, ["g"], F.lit(0))
+    out = minhash._in_blocks(df, groups, ["g"], lambda n, size: F.ceil(n / 10), minhash.MinHash()).where("g = 7").collect()
+    tasks, met = collections.defaultdict(list), collections.Counter()
+    for r in out:
+        tasks[r.x, r.y].append(r)
+    for task in tasks.values():
+        left, right = [r for r in task if r.side != 2], [r for r in task if r.side != 1]
+        met.update({(a.doc_id, b.doc_id) if a.doc_id < b.doc_id else (b.doc_id, a.doc_id) for a in left for b in right if a.component != b.component})
+    want = {(a, b) for (_, a, c), (_, b, d) in itertools.combinations(rows[: sum(sizes)], 2) if c != d}
+    assert met == dict.fromkeys(want, 1)
+    most, rest = max(sizes), -(-(sum(sizes) - max(sizes)) // 10)
+    if sum(sizes) > 10:
+        assert len(out) == most * max(rest, 1) + (sum(sizes) - most) * (max(rest, 1) + -(-most // 10))
+
+
 def test_language_model(docs, texts, empty):
     words = [[*WORD.findall(low(t)), None] for t in texts]
     train = [w for d, w in enumerate(words) if zlib.crc32(str(d).encode()) % 5 != 1]

@@ -254,32 +254,48 @@ def _confirm(store: Store, texts: DataFrame, pairs: DataFrame, cfg: MinHash) ->
     return dealt_texts.select("a", "part", "side", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(df: DataFrame, blocks: Column, cfg: MinHash) -> DataFrame:
-    """Rows by pair of blocks ``x <= y`` of their group, a row in each pair that its own block is in; ``side`` tells which."""
-    cut = df.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _in_blocks(df: DataFrame, groups: DataFrame, keys: list[str], parts: Callable[[Column, Column], Column], cfg: MinHash) -> DataFrame:
+    """Rows by pair of blocks ``x <= y`` of their group, a row in each pair that its own block is in; ``side`` tells which.
+
+    Only members of different components are to meet.  So the largest component of a group has blocks of its own behind those of the others, and meets
+    these alone: its rows are copied once for each block of the others, not for each block of the group.  A group that fits one block stays whole.
+    """
+    one = F.lit(1)
+    rest = F.greatest(parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")), one)
+    cuts = groups.select(*keys, F.col("top.component").alias("main"), rest.alias("rest"), F.greatest(parts(F.col("top.n"), F.col("top.size")), one).alias("more"), (parts(F.col("n"), F.col("size")) <= 1).alias("whole"))
+    at, main = F.xxhash64("doc_id", F.lit(cfg.seed)), F.col("component") == F.col("main")
+    own = F.when(F.col("whole"), 0).when(main, F.col("rest") + F.pmod(at, F.col("more"))).otherwise(F.pmod(at, F.col("rest")))
+    others = F.when(F.col("whole"), 1).when(main, F.col("rest")).otherwise(F.col("rest") + F.col("more"))
+    cut = df.join(cuts, keys).select(*df.columns, own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), others.cast("int") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return cut.withColumn("side", side).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("blocks", "own", "other")
+    return cut.withColumn("side", side).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("own", "other")
+
+
+def _groups(members: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """Rows and summed ``size`` of each group, and ``top``: those of its largest component."""
+    by = members.groupBy(*keys, "component").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+    return by.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "component", "size")).alias("top"))
 
 
 def _clusters(store: Store, entries: DataFrame, known: DataFrame, cfg: MinHash) -> DataFrame:
     """``doc_id`` and ``cluster`` of the documents that come near one of another component in some bucket."""
     again = entries.join(known.select("doc_id", "component").distinct(), "doc_id")
     mixed = again.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
+    members = store.put(again.join(mixed, ["band", "key"]).select("doc_id", "band", "key", "component"), "mixed")
     # large buckets are cut into blocks, and each pair of blocks is compared on its own
-    cut = _in_blocks(again.join(mixed, ["band", "key"]).select("doc_id", "band", "key", "n"), F.ceil(F.col("n") / cfg.block), cfg).drop("n")
+    cut = _in_blocks(members, _groups(members, ["band", "key"], F.lit(0)), ["band", "key"], lambda n, size: F.ceil(n / cfg.block), cfg).drop("component")
     near = _by_group(cut.join(known, "doc_id"), ["band", "key", "x", "y"], lambda t: _near(t, cfg), "a long, b long")
     near = store.put(near.distinct(), "near")
     out = store.put(components(near).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "clusters")
-    store.drop(near)
+    store.drop(near, members)
     return out
 
 
 def _across(texts: DataFrame, clusters: DataFrame, known: DataFrame, cfg: MinHash) -> DataFrame:
     """Confirmed links ``a``, ``b`` that unite components within the clusters."""
     members = clusters.join(known.groupBy("doc_id", "component").agg(F.sum("n_shingles").alias("n")), "doc_id")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / cfg.group, F.sum("n") / cfg.shingles)).alias("blocks"))
-    cut = _in_blocks(members.drop("n").join(sizes, "cluster"), F.col("blocks"), cfg)
+    parts = lambda n, size: F.ceil(F.greatest(n / cfg.group, size / cfg.shingles))
+    cut = _in_blocks(members, _groups(members, ["cluster"], F.col("n")), ["cluster"], parts, cfg).drop("n")
     return _by_group(texts.join(cut, "doc_id"), ["cluster", "x", "y"], lambda t: _uniting(t, cfg), "a long, b long").distinct()
 
 
