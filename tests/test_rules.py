@@ -1,9 +1,11 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from textgate.functions import contract, lexicons, masks, patterns, relations
 from textgate.operators import gate, guards, rules, segment
+from textgate.plans import catalogue
 
 
 def _one(spark, column, *values):
@@ -218,3 +220,17 @@ def _fnv(text):
     for k in range(0, len(data), 2):
         h = ((h ^ int.from_bytes(data[k : k + 2], "big")) * 0x01000193) & 0xFFFFFFFF
     return f"{h:08x}"
+
+
+def test_screened_rows_have_the_first_family(spark):
+    """Against every pattern tried in order: each phrase alone, and pairs of phrases of two families either way round."""
+    phrases = [p for p in catalogue.SCREENED if p]
+    texts = [*phrases, *(f"{a} there, {b}" for a in phrases for b in phrases), "We met friends.", "", None]
+    rows = spark.createDataFrame([(k, t, "other") for k, t in enumerate(texts)], "id int, text string, word string")
+    low = [None if t is None else t.lower() for t in texts]
+    hit = lambda t: next((family for family, ps in lexicons.GATE for _, p in ps if re.search(p, t, re.ASCII)), None) if t else None
+    want = {k: family for k, t in enumerate(low) if (family := hit(t))}
+    assert set(want.values()) == set(gate.FAMILIES)
+    assert {r.id: r.family for r in gate.screened(rows, "text").collect()} == want
+    assert {r.id: r.f for r in rows.select("id", gate.first_family(F.col("text")).alias("f")).collect() if r.f} == want
+    assert gate.screened(rows.limit(0), "text").count() == 0

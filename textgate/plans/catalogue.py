@@ -112,7 +112,7 @@ def _words_re(words: list[str]) -> str:
 def gate_family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences by the family of their first hit, with every family."""
     sents = segment.sentences(documents(spark, sf_dir))
-    hits = sents.select(gate.first_family(F.col("sentence")).alias("family")).where("family is not null").groupBy("family").agg(F.count("*").alias("n"))
+    hits = gate.screened(sents, "sentence").groupBy("family").agg(F.count("*").alias("n"))
     return reports.zero_filled(hits, "family", gate.FAMILIES, "n")
 
 
@@ -121,14 +121,13 @@ _SCREENED_SQL = _planted_sql(SCREENED)
 
 @query(f"WITH {_SCREENED_SQL}, h AS (SELECT {_gate_sql('line')} AS family FROM lines_p) SELECT family, count(*) AS n FROM h WHERE family IS NOT NULL GROUP BY family")
 def gate_line_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = gate.first_family(F.col("line")).alias("family")
-    return planted(lines(spark, sf_dir), SCREENED).select(hit).where("family is not null").groupBy("family").agg(F.count("*").alias("n"))
+    return gate.screened(planted(lines(spark, sf_dir), SCREENED), "line").groupBy("family").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_SCREENED_SQL}, h AS (SELECT doc_id, line_no, {_gate_sql('line')} AS family FROM lines_p) SELECT doc_id, arg_min(family, line_no) AS family, min(line_no) AS line_no FROM h WHERE family IS NOT NULL GROUP BY doc_id")
 def gate_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first line that a family fires on."""
-    rows = planted(lines(spark, sf_dir), SCREENED).select("doc_id", "line_no", gate.first_family(F.col("line")).alias("family")).where("family is not null")
+    rows = gate.screened(planted(lines(spark, sf_dir), SCREENED), "line")
     return rows.groupBy("doc_id").agg(F.min_by("family", "line_no").alias("family"), F.min("line_no").alias("line_no"))
 
 
