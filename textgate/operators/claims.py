@@ -1,63 +1,99 @@
 """Claims in prose: patterns with evidence in the same clause, guards that excuse them, and waivers by line.
 
-A document's findings are rows.  Places come from running sums over the pieces between matches, and
-clauses and waivers are found by carrying the last one begun forward, so no document makes pairs.
+A document's findings are rows.  Places come from running sums over the lengths between matches.  The
+clause of a match is looked up where its text lies, so texts are never moved and only matches are.
 Only documents with a match or a waiver go further than the first look.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import bisect
+import itertools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textgate.functions import lexicons as lex
 from textgate.functions import masks
-from textgate.functions.patterns import BLANK, java, listed, matches, trimmed
-
-_CUT = f"[\\n;|]|[.:?!](?=[{BLANK}]|\\z)"
+from textgate.functions.patterns import PY_BLANK, java, listed, matches, trimmed
 
+_CUT = re.compile(f"[\\n;|]|[.:?!](?=[{PY_BLANK}]|\\Z)")
+#: Documents whose matches are handed on at once.
+_AT_ONCE = 64
 
-def _upto(*keys: str, order: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-
-def occurrences(docs: DataFrame, key: str, text: str, patterns: dict[str, str], fold: bool = True) -> DataFrame:
-    """``key``, ``rule``, ``start``, ``end`` and ``hit`` of every match of every pattern."""
+def _matched(text: str, patterns: dict[str, str], fold: bool = True) -> Column:
+    """For each pattern with a match its rule, the step to the end of each match from the one before, and the matches."""
     one = []
     for rule, pattern in patterns.items():
         own = ("(?iu)" if fold else "") + java(pattern)
         hits = F.regexp_extract_all(text, F.lit(own), F.lit(0))
-        here = F.struct(F.lit(rule).alias("rule"), F.split(text, own, -1).alias("between"), hits.alias("hits"))
+        # Spark's pieces are those between the matches, the last one has no match behind it
+        steps = F.zip_with(F.split(text, own, -1), hits, lambda a, b: F.length(a) + F.length(b))
+        here = F.struct(F.lit(rule).alias("rule"), F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))).alias("steps"), hits.alias("hits"))
         one.append(F.when(F.col(text).rlike(own), here))
-    rules = docs.select(key, F.explode(F.array_compact(F.array(*one))).alias("m")).select(key, "m.rule", F.posexplode(F.arrays_zip("m.between", "m.hits")).alias("k", "piece"))
-    # Spark's pieces are those between the matches, the last one has no match behind it
-    step = F.length("piece.between") + F.coalesce(F.length("piece.hits"), F.lit(0))
-    ends = rules.withColumn("end", F.sum(step).over(_upto(key, "rule", order="k")).cast("int")).where("piece.hits is not null")
+    return F.array_compact(F.array(*one))
+
+
+def occurrences(docs: DataFrame, key: str, text: str, patterns: dict[str, str], fold: bool = True) -> DataFrame:
+    """``key``, ``rule``, ``start``, ``end`` and ``hit`` of every match of every pattern."""
+    # an outer one, as Spark moves the test of an inner one below and matches once more for it
+    rules = docs.select(key, F.explode_outer(_matched(text, patterns, fold)).alias("m")).where("m is not null")
+    upto = Window.partitionBy(key, "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rules = rules.select(key, "m.rule", F.posexplode(F.arrays_zip("m.steps", "m.hits")).alias("k", "piece"))
+    ends = rules.withColumn("end", F.sum("piece.steps").over(upto).cast("int"))
     return ends.select(key, "rule", (F.col("end") - F.length("piece.hits")).alias("start"), "end", F.col("piece.hits").alias("hit"))
 
 
 def waivers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Waiving comments: ``start``, ``end``, ``hit``, ``rules``, ``reason``, and a waiver/ rule as ``problem`` where it waives nothing."""
     rows = occurrences(docs, key, text, {"waiver": lex.WAIVER})
-    inner, body = F.col("inner"), java(lex.WAIVER_BODY)
-    rows = rows.withColumn("inner", F.regexp_extract("hit", "(?iu)" + java(lex.WAIVER), 1))
-    ids = F.filter(F.split(F.regexp_extract(inner, body, 1), f"[,{BLANK}]+"), lambda r: r != "")
-    unknown = F.array_except(ids, listed([rule for rule, *_ in lex.CLAIMS]))
-    problem = F.when(~inner.rlike(body), "waiver/no-reason").when(F.size(unknown) > 0, "waiver/unknown-rule")
-    said = F.when(~inner.rlike(body), trimmed(F.col("hit"))).when(F.size(unknown) > 0, F.array_join(unknown, ", ")).otherwise(F.col("hit"))
-    return rows.select(key, "start", "end", said.alias("hit"), ids.alias("rules"), trimmed(F.regexp_extract(inner, body, 2)).alias("reason"), problem.alias("problem"), F.regexp_count("hit", F.lit("\n")).alias("more"))
+    return rows.select(key, "start", "end", *[c.alias(name) for name, c in _read_waiver("hit").items()])
 
 
-def _clauses(docs: DataFrame, key: str, text: str, masked: str) -> DataFrame:
-    """Clauses of the masked text with their line, and the same stretch of the text as it is."""
-    cuts = F.regexp_extract_all(masked, F.lit(_CUT), F.lit(0))
-    pieces = F.arrays_zip(F.split(F.col(masked), _CUT, -1).alias("clause"), F.concat(F.array(F.lit("\n")), cuts).alias("cut"))
-    rows = docs.select(key, text, F.posexplode(pieces).alias("k", "piece")).select(key, text, "k", "piece.clause", (F.col("piece.cut") == "\n").alias("opens"))
-    over = _upto(key, order="k")
-    rows = rows.withColumn("at", (F.sum(F.length("clause") + 1).over(over) - F.length("clause") - 1).cast("int"))
-    line = F.struct(F.sum(F.col("opens").cast("int")).over(over).cast("int").alias("number"), F.max(F.when(F.col("opens"), F.col("at"))).over(over).alias("start"))
-    whole = F.expr(f"substring({text}, at + 1, length(clause))")
-    return rows.select(key, "at", F.struct("at", "clause", whole.alias("whole"), line.alias("line")).alias("here"))
+def _read_waiver(hit: str) -> dict[str, Column]:
+    """What a waiving comment says."""
+    inner, body = F.regexp_extract(hit, "(?iu)" + java(lex.WAIVER), 1), java(lex.WAIVER_BODY)
+    ids = F.filter(F.split(F.regexp_extract(inner, body, 1), f"[,{PY_BLANK}]+"), lambda r: r != "")
+    unknown = F.array_except(ids, listed([rule for rule, *_ in lex.CLAIMS]))
+    problem = F.when(~inner.rlike(body), "waiver/no-reason").when(F.size(unknown) > 0, "waiver/unknown-rule")
+    said = F.when(~inner.rlike(body), trimmed(F.col(hit))).when(F.size(unknown) > 0, F.array_join(unknown, ", ")).otherwise(F.col(hit))
+    return {"hit": said, "rules": ids, "reason": trimmed(F.regexp_extract(inner, body, 2)), "problem": problem, "more": F.regexp_count(hit, F.lit("\n"))}
+
+
+def _clause_of_hits(text: str, masked: str, found: list[dict]) -> Iterator[tuple]:
+    """Each match with its place, its clause in the masked text and in the text as it is, where that begins, and its line with its start."""
+    starts, ends, lines = [0], [], [(1, 0)]
+    for m in _CUT.finditer(masked):
+        ends.append(m.start())
+        starts.append(m.end())
+        lines.append((lines[-1][0] + 1, m.end()) if m[0] == "\n" else lines[-1])
+    ends.append(len(masked))
+    for one in found:
+        for end, hit in zip(itertools.accumulate(one["steps"]), one["hits"], strict=True):
+            at = end - len(hit)
+            k = bisect.bisect_right(starts, at) - 1
+            yield at, end, one["rule"], hit, masked[starts[k] : ends[k]], text[starts[k] : ends[k]], starts[k], *lines[k]
+
+
+def _in_clauses(found: DataFrame, key: str) -> DataFrame:
+    """``key``, ``at``, ``end``, ``rule``, ``hit``, ``clause``, ``whole``, ``begins``, ``line`` and ``line_start`` of every match."""
+    kinds = {"at": pa.int32(), "end": pa.int32(), "rule": pa.string(), "hit": pa.string(), "clause": pa.string(), "whole": pa.string(), "begins": pa.int32(), "line": pa.int32(), "line_start": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(first, _AT_ONCE)
+                texts = (part.column(c) for c in ("text", "masked", "found"))
+                rows = [(i, *hit) for i, one in enumerate(zip(*texts, strict=True)) for hit in _clause_of_hits(*(v.as_py() for v in one))]
+                where, *columns = zip(*rows, strict=True) if rows else [()] * (len(kinds) + 1)
+                yield pa.record_batch([part.column("key").take(pa.array(where, pa.int64())), *(pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True))], names=["key", *kinds])
+
+    told = ", ".join(f"{name} {'string' if kind == pa.string() else 'int'}" for name, kind in kinds.items())
+    return found.mapInArrow(run, f"key {found.schema['key'].dataType.simpleString()}, {told}").withColumnRenamed("key", key)
 
 
 def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", syntax: str = "markdown") -> DataFrame:
@@ -67,22 +103,18 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", syntax: s
     clause without the match.  A waiver covers its lines and the next one.  ``key`` must tell documents
     apart; null texts have no findings.
     """
-    body = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("__text"), masks.prose(F.col(text), syntax).alias("__masked"))
-    body = body.where(matches(F.col("__masked"), "|".join(f"(?:{p})" for _, p, _, _ in lex.CLAIMS)) | matches(F.col("__text"), lex.WAIVER))
-    none = lambda kind: F.lit(None).cast(kind)
-    hits = occurrences(body, key, "__masked", {rule: pattern for rule, pattern, _, _ in lex.CLAIMS})
-    claims = hits.select(key, F.col("start").alias("at"), "end", "rule", "hit", none("array<string>").alias("rules"), none("string").alias("reason"), F.lit(0).alias("more"))
-    noted = waivers(body, key, "__text").select(key, F.col("start").alias("at"), "end", F.coalesce("problem", F.lit("waiver")).alias("rule"), "hit", "rules", "reason", "more")
-    points = claims.unionByName(noted)
-    spans = _clauses(body, key, "__text", "__masked")
-    both = spans.select(key, "at", F.lit(0).alias("kind"), "here").unionByName(points.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    carried = F.last("here", True).over(Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = both.withColumn("here", carried).where("kind = 1")
-
-    start, end, size = F.col("at") - F.col("here.at"), F.col("end") - F.col("here.at"), F.lit(2**31 - 1)
+    body = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.explode_outer(F.array(masks.prose(F.col(text), syntax))).alias("masked"))
+    body = body.where(matches(F.col("masked"), "|".join(f"(?:{p})" for _, p, _, _ in lex.CLAIMS)) | matches(F.col("text"), lex.WAIVER))
+    hits = F.concat(_matched("masked", {rule: pattern for rule, pattern, _, _ in lex.CLAIMS}), _matched("text", {"waiver": lex.WAIVER}))
+    rows = _in_clauses(body.select("key", "text", "masked", hits.alias("found")), key)
+    said, waiver = _read_waiver("hit"), F.col("rule") == "waiver"
+    read = {"rule": F.when(waiver, F.coalesce(said["problem"], F.lit("waiver"))).otherwise(F.col("rule")), "hit": F.when(waiver, said["hit"]).otherwise(F.col("hit")), "rules": F.when(waiver, said["rules"]), "reason": F.when(waiver, said["reason"]), "more": F.when(waiver, said["more"]).otherwise(0)}
+    rows = rows.withColumns(read)
+
+    start, end, size = F.col("at") - F.col("begins"), F.col("end") - F.col("begins"), F.lit(2**31 - 1)
     without = lambda side: F.concat(F.substring(F.col(side), F.lit(1), start), F.lit(" "), F.substring(F.col(side), end + 1, size))
-    rows = rows.withColumn("masked", without("here.clause")).withColumn("whole", without("here.whole"))
-    evidence, excused = none("string"), F.lit(False)
+    rows = rows.withColumn("masked", without("clause")).withColumn("whole", without("whole"))
+    evidence, excused = F.lit(None).cast("string"), F.lit(False)
     for rule, _, needs, guards in lex.CLAIMS:
         mine = F.col("rule") == rule
         if needs:
@@ -92,7 +124,7 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", syntax: s
     rows = rows.withColumn("evidence", trimmed(evidence)).where(~excused & (F.col("evidence").isNull() | (F.col("evidence") != "")))
 
     # a waiver is one row for each rule and line that it covers, so that it meets its claims without a join
-    number = F.col("here.line.number")
+    number = F.col("line")
     lines = F.sequence(number, number + F.col("more") + 1)
     spot = lambda rule, line: F.struct(rule.alias("rule"), line.alias("line"))
     covered = F.flatten(F.transform("rules", lambda rule: F.transform(lines, lambda line: spot(rule, line))))
@@ -104,7 +136,7 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", syntax: s
         .select(
             key,
             number.alias("line"),
-            (F.col("at") - F.col("here.line.start") + 1).alias("column"),
+            (F.col("at") - F.col("line_start") + 1).alias("column"),
             "rule",
             F.col("hit").alias("text"),
             "evidence",
