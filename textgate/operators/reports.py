@@ -212,7 +212,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, left_id: str,
     rows = rows.withColumn("__hit", F.when((F.col("__side") == 0) & (F.col(right_id) == least), F.struct(at, right_id)))
     order = Window.partitionBy(key).orderBy(at, "__side")
     before = F.last("__hit", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__hit", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # read from the other end: a frame that reaches forwards is gone through again for each row
+    back = Window.partitionBy(key).orderBy(F.desc(at), F.desc("__side"))
+    after = F.last("__hit", True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     far = lambda hit: F.struct(F.abs(hit[at] - F.col(at)).alias("far"), hit[right_id].alias(right_id))
     rows = rows.withColumn("__before", before).withColumn("__after", after).where("__side = 1")
     best = F.least(F.when(F.col("__before").isNotNull(), far(F.col("__before"))), F.when(F.col("__after").isNotNull(), far(F.col("__after"))))
