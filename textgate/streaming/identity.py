@@ -6,11 +6,14 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Row = tuple[int, str, int]
+#: Documents whose rows are handed on at once.
+_AT_ONCE = 64
 
 
 def matched(before: list[Row], after: list[Row]) -> list[tuple[int, int | None, str]]:
@@ -54,16 +57,26 @@ def matched(before: list[Row], after: list[Row]) -> list[tuple[int, int | None,
 def reconciled(before: DataFrame, after: DataFrame) -> DataFrame:
     """``doc_id``, ``sent_idx``, ``was`` and ``state`` of each sentence of ``after``; both sides hold one revision a document."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sent_idx")
-        sides = [list(zip(p["sent_idx"], p["sentence"], p["start"], strict=True)) for p in (group[group["side"] == k] for k in (0, 1))]
-        rows = matched(*sides)
-        doc = group["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": [doc] * len(rows), "sent_idx": [r[0] for r in rows], "was": pd.Series([r[1] for r in rows], dtype="Int32"), "state": pd.Series([r[2] for r in rows], dtype=object)})
-
     columns = ["doc_id", "sent_idx", "sentence", "start"]
-    both = before.select(*columns, F.lit(0).alias("side")).unionByName(after.select(*columns, F.lit(1).alias("side")))
-    return both.groupBy("doc_id").applyInPandas(run, "doc_id long, sent_idx int, was int, state string")
+    return matched_sides(before.select(*columns, F.lit(0).alias("side")).unionByName(after.select(*columns, F.lit(1).alias("side"))))
+
+
+def matched_sides(both: DataFrame) -> DataFrame:
+    """The same from rows of both revisions with their ``side``, 0 before and 1 after; texts travel as digests."""
+    row = F.struct("sent_idx", F.md5("sentence").alias("sentence"), "start", "side")
+    docs = both.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, _AT_ONCE):
+                part, told = batch.slice(first, _AT_ONCE), []
+                for i, rows in enumerate(part.column("rows").to_pylist()):
+                    sides = ([(r["sent_idx"], r["sentence"], r["start"]) for r in rows if r["side"] == k] for k in (0, 1))
+                    told += [(i, *one) for one in matched(*sides)]
+                where, index, was, state = zip(*told, strict=True) if told else [()] * 4
+                yield pa.record_batch([part.column("doc_id").take(pa.array(where, pa.int64())), pa.array(index, pa.int32()), pa.array(was, pa.int32()), pa.array(state, pa.string())], names=["doc_id", "sent_idx", "was", "state"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sent_idx int, was int, state string")
 
 
 def tracked(revisions: DataFrame) -> DataFrame:
