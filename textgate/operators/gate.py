@@ -19,9 +19,8 @@ def any_hit(text: Column) -> Column:
 
 def first_hit(text: Column) -> Column:
     """``family`` and ``name`` of the first pattern in table order that matches, or null."""
-    low = F.lower(text)
-    hits = [F.when(matches(low, p, False), F.struct(F.lit(family).alias("family"), F.lit(name).alias("name"))) for family, patterns in GATE for name, p in patterns]
-    return F.when(any_hit(text), F.coalesce(*hits))
+    named = [(F.struct(F.lit(family).alias("family"), F.lit(name).alias("name")), [p]) for family, patterns in GATE for name, p in patterns]
+    return F.when(any_hit(text), _of_hit(F.lower(text), named))
 
 
 def family_hits(text: Column) -> dict[str, Column]:
@@ -30,22 +29,29 @@ def family_hits(text: Column) -> dict[str, Column]:
     return {family: some & matches(low, any_of([p for _, p in patterns]), False) for family, patterns in GATE}
 
 
-def _of_hit(low: Column, families: list[tuple[str, list[tuple[str, str]]]]) -> Column:
-    """The first of these families that matches, where it is known that one does: half of them are looked for at a time."""
-    if len(families) == 1:
-        return F.lit(families[0][0])
-    earlier, later = families[: len(families) // 2], families[len(families) // 2 :]
-    return F.when(matches(low, any_of([p for _, patterns in earlier for _, p in patterns]), False), _of_hit(low, earlier)).otherwise(_of_hit(low, later))
+def _of_hit(low: Column, told: list[tuple[Column, list[str]]]) -> Column:
+    """The first of these that matches, where it is known that one does: half of them are looked for at a time."""
+    if len(told) == 1:
+        return told[0][0]
+    earlier, later = told[: len(told) // 2], told[len(told) // 2 :]
+    return F.when(matches(low, any_of([p for _, patterns in earlier for p in patterns]), False), _of_hit(low, earlier)).otherwise(_of_hit(low, later))
+
+
+def _told(by: str) -> list[tuple[Column, list[str]]]:
+    """Families, or names of patterns, with their patterns in table order."""
+    if by == "family":
+        return [(F.lit(family), [p for _, p in patterns]) for family, patterns in GATE]
+    return [(F.lit(name), [p]) for _, patterns in GATE for name, p in patterns]
 
 
 def first_family(text: Column) -> Column:
     """The family of the first hit alone."""
-    return F.when(any_hit(text), _of_hit(F.lower(text), GATE))
+    return F.when(any_hit(text), _of_hit(F.lower(text), _told("family")))
 
 
-def screened(rows: DataFrame, text: str) -> DataFrame:
-    """The rows in whose text some pattern matches, with the ``family`` of the first hit.
+def screened(rows: DataFrame, text: str, by: str = "family") -> DataFrame:
+    """The rows in whose text some pattern matches, with the ``family`` or ``name`` of the first hit.
 
     Lines without a hit go after one scan.  The family is never null here, so that no filter on it is moved below and looks for it again.
     """
-    return rows.where(any_hit(F.col(text))).withColumn("family", _of_hit(F.lower(text), GATE))
+    return rows.where(any_hit(F.col(text))).withColumn(by, _of_hit(F.lower(text), _told(by)))
