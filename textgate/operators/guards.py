@@ -306,7 +306,7 @@ def _quantifiers(lower: Column, ws: Column) -> Column:
     sets = []
     for k, group in enumerate(lex.QUANTIFIERS):
         have = F.array_intersect(ws, listed(group))
-        narrow = {0: ["no"], 3: ["about", "around", "least", "most"]}.get(k, [])
+        narrow, broad = {0: ["no"], 3: ["about", "around", "least", "most"]}.get(k, []), []
         for w in narrow:
             if w == "no":
                 sense = matches(lower, lex.NARROW_NO, False)
@@ -314,8 +314,8 @@ def _quantifiers(lower: Column, ws: Column) -> Column:
                 sense = matches(lower, rf"\bat\s+{w}\b", False)
             else:
                 sense = matches(lower, rf"\b{w}\s+{lex.QUANTITY}\b|\b{lex.QUANTITY}\s+{w}\b", False)
-            have = F.when(F.array_contains(have, w) & ~sense, F.array_remove(have, w)).otherwise(have)
-        sets.append(F.array_sort(have))
+            broad.append(F.when(F.array_contains(ws, w) & ~sense, F.lit(w)))
+        sets.append(F.array_sort(F.array_except(have, F.array_compact(F.array(*broad))) if broad else have))
     return F.array(*sets)
 
 
