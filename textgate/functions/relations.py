@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from textgate.functions import lexicons as lex
 from textgate.functions.patterns import among, mapped
 
+
+def lacking(words: Column, other: Column) -> Column:
+    """How many of the words, repeats counted, the other list does not have.
+
+    The distinct ones are found by hash; where they are many, both lists are sorted and read once, so that no word is looked for in a long list.
+    """
+
+    def sorted_count(missing: Column) -> Column:
+        told = lambda ws, side: F.transform(ws, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+        state = lambda last, n: F.struct(last.alias("last"), n.alias("n"))
+        step = lambda acc, x: F.when(x["side"] == 0, state(x["w"], acc["n"])).otherwise(state(acc["last"], acc["n"] + F.coalesce(x["w"] == acc["last"], F.lit(False)).cast("int")))
+        return F.aggregate(F.array_sort(F.concat(told(missing, 0), told(words, 1))), state(F.lit(None).cast("string"), F.lit(0)), step, lambda acc: acc["n"])
+
+    few = lambda missing: F.size(F.filter(words, lambda w: F.array_contains(missing, w)))
+    chosen = lambda missing: F.when(F.size(missing) == 0, 0).when(F.size(missing) <= 8, few(missing)).otherwise(sorted_count(missing))
+    return F.get(F.transform(F.array(F.array_except(words, other)), chosen), F.lit(0))
+
+
 #: Confusable pairs in both orders.
 PAIRS = [*lex.CONFUSABLES, *(":".join(reversed(p.split(":"))) for p in lex.CONFUSABLES)]
 _LEMMA = {form: row.split()[0] for row in lex.LEMMAS for form in row.split()}
