@@ -162,7 +162,9 @@ def changed_ranges(source: Column, ops: Column) -> Column:
         both = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
         return F.when(near, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(r)))
 
-    return F.aggregate(ranges, first, joined)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often and deep inside functions it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 # ---- words of a side
@@ -415,15 +417,25 @@ def tense_changed(source: Column, a: Column, b: Column) -> Column:
 
 
 def pronoun_families(text: Column) -> Column:
-    base = F.transform(words(text), lambda w: F.when(w.rlike("['’]"), F.regexp_replace(w, "['’](?:re|s|ve|ll|d|m)$", "")).otherwise(w))
-    hits = [F.when(F.arrays_overlap(base, listed(g)), F.lit(k)) for k, g in enumerate(lex.PRONOUNS)]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return _families(words(text))
+
+
+def _families(ws: Column) -> Column:
+    base = F.transform(ws, lambda w: F.when(w.rlike("['’]"), F.regexp_replace(w, "['’](?:re|s|ve|ll|d|m)$", "")).otherwise(w))
+    some = lambda b: F.array_compact(F.array(*[F.when(F.arrays_overlap(b, listed(g)), F.lit(k)) for k, g in enumerate(lex.PRONOUNS)]))
+    return bound(base, some)
 
 
 def pronouns_changed(source: Column, candidate: Column) -> Column:
-    """A family the source lacks, but for "it"."""
-    new = F.array_except(pronoun_families(candidate), pronoun_families(source))
-    return F.size(F.array_remove(new, len(lex.PRONOUNS) - 1)) > 0
+    """A family the source lacks, but for "it": one of a word that the source lacks."""
+    sides = F.struct(words(source).alias("s"), words(candidate).alias("c"))
+
+    def changed(v: Column) -> Column:
+        met = lambda new: F.size(F.array_remove(new, len(lex.PRONOUNS) - 1)) > 0
+        told = lambda new: F.when(met(new), met(F.array_except(new, _families(v["s"])))).otherwise(False)
+        return bound(F.array_except(v["c"], v["s"]), lambda ws: F.when(F.size(ws) > 0, bound(_families(ws), told)).otherwise(False))
+
+    return F.when(source == candidate, False).otherwise(bound(sides, changed))
 
 
 def terminal(text: Column) -> Column:
