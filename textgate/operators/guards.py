@@ -8,12 +8,13 @@ plain word or character calls for them.  Words are aligned last, for pairs that
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ _SMALL = 4096
 
 
 def _deletions(a: list[str], b: list[str]) -> Iterator[list[bool] | np.ndarray]:
-    """For each word of ``a``, at which words of ``b`` taking it out leaves as long a common subsequence as passing that word of ``b``.
+    """For each word of ``a``, before which words of ``b`` the longest common subsequence of what is left stays as long without it.
 
     Rows of lengths are made from the last to the first and kept once in a stretch, and a stretch is made again
     when it is read: memory grows with the root of the table's size.
@@ -55,7 +56,7 @@ def _deletions(a: list[str], b: list[str]) -> Iterator[list[bool] | np.ndarray]:
                 row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
             best.append(row)
         for below, row in zip(best[-2::-1], best[::-1], strict=False):
-            yield [below[j] >= row[j + 1] for j in range(wide)]
+            yield [below[j] >= row[j] for j in range(wide)]
         return
     number = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
     x, y = (np.array([number[w] for w in side], np.int32) for side in (a, b))
@@ -75,12 +76,59 @@ def _deletions(a: list[str], b: list[str]) -> Iterator[list[bool] | np.ndarray]:
         first, below, bits = k * stretch, kept.pop(k), []
         for i in range(min(first + stretch, len(a)) - 1, first - 1, -1):
             row = above(below, i)
-            bits.append(np.packbits(below[:-1] >= row[1:]))
+            bits.append(np.packbits(below[:-1] >= row[:-1]))
             below = row
         for packed in reversed(bits):
             yield np.unpackbits(packed, count=wide).view(bool)
 
 
+def _held(a: list[str], b: list[str]) -> bool:
+    """Whether ``a`` is a subsequence of ``b``."""
+    ahead = iter(b)
+    return all(x in ahead for x in a)
+
+
+def _steps(a: list[str], b: list[str]) -> Iterator[tuple[str, int | None, int | None]]:
+    """Longest common subsequence; a deletion goes before an insertion on ties.
+
+    Words that the other side lacks lengthen nothing, so lengths are those of the words that both sides have.  Where what is
+    left of one side is within the other, the places where the other still holds it tell enough; a table is made for the rest.
+    """
+    both = set(a) & set(b)
+    x, y = [w for w in a if w in both], [w for w in b if w in both]
+    # the last place of x from which it holds the rest of y
+    last, k = [-1] * len(y), len(x)
+    for q in range(len(y) - 1, -1, -1):
+        k -= 1
+        while k >= 0 and x[k] != y[q]:
+            k -= 1
+        if k < 0:
+            break
+        last[q] = k
+    tall = wide = 0
+    if x != y and (not y or last[0] < 0) and not _held(x, y):
+        tall, wide = len(x), len(y)
+        while tall and wide and x[tall - 1] == y[wide - 1]:
+            tall, wide = tall - 1, wide - 1
+    table = _deletions(x[:tall], y[:wide])
+    j = p = q = 0
+    for i, word in enumerate(a):
+        if word in both:
+            row = next(table) if p < tall else ()
+            while j < len(b) and word != b[j] and not (row[q] if p < tall and q < wide else q == len(y) or last[q] > p):
+                yield "insert", None, j
+                q += b[j] in both
+                j += 1
+            p += 1
+            if j < len(b) and word == b[j]:
+                yield "equal", i, j
+                q, j = q + 1, j + 1
+                continue
+        yield "delete", i, None
+    for k in range(j, len(b)):
+        yield "insert", None, k
+
+
 def _aligned(source: str, candidate: str) -> list[tuple]:
     """Longest common subsequence by lower-case token; a deletion goes before an insertion on ties.
 
@@ -114,11 +162,27 @@ def _aligned(source: str, candidate: str) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(OPS)
-def _align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    names = [f.name for f in OPS.elementType.fields]
+#: Pairs whose steps are handed on at once.
+_AT_ONCE = 256
+_STEP = pa.struct([(f.name, {T.StringType: pa.string(), T.IntegerType: pa.int32(), T.BooleanType: pa.bool_()}[type(f.dataType)]) for f in OPS.elementType.fields])
+
+
+def _step_lists(rows: list[list[tuple] | None]) -> pa.Array:
+    ends = itertools.accumulate(len(r or ()) for r in rows)
+    offsets = [0, *ends]
+    columns = list(zip(*itertools.chain.from_iterable(r for r in rows if r), strict=True)) or [()] * len(_STEP)
+    steps = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STEP, strict=True)], fields=list(_STEP))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), steps, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+@F.arrow_udf(OPS)
+def _align(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in batches:
-        yield pd.Series([None if a is None or b is None else [dict(zip(names, op, strict=True)) for op in _aligned(a, b)] for a, b in zip(left, right, strict=True)])
+        parts = [_step_lists([])]
+        for k in range(0, len(left), _AT_ONCE):
+            sides = zip(left.slice(k, _AT_ONCE).to_pylist(), right.slice(k, _AT_ONCE).to_pylist(), strict=True)
+            parts.append(_step_lists([None if a is None or b is None else _aligned(a, b) for a, b in sides]))
+        yield pa.concat_arrays(parts)
 
 
 # kept as a step of its own, so that it runs once and never inside another function
