@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textgate.functions import lexicons as lex
 from textgate.functions.patterns import among
+from textgate.operators.guards import bound
 
 _PARTS = "array<struct<type:string,text:string>>"
 
@@ -24,15 +25,20 @@ def _cut(text: Column, steps: Column, start: str, end: str) -> Column:
     return F.coalesce(F.substring(text, first + 1, last - first), F.lit(""))
 
 
-def edit_groups(ops: Column, source: Column, candidate: Column) -> Column:
-    """Changes with at most one equal step between them as one group, with their spans and the equal words beside."""
+def _ends(ops: Column) -> Column:
+    """First and last step of each group: changes with at most one equal step between them."""
     changed = F.filter(F.transform(ops, lambda o, i: F.when(o["type"] != "equal", i)), lambda i: i.isNotNull())
 
-    def grown(acc: Column, i: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        one = lambda first: F.array(F.struct(first.alias("first"), i.alias("last")))
-        near = (F.size(acc) > 0) & (i - last["last"] <= 2)
-        return F.when(near, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), one(last["first"]))).otherwise(F.concat(acc, one(i)))
+    def groups(at: Column) -> Column:
+        first = F.filter(at, lambda i, k: (k == 0) | (i - F.get(at, k - 1) > 2))
+        last = F.filter(at, lambda i, k: F.coalesce(F.get(at, k + 1) - i > 2, F.lit(True)))
+        return F.zip_with(first, last, lambda i, j: F.struct(i.alias("first"), j.alias("last")))
+
+    return bound(changed, groups)
+
+
+def edit_groups(ops: Column, source: Column, candidate: Column, ends: Column | None = None) -> Column:
+    """Changes with at most one equal step between them as one group, with their spans and the equal words beside; of all groups, or of those given by their ends."""
 
     def beside(i: Column) -> Column:
         step = F.when(i >= 0, F.get(ops, i))
@@ -50,7 +56,7 @@ def edit_groups(ops: Column, source: Column, candidate: Column) -> Column:
             beside(g["last"] + 1).alias("after"),
         )
 
-    return F.transform(F.aggregate(changed, F.array().cast("array<struct<first:int,last:int>>"), grown), described)
+    return F.transform(_ends(ops) if ends is None else ends, described)
 
 
 def recased(ops: Column) -> tuple[Column, Column]:
@@ -107,12 +113,17 @@ def listing(parts: Column) -> Column:
 
 def explained(ops: Column, source: Column, candidate: Column) -> Column:
     """One sentence on an edit: its first three groups, words that change case, and how many groups are left; empty where nothing visible changes."""
-    groups = edit_groups(ops, source, candidate)
     up, down = recased(ops)
-    named = lambda verb, ws: F.when(F.size(ws) > 0, F.array(F.concat(F.lit(f"{verb} "), listing(F.transform(ws, _quoted))))).otherwise(F.array().cast("array<string>"))
-    more = F.when(F.size(groups) > 3, F.array(F.format_string("makes %d further small changes", F.size(groups) - 3))).otherwise(F.array().cast("array<string>"))
-    said = listing(F.concat(F.transform(F.slice(groups, F.lit(1), F.lit(3)), describe_group), named("capitalizes", up), named("lowercases", down), more))
-    return F.when(said == "", said).otherwise(F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 2**31 - 1), F.lit(".")))
+    none = F.array().cast("array<string>")
+    named = lambda verb, ws: bound(ws, lambda w: F.when(F.size(w) > 0, F.array(F.concat(F.lit(f"{verb} "), listing(F.transform(w, _quoted))))).otherwise(none))
+
+    def told(ends: Column) -> Column:
+        more = F.when(F.size(ends) > 3, F.array(F.format_string("makes %d further small changes", F.size(ends) - 3))).otherwise(none)
+        groups = edit_groups(ops, source, candidate, F.slice(ends, F.lit(1), F.lit(3)))
+        return F.concat(F.transform(groups, describe_group), named("capitalizes", up), named("lowercases", down), more)
+
+    begun = lambda said: F.when(said == "", said).otherwise(F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 2**31 - 1), F.lit(".")))
+    return bound(bound(bound(_ends(ops), told), listing), begun)
 
 
 def reason(ops: Column, source: Column, candidate: Column, mechanical: Column) -> Column:
