@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textgate.functions import lexicons
-from textgate.functions.patterns import BLANK, capitalised, java
-from textgate.operators.guards import markup, protected
+from textgate.functions.patterns import BLANK, capitalised, java, listed
+from textgate.operators.guards import bound, markup, protected
 
 _EDGE, _GAP = "\\b", java("\\s+")
 _OF_KEEPERS = lexicons.DETERMINER[:-1] + "|us|them|you|it|both|each)"
@@ -48,13 +48,20 @@ def rules_fired(sentence: Column) -> Column:
 
     One scan finds the phrases; the few rules with a condition on what follows are looked at again.
     """
-    every = "|".join(sorted(_PHRASES, key=lambda p: -len(p)))
-    seen = F.regexp_extract_all(F.lower(sentence), F.lit(f"(?u)(?<!\\p{{Pd}}){java(_EDGE + 'x')[:-1]}(?:{every}){java('x' + _EDGE)[1:]}(?!\\p{{Pd}})"), F.lit(0))
+    # longest first among those with one first letter, which alone can stand at one place
+    tails: dict[str, list[str]] = {}
+    for p in sorted(_PHRASES, key=lambda p: -len(p)):
+        tails.setdefault(p[0], []).append(p[1:])
+    every = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in tails.items())
+    seen = F.regexp_extract_all(F.lower(sentence), F.lit(f"(?u){java(_EDGE + 'x')[:-1]}(?<!\\p{{Pd}})(?:{every}){java('x' + _EDGE)[1:]}(?!\\p{{Pd}})"), F.lit(0))
     ahead = {p: a for p, _, a in lexicons.RULES if a}
-    kept = F.filter(F.array(*[F.lit(p) for p in _PHRASES if p not in ahead]), lambda p: F.array_contains(seen, p))
-    checked = [F.when(F.array_contains(seen, p), F.when(sentence.rlike(f"(?iu){p}{java(a)}"), F.lit(p))) for p, a in ahead.items()]
-    order = F.array(*[F.lit(p) for p in _PHRASES])
-    return F.array_intersect(order, F.concat(kept, F.filter(F.array(*checked), lambda p: p.isNotNull())))
+
+    def fired(seen: Column) -> Column:
+        kept = F.array_except(seen, listed(list(ahead)))
+        checked = [F.when(F.array_contains(seen, p), F.when(sentence.rlike(f"(?iu){p}{java(a)}"), F.lit(p))) for p, a in ahead.items()]
+        return F.array_intersect(listed(_PHRASES), F.concat(kept, F.array_compact(F.array(*checked))))
+
+    return bound(seen, lambda s: F.when(F.size(s) > 0, fired(s)).otherwise(F.array().cast("array<string>")))
 
 
 def _reason(phrase: str, replacement: str) -> str:
