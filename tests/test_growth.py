@@ -1,11 +1,14 @@
 """What keeps work in proportion to the input: plans without moved texts or repeated steps, and results that must not change with it."""
 
 import random
+import time
 
-import pytest
 from pyspark.sql import functions as F
 
-from textgate.operators import claims
+from textgate.functions import relations
+from textgate.operators import claims, gate, guards, reports, rules, segment
+from textgate.plans import catalogue
+from textgate.streaming import identity
 
 
 def plan_of(df):
@@ -19,3 +22,74 @@ def test_claims_are_found_without_moving_texts(spark):
     assert plan_of(df).count("Exchange hashpartitioning") == 1
     rows = df.orderBy("line").collect()
     assert [(r["line"], r["column"], r["rule"], r["waived"]) for r in rows] == [(2, 11, "marketing/boast", True), (53, 9, "marketing/boast", False)]
+
+
+def test_phrases_of_rules_are_looked_for_once(spark):
+    df = catalogue.queries()["clarity_rules_fire"](spark, "/root/testdata/sf0.001")
+    # once in the step that hands them on, and in no filter that Spark puts before it
+    assert plan_of(df).split("== Initial Plan ==")[-1].count("(?u)") == 1
+    rows = spark.createDataFrame([("We met in order to talk, due to the fact that, in order to.",), ("Plain.",)], "s string").select(rules.rules_fired(F.col("s")).alias("r")).collect()
+    assert [r["r"] for r in rows] == [[p for p, _, _ in rules.lexicons.RULES if p in ("in order to", "due to the fact that")], []]
+
+
+def test_repairs_are_made_once(spark):
+    plan = plan_of(catalogue.queries()["mechanics_repairs"](spark, "/root/testdata/sf0.001"))
+    assert "size(ids" not in plan and "size(CASE" not in plan
+
+
+def test_nearest_goes_through_a_group_once(spark):
+    n = 40_000
+    left = spark.range(n).select(F.lit(1).alias("key"), F.col("id").alias("at"), F.col("id").alias("l"))
+    right = spark.range(n).select(F.lit(1).alias("key"), (F.col("id") * 3).alias("at"), F.col("id").alias("r"))
+    found = reports.nearest(left, right, "key", "at", "l", "r")
+    assert "currentrow$(), unboundedfollowing$()" not in plan_of(found)
+    assert found.where(F.col("r") != F.round(F.col("l") / 3)).count() == 0
+
+
+def test_a_document_is_cut_once_for_both_revisions(spark):
+    df = catalogue.queries()["reconcile_identity"](spark, "/root/testdata/sf0.001")
+    assert plan_of(df).split("== Initial Plan ==")[-1].count("pythonUDF") + plan_of(df).split("== Initial Plan ==")[-1].count("MapInArrow") == 2
+    sents = spark.createDataFrame([(1, 0, "a", 0), (1, 1, "b", 1), (2, 0, "a", 0)], "doc_id long, sent_idx int, sentence string, start int")
+    rows = identity.reconciled(sents, sents.where("sent_idx > 0").select("doc_id", (F.col("sent_idx") - 1).alias("sent_idx"), "sentence", "start")).collect()
+    assert [(r["doc_id"], r["sent_idx"], r["was"], r["state"]) for r in rows] == [(1, 0, 1, "moved")]
+
+
+def test_names_of_patterns_are_halved_for(spark):
+    plan = plan_of(catalogue.queries()["gate_pattern_names"](spark, "/root/testdata/sf0.001"))
+    assert "isnotnull(CASE" not in plan
+    some = spark.createDataFrame([("They make a decision for the purpose of it.",), ("Plain.",)], "line string")
+    first = some.select(gate.first_hit(F.col("line"))["name"].alias("n")).collect()
+    assert [r["name"] for r in gate.screened(some, "line", "name").collect()] == [first[0]["n"]] and first[1]["n"] is None
+
+
+def test_sentences_are_handed_on_in_small_batches(spark):
+    docs = spark.range(300).repartition(1).select(F.col("id").alias("doc_id"), F.lit("One is here. Two is there.").alias("text"))
+
+    # what leaves the cut is bounded by documents, whatever the batch it came in
+    batch = docs.toArrow().to_batches()[0]
+    assert [b.num_rows for b in segment._few(iter([batch]))] == [64, 64, 64, 64, 44]
+    assert segment.sentences(docs).count() == 600
+
+
+def test_words_that_a_list_lacks(spark):
+    rng = random.Random(3)
+    cases = [([rng.choice("abcdefghijklmnopqrstuvwxyz"[:k]) for _ in range(30)], [rng.choice("abcdefghijklmnopqrstuvwxyz"[::2]) for _ in range(n)]) for k in (3, 26) for n in (0, 5, 30)]
+    cases.append(([str(k) for k in range(20_000)], ["x", *map(str, range(0, 20_000, 2))]))
+    df = spark.createDataFrame(cases, "a array<string>, b array<string>")
+    began = time.time()
+    got = [r["n"] for r in df.select(relations.lacking(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert got == [sum(w not in set(b) for w in a) for a, b in cases] and time.time() - began < 20
+
+
+def test_quantifiers_of_a_group_are_found_without_copies_of_copies(spark):
+    df = spark.createDataFrame([("At least about ten, around the most of it, around ten.",), ("The least of it, about him.",)], "s string")
+    sets = df.select(guards.quantifier_sets(F.col("s"))[3].alias("w"))
+    assert plan_of(sets).count("array_remove") == 0
+    assert [set(r["w"]) & {"about", "around", "least", "most"} for r in sets.collect()] == [{"about", "around", "least"}, set()]
+
+
+def test_new_pronouns_are_looked_for_among_new_words(spark):
+    df = spark.createDataFrame([("We go.", "We go."), ("We go.", "They go."), ("We go.", "We've gone."), ("A cat.", "It is a cat."), ("They go.", "They say you go.")], "s string, c string")
+    changed = guards.pronouns_changed(F.col("s"), F.col("c"))
+    assert [r["x"] for r in df.select(changed.alias("x")).collect()] == [False, True, False, False, True]
+    assert plan_of(df.select(changed.alias("x"))).count("arrays_overlap") <= 2 * len(guards.lex.PRONOUNS)

@@ -130,35 +130,27 @@ def _steps(a: list[str], b: list[str]) -> Iterator[tuple[str, int | None, int |
 
 
 def _aligned(source: str, candidate: str) -> list[tuple]:
-    """Longest common subsequence by lower-case token; a deletion goes before an insertion on ties.
+    """Steps by lower-case token.
 
     Changed steps carry the number of their run; ``twin`` marks one whose neighbour is the same word.
     """
-    left, right = list(_TOKEN.finditer(source)), list(_TOKEN.finditer(candidate))
-    a, b = [m[0].lower() for m in left], [m[0].lower() for m in right]
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
+    left = list(_TOKEN.finditer(source))
+    right = left if source == candidate else list(_TOKEN.finditer(candidate))
+    a = [m[0].lower() for m in left]
+    b = a if right is left else [m[0].lower() for m in right]
+    head, shorter = 0, min(len(a), len(b))
+    while head < shorter and a[head] == b[head]:
         head += 1
-    steps = [("equal", k, k) for k in range(head)]
-    j = head
-    for i, deleted in enumerate(_deletions(a[head:], b[head:]), head):
-        while j < len(b) and a[i] != b[j] and not deleted[j - head]:
-            steps.append(("insert", None, j))
-            j += 1
-        if j < len(b) and a[i] == b[j]:
-            steps.append(("equal", i, j))
-            j += 1
-        else:
-            steps.append(("delete", i, None))
-    steps += [("insert", None, k) for k in range(j, len(b))]
-    key = [a[i] if i is not None else b[j] for _, i, j in steps]
-    out, run = [], 0
-    for k, (kind, i, j) in enumerate(steps):
-        run += kind != "equal" and (k == 0 or steps[k - 1][0] == "equal")
+    out = [("equal", x[0], y[0], *x.span(), 0, False, *y.span()) for x, y in zip(left[:head], right[:head], strict=True)]
+    steps = list(_steps(a[head:], b[head:]))
+    key = [*a[max(head - 1, 0) : head], *(a[head + i] if i is not None else b[head + j] for _, i, j in steps)]
+    first, run, before = len(key) - len(steps), 0, "equal"
+    for k, (kind, i, j) in enumerate(steps, first):
+        run += kind != "equal" and before == "equal"
+        before = kind
         twin = kind != "equal" and key[k] in (*key[max(k - 1, 0) : k], *key[k + 1 : k + 2])
-        span = left[i].span() if i is not None else (None, None)
-        into = right[j].span() if j is not None else (None, None)
-        out.append((kind, left[i][0] if i is not None else None, right[j][0] if j is not None else None, *span, run if kind != "equal" else 0, twin, *into))
+        x, y = left[head + i] if i is not None else None, right[head + j] if j is not None else None
+        out.append((kind, x and x[0], y and y[0], *(x.span() if x else (None, None)), run if kind != "equal" else 0, twin, *(y.span() if y else (None, None))))
     return out
 
 
@@ -205,26 +197,23 @@ def edit_ratio(ops: Column) -> Column:
 
 
 def changed_ranges(source: Column, ops: Column) -> Column:
-    """(start, end) in the source of what changes; an insertion stands at its neighbour, ranges with blanks between are one."""
-    at = F.transform(ops, lambda o, i: F.struct(o.alias("o"), i.alias("i")))
-    here = lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))
-
-    def place(x: Column) -> Column:
-        before = F.filter(F.slice(ops, F.lit(1), x["i"]), lambda o: o["start"].isNotNull())
-        after = F.filter(F.slice(ops, x["i"] + 1, F.size(ops)), lambda o: o["start"].isNotNull())
-        recased = (x["o"]["type"] == "equal") & (x["o"]["source"] != x["o"]["target"])
-        anchor = F.coalesce(F.get(before, F.size(before) - 1), F.get(after, F.lit(0)))
-        return F.when(recased | (x["o"]["type"] == "delete"), here(x["o"])).when(x["o"]["type"] == "insert", here(anchor))
-
-    ranges = F.filter(F.transform(at, place), lambda r: r["start"].isNotNull())
-    first = F.array().cast("array<struct<start:int,end:int>>")
-
-    def joined(acc: Column, r: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        gap = F.substring(source, last["end"] + 1, r["start"] - last["end"])
-        near = (F.size(acc) > 0) & ((r["start"] <= last["end"]) | (trimmed(gap) == ""))
-        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        return F.when(near, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(r)))
+    """(start, end) in the source of what changes; an insertion stands at its neighbour, ranges with blanks between are one.
+
+    Tokens take in everything but blanks, so ranges are the unbroken runs of touched tokens of the source.
+    """
+    inserts = lambda i: F.coalesce(F.get(ops, i)["type"] == "insert", F.lit(False))
+    recased = lambda o: (o["type"] == "equal") & (o["source"] != o["target"])
+    marked = F.transform(ops, lambda o, i: F.struct(o["start"].alias("start"), o["end"].alias("end"), (recased(o) | (o["type"] == "delete") | inserts(i + 1)).alias("touched")))
+
+    def runs(own: Column) -> Column:
+        # what is inserted before all tokens stands at the first
+        touched = lambda k: F.coalesce(F.get(own, k)["touched"] | ((k == 0) & inserts(F.lit(0))), F.lit(False))
+        first = F.filter(own, lambda o, k: touched(k) & ((k == 0) | ~touched(k - 1)))
+        last = F.filter(own, lambda o, k: touched(k) & ~touched(k + 1))
+        return F.zip_with(first, last, lambda x, y: F.struct(x["start"].alias("start"), y["end"].alias("end")))
+
+    return bound(F.filter(marked, lambda o: o["start"].isNotNull()), runs)
+
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is made once, however often and deep inside functions it is named."""
@@ -605,30 +594,33 @@ _RESPELL = lex.RESPELLED | {k: v for k, v in lex.CONTRACTED.items() if k != "ain
 
 def trivial(ops: Column) -> Column:
     """One article taken out, or a contraction written out, and nothing else."""
-    deleted, inserted = _texts(ops, "delete"), _texts(ops, "insert")
+    sides = F.struct(_texts(ops, "delete").alias("deleted"), _texts(ops, "insert").alias("inserted"))
     longhand = mapped(_RESPELL)
     spelled = lambda ws: F.array_join(F.transform(ws, lambda w: F.coalesce(F.element_at(longhand, F.translate(w, "’", "'")), w)), " ")
 
-    def worth(run: Column) -> Column:
-        out, into = (_words_of(F.filter(x, lambda p: p["run"] == run)) for x in (deleted, inserted))
+    def worth(v: Column, run: Column) -> Column:
+        out, into = (_words_of(F.filter(x, lambda p: p["run"] == run)) for x in (v["deleted"], v["inserted"]))
         twin = F.exists(ops, lambda o: (o["run"] == run) & (o["type"] == "delete") & o["twin"])
         article = (F.size(into) == 0) & ~F.exists(out, lambda w: ~w.isin("a", "an", "the"))
         same = (F.size(into) > 0) & (F.size(out) > 0) & (spelled(out) == spelled(into)) & (F.length(F.array_join(into, " ")) >= F.length(F.array_join(out, " ")))
         return F.when(twin, "substantive").when(article, "article").when(same, "respelling").otherwise("substantive")
 
     runs = F.array_distinct(F.transform(F.filter(ops, lambda o: o["run"] > 0), lambda o: o["run"]))
-    kinds = F.transform(runs, worth)
-    return (kinds == listed(["article"])) | (F.array_contains(kinds, "respelling") & ~F.array_contains(kinds, "substantive"))
+    kinds = bound(sides, lambda v: F.transform(runs, lambda run: worth(v, run)))
+    return bound(kinds, lambda k: (k == listed(["article"])) | (F.array_contains(k, "respelling") & ~F.array_contains(k, "substantive")))
 
 
 def unsourced_word(ops: Column, prose: Column) -> Column:
     """A new content word that no word of the source's own prose accounts for."""
-    own = F.filter(words(prose), is_content)
-    said = plain_words(F.lower(prose))
     gone = F.exists(_words_of(_texts(ops, "delete")), lambda w: among(w, lex.PERIPHRASTIC))
     new = F.filter(_words_of(_texts(ops, "insert")), is_content)
-    sourced = lambda w: among(w, lex.REDUCTIONS) | F.array_contains(own, w) | F.array_contains(said, w) | (gone & among(w, lex.VAGUE)) | F.exists(own, lambda x: rel.related(x, w))
-    return F.exists(new, lambda w: ~sourced(w))
+    known = F.struct(F.filter(words(prose), is_content).alias("own"), plain_words(F.lower(prose)).alias("said"), gone.alias("gone"))
+
+    def unsourced(v: Column) -> Column:
+        sourced = lambda w: among(w, lex.REDUCTIONS) | F.array_contains(v["own"], w) | F.array_contains(v["said"], w) | (v["gone"] & among(w, lex.VAGUE)) | F.exists(v["own"], lambda x: rel.related(x, w))
+        return F.exists(new, lambda w: ~sourced(w))
+
+    return bound(known, unsourced)
 
 
 def _lone(ops: Column) -> tuple[Column, Column, Column]:
@@ -705,37 +697,44 @@ _CONNECTIVES = [w for g in lex.CONNECTIVES for w in g]
 
 def lost_words(ops: Column, source: Column, candidate: Column) -> Column:
     """Deleted content words that nothing kept or put in their place accounts for."""
-    before, after = F.filter(words(source), is_content), F.filter(words(candidate), is_content)
-    out, into = F.filter(_texts(ops, "delete"), lambda p: is_content(p["w"])), _texts(ops, "insert")
+    texts = F.struct(F.filter(words(source), is_content).alias("before"), F.filter(words(candidate), is_content).alias("after"), F.filter(_texts(ops, "delete"), lambda p: is_content(p["w"])).alias("out"), _texts(ops, "insert").alias("into"))
     line = plain_words(F.lower(source))
     pairs = F.zip_with(line, F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
     padding = F.when(matches(source, lex.FILLERS), plain_words(F.lower(F.array_join(F.regexp_extract_all(source, F.lit("(?i)" + java(lex.FILLERS)), F.lit(0)), " ")))).otherwise(F.array().cast("array<string>"))
     hedged = F.arrays_overlap(hedge_words(candidate), listed(_EPISTEMIC))
-    again = F.exists(after, lambda w: w.rlike(lex.REPETITION))
     failing = lambda ws: F.size(_only(ws, lex.FAILURES))
-    fails = failing(after) < failing(before)
-
-    def lost(p: Column) -> Column:
-        mine = lambda ps: F.filter(ps, lambda q: q["run"] == p["run"])
-        noun = lambda q: q["w"].rlike(lex.NOMINAL_TAIL) | F.arrays_overlap(pairs, F.transform(listed(["of", "into", "regarding", "concerning"]), lambda o: F.concat_ws(" ", q["w"], o)))
-        unpacked = F.exists(mine(into), lambda i: is_content(i["w"]) & F.exists(mine(out), lambda q: rel.related(q["w"], i["w"]) & noun(q)))
-        stands = F.exists(after, lambda w: rel.related(w, p["w"]))
-        as_many = F.size(F.filter(after, lambda w: rel.related(w, p["w"]))) >= F.size(F.filter(before, lambda w: rel.related(w, p["w"])))
-        free = (
-            among(p["w"], [*lex.INTENSIFIERS, *lex.STOCK_NOUNS])
-            | F.array_contains(padding, p["w"])
-            | (among(p["w"], [*lex.LIGHT_VERBS, *lex.LIGHT_PARTICLES]) & unpacked)
-            | (hedged & among(p["w"], _EPISTEMIC))
-            | F.when(p["w"].isin("back", "again"), again).otherwise(
-                among(p["w"], lex.REDUNDANT)
-                | F.exists(mine(into), lambda i: among(F.concat_ws(":", i["w"], p["w"]), _CARRIED))
-                | (stands & (among(p["w"], _CONNECTIVES) | as_many | F.exists(mine(into), lambda i: among(i["w"], lex.PRO_FORMS))))
+    same = F.struct(pairs.alias("pairs"), padding.alias("padding"), hedged.alias("hedged"))
+
+    def told(v: Column, u: Column) -> Column:
+        before, after, out, into = (v[n] for n in ("before", "after", "out", "into"))
+        again = F.exists(after, lambda w: w.rlike(lex.REPETITION))
+        fails = failing(after) < failing(before)
+        pairs, padding, hedged = (u[n] for n in ("pairs", "padding", "hedged"))
+
+        def lost(p: Column) -> Column:
+            mine = lambda ps: F.filter(ps, lambda q: q["run"] == p["run"])
+            noun = lambda q: q["w"].rlike(lex.NOMINAL_TAIL) | F.arrays_overlap(pairs, F.transform(listed(["of", "into", "regarding", "concerning"]), lambda o: F.concat_ws(" ", q["w"], o)))
+            unpacked = F.exists(mine(into), lambda i: is_content(i["w"]) & F.exists(mine(out), lambda q: rel.related(q["w"], i["w"]) & noun(q)))
+            stands = F.exists(after, lambda w: rel.related(w, p["w"]))
+            as_many = F.size(F.filter(after, lambda w: rel.related(w, p["w"]))) >= F.size(F.filter(before, lambda w: rel.related(w, p["w"])))
+            free = (
+                among(p["w"], [*lex.INTENSIFIERS, *lex.STOCK_NOUNS])
+                | F.array_contains(padding, p["w"])
+                | (among(p["w"], [*lex.LIGHT_VERBS, *lex.LIGHT_PARTICLES]) & unpacked)
+                | (hedged & among(p["w"], _EPISTEMIC))
+                | F.when(p["w"].isin("back", "again"), again).otherwise(
+                    among(p["w"], lex.REDUNDANT)
+                    | F.exists(mine(into), lambda i: among(F.concat_ws(":", i["w"], p["w"]), _CARRIED))
+                    | (stands & (among(p["w"], _CONNECTIVES) | as_many | F.exists(mine(into), lambda i: among(i["w"], lex.PRO_FORMS))))
+                )
             )
-        )
-        inverts = fails & F.exists(mine(out), lambda q: among(q["w"], lex.FAILURES))
-        return inverts | ~free
+            inverts = fails & F.exists(mine(out), lambda q: among(q["w"], lex.FAILURES))
+            return inverts | ~free
+
+        return _words_of(F.filter(out, lost))
 
-    return _words_of(F.filter(out, lost))
+    empty = F.array().cast("array<string>")
+    return bound(texts, lambda v: F.when(F.size(v["out"]) > 0, bound(same, lambda u: told(v, u))).otherwise(empty))
 
 
 def conjunct_dropped(source: Column, candidate: Column, lost: Column) -> Column:
@@ -784,6 +783,10 @@ def validated(pairs: DataFrame, source: str = "source", candidate: str = "candid
     rest = trimmed(replaced(F.col("__whole"), lex.ATTENTION, ""))
     framed = matches(F.col("__whole"), lex.ATTENTION) & (rest != "")
     df = df.withColumn("__s", F.when(framed, capitalised(rest)).otherwise(F.col("__whole"))).withColumn("__framed", framed)
+    two = F.col("__c").rlike("[.!?…][\"'’”)\\]}*~`_]*[^\\p{L}\\p{N}]+[\\p{L}\\p{N}\"“‘(*_]") | F.col("__c").contains("\n")
+    # rows wait beside Python: what the guards need of the words is made behind this step and left before the next
+    df = df.withColumn("__sentences", segment.complete_sentences(F.when(two, F.col("__c"))))
+    narrow = df.columns
     for side in "sc":
         text = F.col(f"__{side}")
         low = F.lower(text)
@@ -792,8 +795,6 @@ def validated(pairs: DataFrame, source: str = "source", candidate: str = "candid
     s, c, low, clow, left, right, a, b, mine, theirs = (F.col("__" + n) for n in ("s", "c", "slow", "clow", "swords", "cwords", "splain", "cplain", "scontent", "ccontent"))
     net = F.size(mine) - F.size(theirs)
     blanks = lambda text: F.lower(replaced(trimmed(text), r"\s+", " "))
-    two = c.rlike("[.!?…][\"'’”)\\]}*~`_]*[^\\p{L}\\p{N}]+[\\p{L}\\p{N}\"“‘(*_]") | c.contains("\n")
-    df = df.withColumn("__sentences", segment.complete_sentences(F.when(two, c)))
     early: list[tuple[str | None, Column]] = [
         ("action-mismatch", F.coalesce(F.col(action), F.lit("")) != "rewrite") if action else ("action-mismatch", F.lit(False)),
         ("empty", c == ""),
@@ -818,7 +819,7 @@ def validated(pairs: DataFrame, source: str = "source", candidate: str = "candid
         ("terminal-punctuation-changed", (terminal(s) != "") & (terminal(s) != terminal(c))),
         ("order-changed", _permuted(left, right) | subordinator_moved(low, clow, a, b) | adjunct_compounded(left, right) | roles_flipped(s, c, mine, theirs)),
     ]
-    df = df.withColumn("__early", _first(early, F.lit("open")))
+    df = df.withColumn("__early", _first(early, F.lit("open"))).select(*narrow, "__early")
     open_ = F.col("__early") == "open"
     df = df.withColumn("ops", edit_ops(F.when(open_ | F.col("__early").isNull(), s), F.when(open_ | F.col("__early").isNull(), c)))
     df = df.withColumn("ratio", F.when(F.col("ops").isNotNull(), edit_ratio(F.col("ops"))))
@@ -832,10 +833,10 @@ def validated(pairs: DataFrame, source: str = "source", candidate: str = "candid
         ("word-substituted", number_of_noun(ops)),
         ("word-substituted", derived_word(ops, s, c)),
         ("word-substituted", topic_objectified(ops)),
-        ("word-substituted", confusable_derived(ops, theirs)),
+        ("word-substituted", confusable_derived(ops, F.filter(words(c), is_content))),
         ("order-changed", passive_introduced(ops)),
         ("pronoun-changed", pronouns_changed(s, c)),
-        ("negation-changed", F.size(_only(a, lex.FAILURES)) != F.size(_only(b, lex.FAILURES))),
+        ("negation-changed", F.size(_only(plain_words(F.lower(s)), lex.FAILURES)) != F.size(_only(plain_words(F.lower(c)), lex.FAILURES))),
     ]
     df = df.withColumn("reason", F.when(open_, _first(late, F.lit(None).cast("string"))).otherwise(F.col("__early")))
     df = df.withColumn("accepted", F.col("reason").isNull())
