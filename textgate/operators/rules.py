@@ -94,12 +94,19 @@ def single_spaced(text: Column) -> Column:
     return F.regexp_replace(text, f"([^{BLANK}])[ \\t]{{2,}}(?=[^{BLANK}])", "$1 ")
 
 
+#: Lower-case letters whose capital Java writes with two, and the one letter that Unicode has for it.
+_PAIRED = {"ß": "ẞ"} | {c: c.title() for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > 1 and c.islower() and len(c.title()) == 1 and c.title() != c}
+_SINGLE = ("".join(_PAIRED), "".join(_PAIRED.values()))
+
+
 def capital_opener(text: Column) -> Column:
     """A capital first letter, unless the first word is an identifier or has a capital inside."""
     opener = F.regexp_replace(F.regexp_extract(text, f"^[{BLANK}]*([^{BLANK}]*)", 1), "[.!?…]+$", "")
     plain = ~opener.rlike("[./\\\\@_\ue000]|^\\p{L}+[0-9]") & text.rlike(f"^[{BLANK}]*\\p{{Ll}}(?!\\p{{L}}*\\p{{Lu}})")
     at = F.length(F.regexp_extract(text, f"^[{BLANK}]*", 0)) + 1
-    letter = F.upper(F.substring(text, at, F.lit(1)))
+    begun = F.substring(text, at, F.lit(1))
+    single = F.translate(begun, *_SINGLE)
+    letter = F.when(single != begun, single).otherwise(F.upper(begun))
     return F.when(plain & (F.length(letter) == 1), F.concat(F.substring(text, F.lit(1), at - 1), letter, F.substring(text, at + 1, F.length(text)))).otherwise(text)
 
 
