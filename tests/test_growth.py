@@ -93,3 +93,12 @@ def test_new_pronouns_are_looked_for_among_new_words(spark):
     changed = guards.pronouns_changed(F.col("s"), F.col("c"))
     assert [r["x"] for r in df.select(changed.alias("x")).collect()] == [False, True, False, False, True]
     assert plan_of(df.select(changed.alias("x"))).count("arrays_overlap") <= 2 * len(guards.lex.PRONOUNS)
+
+
+def test_capital_of_an_opener_is_one_letter(spark):
+    import duckdb
+
+    letters = "aßäéœþſµαςᾳѐыա"
+    df = spark.createDataFrame([(f"{c}bc, d",) for c in letters], "s string")
+    got = [r["t"] for r in df.select(rules.capital_opener(F.col("s")).alias("t")).collect()]
+    assert got == [duckdb.execute("select upper(?)", [c]).fetchall()[0][0] + "bc, d" for c in letters] and "ẞbc, d" in got
