@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from textgate.functions import relations
+from textgate.functions import lexicons, patterns, relations
 from textgate.operators import claims, gate, guards, reports, rules, segment
 from textgate.plans import catalogue
 from textgate.streaming import identity
@@ -102,3 +102,29 @@ def test_capital_of_an_opener_is_one_letter(spark):
     df = spark.createDataFrame([(f"{c}bc, d",) for c in letters], "s string")
     got = [r["t"] for r in df.select(rules.capital_opener(F.col("s")).alias("t")).collect()]
     assert got == [duckdb.execute("select upper(?)", [c]).fetchall()[0][0] + "bc, d" for c in letters] and "ẞbc, d" in got
+
+
+_PARTS = ("and we|or they|but it|then|to run|walking|singing|, and to|, and|, how|, to go|, of the|is|was written by the|there is|that|who|made|a decision|repeat|again|because|if|although|could go|we could"
+          "|let me know what|is?|just to|arguably,|prior to|which are|has not been seen|.|!|,|;|é|İ|ſ|K|\u00a0|\u3000|\ufeff|\n|word|" + "x" * 35 + "|" + "ab " * 50).split("|")
+
+
+def _mixed(spark):
+    """Texts of parts of the patterns, and gaps as wide as a pattern allows and one wider, with what the plain expressions say."""
+    rng = random.Random(7)
+    texts = [rng.choice(["", " ", "\u00a0"]).join(rng.choice(_PARTS) + rng.choice([" ", " ", ""]) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    gaps = ["and we %s and they", "singing%s, and to run", ", to go%s, and to run", "let me know what%sis?", "we can go%s or they can", ", how it%s, and", "repeat%sagain", "because%sand if"]
+    texts += [g % (" " + "é" * n + " ") for g in gaps for n in (0, 20, 22, 23, 24, 25, 55, 58, 59, 60, *range(150, 166))] + ["x" * n + "ing, and to run" for n in (38, 40, 41)]
+    return spark.createDataFrame([(t,) for t in [*texts, *texts[:100], "", None]], "t string").repartition(3)
+
+
+def test_families_are_found_by_one_scan_each(spark):
+    plan = plan_of(catalogue.queries()["gate_families_by_language"](spark, "/root/testdata/sf0.001")).split("== Initial Plan ==")[-1]
+    assert "RLIKE" not in plan and plan.count("ArrowEvalPython") == 1
+    t = F.col("t")
+    want = {family: patterns.matches(F.lower(t), patterns.any_of([p for _, p in ps]), False) for family, ps in lexicons.GATE}
+    got = gate.family_hits(t)
+    same = [F.count_if(got[f].eqNullSafe(want[f])) for f in gate.FAMILIES]
+    df = _mixed(spark)
+    row = df.agg(*same, *[F.count_if(got[f]) for f in gate.FAMILIES]).first()
+    assert set(row[:12]) == {df.count()} and min(row[12:]) > 0
+    assert df.where("t = ''").select(*gate.family_hits(t, ["expletive"]).values()).first()[0] is False
