@@ -128,3 +128,16 @@ def test_families_are_found_by_one_scan_each(spark):
     row = df.agg(*same, *[F.count_if(got[f]) for f in gate.FAMILIES]).first()
     assert set(row[:12]) == {df.count()} and min(row[12:]) > 0
     assert df.where("t = ''").select(*gate.family_hits(t, ["expletive"]).values()).first()[0] is False
+
+
+def test_first_hits_are_found_by_scans(spark):
+    plan = plan_of(catalogue.queries()["gate_family_counts"](spark, "/root/testdata/sf0.001")).split("== Initial Plan ==")[-1]
+    # the scan is made once: no filter below repeats it
+    assert "RLIKE" not in plan and plan.count("ArrowEvalPython") == 1
+    t = F.col("t")
+    told = F.coalesce(*[F.when(patterns.matches(F.lower(t), p, False), F.lit(f"{family}/{name}")) for family, ps in lexicons.GATE for name, p in ps])
+    df = _mixed(spark).withColumn("want", told)
+    got = gate.first_hit(t)
+    assert df.where(~F.concat_ws("/", got["family"], got["name"]).eqNullSafe(F.coalesce("want", F.lit("")))).count() == 0
+    rows = gate.screened(gate.screened(df, "t"), "t", "name")
+    assert rows.where(F.concat_ws("/", "family", "name") != F.col("want")).count() == 0 and rows.count() == df.where("want is not null").count() > 500

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textgate.functions.lexicons import GATE
-from textgate.functions.patterns import any_of, matches, re2
+from textgate.functions.patterns import any_of, listed, matches, re2
 
 FAMILIES = [family for family, _ in GATE]
 _PATTERNS = {family: [p for _, p in patterns] for family, patterns in GATE}
@@ -48,10 +48,52 @@ def _scanned(low: pa.Array, pattern: str) -> np.ndarray:
     return hit
 
 
+def _search(low: pa.Array, rows: np.ndarray, groups: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the rows that some group matches, with the number of the first that does; rows leave when theirs is found."""
+    found, numbers = [rows[:0]], [rows[:0]]
+    for k, pattern in enumerate(groups):
+        if not len(rows):
+            break
+        hit = _scanned(low.take(pa.array(rows)), pattern)
+        found.append(rows[hit])
+        numbers.append(np.full(int(hit.sum()), k))
+        rows = rows[~hit]
+    return np.concatenate(found), np.concatenate(numbers)
+
+
+def _first(low: pa.Array) -> pa.Array:
+    """The number, in table order, of the first pattern that matches, or null."""
+    out = np.full(len(low), -1, np.int32)
+    some = np.flatnonzero(_scanned(low, _EVERY))
+    rows, families = _search(low, some, [any_of(patterns) for patterns in _PATTERNS.values()])
+    before = 0
+    for k, patterns in enumerate(_PATTERNS.values()):
+        # the patterns of a family are told apart only where that family is the first
+        mine, numbers = _search(low, rows[families == k], patterns)
+        out[mine] = before + numbers
+        before += len(patterns)
+    return pa.array(out, mask=out < 0)
+
+
+_first_number = F.arrow_udf(_first, T.IntegerType())
+#: The same for use in a step of its own, which Spark neither repeats nor moves into a filter below.
+_first_number_once = F.arrow_udf(_first, T.IntegerType()).asNondeterministic()
+
+
+def _told(number: Column, by: str) -> Column:
+    """The family, or the name, of the pattern of this number."""
+    return F.get(listed([family if by == "family" else name for family, patterns in GATE for name, _ in patterns]), number)
+
+
 def first_hit(text: Column) -> Column:
     """``family`` and ``name`` of the first pattern in table order that matches, or null."""
-    named = [(F.struct(F.lit(family).alias("family"), F.lit(name).alias("name")), [p]) for family, patterns in GATE for name, p in patterns]
-    return F.when(any_hit(text), _of_hit(F.lower(text), named))
+    number = _first_number(F.lower(text))
+    return F.when(number.isNotNull(), F.struct(_told(number, "family").alias("family"), _told(number, "name").alias("name")))
+
+
+def first_family(text: Column) -> Column:
+    """The family of the first hit alone."""
+    return _told(_first_number(F.lower(text)), "family")
 
 
 def family_hits(text: Column, families: list[str] = FAMILIES) -> dict[str, Column]:
@@ -68,29 +110,7 @@ def family_hits(text: Column, families: list[str] = FAMILIES) -> dict[str, Colum
     return {family: found.bitwiseAND(F.lit(1 << k)) != 0 for k, family in enumerate(families)}
 
 
-def _of_hit(low: Column, told: list[tuple[Column, list[str]]]) -> Column:
-    """The first of these that matches, where it is known that one does: half of them are looked for at a time."""
-    if len(told) == 1:
-        return told[0][0]
-    earlier, later = told[: len(told) // 2], told[len(told) // 2 :]
-    return F.when(matches(low, any_of([p for _, patterns in earlier for p in patterns]), False), _of_hit(low, earlier)).otherwise(_of_hit(low, later))
-
-
-def _told(by: str) -> list[tuple[Column, list[str]]]:
-    """Families, or names of patterns, with their patterns in table order."""
-    if by == "family":
-        return [(F.lit(family), [p for _, p in patterns]) for family, patterns in GATE]
-    return [(F.lit(name), [p]) for _, patterns in GATE for name, p in patterns]
-
-
-def first_family(text: Column) -> Column:
-    """The family of the first hit alone."""
-    return F.when(any_hit(text), _of_hit(F.lower(text), _told("family")))
-
-
 def screened(rows: DataFrame, text: str, by: str = "family") -> DataFrame:
-    """The rows in whose text some pattern matches, with the ``family`` or ``name`` of the first hit.
-
-    Lines without a hit go after one scan.  The family is never null here, so that no filter on it is moved below and looks for it again.
-    """
-    return rows.where(any_hit(F.col(text))).withColumn(by, _of_hit(F.lower(text), _told(by)))
+    """The rows in whose text some pattern matches, with the ``family`` or ``name`` of the first hit."""
+    found = rows.withColumn("__first", _first_number_once(F.lower(F.col(text)))).where(F.col("__first").isNotNull())
+    return found.withColumn(by, _told(F.col("__first"), by)).drop("__first")
