@@ -141,3 +141,15 @@ def test_first_hits_are_found_by_scans(spark):
     assert df.where(~F.concat_ws("/", got["family"], got["name"]).eqNullSafe(F.coalesce("want", F.lit("")))).count() == 0
     rows = gate.screened(gate.screened(df, "t"), "t", "name")
     assert rows.where(F.concat_ws("/", "family", "name") != F.col("want")).count() == 0 and rows.count() == df.where("want is not null").count() > 500
+
+
+def test_ends_of_sentences_are_told_in_one_look():
+    began = time.time()
+    # marks that do not end the text were looked through anew from each of them
+    assert not segment.completes("*" * 100_000 + "a") and segment.completes("a." + "*" * 100_000)
+    assert time.time() - began < 2
+    for word in ("Mr", "approx", "xapprox", "a.m", "é.g", "e.g", "e.G", "U", "u", "1", "at", "St", "_st", "dept", "adept", "İ"):
+        known = word in ("Mr", "approx", "a.m", "e.g", "e.G", "U", "St", "_st", "dept", "İ")
+        assert segment.completes(f"Of {word}.)") is not known
+        text = f"Of {word}. Then"
+        assert (text[list(segment.pieces(text))[-1][0] :] == "Then") is not known
