@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textgate.functions import lexicons, patterns, relations
@@ -153,3 +154,28 @@ def test_ends_of_sentences_are_told_in_one_look():
         assert segment.completes(f"Of {word}.)") is not known
         text = f"Of {word}. Then"
         assert (text[list(segment.pieces(text))[-1][0] :] == "Then") is not known
+
+
+def test_repairs_look_at_a_run_of_blanks_once(spark):
+    # from each blank of a run its rest was looked through anew
+    text = "a" + " " * 200_000 + "b , c" + "\t" * 200_000
+    began = time.time()
+    row = rules.repaired(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert time.time() - began < 10
+    assert row["ids"] == ["space-before-punctuation", "repeated-space", "sentence-capitalisation"] and row["replacement"] == "A b, c" + "\t" * 200_000
+
+
+def test_cheap_looks_leave_repairs_as_they_were(spark):
+    odd = [
+        (' ,a', ', a'), ('x  y', 'X y'), ('x \t,y', 'X, y'), ('1,2 3,a', '1,2 3, a'), ('a:b /c,d', 'A: b /c,d'),
+        ('see a.md ,b', None), ('in may ,b', 'In May, b'), ('tuesday', 'Tuesday'), ('a\xa0b', 'A b'), ('\ufeffa  b', '\ufeffA b'),
+        ('A\xa0 \u202fb', 'A b'), ('\u2003a,b', '\u2003A, b'), ('mail a.b@c.de  now', 'Mail a.b@c.de now'), ('a .b . c', 'A .b. c'), (',1', ', 1'),
+        ('9,1;2', None), ('x\U0001f600  y', 'X\U0001f600 y'), ('a [[b  c]]  d', 'A [[b  c]] d'), ('$x  y$  z', '$x  y$ z'), ('HTTP://A  b', 'HTTP://A b'),
+        ('', None), ('a  \xa0b', 'A b'), ('A\u2003  b', None), ('  \ue000  ,a', None), ('monday ,may', 'Monday, may'),
+        ('on  may 3 ,b', 'On May 3, b'), ('d:\\x ,y  z', None), ('\U0001d44e  b', '\U0001d44e b'), ('A \U0001d44e  b ,c', 'A \U0001d44e b, c'), ('a ;\tb', 'A;\tb'),
+        ('\u017fa  b', 'Sa b'), ('\x85 ,b', '\x85, b'), (None, None),
+    ]
+    rows = rules.repaired(spark.createDataFrame([(k, *o) for k, o in enumerate(odd)], "k int, t string, want string"), "t")
+    assert [r["t"] for r in rows.collect() if r["replacement"] != r["want"]] == []
+    ends = [("\u00a0a b\ufeff\n", "a b"), ("a \x85", "a \x85"), (" \t", "")]
+    assert [r["want"] for r in spark.createDataFrame(ends, "t string, want string").withColumn("t", patterns.trimmed(F.col("t"))).collect() if r["t"] != r["want"]] == []

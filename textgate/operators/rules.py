@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textgate.functions import lexicons
-from textgate.functions.patterns import BLANK, capitalised, java, listed
+from textgate.functions.patterns import FULL, SPACE, capitalised, java, listed
 from textgate.operators.guards import bound, markup, protected
 
 _EDGE, _GAP = "\\b", java("\\s+")
 _OF_KEEPERS = lexicons.DETERMINER[:-1] + "|us|them|you|it|both|each)"
 _PHRASES = [p for p, _, _ in lexicons.RULES]
+#: What a text must have for an untouchable span to be looked for.
+_CALL = "[@/\\\\`$\\[]|\\.(?i:csv|json|log|md|txt|ya?ml|pdf|js|py|sql|xml|html)"
 
 
 def _fires(sentence: Column) -> Column:
@@ -86,12 +91,17 @@ def rule_reason(sentence: Column) -> Column:
 
 def guard_tokens(text: Column) -> Column:
     """What a repair may not change: untouchable spans and protected tokens, sorted."""
-    return F.sort_array(F.concat(F.transform(F.regexp_extract_all(text, F.lit(java(lexicons.UNTOUCHABLE)), F.lit(0)), lambda t: F.trim(t)), protected(text)))
+    return F.sort_array(F.concat(F.transform(_untouchable(text), lambda t: F.trim(t)), protected(text)))
+
+
+def _untouchable(text: Column) -> Column:
+    return F.when(text.rlike(_CALL), F.regexp_extract_all(text, F.lit(java(lexicons.UNTOUCHABLE)), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def single_spaced(text: Column) -> Column:
     """Repeated blanks between words become one."""
-    return F.regexp_replace(text, f"([^{BLANK}])[ \\t]{{2,}}(?=[^{BLANK}])", "$1 ")
+    single = F.regexp_replace(text, f"[ \\t](?<={FULL}[ \\t])[ \\t]++(?={FULL})", " ")
+    return F.when(text.contains("  ") | text.contains("\t"), single).otherwise(text)
 
 
 #: Lower-case letters whose capital Java writes with two, and the one letter that Unicode has for it.
@@ -101,30 +111,37 @@ _SINGLE = ("".join(_PAIRED), "".join(_PAIRED.values()))
 
 def capital_opener(text: Column) -> Column:
     """A capital first letter, unless the first word is an identifier or has a capital inside."""
-    opener = F.regexp_replace(F.regexp_extract(text, f"^[{BLANK}]*([^{BLANK}]*)", 1), "[.!?…]+$", "")
-    plain = ~opener.rlike("[./\\\\@_\ue000]|^\\p{L}+[0-9]") & text.rlike(f"^[{BLANK}]*\\p{{Ll}}(?!\\p{{L}}*\\p{{Lu}})")
-    at = F.length(F.regexp_extract(text, f"^[{BLANK}]*", 0)) + 1
+    opener = F.regexp_replace(F.regexp_extract(text, f"^{SPACE}*({FULL}*)", 1), "[.!?…]+$", "")
+    plain = text.rlike(f"^{SPACE}*\\p{{Ll}}(?!\\p{{L}}*\\p{{Lu}})") & ~opener.rlike("[./\\\\@_\ue000]|^\\p{L}+[0-9]")
+    at = F.length(F.regexp_extract(text, f"^{SPACE}*", 0)) + 1
     begun = F.substring(text, at, F.lit(1))
     single = F.translate(begun, *_SINGLE)
     letter = F.when(single != begun, single).otherwise(F.upper(begun))
     return F.when(plain & (F.length(letter) == 1), F.concat(F.substring(text, F.lit(1), at - 1), letter, F.substring(text, at + 1, F.length(text)))).otherwise(text)
 
 
+#: One of these stands in every name of a day or month.
+_DATE_PARTS = ["day", "uary", "march", "april", "may", "june", "july", "august", "ember", "october"]
+
+
 def _dates(text: Column) -> Column:
     out = text
     for name in lexicons.DAYS_AND_MONTHS:
         signal = "(?<=\\b(?i:on|in|by|since|until|before|after|during|from)\\s{1,4})" if name in lexicons.MONTH_OR_WORD else ""
         out = F.regexp_replace(out, f"{signal}(?<![A-Za-z0-9_]){name}(?![A-Za-z0-9_])", name.capitalize())
-    return F.when(text.rlike("|".join(lexicons.DAYS_AND_MONTHS)), out).otherwise(text)
+    some = reduce(or_, [text.contains(part) for part in _DATE_PARTS])
+    return F.when(some, out).otherwise(text)
 
 
 def _steps() -> list[tuple[str, str, object]]:
-    space = f"(?<=[^{BLANK}])[ \\t\\u00a0\\u202f]*[\\u00a0\\u202f][ \\t\\u00a0\\u202f]*(?=[^{BLANK}])"
-    after = "([,;:])(?=\\p{L})|(?<![0-9])([,;:])(?=[0-9])"
+    space = f"(?<={FULL})[ \\t\\u00a0\\u202f]*[\\u00a0\\u202f][ \\t\\u00a0\\u202f]*(?={FULL})"
+    before = "[ \\t](?<![ \\t]{2})[ \\t]*+([,;:!?]|\\.(?![A-Za-z0-9_/\\\\]))"
+    after = "([,;:])(?:(?=\\p{L})|(?<![0-9][,;:])(?=[0-9]))"
+    joined = lambda t: F.when(t.contains("\u00a0") | t.contains("\u202f"), F.regexp_replace(t, space, " ")).otherwise(t)
     return [
-        ("non-breaking-space", "Replaces a non-breaking space with an ordinary space.", lambda t: F.regexp_replace(t, space, " ")),
-        ("space-before-punctuation", "Removes a space before punctuation.", lambda t: F.regexp_replace(t, "[ \\t]+([,;:!?]|\\.(?![A-Za-z0-9_/\\\\]))", "$1")),
-        ("space-after-punctuation", "Adds the missing space after punctuation.", lambda t: F.regexp_replace(t, after, "$1$2 ")),
+        ("non-breaking-space", "Replaces a non-breaking space with an ordinary space.", joined),
+        ("space-before-punctuation", "Removes a space before punctuation.", lambda t: F.regexp_replace(t, before, "$1")),
+        ("space-after-punctuation", "Adds the missing space after punctuation.", lambda t: F.regexp_replace(t, after, "$1 ")),
         ("repeated-space", "Removes a repeated space.", single_spaced),
         ("sentence-capitalisation", "Capitalizes the first word.", capital_opener),
         ("proper-noun-capitalisation", "Capitalizes a day or month name.", _dates),
@@ -137,14 +154,15 @@ def repaired(df: DataFrame, text: str) -> DataFrame:
     Untouchable spans are held by one character of private use while the repairs run, so a repair
     works around them and never inside.  A text that has this character is left alone.
     """
-    spans = F.regexp_extract_all(F.col(text), F.lit(java(lexicons.UNTOUCHABLE)), F.lit(0))
-    out = df.withColumn("__spans", spans).withColumn("__0", F.regexp_replace(text, java(lexicons.UNTOUCHABLE), "\ue000"))
+    held = F.size("__spans") > 0
+    out = df.withColumn("__spans", _untouchable(F.col(text)))
+    out = out.withColumn("__0", F.when(held, F.regexp_replace(text, java(lexicons.UNTOUCHABLE), "\ue000")).otherwise(F.col(text)))
     steps = _steps()
     for k, (_, _, fix) in enumerate(steps):
         out = out.withColumn(f"__{k + 1}", fix(F.col(f"__{k}")))
     parts = F.split(F.col(f"__{len(steps)}"), "\ue000")
     whole = F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("a"), F.col("__spans").alias("b")), lambda p: F.array(p["a"], F.coalesce(p["b"], F.lit(""))))), "")
-    out = out.withColumn("__whole", whole)
+    out = out.withColumn("__whole", F.when(held, whole).otherwise(F.col(f"__{len(steps)}")))
 
     def told(which: int) -> Column:
         return F.filter(F.array(*[F.when(F.col(f"__{k}") != F.col(f"__{k + 1}"), F.lit(s[which])) for k, s in enumerate(steps)]), lambda x: x.isNotNull())
