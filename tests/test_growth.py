@@ -179,3 +179,24 @@ def test_cheap_looks_leave_repairs_as_they_were(spark):
     assert [r["t"] for r in rows.collect() if r["replacement"] != r["want"]] == []
     ends = [("\u00a0a b\ufeff\n", "a b"), ("a \x85", "a \x85"), (" \t", "")]
     assert [r["want"] for r in spark.createDataFrame(ends, "t string, want string").withColumn("t", patterns.trimmed(F.col("t"))).collect() if r["t"] != r["want"]] == []
+
+
+def test_a_second_sentence_ends_the_cutting(monkeypatch):
+    met = []
+    monkeypatch.setattr(segment, "completes", lambda s: met.append(s) or True)
+    told = list(segment._several.func(iter([pa.array(["One. Two. Three. Four.", "One.", None, ""])])))
+    assert told[0].to_pylist() == [True, False, None, False] and met == ["One. ", "Two. ", "One."]
+
+
+def test_names_of_a_pair_are_made_once(spark):
+    df = spark.createDataFrame([("We met Ann and Bob.", "We met Bob and Ann.", True), ("We met Ann.", "They met Ann.", False), ("We met Ann.", "We met ann.", False), ("No name.", "no name.", False), ("É is Ann.", "É is.", True)], "s string, c string, want boolean")
+    changed = guards.names_changed(F.col("s"), F.col("c"))
+    # the names of both sides were made anew for every word
+    assert plan_of(df.select(changed)).count("array_union") <= 2
+    assert df.where(changed != F.col("want")).count() == 0
+
+
+def test_pairs_that_are_told_have_no_words_made(spark):
+    rows = [("The same.", "The same.", "unchanged"), ("One thing.", "", "empty"), ("One thing is here.", "One is here. It is a thing.", "multiple-sentences"), ("One thing.", "As an AI I say no. It is so.", "instruction-output"), ("One thing.", "One thing!", "terminal-punctuation-changed")]
+    df = guards.validated(spark.createDataFrame(rows, "source string, candidate string, want string"))
+    assert [(r["want"], r["reason"]) for r in df.collect() if r["want"] != r["reason"]] == []

@@ -279,11 +279,14 @@ def numbers(text: Column) -> Column:
 
 #: What a text must have for a class of protected tokens to be looked for.
 _CALLS = ["[$€£¥₹]", "[$€£¥₹]", "(?i)https?:", "@", "/", ":\\\\", "(?i)\\.(?:csv|json|log|md|txt|ya?ml|pdf|js|py|sql|xml|html)", "[A-Z]{2}|_", "[A-Za-z][0-9]", "[0-9]:", "\\[[0-9]", "[0-9]"]
+#: What a text must have for any of them.
+_CALL = "[$€£¥₹@/_0-9]|[A-Z]{2}|:\\\\|(?i:https?:|\\.(?:csv|json|log|md|txt|ya?ml|pdf|js|py|sql|xml|html))"
 
 
 def protected(text: Column) -> Column:
     """Tokens to keep as written, class by class."""
-    return F.concat(*[_if(text.rlike(call), F.transform(found(text, p), lambda t: F.trim(t))) for call, p in zip(_CALLS, lex.PROTECTED, strict=True)])
+    every = F.concat(*[_if(text.rlike(call), F.transform(found(text, p), lambda t: F.trim(t))) for call, p in zip(_CALLS, lex.PROTECTED, strict=True)])
+    return _if(text.rlike(_CALL), every)
 
 
 def terms_changed(source: Column, candidate: Column, terms: Column) -> Column:
@@ -307,21 +310,22 @@ _OPENERS = sorted({*lex.FUNCTION_WORDS, *lex.OPENING_ADVERBS, *lex.OPENING_WORDS
 
 def names(text: Column) -> Column:
     """Capitalised words in lower case, but for number words and an opening word that is no name."""
-    every = found(text, r"\b\p{Lu}[\p{L}’']*\b")
+    every = found(text, r"(?=\p{Lu})\b\p{Lu}[\p{L}’']*\b")
     opener = F.regexp_extract(text, f"^[^\\p{{L}}\\p{{N}}]*({java(chr(92) + 'b')}\\p{{Lu}}[\\p{{L}}’']*)", 1)
-    every = F.when(among(base_word(F.lower(opener)), _OPENERS), F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))).otherwise(every)
+    behind = lambda ws: F.when(among(base_word(F.lower(opener)), _OPENERS), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0)))).otherwise(ws)
+    every = bound(every, behind)
     return _if(text.rlike("\\p{Lu}"), F.filter(F.transform(every, lambda w: F.lower(w)), lambda w: ~among(w, lex.NUMBER_WORDS)))
 
 
 def names_changed(source: Column, candidate: Column) -> Column:
     """Names of both sides do not stand in one order."""
-    every = F.array_union(names(source), names(candidate))
 
-    def told(text: Column) -> Column:
-        low = F.transform(found(text, r"\b[\p{L}][\p{L}’']*\b"), lambda w: F.lower(w))
+    def told(text: Column, every: Column) -> Column:
+        low = F.transform(found(text, r"(?=\p{L})\b[\p{L}][\p{L}’']*\b"), lambda w: F.lower(w))
         return F.filter(low, lambda w: F.array_contains(every, w))
 
-    return F.when(F.size(every) > 0, told(source) != told(candidate)).otherwise(False)
+    # made once a pair, not once a word
+    return bound(F.array_union(names(source), names(candidate)), lambda every: F.when(F.size(every) > 0, told(source, every) != told(candidate, every)).otherwise(False))
 
 
 def hedge_words(text: Column) -> Column:
@@ -337,6 +341,10 @@ def members(text: Column, group: list[str]) -> Column:
 
 def certainty_changed(a: Column, b: Column) -> Column:
     """From hedge words: a group's distinct members rise, or all of them go and are no stack reduced."""
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda v: _certainty_changed(v["a"], v["b"]))
+
+
+def _certainty_changed(a: Column, b: Column) -> Column:
     hedges = [w for k in lex.EPISTEMIC for w in lex.CERTAINTY[k]]
     mine, kept = F.array_intersect(a, listed(hedges)), F.array_intersect(b, listed(hedges))
     # of two hedges on one claim the later one may go
@@ -354,7 +362,7 @@ def quantifier_sets(text: Column) -> Column:
     """Per group the members present, with narrow senses of no, most, least, about and around."""
     lower = F.lower(text)
     lower = F.when(lower.contains("just"), replaced(lower, lex.SOFT_JUST, "", False)).otherwise(lower)
-    return _quantifiers(lower, plain_words(lower))
+    return bound(lower, lambda text: bound(plain_words(text), lambda ws: _quantifiers(text, ws)))
 
 
 def _quantifiers(lower: Column, ws: Column) -> Column:
@@ -376,6 +384,10 @@ def _quantifiers(lower: Column, ws: Column) -> Column:
 
 def quantifiers_changed(left: Column, right: Column) -> Column:
     """From quantifier sets: a group emptied, or a member new, unless a vague word stands for a phrase such as "a number of"."""
+    return bound(F.struct(left.alias("a"), right.alias("b")), lambda v: _quantifiers_changed(v["a"], v["b"]))
+
+
+def _quantifiers_changed(left: Column, right: Column) -> Column:
     parts = []
     for k in range(len(lex.QUANTIFIERS)):
         a, b = F.get(left, F.lit(k)), F.get(right, F.lit(k))
@@ -457,13 +469,21 @@ def tense(text: Column) -> Column:
     participle = f"(?:{'|'.join(lex.PAST_PARTICIPLES)})"
     end, free = "(?= |$)", f"(?<! (?:{'|'.join(lex.PRESENT_BE)}))"
     regular = f"(?!(?:{'|'.join(lex.NOT_PAST_ED)}){end})[\\p{{L}}’']*ed"
-    past = line.rlike(f"{free} (?:{irregular}|{regular}){end}") | line.rlike(f" (?:{'|'.join(lex.PERFECT)}) {participle}{end}")
-    perfect = line.rlike(f" (?:{'|'.join(lex.PERFECT)}) (?:[\\p{{L}}’']*(?:ed|en)|{'|'.join(lex.PAST_IRREGULAR)}|{participle}){end}")
-    return F.struct(past.alias("past"), line.rlike(f" (?:will|shall){end}").alias("future"), perfect.alias("perfect"))
+
+    def told(line: Column) -> Column:
+        past = line.rlike(f"{free} (?:{irregular}|{regular}){end}") | line.rlike(f" (?:{'|'.join(lex.PERFECT)}) {participle}{end}")
+        perfect = line.rlike(f" (?:{'|'.join(lex.PERFECT)}) (?:[\\p{{L}}’']*(?:ed|en)|{'|'.join(lex.PAST_IRREGULAR)}|{participle}){end}")
+        return F.struct(past.alias("past"), line.rlike(f" (?:will|shall){end}").alias("future"), perfect.alias("perfect"))
+
+    return bound(line, told)
 
 
 def tense_changed(source: Column, a: Column, b: Column) -> Column:
     """From tenses, unless the source names a past moment, or its verb does not tell, and the past is supplied."""
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda v: _tense_changed(source, v["a"], v["b"]))
+
+
+def _tense_changed(source: Column, a: Column, b: Column) -> Column:
     undecided = matches(source, lex.PAST_EVIDENCE) | matches(source, any_word(lex.INVARIANT_PAST))
     repaired = ~a["past"] & b["past"] & (a["future"] == b["future"]) & (a["perfect"] == b["perfect"]) & undecided
     return (a != b) & ~repaired
@@ -782,13 +802,29 @@ def validated(pairs: DataFrame, source: str = "source", candidate: str = "candid
     df = pairs.withColumn("__whole", s).withColumn("__c", c)
     rest = trimmed(replaced(F.col("__whole"), lex.ATTENTION, ""))
     framed = matches(F.col("__whole"), lex.ATTENTION) & (rest != "")
-    df = df.withColumn("__s", F.when(framed, capitalised(rest)).otherwise(F.col("__whole"))).withColumn("__framed", framed)
-    two = F.col("__c").rlike("[.!?…][\"'’”)\\]}*~`_]*[^\\p{L}\\p{N}]+[\\p{L}\\p{N}\"“‘(*_]") | F.col("__c").contains("\n")
+    c, nothing = F.col("__c"), F.lit(None).cast("string")
+    plain: list[tuple[str | None, Column]] = [
+        ("action-mismatch", F.coalesce(F.col(action), F.lit("")) != "rewrite") if action else ("action-mismatch", F.lit(False)),
+        ("empty", c == ""),
+        ("unchanged", c == F.col("__whole")),
+    ]
+    # each look is for the rows that those before have left open: most pairs are told by the first two
+    df = df.withColumn("__told", _first(plain, nothing))
+    df = df.withColumn("__framed", F.when(F.col("__told").isNull(), framed))
+    df = df.withColumn("__s", F.when(F.col("__framed"), capitalised(rest)).otherwise(F.col("__whole")))
+    two = c.rlike("[.!?…][\"'’”)\\]}*~`_]*[^\\p{L}\\p{N}]+[\\p{L}\\p{N}\"“‘(*_]") | c.contains("\n")
     # rows wait beside Python: what the guards need of the words is made behind this step and left before the next
-    df = df.withColumn("__sentences", segment.complete_sentences(F.when(two, F.col("__c"))))
+    df = df.withColumn("__several", segment.several_sentences(F.when(F.col("__told").isNull() & two, c)))
     narrow = df.columns
+    content = lambda text: F.filter(words(text), is_content)
+    formal: list[tuple[str | None, Column]] = [
+        ("instruction-output", matches(c, lex.INSTRUCTION_OUTPUT[4:]) | refusal_prose(c, content(F.col("__s")), content(c))),
+        ("reason-contradicts-action", F.coalesce(matches(F.col(stated), lex.KEEP_REASON), F.lit(False)) if stated else F.lit(False)),
+        ("multiple-sentences", F.coalesce(F.col("__several"), F.lit(False))),
+    ]
+    df = df.withColumn("__formal", F.when(F.col("__told").isNull(), _first(formal, nothing)).otherwise(F.col("__told")))
     for side in "sc":
-        text = F.col(f"__{side}")
+        text = F.when(F.col("__formal").isNull(), F.col(f"__{side}"))
         low = F.lower(text)
         df = df.withColumn(f"__{side}low", low).withColumn(f"__{side}words", words(text)).withColumn(f"__{side}plain", plain_words(F.col(f"__{side}low")))
         df = df.withColumn(f"__{side}content", F.filter(F.col(f"__{side}words"), is_content))
@@ -796,12 +832,6 @@ def validated(pairs: DataFrame, source: str = "source", candidate: str = "candid
     net = F.size(mine) - F.size(theirs)
     blanks = lambda text: F.lower(replaced(trimmed(text), r"\s+", " "))
     early: list[tuple[str | None, Column]] = [
-        ("action-mismatch", F.coalesce(F.col(action), F.lit("")) != "rewrite") if action else ("action-mismatch", F.lit(False)),
-        ("empty", c == ""),
-        ("unchanged", c == F.col("__whole")),
-        ("instruction-output", matches(c, lex.INSTRUCTION_OUTPUT[4:]) | refusal_prose(c, mine, theirs)),
-        ("reason-contradicts-action", F.coalesce(matches(F.col(stated), lex.KEEP_REASON), F.lit(False)) if stated else F.lit(False)),
-        ("multiple-sentences", F.coalesce(F.col("__sentences") > 1, F.lit(False))),
         (None, F.col("__framed") & (blanks(s) == blanks(c))),
         ("numbers-changed", numbers(s) != numbers(c)),
         ("protected-token-changed", protected(s) != protected(c)),
@@ -819,7 +849,7 @@ def validated(pairs: DataFrame, source: str = "source", candidate: str = "candid
         ("terminal-punctuation-changed", (terminal(s) != "") & (terminal(s) != terminal(c))),
         ("order-changed", _permuted(left, right) | subordinator_moved(low, clow, a, b) | adjunct_compounded(left, right) | roles_flipped(s, c, mine, theirs)),
     ]
-    df = df.withColumn("__early", _first(early, F.lit("open"))).select(*narrow, "__early")
+    df = df.withColumn("__early", F.when(F.col("__formal").isNull(), _first(early, F.lit("open"))).otherwise(F.col("__formal"))).select(*narrow, "__early")
     open_ = F.col("__early") == "open"
     df = df.withColumn("ops", edit_ops(F.when(open_ | F.col("__early").isNull(), s), F.when(open_ | F.col("__early").isNull(), c)))
     df = df.withColumn("ratio", F.when(F.col("ops").isNotNull(), edit_ratio(F.col("ops"))))
