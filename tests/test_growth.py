@@ -200,3 +200,17 @@ def test_pairs_that_are_told_have_no_words_made(spark):
     rows = [("The same.", "The same.", "unchanged"), ("One thing.", "", "empty"), ("One thing is here.", "One is here. It is a thing.", "multiple-sentences"), ("One thing.", "As an AI I say no. It is so.", "instruction-output"), ("One thing.", "One thing!", "terminal-punctuation-changed")]
     df = guards.validated(spark.createDataFrame(rows, "source string, candidate string, want string"))
     assert [(r["want"], r["reason"]) for r in df.collect() if r["want"] != r["reason"]] == []
+
+
+def test_signs_of_claims_leave_out_none(spark):
+    said = """revolutionary;game changing;game-changer;seamlessly;blazingly;cutting edge;state of the art;world-class;effortless;magically;unleashed;supercharged;10 x;10-x;AI powered;so!;never wrong
+    always right;always correct;100 % safe;always preserves;never changes your meaning;can't change your meaning;Flawless;INFALLIBLE;perfect;guarantees;guaranteed;guarantee that;zero false positives;no  false negatives
+    installs;installation;set-up;set up;setup;provisioned;up and running;USPTO;tess;TSDR;trademark register;trademark database;register of trade marks;register of trademarks;apple silicon;metal;windows;two-core;2 core
+    ſeamleſſ;ſet up;trademarK regiſter;flawleſſ;unleaſh;İnfallible;wındows;<!-- forbıdden-phraſeſ: allow x - y -->;plain;state;set"""
+    df = spark.createDataFrame([(t.strip(),) for line in said.split("\n") for t in line.split(";")] + [(said,), (None,)], "t string").withColumn("low", claims._folded(F.col("t")))
+    patterns_ = {rule: p for rule, p, _, _ in lexicons.CLAIMS} | {"waiver": lexicons.WAIVER}
+    rows = df.select("t", claims._matched("t", patterns_).alias("every"), claims._matched("t", patterns_, folded="low").alias("called")).collect()
+    assert [r["t"] for r in rows if r["every"] != r["called"]] == []
+    assert {r["t"] for r in rows if not r["every"]} == {"plain", "state", "set", None}
+    # each pattern was looked for seven times in every document
+    assert plan_of(claims.findings(df.select(F.lit(1).alias("doc_id"), F.col("t").alias("text")))).split("== Initial Plan ==")[-1].count("revolutionary|") == 2

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ ADDRESS = "<(?:https?|mailto):[^>\\s]*>|(?:https?://|www\\.)[^\\s<>()\\[\\]\"'`]
 SCRIPT = "(?is)<(script|style)\\b[^>]*>.*?(?:</\\1\\s*>|\\z)"
 #: How a hit of these ends that is closed; one that is open to the text's end is found, so that the search is linear, and left as it is.
 CLOSED = {COMMENT: "--", SCRIPT: "</(?i:script|style)\\s*"}
+#: What a text must have, one of them, for a pattern to be looked for.
+SIGNS = {COMMENT: ["<!--"], TAG: ["<"], CODE: ["`"], FENCED: ["```", "~~~"], LINK: ["]("], ADDRESS: ["http", "mailto:", "www."], SCRIPT: ["<"]}
 DESCRIPTION = '(?s)^(.*?"description"\\s*:\\s*")((?:[^"\\\\]++|\\\\.)*+)'
 
 
@@ -29,7 +34,9 @@ def masked(text: Column, pattern: str) -> Column:
     def blanked(t: Column) -> Column:
         hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
         pieces = F.arrays_zip(F.split(t, pattern, -1).alias("a"), hits.alias("b"))
-        return F.array_join(F.transform(pieces, lambda p: F.concat(p["a"], F.coalesce(blank(p["b"]), F.lit("")))), "")
+        out = F.array_join(F.transform(pieces, lambda p: F.concat(p["a"], F.coalesce(blank(p["b"]), F.lit("")))), "")
+        signs = [t.contains(s) for s in SIGNS.get(pattern, ())]
+        return F.when(reduce(or_, signs), out).otherwise(t) if signs else out
 
     # bound to a name, so that masks of masks do not repeat their input
     return F.get(F.transform(F.array(text), blanked), F.lit(0))

@@ -2,7 +2,8 @@
 
 A document's findings are rows.  Places come from running sums over the lengths between matches.  The
 clause of a match is looked up where its text lies, so texts are never moved and only matches are.
-Only documents with a match or a waiver go further than the first look.
+A pattern is looked for only in documents that have one of its signs, and only documents with a
+match or a waiver go further than that.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import bisect
 import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,22 +22,50 @@ from pyspark.sql import functions as F
 from textgate.functions import lexicons as lex
 from textgate.functions import masks
 from textgate.functions.patterns import PY_BLANK, java, listed, matches, trimmed
+from textgate.operators.guards import bound
 
 _CUT = re.compile(f"[\\n;|]|[.:?!](?=[{PY_BLANK}]|\\Z)")
 #: Documents whose matches are handed on at once.
 _AT_ONCE = 64
 
+#: What a folded text must have, one of them, for a rule's pattern to be looked for.
+SIGNS = {
+    "marketing/boast": ["revolutionary", "game", "seamless", "blazing", "cutting", "state", "world", "effortless", "magical", "unleash", "supercharge"],
+    "marketing/multiplier": ["10"],
+    "marketing/ai-powered": ["powered"],
+    "marketing/exclamation": ["!"],
+    "absolute/never-wrong": ["never wrong", "always right", "always correct", "100", "always preserves", "your meaning"],
+    "absolute/perfection": ["flawless", "infallible", "perfect"],
+    "absolute/guarantee": ["guarantee"],
+    "absolute/false-positives": ["false"],
+    "unsupported/install-time": ["install", "set", "provision", "up and running"],
+    "unsupported/register-search": ["uspto", "tess", "tsdr", "trademark", "register of trade"],
+    "unsupported/platform-performance": ["silicon", "metal", "windows", "core"],
+    "waiver": ["forbidden-phrases:"],
+}
+
+
+def _folded(text: Column) -> Column:
+    """In lower case, with the letters that a search without case takes for ASCII ones."""
+    return F.lower(F.when(text.rlike("[ſ\u212aıİ]"), F.translate(text, "ſ\u212aıİ", "skii")).otherwise(text))
+
+
+def _matched(text: str, patterns: dict[str, str], fold: bool = True, folded: str | None = None) -> Column:
+    """For each pattern with a match its rule, the step to the end of each match from the one before, and the matches.
+
+    ``folded`` names the folded text, in which the signs of the rules are looked for first.
+    """
+
+    def told(hits: Column, rule: str, own: str) -> Column:
+        # Spark's pieces are those between the matches, the last one has no match behind it
+        steps = F.zip_with(F.split(text, own, -1), hits, lambda a, b: F.length(a) + F.length(b))
+        return F.when(F.size(hits) > 0, F.struct(F.lit(rule).alias("rule"), F.slice(steps, F.lit(1), F.size(hits)).alias("steps"), hits.alias("hits")))
 
-def _matched(text: str, patterns: dict[str, str], fold: bool = True) -> Column:
-    """For each pattern with a match its rule, the step to the end of each match from the one before, and the matches."""
     one = []
     for rule, pattern in patterns.items():
         own = ("(?iu)" if fold else "") + java(pattern)
-        hits = F.regexp_extract_all(text, F.lit(own), F.lit(0))
-        # Spark's pieces are those between the matches, the last one has no match behind it
-        steps = F.zip_with(F.split(text, own, -1), hits, lambda a, b: F.length(a) + F.length(b))
-        here = F.struct(F.lit(rule).alias("rule"), F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))).alias("steps"), hits.alias("hits"))
-        one.append(F.when(F.col(text).rlike(own), here))
+        here = bound(F.regexp_extract_all(text, F.lit(own), F.lit(0)), lambda hits: told(hits, rule, own))  # noqa: B023
+        one.append(F.when(reduce(or_, [F.contains(F.col(folded), F.lit(s)) for s in SIGNS[rule]]), here) if folded else here)
     return F.array_compact(F.array(*one))
 
 
@@ -104,9 +135,10 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", syntax: s
     apart; null texts have no findings.
     """
     body = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.explode_outer(F.array(masks.prose(F.col(text), syntax))).alias("masked"))
-    body = body.where(matches(F.col("masked"), "|".join(f"(?:{p})" for _, p, _, _ in lex.CLAIMS)) | matches(F.col("text"), lex.WAIVER))
-    hits = F.concat(_matched("masked", {rule: pattern for rule, pattern, _, _ in lex.CLAIMS}), _matched("text", {"waiver": lex.WAIVER}))
-    rows = _in_clauses(body.select("key", "text", "masked", hits.alias("found")), key)
+    body = body.withColumn("low", _folded(F.col("masked"))).withColumn("text_low", F.when(F.contains("text", F.lit("<!--")), _folded(F.col("text"))))
+    hits = F.concat(_matched("masked", {rule: pattern for rule, pattern, _, _ in lex.CLAIMS}, folded="low"), _matched("text", {"waiver": lex.WAIVER}, folded="text_low"))
+    found = body.select("key", "text", "masked", F.explode_outer(F.array(hits)).alias("found")).where(F.size("found") > 0)
+    rows = _in_clauses(found, key)
     said, waiver = _read_waiver("hit"), F.col("rule") == "waiver"
     read = {"rule": F.when(waiver, F.coalesce(said["problem"], F.lit("waiver"))).otherwise(F.col("rule")), "hit": F.when(waiver, said["hit"]).otherwise(F.col("hit")), "rules": F.when(waiver, said["rules"]), "reason": F.when(waiver, said["reason"]), "more": F.when(waiver, said["more"]).otherwise(0)}
     rows = rows.withColumns(read)
