@@ -214,3 +214,10 @@ def test_signs_of_claims_leave_out_none(spark):
     assert {r["t"] for r in rows if not r["every"]} == {"plain", "state", "set", None}
     # each pattern was looked for seven times in every document
     assert plan_of(claims.findings(df.select(F.lit(1).alias("doc_id"), F.col("t").alias("text")))).split("== Initial Plan ==")[-1].count("revolutionary|") == 2
+
+
+def test_rules_are_tried_only_where_a_phrase_begins_a_word(spark):
+    # 78 replacements are made one after another where this holds
+    rows = [("In order to see", True), ("(due to the fact that", True), ("Kin order to", True), ("éin order to", True), ("win order to", False), ("_in order to", False), ("plain", False)]
+    df = spark.createDataFrame(rows, "t string, want boolean").withColumn("got", rules._fires(F.col("t")))
+    assert [r["t"] for r in df.collect() if r["got"] != r["want"]] == []

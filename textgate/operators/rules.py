@@ -19,9 +19,17 @@ _PHRASES = [p for p, _, _ in lexicons.RULES]
 _CALL = "[@/\\\\`$\\[]|\\.(?i:csv|json|log|md|txt|ya?ml|pdf|js|py|sql|xml|html)"
 
 
+def _by_first_letter() -> str:
+    """The phrases as one alternation, longest first among those with one first letter, which alone can stand at one place."""
+    tails: dict[str, list[str]] = {}
+    for p in sorted(_PHRASES, key=lambda p: -len(p)):
+        tails.setdefault(p[0], []).append(p[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in tails.items())
+
+
 def _fires(sentence: Column) -> Column:
-    """Some phrase of the rules stands in the sentence."""
-    return F.lower(sentence).rlike("|".join(_PHRASES))
+    """Some phrase of the rules begins a word of the sentence; a k before it may have been the sign of the kelvin, which is no word character."""
+    return F.concat(F.lit(" "), F.lower(sentence)).rlike(f"[\\Wk](?:{_by_first_letter()})")
 
 
 def apply_rules(sentence: Column) -> Column:
@@ -53,11 +61,7 @@ def rules_fired(sentence: Column) -> Column:
 
     One scan finds the phrases; the few rules with a condition on what follows are looked at again.
     """
-    # longest first among those with one first letter, which alone can stand at one place
-    tails: dict[str, list[str]] = {}
-    for p in sorted(_PHRASES, key=lambda p: -len(p)):
-        tails.setdefault(p[0], []).append(p[1:])
-    every = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in tails.items())
+    every = _by_first_letter()
     seen = F.regexp_extract_all(F.lower(sentence), F.lit(f"(?u){java(_EDGE + 'x')[:-1]}(?<!\\p{{Pd}})(?:{every}){java('x' + _EDGE)[1:]}(?!\\p{{Pd}})"), F.lit(0))
     ahead = {p: a for p, _, a in lexicons.RULES if a}
 
