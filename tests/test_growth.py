@@ -221,3 +221,11 @@ def test_rules_are_tried_only_where_a_phrase_begins_a_word(spark):
     rows = [("In order to see", True), ("(due to the fact that", True), ("Kin order to", True), ("éin order to", True), ("win order to", False), ("_in order to", False), ("plain", False)]
     df = spark.createDataFrame(rows, "t string, want boolean").withColumn("got", rules._fires(F.col("t")))
     assert [r["t"] for r in df.collect() if r["got"] != r["want"]] == []
+
+
+def test_tenses_of_a_pair_are_made_once(spark):
+    df = spark.createDataFrame([("It works.", "It worked.", True), ("It works.", "It will work.", True), ("It worked.", "So it worked.", False), ("They read it yesterday.", "They have read it.", True)], "s string, c string, want boolean")
+    changed = guards.tense_changed(F.col("s"), guards.tense(F.col("s")), guards.tense(F.col("c")))
+    # the words of each side, made anew wherever a tense was named before
+    assert plan_of(df.select(changed.alias("x"))).count("regexp_extract_all") == 2
+    assert [r["s"] for r in df.withColumn("got", changed).collect() if r["got"] != r["want"]] == []
