@@ -229,3 +229,11 @@ def test_tenses_of_a_pair_are_made_once(spark):
     # the words of each side, made anew wherever a tense was named before
     assert plan_of(df.select(changed.alias("x"))).count("regexp_extract_all") == 2
     assert [r["s"] for r in df.withColumn("got", changed).collect() if r["got"] != r["want"]] == []
+
+
+def test_quantifiers_of_a_pair_are_made_once(spark):
+    df = spark.createDataFrame([("All of it.", "Most of it.", True), ("All of it.", "All it is.", False), ("No rain.", "Rain.", True), ("Plain.", "Plain!", False)], "s string, c string, want boolean")
+    changed = guards.quantifiers_changed(guards.quantifier_sets(F.col("s")), guards.quantifier_sets(F.col("c")))
+    # the words of each side, made anew for each group and sense before
+    assert plan_of(df.select(changed.alias("x"))).count("regexp_extract_all") == 2
+    assert [r["s"] for r in df.withColumn("got", changed).collect() if r["got"] != r["want"]] == []
