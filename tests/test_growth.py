@@ -237,3 +237,11 @@ def test_quantifiers_of_a_pair_are_made_once(spark):
     # the words of each side, made anew for each group and sense before
     assert plan_of(df.select(changed.alias("x"))).count("regexp_extract_all") == 2
     assert [r["s"] for r in df.withColumn("got", changed).collect() if r["got"] != r["want"]] == []
+
+
+def test_hedges_of_a_pair_are_made_once(spark):
+    df = spark.createDataFrame([("It may rain.", "It will rain.", True), ("Perhaps it may rain.", "Perhaps it rains.", False), ("It rains.", "It may rain.", True), ("Plain.", "Plain!", False)], "s string, c string, want boolean")
+    changed = guards.certainty_changed(guards.hedge_words(F.col("s")), guards.hedge_words(F.col("c")))
+    # the words of each side, made anew for each group of hedges before
+    assert plan_of(df.select(changed.alias("x"))).count("regexp_extract_all") == 2
+    assert [r["s"] for r in df.withColumn("got", changed).collect() if r["got"] != r["want"]] == []
